@@ -4,16 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import simhash_trie
+from pulseloom.llm import feistel_order, length_histogram, simhash_trie, tier_packing, toxicity_fst
 from pulseloom.session import table
 
 
+def op3_toxicity_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by the clause grammar."""
+    return toxicity_fst.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return tier_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_feistel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' sequences in a keyed training order, written as fixed-stride shards."""
+    return feistel_order.materialise(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate classes of all documents."""
     return simhash_trie.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact histogram of encoded lengths with suffix sums."""
+    return length_histogram.suffix_sums(length_histogram.length_counts(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op3_toxicity_fst": op3_toxicity_fst,
+    "op5_tier_packing": op5_tier_packing,
+    "op7_feistel_order": op7_feistel_order,
     "op9_simhash_trie": op9_simhash_trie,
+    "op10_length_histogram": op10_length_histogram,
 }
 ORACLE: dict[str, str] = {}
