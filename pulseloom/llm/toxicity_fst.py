@@ -2,10 +2,11 @@
 
 Two kinds of machine are composed:
 
-* The lexicon transducer rewrites the words of a clause to symbols: insult, threat,
-  target, negation, report, or a skip. Insult arcs are whole words and stems with
-  any ending, chosen from labelled training texts; the closed classes (targets,
-  negations, verbs of report, threats) are fixed.
+* The lexicon transducer rewrites the words of a clause to symbols: insult, hint,
+  threat, target, negation, report, or a skip. Insult arcs are whole words and stems
+  with any ending that hardly occur outside toxic training texts; hints are stems that
+  occur there more often than not, of which one means little and several much. The
+  closed classes (targets, negations, verbs of report, threats) are fixed.
 * The clause transducer reads symbols and moves between contexts (neutral, after a
   target, negated, reported, threatening); insult and threat arcs emit a pattern with a
   weight: direct, bare, negated, reported or threat.
@@ -35,7 +36,7 @@ NEGATIONS = "not no never neither nor isn't aren't wasn't don't doesn't nicht ke
 REPORTS = "said says say saying called calls claimed claims wrote writes quoted quotes reported reports accused told sagte sagt schrieb behauptet nannte dit disait écrit appelé dijo dice escribió llamó".split()
 THREATS = "kill murder hurt destroy beat shoot stab burn töten umbringen tuer frapper matar golpear".split()
 
-PATTERNS = ("direct", "bare", "negated", "reported", "threat")
+PATTERNS = ("direct", "bare", "negated", "reported", "threat", "hint")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[\"“”«»„]")
 QUOTES = set("\"“”«»„")
@@ -89,6 +90,7 @@ def clause_machine() -> Transducer:
         m.add(s, "target", 5 if s == 5 else 1 if s in (0, 1, 2, 3, 4) else 6, "threat" if s == 6 else None, 2.0 if s == 6 else 0.0)
         m.add(s, "negation", 5 if s == 5 else 2)
         m.add(s, "report", 5)
+        m.add(s, "hint", s, "hint", 0.25)
         m.add(s, "other", {2: 3, 3: 4, 4: 0}.get(s, s))
         m.add(s, "threat", {1: 1, 5: 5}.get(s, 6) if s not in (2, 3, 4) else s, "threat" if s == 1 else None, 2.0 if s == 1 else 0.0)
         m.final[s] = 0.0
@@ -97,7 +99,7 @@ def clause_machine() -> Transducer:
     return m
 
 
-def lexicon_machine(classes: tuple[str, ...] = ("insult", "threat", "target", "negation", "report")) -> Transducer:
+def lexicon_machine(classes: tuple[str, ...] = ("insult", "hint", "threat", "target", "negation", "report")) -> Transducer:
     """One state: rewrites word classes to grammar symbols. A quotation mark toggles a second state, where insults are read as reported."""
     m = Transducer(final={0: 0.0, 1: 0.0})
     for s in (0, 1):
@@ -110,11 +112,12 @@ def lexicon_machine(classes: tuple[str, ...] = ("insult", "threat", "target", "n
 
 @dataclass
 class Model:
-    """What training leaves: insult words, insult stems, and weights for bias and pattern counts."""
+    """What training leaves: insult words, insult stems, weights for bias and features, and stems that are hints."""
 
     words: list[str]
     stems: list[str]
     weights: list[float]
+    hints: list[str] = field(default_factory=list)
 
     def compiled(self) -> Callable[[str], np.ndarray]:
         return _Matcher(self).counts
@@ -126,7 +129,8 @@ class _Matcher:
         words, stems = set(model.words), sorted(set(model.stems), key=len, reverse=True)
         self.kind = {w: "report" for w in REPORTS} | {w: "negation" for w in NEGATIONS} | {w: "target" for w in TARGETS} | {w: "threat" for w in THREATS} | {w: "insult" for w in words}
         self.stem = re.compile("|".join(map(re.escape, stems))) if stems else None
-        heads = sorted(words | set(THREATS)) + stems
+        self.hint = re.compile("|".join(map(re.escape, model.hints))) if model.hints else None
+        heads = sorted(words | set(THREATS) | set(stems) | set(model.hints))
         self.found = _automaton(heads)
         self.cache: dict[tuple[str, ...], tuple[str, ...]] = {}
 
@@ -135,7 +139,7 @@ class _Matcher:
             return "quote"
         kind = self.kind.get(word)
         if kind is None:
-            kind = "insult" if self.stem and self.stem.match(word) else "word"
+            kind = "insult" if self.stem and self.stem.match(word) else "hint" if self.hint and self.hint.match(word) else "word"
         return kind
 
     def counts(self, text: str) -> np.ndarray:
@@ -150,7 +154,7 @@ class _Matcher:
             stop = CLAUSE_END.search(text, at)
             done = stop.end() if stop else len(text)
             symbols = tuple(self.symbol(w) for w in WORD.findall(text, low, done))
-            if "insult" not in symbols and "threat" not in symbols:
+            if not {"insult", "hint", "threat"} & set(symbols):
                 continue
             if symbols not in self.cache:
                 if len(self.cache) > 20_000:
@@ -212,6 +216,29 @@ def choose_entries(documents: dict[str, set[int]], toxic: set[int], total: int,
     return chosen
 
 
+def choose_hints(documents: dict[str, set[int]], toxic: set[int], least: int) -> list[str]:
+    """Stems of four letters or more that occur in toxic documents at least as often as in others, by greedy cover (half a document's cost for each clean one)."""
+    good = {}
+    for entry, docs in documents.items():
+        hits = len(docs & toxic)
+        if entry[0] != "=" and len(entry) > 3 and hits >= least and 2 * hits >= len(docs):
+            good[entry] = (docs & toxic, 0.5 * (len(docs) - hits))
+    covered: set[int] = set()
+    chosen = []
+    while good:
+        entry = max(good, key=lambda e: (len(good[e][0] - covered) - good[e][1], -len(e), e))
+        if len(good[entry][0] - covered) - good[entry][1] < least:
+            break
+        chosen.append(entry)
+        covered |= good.pop(entry)[0]
+    return sorted(chosen)
+
+
+def features(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Model inputs from pattern counts: their logarithms, and the hints in a hundred words."""
+    return np.hstack([np.log1p(counts), np.log1p(100 * counts[:, -1:] / np.maximum(words, 20)[:, None])])
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 50) -> np.ndarray:
     """Bias and weights by Newton steps with an L2 penalty on the weights; weights of counts are at least zero."""
     design = np.hstack([np.ones((len(x), 1)), x])
@@ -233,8 +260,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int =
     return w
 
 
-#: Weights where no labelled rows exist: bias, then PATTERNS.
-PRIOR = [-2.0, 5.0, 4.0, 0.5, 0.5, 4.0]
+#: Weights where no labelled rows exist: bias, then PATTERNS, then the density of hints.
+PRIOR = [-2.0, 5.0, 4.0, 0.5, 0.5, 4.0, 0.0, 0.0]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -273,13 +300,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = 4000) -> M
             if f in documents:
                 documents[f].add(k)
     entries = choose_entries(documents, toxic, len(rows), least)
-    model = Model(sorted(e[1:] for e in entries if e[0] == "="), sorted(e for e in entries if e[0] != "="), PRIOR)
-    counts = model.compiled()
-    x = np.log1p(np.array([counts(t) for t in rows["text"]]))
-    model.weights = fit_logistic(x, y).tolist()
+    model = Model(sorted(e[1:] for e in entries if e[0] == "="), sorted(e for e in entries if e[0] != "="), PRIOR, choose_hints(documents, toxic, least))
+    model.weights = fit_logistic(_inputs(rows["text"], model.compiled()), y).tolist()
     return model
 
 
+def _inputs(texts: pd.Series, counts: Callable[[str], np.ndarray]) -> np.ndarray:
+    found = np.array([counts(t) if t else np.zeros(len(PATTERNS)) for t in texts]).reshape(-1, len(PATTERNS))
+    return features(found, np.array([t.count(" ") + 1 if t else 0 for t in texts], float))
+
+
 def score_column(model: Model, text: str = "text") -> Column:
     """Toxicity of a text column, 0 to 1; null and empty texts get the score of no pattern."""
     weights = np.array(model.weights)
@@ -289,9 +319,7 @@ def score_column(model: Model, text: str = "text") -> Column:
     def score(texts: pd.Series) -> pd.Series:
         if not compiled:
             compiled.append(model.compiled())
-        counts = compiled[0]
-        x = np.array([counts(t) if t else np.zeros(len(PATTERNS)) for t in texts]).reshape(-1, len(PATTERNS))
-        return pd.Series(1 / (1 + np.exp(-np.clip(weights[0] + np.log1p(x) @ weights[1:], -30, 30))))
+        return pd.Series(1 / (1 + np.exp(-np.clip(weights[0] + _inputs(texts, compiled[0]) @ weights[1:], -30, 30))))
 
     return score(F.col(text).cast("string"))
 
