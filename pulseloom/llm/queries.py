@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import feistel_order, length_histogram, simhash_trie, tier_packing, toxicity_fst
+from pulseloom.llm import feistel_order, length_histogram, robust_quality, simhash_trie, tier_packing, toxicity_fst
 from pulseloom.session import table
 
 
+def op2_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdicts of all documents."""
+    return robust_quality.quality_verdicts(table(spark, sf_dir, "documents")).drop("distance")
+
+
 def op3_toxicity_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents by the clause grammar."""
     return toxicity_fst.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -34,10 +39,13 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_robust_quality": op2_robust_quality,
     "op3_toxicity_fst": op3_toxicity_fst,
     "op5_tier_packing": op5_tier_packing,
     "op7_feistel_order": op7_feistel_order,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_length_histogram": op10_length_histogram,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_robust_quality": f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({robust_quality.reference_sql()}) q",
+}
