@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import feistel_order, length_histogram, robust_quality, simhash_trie, tier_packing, toxicity_fst
+from pulseloom.llm import feistel_order, length_histogram, robust_quality, rp_forest, simhash_trie, tier_packing, toxicity_fst
 from pulseloom.session import table
 
 
@@ -28,6 +28,11 @@ def op7_feistel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_order.materialise(table(spark, sf_dir, "documents"))
 
 
+def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all embeddings."""
+    return rp_forest.forest_components(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate classes of all documents."""
     return simhash_trie.simhash_components(table(spark, sf_dir, "documents"))
@@ -43,6 +48,7 @@ QUERIES = {
     "op3_toxicity_fst": op3_toxicity_fst,
     "op5_tier_packing": op5_tier_packing,
     "op7_feistel_order": op7_feistel_order,
+    "op8_rp_forest": op8_rp_forest,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_length_histogram": op10_length_histogram,
 }
