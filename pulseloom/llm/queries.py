@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import feistel_order, length_histogram, robust_quality, rp_forest, simhash_trie, tier_packing, toxicity_fst
+from pulseloom.llm import feistel_order, kneser_ney, length_histogram, robust_quality, rp_forest, simhash_trie, tier_packing, toxicity_fst
 from pulseloom.session import table
 
 
@@ -18,6 +18,11 @@ def op3_toxicity_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_fst.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kneser-Ney scores of all documents, learned from those that aren't held out."""
+    return kneser_ney.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     return tier_packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -46,6 +51,7 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_robust_quality": op2_robust_quality,
     "op3_toxicity_fst": op3_toxicity_fst,
+    "op4_kneser_ney": op4_kneser_ney,
     "op5_tier_packing": op5_tier_packing,
     "op7_feistel_order": op7_feistel_order,
     "op8_rp_forest": op8_rp_forest,
