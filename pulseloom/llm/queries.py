@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import feistel_order, kneser_ney, length_histogram, robust_quality, rp_forest, simhash_trie, tier_packing, toxicity_fst
+from pulseloom.llm import bpe, feistel_order, kneser_ney, length_histogram, robust_quality, rp_forest, sentencepiece_unigram, simhash_trie, tier_packing, toxicity_fst
 from pulseloom.session import table
 
 
+def op1_sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by Unigram Viterbi and decoded again; ids as counts and checksums."""
+    pieces = sentencepiece_unigram.Pieces.load(bpe.vocabulary_path("piece_bpe_32k.model"))
+    return sentencepiece_unigram.encode_documents(table(spark, sf_dir, "documents"), pieces, with_ids=False)
+
+
 def op2_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdicts of all documents."""
     return robust_quality.quality_verdicts(table(spark, sf_dir, "documents")).drop("distance")
@@ -49,6 +55,7 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece_unigram": op1_sentencepiece_unigram,
     "op2_robust_quality": op2_robust_quality,
     "op3_toxicity_fst": op3_toxicity_fst,
     "op4_kneser_ney": op4_kneser_ney,
