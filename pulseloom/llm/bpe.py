@@ -52,3 +52,10 @@ def encode(text: str, vocabulary: str = DEFAULT_VOCABULARY) -> np.ndarray:
         return _fast(vocabulary_path(f"{vocabulary}.tiktoken")).encode_to_numpy(text)
     ids = _exact(vocabulary_path(f"{vocabulary}.json")).encode(text, add_special_tokens=False).ids
     return np.asarray(ids, dtype=np.uint32)
+
+
+def count(text: str, vocabulary: str = DEFAULT_VOCABULARY) -> int:
+    """How many ids ``encode`` gives, without making an array of them."""
+    if SPECIAL not in text and _SETTLED.match(text):
+        return len(_fast(vocabulary_path(f"{vocabulary}.tiktoken"))._core_bpe.encode_ordinary(text))
+    return len(encode(text, vocabulary))

@@ -22,7 +22,7 @@ def length_counts(docs: DataFrame, vocabulary: str = bpe.DEFAULT_VOCABULARY, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, counts = np.unique(np.array([len(bpe.encode(t.as_py() or "", vocabulary)) for t in batch.column(0)], np.int64), return_counts=True)
+            lengths, counts = np.unique(np.array([bpe.count(t.as_py() or "", vocabulary) for t in batch.column(0)], np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(lengths), pa.array(counts.astype(np.int64))], names=["length", "n"])
 
     found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "length long, n long")

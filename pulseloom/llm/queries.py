@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pulseloom.llm import bpe, feistel_order, kneser_ney, length_histogram, robust_quality, rp_forest, sentencepiece_unigram, simhash_trie, tier_packing, toxicity_fst
+from pulseloom.llm.store import stored
 from pulseloom.session import table
 
 
@@ -51,7 +52,8 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact histogram of encoded lengths with suffix sums."""
-    return length_histogram.suffix_sums(length_histogram.length_counts(table(spark, sf_dir, "documents")))
+    histogram = stored(length_histogram.length_counts(table(spark, sf_dir, "documents")), "lengths")
+    return length_histogram.suffix_sums(histogram)
 
 
 QUERIES = {
