@@ -1,7 +1,7 @@
 """Training order as files: a keyed permutation of sequences, written as fixed-stride shards.
 
 1. Workers encode each input partition as a stream of ids (documents joined by an end
-   id), cut it into sequences of one length, and report how many there are.
+   id), cut it into sequences of one length, and report how many there are, with a digest of the texts.
 2. Sums over the partitions' counts give every sequence a number in 0..N-1 and the
    size of the permutation's domain.
 3. A second encoding of the same partitions sends each sequence to its slot,
@@ -110,12 +110,20 @@ def materialise(docs: DataFrame, out_dir: str | None = None, key: int = 42, toke
     out_dir = out_dir or fresh_path(spark, "shards")
     texts = docs.select(F.col("text").cast("string").alias("text"))
 
+    def digested(batches: Iterator[pa.RecordBatch], seen: list[int]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                if text.is_valid:
+                    seen[0] = zlib.crc32(text.as_buffer(), seen[0])
+                seen[0] = zlib.crc32(b"\0" if text.is_valid else b"\1", seen[0])
+            yield batch
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, digest = 0, 0
-        for block in _sequences(batches, vocabulary, tokens, end_id):
-            n += len(block)
-            digest = zlib.crc32(block, digest)
+        n, seen = 0, [0]
+        for batch in digested(batches, seen):
+            n += sum(bpe.count(text.as_py() or "", vocabulary) + 1 for text in batch.column(0))
         if n:
+            n, digest = -(-n // tokens), seen[0]
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n], "digest": [digest]}, schema=pa.schema([("part", pa.int64()), ("n", pa.int64()), ("digest", pa.int64())]))
 
     counts = texts.mapInArrow(count, "part long, n long, digest long").collect()  # one row for each input partition
@@ -131,16 +139,15 @@ def materialise(docs: DataFrame, out_dir: str | None = None, key: int = 42, toke
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n, want = bases.get(TaskContext.get().partitionId(), (0, 0, 0))
-        done, digest = 0, 0
-        for block in _sequences(batches, vocabulary, tokens, end_id):
-            digest = zlib.crc32(block, digest)
+        done, seen = 0, [0]
+        for block in _sequences(digested(batches, seen), vocabulary, tokens, end_id):
             numbers = np.arange(base + done, base + done + len(block), dtype=np.int64)
             done += len(block)
             if done > n:
                 break
             slots = permute(numbers, total, key)
             yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard, pa.int32()), pa.array(slots), pa.array(numbers), pa.array([x.tobytes() for x in block], pa.binary())], names=["shard", "slot", "sequence", "ids"])
-        if (done, digest) != (n, want):
+        if (done, seen[0]) != (n, want):
             raise RuntimeError("an input partition read differently the second time; store the documents first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
