@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulseloom.llm import bpe, feistel_order, kneser_ney, length_histogram, robust_quality, rp_forest, sentencepiece_unigram, simhash_trie, tier_packing, toxicity_fst
+from pulseloom.llm import bpe, feistel_order, kneser_ney, length_histogram, quote_links, robust_quality, rp_forest, sentencepiece_unigram, simhash_trie, tier_packing, toxicity_fst
 from pulseloom.llm.store import stored
 from pulseloom.session import table
 
@@ -35,6 +35,12 @@ def op5_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier_packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages in reply order, linked by their quotes; own texts as length and checksum."""
+    rows = quote_links.reply_order(table(spark, sf_dir, "conversations"))
+    return rows.select("conv_id", "turn", "role", "parent_turn", "depth", "place", F.size("links").alias("n_levels"), "n_passages", "n_linked", F.length("own_text").cast("long").alias("own_chars"), F.crc32(F.col("own_text").cast("binary")).alias("own_crc32"))
+
+
 def op7_feistel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' sequences in a keyed training order, written as fixed-stride shards."""
     return feistel_order.materialise(table(spark, sf_dir, "documents"))
@@ -62,6 +68,7 @@ QUERIES = {
     "op3_toxicity_fst": op3_toxicity_fst,
     "op4_kneser_ney": op4_kneser_ney,
     "op5_tier_packing": op5_tier_packing,
+    "op6_quote_links": op6_quote_links,
     "op7_feistel_order": op7_feistel_order,
     "op8_rp_forest": op8_rp_forest,
     "op9_simhash_trie": op9_simhash_trie,

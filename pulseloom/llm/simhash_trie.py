@@ -188,7 +188,7 @@ def _join_group(errors: int):
 
 
 def near_classes(prints: DataFrame, errors: int = 2, node_rows: int = 50_000, depth: int = 16, least_nodes: int = 12) -> DataFrame:
-    """``(doc_id, fp)`` to ``(fp, links, component_id)`` for each distinct fingerprint.
+    """``(doc_id, fp)`` to ``(fp, n, links, least, root, component_id)`` for each distinct fingerprint.
 
     links: documents of other fingerprints within ``errors`` bits. component_id: the
     smallest doc_id reachable. ``node_rows`` bounds the fingerprints of one trie node
@@ -218,7 +218,27 @@ def near_classes(prints: DataFrame, errors: int = 2, node_rows: int = 50_000, de
     linked = found.groupBy("fp").agg(F.sum("links").alias("links"))
     named = stored(classes.join(linked, "fp", "left").join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), "root"), "classes")
     least = named.where("root is not null").groupBy("root").agg(F.min("least").alias("of_root"))
-    return named.join(least, "root", "left").select("fp", "n", "links", F.coalesce("of_root", "least").alias("component_id"))
+    return named.join(least, "root", "left").select("fp", "n", "links", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("of_root", "least").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 3, errors: int = 2, node_rows: int = 50_000) -> DataFrame:
+    """The rows of ``docs``, with their columns, that stay when one of each near-duplicate group is kept.
+
+    The document with the least id stays; null ids come last, ties fall to either row. Rows
+    of one fingerprint are reduced before the shuffle, so a hot group moves one row a task.
+    """
+    @F.pandas_udf("long")
+    def fingerprint(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([text_fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.select(F.struct(*columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = stored(named.select("doc_id", fingerprint("text").alias("fp")), "prints")
+    classes = near_classes(prints, errors, node_rows)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
+    first = named.select("doc", "doc_id", fingerprint("text").alias("fp")).groupBy("fp").agg(F.min_by("doc", order).alias("doc"))
+    staying = classes.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp"))["fp"].alias("fp")).select("fp")
+    return first.join(staying, "fp", "left_semi").select("doc.*")
 
 
 def simhash_components(docs: DataFrame, words: int = 3, errors: int = 2, node_rows: int = 50_000) -> DataFrame:
@@ -236,5 +256,5 @@ def simhash_components(docs: DataFrame, words: int = 3, errors: int = 2, node_ro
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
         (F.col("links") + F.col("n") - 1).alias("n_links"),
-        (F.col("doc_id") == F.col("component_id")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )

@@ -70,3 +70,13 @@ def test_empty_and_repeated_rows(spark):
     assert st.simhash_components(docs).collect() == []
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, None)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in st.simhash_components(docs).collect()) == [(1, 1, 1), (1, 1, 1), (2, 2, 0)]
+
+
+def test_keep_one(spark):
+    rows = [(5, "a b c d", "x"), (3, "a b  C d", "y"), (None, "a b c d", "z"), (9, None, "n"), (8, " ", "m"), (7, "other words stay here", "o"), (7, "other words stay here", "o"), (None, "only null id here", "p"), (None, "only null id here", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    kept = st.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["fp"] if r["doc_id"] else "") for r in kept.collect())
+    assert got == [(False, 3, "y"), (False, 7, "o"), (False, 8, "m"), (True, 0, "")]
+    assert st.keep_one(docs.limit(0)).collect() == []
