@@ -75,21 +75,21 @@ def filter_signals(df: DataFrame, method: str, signal: str = "signal", **options
 
 
 def spectrum(df: DataFrame, key: str, signal: str = "signal") -> DataFrame:
-    """Fourier coefficients as (key, k, re, im), k in 0..N-1."""
+    """Fourier coefficients as (key, bin, re, im), bins 0..N-1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = by_length(batch["signal"].tolist(), lambda x: (np.fft.fft(x),))
-            parts = [pd.DataFrame({"key": name, "k": np.arange(len(f[0])), "re": f[0].real, "im": f[0].imag}) for name, f in zip(batch["key"], found) if f is not None]
-            yield pd.concat(parts) if parts else pd.DataFrame({"key": [], "k": [], "re": [], "im": []})
+            parts = [pd.DataFrame({"key": name, "bin": np.arange(len(f[0])), "re": f[0].real, "im": f[0].imag}) for name, f in zip(batch["key"], found) if f is not None]
+            yield pd.concat(parts) if parts else pd.DataFrame({"key": [], "bin": [], "re": [], "im": []})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), _doubles(signal).alias("signal")).mapInPandas(run, f"key {kind}, k int, re double, im double").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), _doubles(signal).alias("signal")).mapInPandas(run, f"key {kind}, bin int, re double, im double").withColumnRenamed("key", key)
 
 
 def inverse(spectra: DataFrame, key: str) -> DataFrame:
-    """Real parts of inverse transforms of (key, k, re, im): (key, signal)."""
-    packed = spectra.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "re", "im"))).alias("c"))
+    """Real parts of inverse transforms of (key, bin, re, im): (key, signal)."""
+    packed = spectra.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bin", "re", "im"))).alias("c"))
 
     @F.pandas_udf("array<double>")
     def run(coefficients: pd.Series) -> pd.Series:

@@ -257,7 +257,7 @@ _DFT = "x AS (SELECT sample_id, unnest(signal)::DOUBLE AS v, generate_subscripts
 @query(f"WITH {_DFT} SELECT sample_id, k::INT AS k, ~(re)~ AS re, ~(im)~ AS im FROM d", digits=4)
 def fourier_spectrum(spark, sf_dir):
     """Fourier coefficients of all signals."""
-    return spectral.spectrum(view(spark, sf_dir, "v_signals"), "sample_id")
+    return spectral.spectrum(view(spark, sf_dir, "v_signals"), "sample_id").withColumnRenamed("bin", "k")
 
 
 @query(f"WITH {_DFT}, r AS (SELECT sample_id, k, row_number() OVER (PARTITION BY sample_id ORDER BY round(sqrt(re * re + im * im), 9) DESC, k) AS o FROM d WHERE k < 32) SELECT sample_id, ~(k * 30e0 / 64 * 60)~ AS heart_rate FROM r WHERE o = 1")
