@@ -264,11 +264,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int =
 PRIOR = [-2.0, 5.0, 4.0, 0.5, 0.5, 4.0, 0.0, 0.0]
 
 
+BUCKETS = 1 << 22
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = 4000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = 2000) -> Model:
     """Lexicon and weights from labelled rows that aren't held out.
 
     Null labels, texts and ids are passed over. At most ``sample_per_class`` rows of each label
@@ -289,16 +292,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = 4000) -> M
         return Model([], [], PRIOR)
     toxic = set(np.flatnonzero(y == 1).tolist())
     least = max(3, math.ceil(0.01 * len(toxic)))
-    support: dict[str, int] = {}
+    # numbers of toxic documents by hashed feature: a bound that keeps most features out of memory
+    buckets = np.zeros(BUCKETS, np.uint16)
     for k, text in enumerate(rows["text"]):
         if k in toxic:
-            for f in _features(text):
-                support[f] = support.get(f, 0) + 1
-    documents: dict[str, set[int]] = {f: set() for f, n in support.items() if n >= least}
-    for k, text in enumerate(rows["text"]):
-        for f in _features(text):
+            buckets[np.array(sorted({hash(f) % BUCKETS for f in _features(text)}), np.int64)] += 1
+    documents: dict[str, set[int]] = {}
+    for k in sorted(range(len(rows)), key=lambda k: k not in toxic):
+        for f in _features(rows["text"].iloc[k]):
             if f in documents:
                 documents[f].add(k)
+            elif k in toxic and buckets[hash(f) % BUCKETS] >= least:
+                documents[f] = {k}
+    documents = {f: found for f, found in documents.items() if len(found & toxic) >= least}
     entries = choose_entries(documents, toxic, len(rows), least)
     model = Model(sorted(e[1:] for e in entries if e[0] == "="), sorted(e for e in entries if e[0] != "="), PRIOR, choose_hints(documents, toxic, least))
     model.weights = fit_logistic(_inputs(rows["text"], model.compiled()), y).tolist()
@@ -324,7 +330,7 @@ def score_column(model: Model, text: str = "text") -> Column:
     return score(F.col(text).cast("string"))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, sample_per_class: int = 4000) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, sample_per_class: int = 2000) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``.
 
     Only text is an input of a score. Null ids are scored and aren't held out; repeated
