@@ -34,12 +34,13 @@ def _penalty(distance: Column, steepness: float) -> Column:
     return F.greatest(1 - F.log1p(steepness * F.abs(distance)), F.lit(0.1))
 
 
-def snr_scores(df: DataFrame, category: str, threshold: float = 0.0, steepness: float = 0.001, alpha: float = 0.5, beta: float = 0.5, value: str = "snr") -> DataFrame:
-    """category, mean, median, std, count, mad, penalty_factor, snr_score. A single-row group has no std and no score."""
+def snr_scores(df: DataFrame, category: str, threshold: float = 0.0, steepness: float = 0.001, alpha: float = 0.5, beta: float = 0.5, value: str = "snr", with_median: bool = True) -> DataFrame:
+    """category, mean, median (three more scans; on demand), std, count, mad, penalty_factor, snr_score. A single-row group has no std and no score."""
     basic = df.groupBy(category).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("count"))
-    median = exact_quantiles(df, [category], value, [0.5], ["median"])
     mad = df.join(basic.select(category, F.col("mean").alias("_mean")), category).groupBy(category).agg(F.avg(F.abs(F.col(value) - F.col("_mean"))).alias("mad"))
-    scored = basic.join(median, category, "left").join(mad, category)
+    scored = basic.join(mad, category)
+    if with_median:
+        scored = scored.join(exact_quantiles(df, [category], value, [0.5], ["median"]), category, "left")
     scored = scored.withColumn("penalty_factor", F.when(F.col("mean") < threshold, _penalty(F.col("mean"), steepness)).otherwise(F.lit(1.0)))
     return scored.withColumn("snr_score", F.col("penalty_factor") / (1 + alpha * F.col("std") + beta * F.col("mad")))
 
@@ -77,7 +78,7 @@ def proportions(df: DataFrame, category: str, low: float = 48, high: float = 150
 def combined_scores(df: DataFrame, category: str, snr_weight: float = 0.33, hr_weight: float = 0.33, frequency_weight: float = 0.33) -> DataFrame:
     """The three tables joined on category and their weighted sum."""
     joined = (
-        snr_scores(df, category).select(category, "snr_score", "mean", "std", "mad")
+        snr_scores(df, category, with_median=False).select(category, "snr_score", "mean", "std", "mad")
         .join(hr_scores(df, category).select(category, "hr_score", "combined_mean", "combined_std", "combined_mad"), category)
         .join(proportions(df, category), category)
     )
