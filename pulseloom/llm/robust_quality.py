@@ -155,8 +155,8 @@ def _last() -> list[tuple[str, str]]:
     ]
 
 
-def estimates(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From statistics with base_failed, lang and source: ``homes(k2, k)`` and one row a group with medians, spreads, centre and factor.
+def estimates(stats: DataFrame) -> DataFrame:
+    """From statistics with base_failed, lang and source: for each language and source (k2) the medians, spreads, centre and factor of its group.
 
     Each step reads the stored vectors again and leaves one stored row a group.
     """
@@ -181,7 +181,8 @@ def estimates(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
             make(name, sql, keep=name[0] == "c")
     for name, sql in _last():
         make(name, sql, keep=name == "final")
-    return at["homes"], stored(at["scale"].join(at["final"], "k"), "estimates")
+    # stored, so that its true size decides whether it is broadcast to the texts or joined by a shuffle
+    return stored(at["homes"].join(at["scale"], "k").join(at["final"], "k").drop("k"), "estimates")
 
 
 _ROWS = f"SELECT p.rid, h.k, {', '.join(f'p.x{i}' for i in range(1, P + 1))} FROM passing p JOIN homes h ON h.k2 = p.k2 WHERE h.k IS NOT NULL"
@@ -192,13 +193,12 @@ def _named(sql: str, name: str) -> str:
     return re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", sql)
 
 
-def judged(stats: DataFrame, homes: DataFrame, found: DataFrame) -> DataFrame:
+def judged(stats: DataFrame, found: DataFrame) -> DataFrame:
     """``stats`` with distance (null where no group is large enough, or the base rule failed) and kept."""
     base = dict(_pooled("stats"))["passing"]
     pair = base[len("SELECT rid, "):base.index(" AS k2")]
-    group = homes.join(found, "k").select(*[c for c in found.columns if c != "k"], "k2")
-    own = [c for c in stats.columns]
-    rows = stats.withColumn("k2", F.expr(pair)).join(group.withColumn("_has", F.lit(True)), "k2", "left")
+    own = stats.columns
+    rows = stats.withColumn("k2", F.expr(pair)).join(found, "k2", "left")
     for i, x in enumerate(VECTOR, 1):
         less = "".join(f" - l{i}{j} * _y{j}" for j in range(1, i))
         rows = rows.withColumn(f"_y{i}", F.expr(f"(({x} - med{i}) / s{i} - m{i}{less}) / l{i}{i}"))
@@ -214,8 +214,7 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, the five statistics, base_failed, distance and kept for every row of ``docs``."""
     stats = with_statistics(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")))
     stats = stored(stats.drop("text").withColumn("rid", F.lit(0)), "statistics")
-    homes, found = estimates(stats)
-    return judged(stats, homes, found).select("doc_id", *STATS, "distance", "kept")
+    return judged(stats, estimates(stats)).select("doc_id", *STATS, "distance", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -223,9 +222,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     slim = with_statistics(docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")))
     stats = stored(slim.drop("text").withColumn("rid", F.lit(0)), "statistics")
-    homes, found = estimates(stats)
+    found = estimates(stats)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    return judged(with_statistics(packed).drop("text"), homes, found).where("kept").select("doc.*")
+    return judged(with_statistics(packed).drop("text"), found).where("kept").select("doc.*")
 
 
 def reference_sql(documents: str = "documents") -> str:

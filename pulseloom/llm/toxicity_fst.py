@@ -188,21 +188,21 @@ def _features(text: str) -> set[str]:
     return found
 
 
-def choose_entries(documents: dict[str, set[int]], toxic: set[int], total: int, least: int) -> list[str]:
-    """Lexicon entries that cover toxic documents and hardly any others.
+def choose_entries(documents: dict[str, int], toxic: int, least: int) -> list[str]:
+    """Lexicon entries that cover toxic documents and hardly any others. Sets of documents are bits of integers.
 
     Greedy: the entry with the most uncovered toxic documents less ten for each clean
     one; among entries within 3 % of the best the most specific (longest) is taken.
     """
-    good = {}
+    good: dict[str, tuple[int, int]] = {}
     for entry, docs in documents.items():
-        hits = len(docs & toxic)
-        if hits >= least and hits >= 0.95 * len(docs):
-            good[entry] = (docs & toxic, 10 * (len(docs) - hits))
-    covered: set[int] = set()
+        hits, total = (docs & toxic).bit_count(), docs.bit_count()
+        if hits >= least and hits >= 0.95 * total:
+            good[entry] = (docs & toxic, 10 * (total - hits))
+    covered = 0
     chosen = []
     while good:
-        gain = {e: len(hits - covered) - cost for e, (hits, cost) in good.items()}
+        gain = {e: (hits & ~covered).bit_count() - cost for e, (hits, cost) in good.items()}
         best = max(gain.values())
         if best < least:
             break
@@ -210,27 +210,29 @@ def choose_entries(documents: dict[str, set[int]], toxic: set[int], total: int,
         chosen.append(entry)
         covered |= good[entry][0]
         del good[entry]
-        good = {e: x for e, x in good.items() if len(x[0] - covered) - x[1] >= least}
+        good = {e: good[e] for e, g in gain.items() if g >= least and e in good}
     # words that the cover didn't need but that are as sure
-    chosen += [e for e, docs in documents.items() if e[0] == "=" and e not in chosen and len(docs) >= 2 * least and len(docs & toxic) == len(docs)]
+    chosen += [e for e, docs in documents.items() if e[0] == "=" and e not in chosen and docs.bit_count() >= 2 * least and docs & toxic == docs]
     return chosen
 
 
-def choose_hints(documents: dict[str, set[int]], toxic: set[int], least: int) -> list[str]:
+def choose_hints(documents: dict[str, int], toxic: int, least: int) -> list[str]:
     """Stems of four letters or more that occur in toxic documents at least as often as in others, by greedy cover (half a document's cost for each clean one)."""
-    good = {}
+    good: dict[str, tuple[int, float]] = {}
     for entry, docs in documents.items():
-        hits = len(docs & toxic)
-        if entry[0] != "=" and len(entry) > 3 and hits >= least and 2 * hits >= len(docs):
-            good[entry] = (docs & toxic, 0.5 * (len(docs) - hits))
-    covered: set[int] = set()
+        hits, total = (docs & toxic).bit_count(), docs.bit_count()
+        if entry[0] != "=" and len(entry) > 3 and hits >= least and 2 * hits >= total:
+            good[entry] = (docs & toxic, 0.5 * (total - hits))
+    covered = 0
     chosen = []
     while good:
-        entry = max(good, key=lambda e: (len(good[e][0] - covered) - good[e][1], -len(e), e))
-        if len(good[entry][0] - covered) - good[entry][1] < least:
+        gain = {e: (hits & ~covered).bit_count() - cost for e, (hits, cost) in good.items()}
+        entry = max(good, key=lambda e: (gain[e], -len(e), e))
+        if gain[entry] < least:
             break
         chosen.append(entry)
         covered |= good.pop(entry)[0]
+        good = {e: x for e, x in good.items() if gain[e] >= least}
     return sorted(chosen)
 
 
@@ -275,8 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = 2000) -> M
     """Lexicon and weights from labelled rows that aren't held out.
 
     Null labels, texts and ids are passed over. At most ``sample_per_class`` rows of each label
-    are used, by the least hash of doc_id; the driver gets counts of entries with enough
-    support and the sample's few pattern counts.
+    are used, by the least hash of doc_id; one worker fits them, and the driver gets the model.
     """
     named = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("y")).dropDuplicates(["doc_id"]).where(~held_out())
     order = F.xxhash64("doc_id")
@@ -285,30 +286,39 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = 2000) -> M
         part = named.where(F.col("y") == y).orderBy(order, "doc_id").limit(sample_per_class)
         sample = part if sample is None else sample.unionByName(part)
     # at most 2 * sample_per_class ids of 12 bytes
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(sample), "doc_id").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(sample), "doc_id")
+    # the bounded sample is one group, fitted by a worker
+    fitted = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "y").groupBy(F.lit(0).alias("g")).applyInPandas(_fit, "words array<string>, stems array<string>, hints array<string>, weights array<double>").first()
+    return Model(list(fitted["words"]), list(fitted["stems"]), list(fitted["weights"]), list(fitted["hints"])) if fitted else Model([], [], PRIOR)
+
+
+def _fit(rows: pd.DataFrame) -> pd.DataFrame:
+    """Entries, hints and weights from the sample's doc_id, text and y, as one row."""
+    rows = rows.sort_values(["doc_id", "text"], kind="stable")
     y = rows["y"].to_numpy(float)
-    if not len(rows) or not y.any() or y.all():
-        return Model([], [], PRIOR)
-    toxic = set(np.flatnonzero(y == 1).tolist())
-    least = max(3, math.ceil(0.01 * len(toxic)))
-    # numbers of toxic documents by hashed feature: a bound that keeps most features out of memory
-    buckets = np.zeros(BUCKETS, np.uint16)
-    for k, text in enumerate(rows["text"]):
-        if k in toxic:
-            buckets[np.array(sorted({hash(f) % BUCKETS for f in _features(text)}), np.int64)] += 1
-    documents: dict[str, set[int]] = {}
-    for k in sorted(range(len(rows)), key=lambda k: k not in toxic):
-        for f in _features(rows["text"].iloc[k]):
-            if f in documents:
-                documents[f].add(k)
-            elif k in toxic and buckets[hash(f) % BUCKETS] >= least:
-                documents[f] = {k}
-    documents = {f: found for f, found in documents.items() if len(found & toxic) >= least}
-    entries = choose_entries(documents, toxic, len(rows), least)
-    model = Model(sorted(e[1:] for e in entries if e[0] == "="), sorted(e for e in entries if e[0] != "="), PRIOR, choose_hints(documents, toxic, least))
-    model.weights = fit_logistic(_inputs(rows["text"], model.compiled()), y).tolist()
-    return model
+    model = Model([], [], PRIOR)
+    if y.any() and not y.all():
+        first = np.argsort(-y, kind="stable").tolist()  # toxic texts come first
+        n_toxic = int(y.sum())
+        toxic = (1 << n_toxic) - 1
+        least = max(3, math.ceil(0.01 * n_toxic))
+        # numbers of toxic documents by hashed feature: a bound that keeps most features out of memory
+        buckets = np.zeros(BUCKETS, np.uint16)
+        for k in first[:n_toxic]:
+            buckets[np.array(sorted({hash(f) % BUCKETS for f in _features(rows["text"].iloc[k])}), np.int64)] += 1
+        documents: dict[str, int] = {}
+        for place, k in enumerate(first):
+            bit = 1 << place
+            for f in _features(rows["text"].iloc[k]):
+                if f in documents:
+                    documents[f] |= bit
+                elif place < n_toxic and buckets[hash(f) % BUCKETS] >= least:
+                    documents[f] = bit
+        documents = {f: found for f, found in documents.items() if (found & toxic).bit_count() >= least}
+        entries = choose_entries(documents, toxic, least)
+        model = Model(sorted(e[1:] for e in entries if e[0] == "="), sorted(e for e in entries if e[0] != "="), PRIOR, choose_hints(documents, toxic, least))
+        model.weights = fit_logistic(_inputs(rows["text"], model.compiled()), y).tolist()
+    return pd.DataFrame({"words": [model.words], "stems": [model.stems], "hints": [model.hints], "weights": [model.weights]})
 
 
 def _inputs(texts: pd.Series, counts: Callable[[str], np.ndarray]) -> np.ndarray:
