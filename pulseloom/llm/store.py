@@ -7,12 +7,15 @@ this module's own (tests, local runs).
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,13 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         app = spark.sparkContext.applicationId
-        found = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="pulseloom-"))
+        if app not in _OWN:
+            own = tempfile.mkdtemp(prefix="pulseloom-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            _OWN[app] = "file://" + own
+        found = _OWN[app]
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this driver has stored in the shared folder; frames and models that read it end with it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
