@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from pulseloom.llm import bpe, feistel_order, kneser_ney, length_histogram, quote_links, robust_quality, rp_forest, sentencepiece_unigram, simhash_trie, tier_packing, toxicity_fst
 from pulseloom.llm.store import stored
@@ -37,8 +37,7 @@ def op5_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All messages in reply order, linked by their quotes; own texts as length and checksum."""
-    rows = quote_links.reply_order(table(spark, sf_dir, "conversations"))
-    return rows.select("conv_id", "turn", "role", "parent_turn", "depth", "place", F.size("links").alias("n_levels"), "n_passages", "n_linked", F.length("own_text").cast("long").alias("own_chars"), F.crc32(F.col("own_text").cast("binary")).alias("own_crc32"))
+    return quote_links.digest(quote_links.reply_order(table(spark, sf_dir, "conversations")))
 
 
 def op7_feistel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +74,6 @@ QUERIES = {
     "op10_length_histogram": op10_length_histogram,
 }
 ORACLE: dict[str, str] = {
+    "op6_quote_links": quote_links.reference_sql(),
     "op2_robust_quality": f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({robust_quality.reference_sql()}) q",
 }

@@ -117,3 +117,31 @@ def reply_order(conversations: DataFrame, least_chars: int = 8) -> DataFrame:
     none = F.array().cast("array<struct<level:int,source_turn:bigint>>")
     shown = facts.select("conv_id", "turn", F.col("parent_turn").cast("long"), F.col("depth").cast("long").alias("depth"), F.col("place").cast("long").alias("place"), F.col("links").cast("array<struct<level:int,source_turn:bigint>>").alias("links"), "n_passages", "n_linked")
     return every.join(shown, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", "parent_turn", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("place", F.lit(0)).alias("place"), F.coalesce("links", none).alias("links"), F.coalesce("n_passages", F.lit(0)).alias("n_passages"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), own.alias("own_text"))
+
+
+def digest(rows: DataFrame) -> DataFrame:
+    """The rows of ``reply_order`` with links and own texts as numbers and a checksum."""
+    return rows.select("conv_id", "turn", "role", "parent_turn", "depth", "place", F.size("links").alias("n_levels"), "n_passages", "n_linked", F.length("own_text").cast("long").alias("own_chars"), F.md5(F.col("own_text").cast("binary")).alias("own_md5"))
+
+
+def reference_sql(conversations: str = "conversations", least_chars: int = 8) -> str:
+    """DuckDB SQL for the rows of ``reply_order`` as numbers of levels and passages and the own text's length and MD5."""
+    marks = MARKS.replace("\\t", "\t")
+    attribution = "(?i)^\\s*(on|am|le|el)\\b.{0,200}\\b(wrote|schrieb|écrit|escribió)\\b[^\n]{0,60}:\\s*$"
+    return f"""WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text FROM {conversations}),
+    l0 AS (SELECT rid, unnest(w) AS line, generate_subscripts(w, 1) AS p FROM (SELECT rid, string_split_regex(text, '\r?\n') AS w FROM m) x),
+    l1 AS (SELECT rid, p, length(regexp_replace(regexp_extract(line, '{marks}'), '[^>]', '', 'g')) AS level, regexp_replace(line, '{marks}', '') AS body FROM l0),
+    l2 AS (SELECT rid, p, body, CASE WHEN level = 0 AND coalesce(lead(level) OVER (PARTITION BY rid ORDER BY p), 0) > 0 AND regexp_matches(body, '{attribution}') THEN -1 ELSE level END AS level FROM l1),
+    t AS (SELECT rid, level, string_agg(body, ' ' ORDER BY p) AS text FROM l2 GROUP BY rid, level),
+    s AS (SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS s FROM (SELECT rid, level, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS x FROM t) u JOIN m USING (rid) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+    k AS (SELECT * FROM s WHERE length(s) >= {least_chars} AND level >= 0),
+    q AS (SELECT a.conv_id, a.turn, a.level, a.s, max(b.turn) AS source FROM k a LEFT JOIN k b ON b.conv_id = a.conv_id AND b.s = a.s AND b.level = 0 AND b.turn < a.turn WHERE a.level > 0 GROUP BY a.conv_id, a.turn, a.level, a.s),
+    v AS (SELECT conv_id, turn, level, source, count(*) AS n FROM q GROUP BY conv_id, turn, level, source),
+    b AS (SELECT conv_id, turn, level, sum(n) AS n_passages, sum(CASE WHEN source IS NOT NULL THEN n ELSE 0 END) AS n_linked, max(CASE WHEN source IS NOT NULL THEN struct_pack(n := n, source := source) END).source AS source FROM v GROUP BY conv_id, turn, level),
+    f AS (SELECT conv_id, turn, count(*) AS n_levels, sum(n_passages) AS n_passages, sum(n_linked) AS n_linked, max(CASE WHEN level = 1 THEN source END) AS quoted FROM b GROUP BY conv_id, turn),
+    o AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM (SELECT DISTINCT conv_id, turn FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL) d),
+    e AS (SELECT o.conv_id, o.turn, place, coalesce(quoted, previous) AS parent_turn, n_levels, n_passages, n_linked FROM o LEFT JOIN f ON f.conv_id = o.conv_id AND f.turn = o.turn),
+    r AS (SELECT conv_id, turn, 0 AS depth FROM e WHERE parent_turn IS NULL UNION ALL SELECT e.conv_id, e.turn, r.depth + 1 FROM e JOIN r ON e.conv_id = r.conv_id AND e.parent_turn = r.turn),
+    w AS (SELECT m.rid, trim(coalesce(string_agg(body, chr(10) ORDER BY p) FILTER (WHERE level = 0), '')) AS own FROM m LEFT JOIN l2 USING (rid) GROUP BY m.rid)
+    SELECT m.conv_id, m.turn, m.role, e.parent_turn::BIGINT AS parent_turn, coalesce(r.depth, 0)::BIGINT AS depth, coalesce(e.place, 0)::BIGINT AS place, coalesce(e.n_levels, 0)::INT AS n_levels, coalesce(e.n_passages, 0)::BIGINT AS n_passages,
+    coalesce(e.n_linked, 0)::BIGINT AS n_linked, length(own)::BIGINT AS own_chars, md5(own) AS own_md5 FROM m JOIN w USING (rid) LEFT JOIN e ON e.conv_id = m.conv_id AND e.turn = m.turn LEFT JOIN r ON r.conv_id = m.conv_id AND r.turn = m.turn"""

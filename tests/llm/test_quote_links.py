@@ -1,5 +1,6 @@
 import re
 
+import duckdb
 import pytest
 
 from pulseloom.llm import quote_links as ql
@@ -98,3 +99,15 @@ def test_long_conversation_with_common_passages(spark, monkeypatch, block):
 
 def test_empty(spark):
     assert ql.reply_order(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_against_duckdb(spark):
+    rows = ROWS + [(8, t, "user", f"Common words for all. Number {t} of many.\n" + (f"> Common words for all.\n>> Number {t - 2} of many.\n" if t % 2 else ""), "x") for t in range(12)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR, depth VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?, ?)", rows)
+    got = ql.digest(ql.reply_order(spark.createDataFrame(rows, SCHEMA)))
+    result = con.execute(ql.reference_sql())
+    names = [c[0] for c in result.description]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted((tuple(r[n] for n in names) for r in got.collect()), key=key) == sorted(result.fetchall(), key=key)
