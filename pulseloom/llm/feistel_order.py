@@ -1,33 +1,37 @@
 """Training order as files: a keyed permutation of sequences, written as fixed-stride shards.
 
 1. Workers encode each input partition as a stream of ids (documents joined by an end
-   id), cut it into sequences of one length, and report how many there are, with a digest of the texts.
-2. Sums over the partitions' counts give every sequence a number in 0..N-1 and the
-   size of the permutation's domain.
-3. A second encoding of the same partitions sends each sequence to its slot,
-   ``permute(number)``: a Feistel network over the next even number of bits, walked
-   along its cycle until it lands below N.
+   id) and cut it into sequences of one length. A share of the partitions stores its
+   sequences in compressed blocks; the others only report how many there are.
+2. Sums over the counts give every sequence a number in 0..N-1 and the size of the
+   permutation's domain.
+3. Sequences, read back or encoded again, are sent to their slots, ``permute(number)``: a
+   Feistel network over the next even number of bits, walked along its cycle until it
+   lands below N.
 4. Slots are dealt to range partitions by arithmetic, sorted, and written: shard k holds
    slots k*per_shard.. in fixed strides, so slot s starts at byte (s % per_shard) * stride.
 
-Encoding twice costs less than storing the ids between the passes. The second pass
-checks each partition's count and digest against the first, so an input that reads
-differently the second time fails instead of writing a wrong order. Files are written
-under a temporary name and renamed: a repeated task writes the same bytes.
+The share that is stored trades disk for computing: all of it saves a second encoding, none
+saves about the input's size on disk. A partition that is encoded again is checked by
+count and digest against the first time, so an input that reads differently fails instead
+of writing a wrong order. Files are written under a temporary name and renamed: a repeated
+task writes the same bytes.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pulseloom.llm import bpe
-from pulseloom.llm.store import fresh_path, local_or_fs
+from pulseloom.llm.store import fresh_path, local_or_fs, stored
 
 END_ID = 50256
 ROUNDS = 6
@@ -96,7 +100,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], vocabulary: str, tokens: int,
         yield np.append(stream, np.full(-size % tokens, end_id, "<u2")).reshape(-1, tokens)
 
 
-def materialise(docs: DataFrame, out_dir: str | None = None, key: int = 42, tokens: int = 1024, per_shard: int | None = None, shards: int | None = None, vocabulary: str = bpe.DEFAULT_VOCABULARY, end_id: int = END_ID) -> DataFrame:
+def materialise(docs: DataFrame, out_dir: str | None = None, key: int = 42, tokens: int = 1024, per_shard: int | None = None, shards: int | None = None, stored_share: float = 0.5, vocabulary: str = bpe.DEFAULT_VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """Write all texts in training order; one row for each sequence.
 
     Returns slot, sequence (its number in input order), shard, byte_offset, n_tokens (of
@@ -108,7 +112,14 @@ def materialise(docs: DataFrame, out_dir: str | None = None, key: int = 42, toke
     """
     spark = docs.sparkSession
     out_dir = out_dir or fresh_path(spark, "shards")
-    texts = docs.select(F.col("text").cast("string").alias("text"))
+    # the partition's own number: a task's differs from it below a union
+    texts = docs.select(F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part"))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> tuple[int | None, Iterator[pa.RecordBatch]]:
+        for batch in batches:
+            if len(batch):
+                return batch.column(1)[0].as_py(), chain([batch], batches)
+        return None, iter(())
 
     def digested(batches: Iterator[pa.RecordBatch], seen: list[int]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,15 +129,27 @@ def materialise(docs: DataFrame, out_dir: str | None = None, key: int = 42, toke
                 seen[0] = zlib.crc32(b"\0" if text.is_valid else b"\1", seen[0])
             yield batch
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, seen = 0, [0]
-        for batch in digested(batches, seen):
-            n += sum(bpe.count(text.as_py() or "", vocabulary) + 1 for text in batch.column(0))
-        if n:
-            n, digest = -(-n // tokens), seen[0]
-            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n], "digest": [digest]}, schema=pa.schema([("part", pa.int64()), ("n", pa.int64()), ("digest", pa.int64())]))
-
-    counts = texts.mapInArrow(count, "part long, n long, digest long").collect()  # one row for each input partition
+    def keeps(part: int) -> bool:
+        return int((part + 1) * stored_share) > int(part * stored_share)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen = 0, [0]
+        part, batches = numbered(batches)
+        if part is None:
+            return
+        texts = digested(batches, seen)
+        row = lambda at, n, digest, ids: pa.RecordBatch.from_arrays([pa.array([part]), pa.array([at]), pa.array([n]), pa.array([digest]), pa.array([ids], pa.binary())], names=["part", "at", "n", "digest", "ids"])
+        if keeps(part):
+            for block in _sequences(texts, vocabulary, tokens, end_id):
+                yield row(at, len(block), 0, zstandard.ZstdCompressor(level=3).compress(block))
+                at += len(block)
+        else:
+            n = sum(bpe.count(text.as_py() or "", vocabulary) + 1 for batch in texts for text in batch.column(0))
+            if n:
+                yield row(0, -(-n // tokens), seen[0], None)
+
+    blocks = stored(texts.mapInArrow(first, "part long, at long, n long, digest long, ids binary"), "sequences")
+    counts = blocks.groupBy("part").agg(F.sum("n").alias("n"), F.max("digest").alias("digest")).collect()  # one row for each input partition
     total = sum(r["n"] for r in counts)
     stride = 2 * tokens
     if per_shard is None:
@@ -137,16 +160,28 @@ def materialise(docs: DataFrame, out_dir: str | None = None, key: int = 42, toke
         bases[r["part"]] = (at, r["n"], r["digest"])
         at += r["n"]
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, n, want = bases.get(TaskContext.get().partitionId(), (0, 0, 0))
+    def placed(block: np.ndarray, number: int) -> pa.RecordBatch:
+        numbers = np.arange(number, number + len(block), dtype=np.int64)
+        slots = permute(numbers, total, key)
+        return pa.RecordBatch.from_arrays([pa.array(slots // per_shard, pa.int32()), pa.array(slots), pa.array(numbers), pa.array([x.tobytes() for x in block], pa.binary())], names=["shard", "slot", "sequence", "ids"])
+
+    def from_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, at, ids in zip(*batch.columns):
+                block = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids.as_buffer()), "<u2").reshape(-1, tokens)
+                yield placed(block, bases[part.as_py()][0] + at.as_py())
+
+    def from_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, batches = numbered(batches)
+        if part is None or keeps(part):
+            return
+        base, n, want = bases.get(part, (0, 0, 0))
         done, seen = 0, [0]
         for block in _sequences(digested(batches, seen), vocabulary, tokens, end_id):
-            numbers = np.arange(base + done, base + done + len(block), dtype=np.int64)
-            done += len(block)
-            if done > n:
+            if done + len(block) > n:
                 break
-            slots = permute(numbers, total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard, pa.int32()), pa.array(slots), pa.array(numbers), pa.array([x.tobytes() for x in block], pa.binary())], names=["shard", "slot", "sequence", "ids"])
+            yield placed(block, base + done)
+            done += len(block)
         if (done, seen[0]) != (n, want):
             raise RuntimeError("an input partition read differently the second time; store the documents first")
 
@@ -173,9 +208,10 @@ def materialise(docs: DataFrame, out_dir: str | None = None, key: int = 42, toke
         if sink is not None:
             system.move(temporary, target)
 
-    placed = texts.mapInArrow(place, "shard int, slot long, sequence long, ids binary")
+    schema = "shard int, slot long, sequence long, ids binary"
+    sent = blocks.where("ids IS NOT NULL").select("part", "at", "ids").mapInArrow(from_blocks, schema).unionByName(texts.mapInArrow(from_texts, schema))
     # one shard a partition; Spark sorts each on disk where it must
-    ranged = placed.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("slot")
+    ranged = sent.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("slot")
     return ranged.mapInArrow(write, "slot long, sequence long, shard int, byte_offset long, n_tokens int, ids_crc32 long")
 
 

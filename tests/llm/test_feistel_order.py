@@ -41,5 +41,9 @@ def test_empty_and_many_partitions(spark, tmp_path):
     assert fo.materialise(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     docs = spark.range(300).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), cast(id % 50 AS int)) AS text").repartition(5)
     docs = docs.sort("doc_id")
-    rows = fo.materialise(docs, f"{tmp_path}/s", tokens=32, shards=3).collect()
-    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    found = set()
+    for share in (0.0, 0.5, 1.0):
+        rows = fo.materialise(docs, f"{tmp_path}/s{share}", tokens=32, shards=3, stored_share=share).collect()
+        assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+        found.add(tuple(sorted((r["slot"], r["sequence"], r["ids_crc32"]) for r in rows)))
+    assert len(found) == 1
