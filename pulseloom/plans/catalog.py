@@ -575,9 +575,19 @@ def face_boxes(spark, sf_dir):
     s AS (SELECT k, min(struct_pack(y := y.range, x := x.range)) AS s FROM b, range(10, 240 - 10 - 64 + 1) y, range(10, 320 - 10 - 64 + 1) x WHERE (k % 37 = 0) AND NOT (x.range < fx + fw AND x.range + 64 > fx AND y.range < fy + fh AND y.range + 64 > fy) GROUP BY k)
     SELECT k, s.x::BIGINT AS bx, s.y::BIGINT AS by FROM b LEFT JOIN s USING (k) WHERE k % 37 = 0""")
 def background_boxes(spark, sf_dir):
-    """Where a background square fits beside a face (one order in 37 stands for a frame)."""
+    """Where a background square fits beside a face, for the one order in 37 that the SQL's scan of all places compares."""
+    return _background_boxes(table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 37 == 0))
+
+
+@query()
+def background_boxes_all(spark, sf_dir):
+    """Where a background square fits beside a face, for every order."""
+    return _background_boxes(table(spark, sf_dir, "orders"))
+
+
+def _background_boxes(orders: DataFrame) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    rows = table(spark, sf_dir, "orders").where(k % 37 == 0).select(k.alias("k"), F.lit(320).alias("width"), F.lit(240).alias("height"), (k % 200).alias("fx"), (c % 150).alias("fy"), (40 + k % 90).alias("fw"), (40 + c % 90).alias("fh"))
+    rows = orders.select(k.alias("k"), F.lit(320).alias("width"), F.lit(240).alias("height"), (k % 200).alias("fx"), (c % 150).alias("fy"), (40 + k % 90).alias("fw"), (40 + c % 90).alias("fh"))
     return geometry.background_box(rows, 64).select("k", F.col("bx").cast("long").alias("bx"), F.col("by").cast("long").alias("by"))
 
 
