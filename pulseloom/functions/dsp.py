@@ -17,6 +17,7 @@ EPS = 1e-8
 # Names of the filters, in their order; each also with _wt, _ht and _hht.
 FILTER_BASES = ("bandstop", "bandpass", "cheby2_bandpass", "cheby2_bandstop", "fft_bandpass", "fft_bandstop")
 FILTERS = tuple(base + end for base in FILTER_BASES for end in ("", "_wt", "_ht", "_hht"))
+WAVELETS = ("haar", *(f"db{n}" for n in range(1, 21)), "bior3.1", "rbio3.1")
 
 
 def zscore(x: np.ndarray) -> np.ndarray:

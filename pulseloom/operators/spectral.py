@@ -124,7 +124,7 @@ def post_process(df: DataFrame, signal: str = "signal", method: str = "fft_bands
     return rows.withColumn("snr", signal_to_noise("filtered", "detrended", snr_method))
 
 
-def sweep_grid(spark: SparkSession, samples: int, wavelets: Sequence[str] = ("haar", "db2", "db4", "rbio3.1"), orders: Sequence[int] = (2, 3, 4, 5, 6), methods: Sequence[str] = dsp.FILTERS) -> DataFrame:
+def sweep_grid(spark: SparkSession, samples: int, wavelets: Sequence[str] = dsp.WAVELETS, orders: Sequence[int] = (2, 3, 4, 5, 6), methods: Sequence[str] = dsp.FILTERS) -> DataFrame:
     """Every task of a sweep: filter, filter_order, wavelet, wavelet_level ('None' and 0 where no wavelet is used)."""
     deep = [(w, level) for w in wavelets for level in range(1, dsp.max_level(samples, w) + 1)]
     rows = [(m, o, w, level) for o in orders for m in methods for w, level in (deep if m.endswith("_wt") else [("None", 0)])]

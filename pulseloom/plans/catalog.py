@@ -283,17 +283,14 @@ def detrended(spark, sf_dir):
 
 @query()
 def filter_bank(spark, sf_dir):
-    """All 24 filters with SNR and rate."""
-    signals = view(spark, sf_dir, "v_signals")
-    grid = spectral.sweep_grid(spark, 64, wavelets=("rbio3.1",), orders=(2,)).where("wavelet_level < 2")
-    return spectral.sweep(signals, grid, ["sample_id"])
+    """SNR and rate under every task of the full grid."""
+    return spectral.sweep(view(spark, sf_dir, "v_signals"), spectral.sweep_grid(spark, 64), ["sample_id"])
 
 
 @query()
 def parameter_sweep(spark, sf_dir):
-    """Wavelet filters by wavelet, level and order, and the best for each signal."""
-    grid = spectral.sweep_grid(spark, 64, wavelets=("haar", "db2", "rbio3.1"), orders=(2, 3), methods=("bandpass", "fft_bandpass_wt", "cheby2_bandstop"))
-    rows = spectral.sweep(view(spark, sf_dir, "v_signals"), grid, ["sample_id"])
+    """All filters by order, wavelet and level, and the best for each signal."""
+    rows = spectral.sweep(view(spark, sf_dir, "v_signals"), spectral.sweep_grid(spark, 64), ["sample_id"])
     fitting = rows.where(scoring.in_range() & (F.col("snr") != 1000))
     rest = F.struct("filter", "filter_order", "wavelet", "wavelet_level", "snr", "heart_rate")
     return fitting.groupBy("sample_id").agg(F.min_by(rest, F.struct(-F.col("snr"), "filter", "filter_order", "wavelet", "wavelet_level")).alias("b")).select("sample_id", "b.*")

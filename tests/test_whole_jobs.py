@@ -2,7 +2,9 @@
 
 import duckdb
 import numpy as np
+import pytest
 
+from pulseloom.functions import dsp
 from pulseloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +22,32 @@ def test_background_boxes_of_all_orders(spark):
     got = catalog.QUERIES["background_boxes_all"](spark, SF).collect()
     assert len(got) == len(orders)
     assert {r["k"]: (r["bx"], r["by"]) for r in got} == want
+
+
+def test_sweep_of_the_full_grid(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    signals = {k: rng.normal(size=64) + np.sin(np.arange(64) * (0.2 + 0.1 * k)) for k in range(3)}
+    rows = [(k, [float(v) for v in x], k) for k, x in signals.items()]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {}
+    for k, x in signals.items():
+        z = dsp.zscore(x.astype(np.float32).astype(float)[None])
+        for method in dsp.FILTERS:
+            for order in (2, 3, 4, 5, 6):
+                tasks = [("None", 0)]
+                if method.endswith("_wt"):
+                    tasks = [(w, level) for w in ("haar", *[f"db{n}" for n in range(1, 21)], "bior3.1", "rbio3.1") for level in range(1, dsp.max_level(64, w) + 1)]
+                for name, level in tasks:
+                    y, rate = dsp.apply_filter(z, method, 30.0, order, **({"name": name, "level": level} if level else {}))
+                    want[k, method, order, name, level] = (float(dsp.snr(y, z)[0]), float(rate[0]))
+    names = ("sample_id", "filter", "filter_order", "wavelet", "wavelet_level")
+    got = {tuple(r[n] for n in names): (r["snr"], r["heart_rate"]) for r in catalog.QUERIES["filter_bank"](spark, str(tmp_path)).collect()}
+    assert len(want) == 3 * 1470 and set(got) == set(want)
+    for task, values in want.items():
+        assert got[task] == pytest.approx(values, rel=1e-6, abs=1e-6, nan_ok=True)
+    fitting = {t: v[0] for t, v in want.items() if 48 <= v[1] <= 150 and v[0] != 1000}
+    best = {k: max(v for t, v in fitting.items() if t[0] == k) for k in {t[0] for t in fitting}}
+    chosen = catalog.QUERIES["parameter_sweep"](spark, str(tmp_path)).collect()
+    assert {r["sample_id"] for r in chosen} == set(best)
+    for r in chosen:
+        assert r["snr"] == pytest.approx(best[r["sample_id"]]) == fitting[tuple(r[n] for n in names)]
