@@ -393,7 +393,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 3) -> DataFrame:
     """doc_id, held_out and the columns of ``score_texts`` for every row of ``docs``.
 
     Rows that are held out aren't learned from. A null id is not held out; a null text is

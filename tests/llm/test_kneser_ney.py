@@ -82,3 +82,16 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(i, "a") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
     rows = kn.score_documents(one).collect()
     assert rows and all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] == 0 and r["held_out"] for r in rows)
+
+
+def test_query_scores_by_longer_contexts(spark, tmp_path):
+    from pulseloom.llm import queries
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "e"], 12)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    _, prob = brute_model([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2], 3)
+    for r in queries.op4_kneser_ney(spark, str(tmp_path)).collect():
+        seq = ["<", "<", *texts[r["doc_id"]].encode().split(), ">"]
+        assert r["score"] == pytest.approx(sum(math.log10(prob(seq[:i], seq[i])) for i in range(2, len(seq))), rel=1e-9)
