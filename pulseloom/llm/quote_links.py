@@ -16,6 +16,8 @@ pointer doubling over the messages that quote, in logarithmically many rounds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseloom.llm.store import stored
@@ -26,10 +28,10 @@ ATTRIBUTION = r"(?i)^\s*(on|am|le|el)\b.{0,200}\b(wrote|schrieb|écrit|escribió
 
 
 def split_lines(text: str) -> Column:
-    """Lines as ``array<struct<level:int, body:string>>``; an attribution line right before a quote has level -1."""
+    """Lines as ``array<struct<level:int, body:string>>``; an attribution line right before a deeper level has level -1."""
     lines = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"\r?\n")
     made = F.transform(lines, lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), "[^>]", "")).alias("level"), F.regexp_replace(x, MARKS, "").alias("body")))
-    return F.transform(F.array(made), lambda all_: F.transform(all_, lambda x, i: F.when((x["level"] == 0) & (F.coalesce(F.get(all_, i + 1)["level"], F.lit(0)) > 0) & x["body"].rlike(ATTRIBUTION), F.struct(F.lit(-1).alias("level"), x["body"].alias("body"))).otherwise(x)))[0]
+    return F.transform(F.array(made), lambda all_: F.transform(all_, lambda x, i: F.when((F.coalesce(F.get(all_, i + 1)["level"], F.lit(0)) > x["level"]) & x["body"].rlike(ATTRIBUTION), F.struct(F.lit(-1).alias("level"), x["body"].alias("body"))).otherwise(x)))[0]
 
 
 def passages(lines: Column, level: Column, least_chars: int) -> Column:
@@ -39,6 +41,12 @@ def passages(lines: Column, level: Column, least_chars: int) -> Column:
     return F.array_distinct(F.transform(F.filter(normal, lambda s: F.length(s) >= least_chars), lambda s: F.xxhash64(s)))
 
 
+def whole_lines(lines: Column, level: Column, least_chars: int) -> Column:
+    """Distinct hashes of the lines of one level."""
+    bodies = F.transform(F.filter(lines, lambda x: x["level"] == level), lambda x: F.trim(F.regexp_replace(F.lower(x["body"]), r"[^\p{L}\p{N}]+", " ")))
+    return F.array_distinct(F.transform(F.filter(bodies, lambda s: F.length(s) >= least_chars), lambda s: F.xxhash64(s)))
+
+
 def running(rows: DataFrame, keys: list[str], total: Column, before: Column, name: str) -> DataFrame:
     """``rows`` (with turn and block) and a running aggregate over earlier blocks combined with one in the block.
 
@@ -50,24 +58,35 @@ def running(rows: DataFrame, keys: list[str], total: Column, before: Column, nam
     return rows.join(blocks.select(*keys, "block", before.over(earlier).alias(name)), [*keys, "block"])
 
 
-def link_quotes(messages: DataFrame, least_chars: int = 8) -> DataFrame:
-    """``(conv_id, turn, lines)`` to one row for each quoted level of a message: level, n_passages, n_linked, source_turn (null if none is found)."""
-    own = messages.select("conv_id", "turn", F.explode(passages(F.col("lines"), F.lit(0), least_chars)).alias("h"), F.lit(0).alias("level")).distinct()
+def _votes(messages: DataFrame, hashes: Callable[[Column, Column, int], Column], least_chars: int) -> DataFrame:
+    """Quoted hashes of each level of a message by the latest earlier message that holds them: (conv_id, turn, level, source, n)."""
+    own = messages.select("conv_id", "turn", F.explode(hashes(F.col("lines"), F.lit(0), least_chars)).alias("h"), F.lit(0).alias("level")).distinct()
     levels = F.array_distinct(F.filter(F.transform("lines", lambda x: x["level"]), lambda x: x > 0))
     quoted = messages.select("conv_id", "turn", "lines", F.explode(levels).alias("level"))
-    quoted = quoted.select("conv_id", "turn", F.explode(passages(F.col("lines"), F.col("level"), least_chars)).alias("h"), "level").distinct()
+    quoted = quoted.select("conv_id", "turn", F.explode(hashes(F.col("lines"), F.col("level"), least_chars)).alias("h"), "level").distinct()
     wanted = quoted.select("conv_id", "h").distinct()
     both = own.join(wanted, ["conv_id", "h"], "left_semi").unionByName(quoted).withColumn("block", F.floor(F.col("turn") / BLOCK))
     held = F.when(F.col("level") == 0, F.col("turn"))
     both = running(both, ["conv_id", "h"], F.max(held), F.max("_t"), "_early")
     inside = Window.partitionBy("conv_id", "h", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("source", F.greatest(F.max(held).over(inside), F.col("_early"))).where("level > 0")
-    votes = found.groupBy("conv_id", "turn", "level", "source").agg(F.count("*").alias("n"))
+    return found.groupBy("conv_id", "turn", "level", "source").agg(F.count("*").alias("n"))
+
+
+def link_quotes(messages: DataFrame, least_chars: int = 1) -> DataFrame:
+    """``(conv_id, turn, lines)`` to one row for each quoted level of a message: level, n_passages, n_linked, source_turn (null if none is found).
+
+    Passages are sentences; a level none of whose sentences is found takes the source of its whole lines.
+    """
+    key = ["conv_id", "turn", "level"]
     best = F.max(F.when(F.col("source").isNotNull(), F.struct("n", "source")))["source"]
-    return votes.groupBy("conv_id", "turn", "level").agg(F.sum("n").alias("n_passages"), F.sum(F.when(F.col("source").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked"), best.alias("source_turn"))
+    lines = _votes(messages, whole_lines, least_chars).groupBy(*key).agg(best.alias("of_lines"))
+    linked = F.sum(F.when(F.col("source").isNotNull(), F.col("n")).otherwise(0))
+    sentences = _votes(messages, passages, least_chars).groupBy(*key).agg(F.sum("n").alias("n_passages"), linked.alias("n_linked"), best.alias("of_sentences"))
+    return sentences.join(lines, key, "left").select(*key, "n_passages", "n_linked", F.coalesce("of_sentences", "of_lines").alias("source_turn"))
 
 
-def reply_order(conversations: DataFrame, least_chars: int = 8) -> DataFrame:
+def reply_order(conversations: DataFrame, least_chars: int = 1) -> DataFrame:
     """One row for each message, with its own text and its place in the replies.
 
     conv_id, turn, role; parent_turn (the message replied to; null for a conversation's

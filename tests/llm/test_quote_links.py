@@ -111,3 +111,18 @@ def test_against_duckdb(spark):
     names = [c[0] for c in result.description]
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted((tuple(r[n] for n in names) for r in got.collect()), key=key) == sorted(result.fetchall(), key=key)
+
+
+def test_nested_attributions_short_sentences_and_lines_link(spark):
+    rows = [
+        (1, 0, "user", "Shall we?", "x"),
+        (1, 1, "user", "Yes.", "x"),
+        (1, 2, "user", "Here is my list\n- first thing\n- second thing", "x"),
+        (1, 3, "user", "> Yes.\nGood to know.", "x"),
+        (1, 4, "user", "> - second thing\nNot that one.", "x"),
+        (1, 5, "user", "On Monday A wrote:\n> On Monday B wrote:\n>> Yes.\n> Good to know.\nSo it is.", "x"),
+    ]
+    got = {r["turn"]: r for r in ql.reply_order(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {t: r["parent_turn"] for t, r in got.items()} == {0: None, 1: 0, 2: 1, 3: 1, 4: 2, 5: 3}
+    assert [tuple(x) for x in got[5]["links"]] == [(1, 3), (2, 1)] and got[5]["own_text"] == "So it is."
+    assert (got[5]["n_passages"], got[5]["n_linked"]) == (2, 2)
