@@ -123,7 +123,8 @@ def forest_components(vectors: DataFrame, threshold: float = 0.93, trees: int =
 
     Pairs of one label with cosine >= ``threshold`` that meet in some leaf are linked. Rows
     with a null label, or a vector that is null, empty, zero or holds null or non-finite
-    components, link with nothing; so do vectors of another length than their label's most common one. Repeated
+    components, link with nothing. Vectors of one label but of different lengths don't link: each (label, length) has
+    a forest of its own. Repeated
     rows of one vec_id are vectors of their own. Other columns are ignored. The sample has at most
     ``sample_rows`` rows a label (least hash); leaves of larger tables grow, and are tiled.
     """
@@ -131,11 +132,12 @@ def forest_components(vectors: DataFrame, threshold: float = 0.93, trees: int =
     every = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("string").alias("label"))
     finite = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
-    every = stored(every.withColumn("ok", F.coalesce(usable, F.lit(False))), "vectors")
+    sized = F.concat_ws(":", F.size("embedding"), "label")  # from here a label means one label and length
+    every = stored(every.withColumns({"ok": F.coalesce(usable, F.lit(False)), "label": F.when(usable, sized)}), "vectors")
     good = every.where("ok").select("vec_id", "embedding", "label")  # Spark groups and joins -0 as 0
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = stored(classes.withColumn("size", F.size("embedding")), "classes")
-    found = {r["label"]: r for r in classes.groupBy("label").agg(F.count("*").alias("n"), F.mode("size", True).alias("most")).collect()}  # one row a label
+    found = {r["label"]: r for r in classes.groupBy("label").agg(F.count("*").alias("n"), F.mode("size", True).alias("most")).collect()}  # one row a label and length
     fitted = {}
     hashed = F.xxhash64("rep", F.lit(seed))
     rate = {k: min(1.0, 1.2 * sample_rows / max(r["n"], 1)) for k, r in found.items()}

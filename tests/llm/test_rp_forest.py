@@ -75,3 +75,14 @@ def test_empty_and_unusable(spark):
     rows = [(1, None, 1, "x"), (1, None, 1, "x"), (2, [0.0], None, "x")]
     got = rf.forest_components(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == [(1, 0, 1, True), (1, 0, 1, True), (2, 0, 2, True)]
+
+
+def test_every_length_of_a_label_links(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.standard_normal(16).tolist(), 1, "x") for k in range(40)]
+    for k in range(12):
+        v = rng.standard_normal(8)
+        rows += [(100 + 2 * k, v.tolist(), 1, "x"), (101 + 2 * k, (v + rng.standard_normal(8) * 0.01).tolist(), 1, "x")]
+    got = {r["vec_id"]: r for r in rf.forest_components(spark.createDataFrame(rows, SCHEMA), leaf_rows=1000).collect()}
+    for k in range(12):
+        assert got[101 + 2 * k]["n_links"] >= 1 and got[100 + 2 * k]["component_id"] == got[101 + 2 * k]["component_id"]
