@@ -1,9 +1,19 @@
 """Quality rules by robust multivariate outliers, in DataFrame and SQL operations only.
 
 Five statistics of a text are transformed to a vector. For each language and source
-a minimum-covariance-determinant estimate (centre and covariance of the three
-quarters of the rows that lie closest together) is found by concentration steps, and
-rows with a large Mahalanobis distance from it are rejected.
+the minimum-covariance-determinant estimate is sought: the centre and covariance of the
+three quarters of the rows whose covariance has the least determinant.
+
+1. Six starts, each a robust first estimate from sums: medians with spreads, bounded scores
+   (tanh), spatial signs, rows weighted by nearness, and the lower and upper half by length.
+2. Two concentration steps from each start: distances from the estimate, the closest three
+   quarters, their estimate.
+3. The start whose determinant is least goes on until no group's determinant changes.
+4. Rows within the 97.5 % distance give the final, reweighted estimate. Rows beyond the
+   chi-squared point ``REJECT`` are rejected.
+
+A statistic's spread, given those before it, is never taken as less than its floor in
+``FLOORS``: counts that are zero in nearly every text would otherwise have no variance.
 
 Everything but the statistics is SQL that also runs elsewhere: see ``reference_sql``.
 No step needs the rows of a group together. Medians and the cut at three quarters are
@@ -13,8 +23,9 @@ source is pre-aggregated like any other and estimates are one small row a group.
 Defined cases: a null text has no words and fails the base rule. Null languages and
 sources are groups of their own. Groups with fewer than ``least`` passing rows are
 pooled by language, then all together; if even that pool is smaller, its rows are
-kept. Repeated rows count each. Rows tied at a cut are all inside. An empty table
-gives an empty result. Columns other than text, lang and source are carried along.
+kept. Repeated rows count each. Rows tied at a cut (in one bin of log distance, 1.6 % wide) are
+all inside. An empty table gives an empty result. Columns other than text, lang and source
+are carried along.
 """
 
 from __future__ import annotations
@@ -29,16 +40,21 @@ from pulseloom.llm.store import stored
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 P = 5
-STEPS = 4
-LEAST = 100
+#: Steps from every start, and at most from the best of them.
+FIRST, MOST = 2, 10
+STARTS = 6
+#: Five rows for each statistic.
+LEAST = 25
 SHARE = 0.75
-#: Chi-squared with five degrees of freedom: consistency factor of the three-quarter subset, 97.5 % point.
-CONSISTENCY = "1.41e0"
+#: Chi-squared with five degrees of freedom: its 97.5 % point, and the factors that make the covariances
+#: of the rows within the 75 % and the 97.5 % point consistent.
 REWEIGHT = 12.83
-#: Squared robust distance beyond which a row is rejected.
-REJECT = 50.0
+CONSISTENCY = "1.412e0"
+REWEIGHTED = "1.055e0"
+#: Chi-squared point (five degrees, one in 10**9) beyond which a squared distance is rejected.
+REJECT = 50.7
 #: Least spread of each transformed statistic: below it, differences don't matter.
-FLOORS = (0.5, 0.05, 0.5, 0.75, 0.75)
+FLOORS = (0.25, 0.04, 0.5, 0.75, 0.5)
 
 #: The transformed vector; n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words are columns.
 VECTOR = (
@@ -74,22 +90,23 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn(d, F.expr(f"array_sort(transform(filter({s}, (x, i) -> x.h = get({s}, i - 1).h OR x.h = get({s}, i + 1).h), x -> x.p))"))
     # a window adds the words that the one before it didn't cover
     rows = rows.withColumn("n_repeat_words", F.expr(f"coalesce(aggregate({d}, struct(-3 AS last, 0L AS n), (a, p) -> struct(p AS last, a.n + least(3, p - a.last) AS n), a -> a.n), 0L)"))
-    # not deterministic, so that no filter is pushed below: it would repeat the array work in its condition
-    rows = rows.withColumn("base_failed", F.expr(f"{BASE_FAILED} AND monotonically_increasing_id() >= 0"))
-    return rows.drop(t, w, h, g, s, d)
+    return rows.withColumn("base_failed", F.expr(BASE_FAILED)).drop(t, w, h, g, s, d)
+
+
+#: Name of a row's language and source.
+_PAIR = "concat('2|', coalesce(lang, '-'), '|', coalesce(source, '-'), CASE WHEN lang IS NULL THEN '|L' ELSE '' END, CASE WHEN source IS NULL THEN '|S' ELSE '' END)"
 
 
-def _pooled(stats: str) -> list[tuple[str, str]]:
+def _pooled(stats: str, least: int) -> list[tuple[str, str]]:
     """Relations that give each passing row its group and vector. A group's name shows its level."""
     vector = ", ".join(f"{x} AS x{i}" for i, x in enumerate(VECTOR, 1))
-    pair = "concat('2|', coalesce(lang, '-'), '|', coalesce(source, '-'), CASE WHEN lang IS NULL THEN '|L' ELSE '' END, CASE WHEN source IS NULL THEN '|S' ELSE '' END)"
     one = "concat('1|', coalesce(lang, '-'), CASE WHEN lang IS NULL THEN '|L' ELSE '' END)"
     return [
-        ("passing", f"SELECT rid, {pair} AS k2, {one} AS k1, {vector} FROM {stats} WHERE NOT base_failed"),
+        ("passing", f"SELECT rid, {_PAIR} AS k2, {one} AS k1, {vector} FROM {stats} WHERE NOT base_failed"),
         ("n2", "SELECT k2, k1, count(*) AS n FROM passing GROUP BY k2, k1"),
-        ("m1", f"SELECT k1, sum(n) AS n FROM n2 WHERE n < {LEAST} GROUP BY k1"),
-        ("m0", f"SELECT sum(n) AS n FROM m1 WHERE n < {LEAST}"),
-        ("homes", f"SELECT a.k2, CASE WHEN a.n >= {LEAST} THEN a.k2 WHEN b.n >= {LEAST} THEN a.k1 WHEN c.n >= {LEAST} THEN '0' END AS k FROM n2 a LEFT JOIN m1 b ON b.k1 = a.k1 CROSS JOIN m0 c"),
+        ("m1", f"SELECT k1, sum(n) AS n FROM n2 WHERE n < {least} GROUP BY k1"),
+        ("m0", f"SELECT sum(n) AS n FROM m1 WHERE n < {least}"),
+        ("homes", f"SELECT a.k2, CASE WHEN a.n >= {least} THEN a.k2 WHEN b.n >= {least} THEN a.k1 WHEN c.n >= {least} THEN '0' END AS k FROM n2 a LEFT JOIN m1 b ON b.k1 = a.k1 CROSS JOIN m0 c"),
     ]
 
 
@@ -108,81 +125,112 @@ def _medians() -> list[tuple[str, str]]:
     ]
 
 
-def _distance(source: str, centre: str) -> str:
-    """A row's squared distance from its group's centre and triangular factor, as d2."""
+def _distance(centre: str) -> str:
+    """Each row's squared distance from its group's centre and triangular factor, as d2, for every start that ``centre`` holds."""
     ys = []
     for i in range(1, P + 1):
         less = "".join(f" - l{i}{j} * y{j}" for j in range(1, i))
         ys.append(f"(z{i} - m{i}{less}) / l{i}{i} AS y{i}")
     total = " + ".join(f"y{i} * y{i}" for i in range(1, P + 1))
-    zs = ", ".join(f"z{i}" for i in range(1, P + 1))
-    return f"SELECT rid, k, {zs}, {total} AS d2 FROM (SELECT r.rid, r.k, {zs}, {', '.join(ys)} FROM {source} r JOIN {centre} c ON c.k = r.k) y"
+    return f"SELECT rid, k, s, {ZS}, {total} AS d2 FROM (SELECT r.rid, r.k, c.s, {ZS}, {', '.join(ys)} FROM zs r JOIN {centre} c ON c.k = r.k) y"
+
+
+ZS = ", ".join(f"z{i}" for i in range(1, P + 1))
 
 
 def _estimate(source: str, factor: str) -> str:
-    """Centre and triangular factor of the rows of a relation with k and z1.., covariances scaled by ``factor`` and kept from vanishing."""
-    sums = ", ".join([f"avg(z{i}) AS m{i}" for i in range(1, P + 1)] + [f"avg(z{i} * z{j}) AS q{i}{j}" for i in range(1, P + 1) for j in range(1, i + 1)])
+    """Centre, triangular factor and log determinant of the rows (k, s, weight w, z1..) of a relation; covariances scaled by ``factor``, spreads kept at their floors."""
+    sums = ", ".join([f"sum(w * z{i}) / sum(w) AS m{i}" for i in range(1, P + 1)] + [f"sum(w * z{i} * z{j}) / sum(w) AS q{i}{j}" for i in range(1, P + 1) for j in range(1, i + 1)])
     steps = []
     for j in range(1, P + 1):
         for i in range(j, P + 1):
-            c = f"({factor} * (q{i}{j} - m{i} * m{j}){' + 1e0' if i == j else ''})"
+            c = f"{factor} * (q{i}{j} - m{i} * m{j})"
             less = "".join(f" - l{i}{k} * l{j}{k}" for k in range(1, j))
-            steps.append(f"sqrt(greatest({c}{less}, 0.01e0)) AS l{i}{i}" if i == j else f"({c}{less}) / l{j}{j} AS l{i}{j}")
-    return f"SELECT k, {', '.join(f'm{i}' for i in range(1, P + 1))}, {', '.join(steps)} FROM (SELECT k, {sums} FROM {source} GROUP BY k) q"
+            steps.append(f"sqrt(greatest({c}{less}, f{i})) AS l{i}{i}" if i == j else f"({c}{less}) / l{j}{j} AS l{i}{j}")
+    lines = ", ".join(f"l{i}{j}" for i in range(1, P + 1) for j in range(1, i + 1))
+    means = ", ".join(f"m{i}" for i in range(1, P + 1))
+    determinant = " + ".join(f"2e0 * ln(l{i}{i})" for i in range(1, P + 1))
+    floors = ", ".join(f"{x}e0 * {x}e0 / (g.s{i} * g.s{i}) AS f{i}" for i, x in enumerate(FLOORS, 1))
+    return f"SELECT k, s, {means}, {lines}, {determinant} AS ld FROM (SELECT k, s, {means}, {', '.join(steps)} FROM (SELECT q.*, {floors} FROM (SELECT k, s, {sums} FROM {source} GROUP BY k, s) q JOIN scale g ON g.k = q.k) f) e"
 
 
-def _subset(step: int) -> list[tuple[str, str]]:
+def _step(step: int, centre: str) -> list[tuple[str, str]]:
     """One concentration step: the closest three quarters of each group (whole bins of log distance), and their estimate."""
     return [
-        (f"d{step}", f"SELECT *, CAST(floor(32 * ln(0.0001e0 + d2)) AS BIGINT) AS b FROM ({_distance('zs', f'c{step}')}) d"),
-        (f"b{step}", f"SELECT k, b, sum(n) OVER (PARTITION BY k ORDER BY b) AS upto, sum(n) OVER (PARTITION BY k) AS total FROM (SELECT k, b, count(*) AS n FROM d{step} GROUP BY k, b) h"),
-        (f"t{step}", f"SELECT k, min(b) AS cut FROM b{step} WHERE upto >= {SHARE} * total GROUP BY k"),
-        (f"c{step + 1}", _estimate(f"(SELECT d.* FROM d{step} d JOIN t{step} t ON t.k = d.k WHERE d.b <= t.cut) i", CONSISTENCY)),
+        (f"d{step}", f"SELECT *, CAST(floor(64 * ln(0.0001e0 + d2)) AS BIGINT) AS b FROM ({_distance(centre)}) d"),
+        (f"b{step}", f"SELECT k, s, b, sum(n) OVER (PARTITION BY k, s ORDER BY b) AS upto, sum(n) OVER (PARTITION BY k, s) AS total FROM (SELECT k, s, b, count(*) AS n FROM d{step} GROUP BY k, s, b) h"),
+        (f"t{step}", f"SELECT k, s, min(b) AS cut FROM b{step} WHERE upto >= {SHARE} * total GROUP BY k, s"),
+        (f"c{step + 1}", _estimate(f"(SELECT d.*, 1e0 AS w FROM d{step} d JOIN t{step} t ON t.k = d.k AND t.s = d.s WHERE d.b <= t.cut) i", CONSISTENCY)),
     ]
 
 
-def _standard() -> list[tuple[str, str]]:
+def _starts() -> list[tuple[str, str]]:
+    """Scaled rows, and the first estimates of all starts (c0)."""
     zs = ", ".join(f"(r.x{i} - s.med{i}) / s.s{i} AS z{i}" for i in range(1, P + 1))
-    first = ", ".join([f"0e0 AS m{i}" for i in range(1, P + 1)] + [f"{'1e0' if i == j else '0e0'} AS l{i}{j}" for i in range(1, P + 1) for j in range(1, i + 1)])
-    return [("zs", f"SELECT r.rid, r.k, {zs} FROM rows0 r JOIN scale s ON s.k = r.k"), ("c0", f"SELECT k, {first} FROM scale")]
+    square = " + ".join(f"z{i} * z{i}" for i in range(1, P + 1))
+    weighted = [
+        (1, "1e0", "1e0 - 2e0 / (1e0 + exp(least(2e0 * z{i}, 60e0)))"),
+        (2, "1e0", "z{i} / sqrt(1e-12 + r2)"),
+        (3, "1e0 / (1e0 + r2)", "z{i}"),
+        (4, "CASE WHEN z1 <= 0 THEN 1e0 ELSE 1e-3 END", "z{i}"),
+        (5, "CASE WHEN z1 <= 0 THEN 1e-3 ELSE 1e0 END", "z{i}"),
+    ]
+    seeds = " UNION ALL ".join(f"SELECT k, {s} AS s, {w} AS w, {', '.join(z.replace('{i}', str(i)) + f' AS z{i}' for i in range(1, P + 1))} FROM sized" for s, w, z in weighted)
+    plain = ", ".join([f"0e0 AS m{i}" for i in range(1, P + 1)] + [f"{'1e0' if i == j else '0e0'} AS l{i}{j}" for i in range(1, P + 1) for j in range(1, i + 1)])
+    return [
+        ("zs", f"SELECT r.rid, r.k, {zs} FROM rows0 r JOIN scale s ON s.k = r.k"),
+        ("sized", f"SELECT k, {ZS}, {square} AS r2 FROM zs"),
+        ("seeds", seeds),
+        ("c0", f"SELECT k, 0 AS s, {plain}, 0e0 AS ld FROM scale UNION ALL {_estimate('seeds', '1e0')}"),
+    ]
+
+
+def _best() -> tuple[str, str]:
+    """Of each group's starts the one whose determinant is least after the first steps."""
+    return ("best", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(ld, 6), s) AS place FROM c{FIRST}) p WHERE place = 1")
 
 
 def _last() -> list[tuple[str, str]]:
     """The reweighted estimate: of the rows within the 97.5 % distance."""
     return [
-        ("near", f"SELECT * FROM ({_distance('zs', f'c{STEPS}')}) d WHERE d2 <= {REWEIGHT}"),
-        ("final", _estimate("near", "1e0")),
+        ("near", f"SELECT *, 1e0 AS w FROM ({_distance(f'c{MOST}')}) d WHERE d2 <= {REWEIGHT}"),
+        ("final", _estimate("near", REWEIGHTED)),
     ]
 
 
-def estimates(stats: DataFrame) -> DataFrame:
-    """From statistics with base_failed, lang and source: for each language and source (k2) the medians, spreads, centre and factor of its group.
+def estimates(stats: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """From statistics with base_failed, lang and source: for each language and source (k2) the medians, spreads, centre, factor and log determinant of its group.
 
-    Each step reads the stored vectors again and leaves one stored row a group.
+    Each step reads the stored vectors again and leaves one stored row a group. Steps end when no determinant changes.
     """
     spark = stats.sparkSession
     at: dict[str, DataFrame] = {"stats": stats}
 
-    def make(name: str, sql: str, keep: bool = False) -> None:
-        for old in sorted(at, key=len, reverse=True):
-            sql = _named(sql, old)
-        made = spark.sql(sql, **at)
-        at[name] = stored(made, name) if keep else made
-
-    for name, sql in _pooled("stats"):
-        make(name, sql, keep=name == "homes")
-    make("rows0", _ROWS, keep=True)
-    for name, sql in _medians():
-        make(name, sql, keep=name == "scale")
-    for name, sql in _standard():
-        make(name, sql, keep=name == "zs")
-    for step in range(STEPS):
-        for name, sql in _subset(step):
-            make(name, sql, keep=name[0] == "c")
-    for name, sql in _last():
-        make(name, sql, keep=name == "final")
+    def make(relations: list[tuple[str, str]], keep: tuple[str, ...] = ()) -> None:
+        for name, sql in relations:
+            for old in sorted(at, key=len, reverse=True):
+                sql = _named(sql, old)
+            made = spark.sql(sql, **at)
+            at[name] = stored(made, name) if name in keep else made
+
+    make(_pooled("stats", least), ("homes",))
+    make([("rows0", _ROWS), *_medians()], ("rows0", "bins", "scale"))
+    make(_starts(), ("zs", "c0"))
+    for step in range(FIRST):
+        make(_step(step, f"c{step}"), (f"c{step + 1}",))
+    make([_best()], ("best",))
+    now = at["best"]
+    for step in range(FIRST, most):
+        at["now"] = now
+        make(_step(step, "now"), (f"c{step + 1}",))
+        then, now = now, at[f"c{step + 1}"]
+        moved = then.select("k", F.col("ld").alias("was")).join(now.select("k", "ld"), "k").agg(F.max(F.abs(F.col("ld") - F.col("was"))).alias("by")).first()["by"]
+        if moved is None or moved < 1e-9:
+            break
+    at[f"c{MOST}"] = now
+    make(_last(), ("final",))
     # stored, so that its true size decides whether it is broadcast to the texts or joined by a shuffle
-    return stored(at["homes"].join(at["scale"], "k").join(at["final"], "k").drop("k"), "estimates")
+    return stored(at["homes"].join(at["scale"], "k").join(at["final"].drop("s"), "k").drop("k"), "estimates")
 
 
 _ROWS = f"SELECT p.rid, h.k, {', '.join(f'p.x{i}' for i in range(1, P + 1))} FROM passing p JOIN homes h ON h.k2 = p.k2 WHERE h.k IS NOT NULL"
@@ -195,10 +243,8 @@ def _named(sql: str, name: str) -> str:
 
 def judged(stats: DataFrame, found: DataFrame) -> DataFrame:
     """``stats`` with distance (null where no group is large enough, or the base rule failed) and kept."""
-    base = dict(_pooled("stats"))["passing"]
-    pair = base[len("SELECT rid, "):base.index(" AS k2")]
     own = stats.columns
-    rows = stats.withColumn("k2", F.expr(pair)).join(found, "k2", "left")
+    rows = stats.withColumn("k2", F.expr(_PAIR)).join(found, "k2", "left")
     for i, x in enumerate(VECTOR, 1):
         less = "".join(f" - l{i}{j} * _y{j}" for j in range(1, i))
         rows = rows.withColumn(f"_y{i}", F.expr(f"(({x} - med{i}) / s{i} - m{i}{less}) / l{i}{i}"))
@@ -210,24 +256,25 @@ def judged(stats: DataFrame, found: DataFrame) -> DataFrame:
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-def quality_verdicts(docs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, *more) -> DataFrame:
+    return docs.select(*more, *[F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")])
+
+
+def quality_verdicts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, the five statistics, base_failed, distance and kept for every row of ``docs``."""
-    stats = with_statistics(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")))
+    stats = with_statistics(_texts(docs, F.col("doc_id")))
     stats = stored(stats.drop("text").withColumn("rid", F.lit(0)), "statistics")
-    return judged(stats, estimates(stats)).select("doc_id", *STATS, "distance", "kept")
+    return judged(stats, estimates(stats, least)).select("doc_id", *STATS, "distance", "kept")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns: the statistics are taken once to estimate and once to judge, which saves moving texts."""
-    columns = docs.columns
-    slim = with_statistics(docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")))
-    stats = stored(slim.drop("text").withColumn("rid", F.lit(0)), "statistics")
-    found = estimates(stats)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    return judged(with_statistics(packed).drop("text"), found).where("kept").select("doc.*")
+def keep_good(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns. They are stored once with their statistics, which are costlier to take than texts are to write."""
+    whole = with_statistics(_texts(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
+    rows = stored(whole.drop("text").withColumn("rid", F.lit(0)), "statistics")
+    return judged(rows, estimates(rows.drop("doc"), least)).where("kept").select("doc.*")
 
 
-def reference_sql(documents: str = "documents") -> str:
+def reference_sql(documents: str = "documents", least: int = LEAST, most: int = MOST) -> str:
     """DuckDB SQL for ``quality_verdicts`` over a table with unique doc_id, without the distance."""
     space = r"[\x20\x09-\x0D]+"
     ctes = [
@@ -242,9 +289,11 @@ def reference_sql(documents: str = "documents") -> str:
             length(regexp_replace(t.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
             FROM texts t LEFT JOIN counts c USING (doc_id) LEFT JOIN lines l USING (doc_id) LEFT JOIN repeats r USING (doc_id)"""),
         ("stats", f"SELECT *, doc_id AS rid, {BASE_FAILED} AS base_failed FROM base"),
-        *_pooled("stats"), ("rows0", _ROWS), *_medians(), *_standard(),
-        *[x for step in range(STEPS) for x in _subset(step)], *_last(),
-        ("judged", _distance("zs", "final")),
+        *_pooled("stats", least), ("rows0", _ROWS), *_medians(), *_starts(),
+        *[x for step in range(FIRST) for x in _step(step, f"c{step}")], _best(),
+        *[x for step in range(FIRST, most) for x in _step(step, f"c{step}" if step > FIRST else "best")],
+        *([] if most == MOST else [(f"c{MOST}", f"SELECT * FROM {f'c{most}' if most > FIRST else 'best'}")]), *_last(),
+        ("judged", _distance("final")),
     ]
     body = ",\n".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in ctes)
     return f"WITH {body}\nSELECT s.doc_id, {', '.join('s.' + x for x in STATS)}, NOT s.base_failed AND coalesce(j.d2 <= {REJECT}, true) AS kept FROM stats s LEFT JOIN judged j ON j.rid = s.doc_id"

@@ -19,43 +19,106 @@ def brute_statistics(text):
     return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(marked))
 
 
-def brute_kept(stats, groups):
-    """The estimate written directly in numpy, group by group."""
-    stats = np.array(stats, float)
-    n, chars, sym, dup, rep = stats.T
+def vectors(stats):
+    n, chars, sym, dup, rep = np.array(stats, float).T
     x = np.stack([np.log(1 + n), np.log((1 + chars) / (1 + n)), np.log(1 + 1000 * sym / (1 + chars)), np.log(1 + 1000 * dup / (1 + n)), np.log(1 + 100 * rep / (1 + n))], 1)
-    failed = (n < 50) | (100 * rep > 50 * n)
-    kept = ~failed
+    return x, (n < 50) | (100 * rep > 50 * n)
+
+
+def homes(groups, failed, least):
     sizes = Counter(g for g, f in zip(groups, failed) if not f)
     by_lang = Counter()
     for g, c in sizes.items():
-        if c < rq.LEAST:
+        if c < least:
             by_lang[g[0]] += c
-    rest = sum(c for c in by_lang.values() if c < rq.LEAST)
-    home = [g if sizes[g] >= rq.LEAST else (g[0],) if by_lang[g[0]] >= rq.LEAST else () if rest >= rq.LEAST else None for g in groups]
+    rest = sum(c for c in by_lang.values() if c < least)
+    return [g if sizes[g] >= least else (g[0],) if by_lang[g[0]] >= least else () if rest >= least else None for g in groups]
+
+
+def scaled(v):
+    bins = np.floor(v * 64)
+    med = (np.sort(bins, 0)[(len(v) + 1) // 2 - 1] + 0.5) / 64
+    dev = np.sort(np.abs((bins + 0.5) / 64 - med), 0)[(len(v) + 1) // 2 - 1]
+    s = np.maximum(1.4826 * dev, rq.FLOORS)
+    return (v - med) / s, (np.array(rq.FLOORS) / s) ** 2
+
+
+def floored(cov, floors):
+    """Triangular factor of a covariance whose pivots are kept at floors."""
+    low = np.zeros((5, 5))
+    for j in range(5):
+        low[j, j] = math.sqrt(max(cov[j, j] - low[j, :j] @ low[j, :j], floors[j]))
+        for i in range(j + 1, 5):
+            low[i, j] = (cov[i, j] - low[i, :j] @ low[j, :j]) / low[j, j]
+    return low
+
+
+def weighted(z, w, factor, floors):
+    m = (w[:, None] * z).sum(0) / w.sum()
+    return m, floored(factor * ((w[:, None] * z).T @ z / w.sum() - np.outer(m, m)), floors)
+
+
+def distances(z, centre, low):
+    return (np.linalg.solve(low, (z - centre).T) ** 2).sum(0)
+
+
+def brute_estimate(z, floors, first, most):
+    r2, ones = (z**2).sum(1), np.ones(len(z))
+    starts = [(np.zeros(5), np.eye(5))]
+    starts += [weighted(s, w, 1, floors) for s, w in ((np.tanh(z), ones), (z / np.sqrt(1e-12 + r2)[:, None], ones), (z, 1 / (1 + r2)), (z, np.where(z[:, 0] <= 0, 1, 1e-3)), (z, np.where(z[:, 0] <= 0, 1e-3, 1)))]
+
+    def step(centre, low):
+        b = np.floor(64 * np.log(0.0001 + distances(z, centre, low)))
+        inside = b <= np.sort(b)[math.ceil(rq.SHARE * len(b)) - 1]
+        return weighted(z[inside], ones[inside], float(rq.CONSISTENCY), floors)
+
+    for _ in range(first):
+        starts = [step(*s) for s in starts]
+    at = min(range(len(starts)), key=lambda k: (round(2 * np.log(np.diag(starts[k][1])).sum(), 6), k))
+    found = starts[at]
+    for _ in range(first, most):
+        found = step(*found)
+    near = distances(z, *found) <= rq.REWEIGHT
+    return weighted(z[near], ones[near], float(rq.REWEIGHTED), floors)
+
+
+def brute_kept(stats, groups, least, first=rq.FIRST, most=rq.MOST):
+    """The estimate written directly in numpy, group by group."""
+    x, failed = vectors(stats)
+    kept = ~failed
+    home = homes(groups, failed, least)
     for key in {h for h in home if h is not None}:
         at = np.array([k for k in range(len(x)) if home[k] == key and not failed[k]])
-        v = x[at]
-        bins = np.floor(v * 64)
-        med = (np.sort(bins, 0)[(len(v) + 1) // 2 - 1] + 0.5) / 64
-        dev = np.sort(np.abs((bins + 0.5) / 64 - med), 0)[(len(v) + 1) // 2 - 1]
-        z = (v - med) / np.maximum(1.4826 * dev, rq.FLOORS)
-        centre, cov = np.zeros(5), np.eye(5)
-
-        def d2():
-            return np.einsum("ij,jk,ik->i", z - centre, np.linalg.inv(cov), z - centre)
-
-        for _ in range(rq.STEPS):
-            b = np.floor(32 * np.log(0.0001 + d2()))
-            cut = np.sort(b)[math.ceil(rq.SHARE * len(b)) - 1]
-            part = z[b <= cut]
-            centre, cov = part.mean(0), float(rq.CONSISTENCY) * np.cov(part.T, ddof=0) + np.eye(5)
-        part = z[d2() <= rq.REWEIGHT]
-        centre, cov = part.mean(0), np.cov(part.T, ddof=0) + np.eye(5)
-        kept[at] = d2() <= rq.REJECT
+        z, floors = scaled(x[at])
+        kept[at] = distances(z, *brute_estimate(z, floors, first, most)) <= rq.REJECT
     return kept.tolist(), failed.tolist()
 
 
+def random_start_mcd(z, seed=0, tries=200):
+    """Textbook estimate: random subsets of six rows, exact concentration to the end, least determinant, then reweighted."""
+    rng, h, best = np.random.default_rng(seed), math.ceil(0.75 * len(z)), None
+    for _ in range(tries):
+        part = z[rng.choice(len(z), 6, False)]
+        last = None
+        for _ in range(60):
+            cov = np.cov(part.T, ddof=0) + 1e-9 * np.eye(5)
+            d = np.einsum("ij,jk,ik->i", z - part.mean(0), np.linalg.inv(cov), z - part.mean(0))
+            at = np.argsort(d, kind="stable")[:h]
+            part = z[at]
+            if last is not None and set(at) == last:
+                break
+            last = set(at)
+        det = np.linalg.slogdet(np.cov(part.T, ddof=0))[1]
+        if best is None or det < best[0]:
+            best = (det, part)
+    part = best[1]
+    cov = 1.412 * np.cov(part.T, ddof=0)
+    d = np.einsum("ij,jk,ik->i", z - part.mean(0), np.linalg.inv(cov), z - part.mean(0))
+    near = z[d <= rq.REWEIGHT]
+    centre, cov = near.mean(0), 1.055 * np.cov(near.T, ddof=0)
+    return np.einsum("ij,jk,ik->i", z - centre, np.linalg.inv(cov), z - centre) <= rq.REJECT
+
+
 def corpus(n=700, seed=5):
     rng = np.random.default_rng(seed)
     words = ["".join(rng.choice(list("abcdefghé"), rng.integers(1, 9))) for _ in range(400)]
@@ -75,29 +138,74 @@ def corpus(n=700, seed=5):
 EDGES = [(9001, None, "en", "hot"), (9002, "", "en", None), (9003, "a b", None, None), (9004, " \t\x0b\f\r\n", "en", "hot"), (9005, "a b c " * 4000, "en", "hot"), (9006, "w" * 200_000, "en", "hot"), (9007, "a b c\na b c\n \n \na b d", "xx", "y"), (9008, "\n".join(f"line {k} of many {k * k}" for k in range(3000)), "en", "hot")]
 
 
-@pytest.mark.parametrize("seed, least", [(5, 700), (6, 160)])
-def test_verdicts_against_numpy_and_duckdb(spark, seed, least):
-    rows = corpus(least, seed) + EDGES
+def in_duckdb(rows, **options):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
+    return {row[0]: tuple(row[1:]) for row in con.execute(rq.reference_sql(**options)).fetchall()}
+
+
+@pytest.mark.parametrize("seed, n, least", [(5, 700, rq.LEAST), (6, 160, 100)])
+def test_verdicts_against_numpy_and_duckdb(spark, seed, n, least):
+    rows = corpus(n, seed) + EDGES
     docs = spark.createDataFrame([(*r, 1, "clash") for r in rows], "doc_id long, text string, lang string, source string, n_words int, kept string")
-    got = {r["doc_id"]: r for r in rq.quality_verdicts(docs).collect()}
+    got = {r["doc_id"]: r for r in rq.quality_verdicts(docs, least).collect()}
     assert len(got) == len(rows)
     stats = [brute_statistics(r[1]) for r in rows]
     for r, want in zip(rows, stats):
         assert tuple(got[r[0]][c] for c in rq.STATS[:5]) == want
-    kept, failed = brute_kept(stats, [(r[2], r[3]) for r in rows])
+    groups = [(r[2], r[3]) for r in rows]
+    kept, failed = brute_kept(stats, groups, least)
+    levels = Counter(len(h) for h in homes(groups, failed, least) if h is not None)
+    assert levels[2] if least == rq.LEAST else not levels[2]  # groups of a language and source, or pools only
     assert [got[r[0]]["base_failed"] for r in rows] == failed
     assert [got[r[0]]["kept"] for r in rows] == kept
     assert 0 < sum(not k and not f for k, f in zip(kept, failed))
-    con = duckdb.connect()
-    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
-    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
-    for row in con.execute(rq.reference_sql()).fetchall():
-        assert tuple(row[1:]) == tuple(got[row[0]][c] for c in (*rq.STATS, "kept"))
-    left = rq.keep_good(docs)
+    found = in_duckdb(rows, least=least)
+    assert {k: tuple(r[c] for c in (*rq.STATS, "kept")) for k, r in got.items()} == found
+    left = rq.keep_good(docs, least)
     assert left.columns == docs.columns
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(r[0] for r, k in zip(rows, kept) if k)
 
 
+def contaminated(n=300, share=0.2, seed=1, far=1.0):
+    """Statistics of one group: a cloud, and a far one of some share of the rows."""
+    rng = np.random.default_rng(seed)
+    bad = np.arange(n) < share * n
+    words = np.exp(rng.normal(np.where(bad, 5.5 + 3 * far, 5.5), 0.6)).astype(int) + 60
+    chars = (words * np.exp(rng.normal(np.where(bad, 1.5 + 1.5 * far, 1.5), 0.2))).astype(int)
+    symbols = (chars * np.exp(rng.normal(np.where(bad, -4 + 3.5 * far, -4), 0.8))).astype(int)
+    lines = (words * np.exp(rng.normal(np.where(bad, -4 + 3 * far, -4), 0.8))).astype(int)
+    repeats = (words * np.minimum(np.exp(rng.normal(-3, 0.8, n)), 0.45)).astype(int)
+    return list(zip(words.tolist(), chars.tolist(), symbols.tolist(), lines.tolist(), repeats.tolist())), bad
+
+
+def judged(spark, stats, **options):
+    rows = [(k, *s, False, "en", "a", 0) for k, s in enumerate(stats)]
+    frame = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lang string, source string, rid int")
+    return [r["kept"] for r in rq.judged(frame, rq.estimates(frame, **options)).orderBy("doc_id").collect()]
+
+
+def textbook(stats):
+    return random_start_mcd(scaled(vectors(stats)[0])[0]).tolist()
+
+
+def test_against_random_start_mcd(spark):
+    stats, bad = contaminated()
+    kept = judged(spark, stats)
+    assert kept == textbook(stats) == (~bad).tolist()
+
+
+def test_steps_decide(spark, monkeypatch):
+    """Near contamination: with the steps the verdicts are the textbook estimate's, without them they aren't."""
+    stats, _ = contaminated(share=0.24, seed=0, far=0.6)
+    assert judged(spark, stats) == textbook(stats)
+    monkeypatch.setattr(rq, "FIRST", 0)
+    without = judged(spark, stats, most=0)
+    assert sum(a != b for a, b in zip(without, textbook(stats))) > 20
+    assert without == brute_kept(stats, [("en", "a")] * len(stats), rq.LEAST, 0, 0)[0]
+
+
 def test_empty_small_and_repeated(spark):
     schema = "doc_id long, text string, lang string, source string"
     assert rq.quality_verdicts(spark.createDataFrame([], schema)).collect() == []
