@@ -1,19 +1,22 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Two kinds of machine are composed:
-
-* The lexicon transducer rewrites the words of a clause to symbols: insult, hint,
-  threat, target, negation, report, or a skip. Insult arcs are whole words and stems
-  with any ending that hardly occur outside toxic training texts; hints are stems that
-  occur there more often than not, of which one means little and several much. The
-  closed classes (targets, negations, verbs of report, threats) are fixed.
-* The clause transducer reads symbols and moves between contexts (neutral, after a
-  target, negated, reported, threatening); insult and threat arcs emit a pattern with a
-  weight: direct, bare, negated, reported or threat.
-
-The composed machine is run over every clause that holds an insult or a threat; the
-best path in the max-plus semiring gives the clause's pattern. A document's score is a
-logistic function of its pattern counts, fitted on the training texts.
+A cascade of transducers is composed into one machine:
+
+* Lexicon: word classes to symbols. A slur (a stem that occurs in toxic texts at least as
+  often as elsewhere) may be read as an insult or as a plain word, a threat verb likewise;
+  insults (words and stems that hardly occur outside toxic texts) may not.
+* Insults: insults in a row are one phrase, made stronger.
+* Threats: a threat verb with a target up to three words before or after it.
+* Targets: an insult with a target up to five words before or three after it is direct.
+* Negation: what stands up to three words after a negation is negated.
+* Reported speech: what follows a verb of report or stands in quotation marks is reported.
+
+Arcs carry named weights, and several paths may read a clause. The best path (max-plus) of
+every clause that holds an insult, slur or threat gives the clause's weight; a text's score is the
+logistic function of the sum over its clauses, a bias and its length. The weights are
+learned from labelled texts in turns: best paths under the present weights, then a logistic
+fit on the arcs of these paths, close to ``PRIOR`` and with the grammar's order kept (being direct or
+repeated never makes an insult weaker, being negated or reported never stronger).
 
 Training uses a bounded sample of labelled rows: at most ``sample_per_class`` of each
 label, those with the least hash of doc_id. Everything else covers all texts whole.
@@ -24,7 +27,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,115 +40,193 @@ NEGATIONS = "not no never neither nor isn't aren't wasn't don't doesn't nicht ke
 REPORTS = "said says say saying called calls claimed claims wrote writes quoted quotes reported reports accused told sagte sagt schrieb behauptet nannte dit disait écrit appelé dijo dice escribió llamó".split()
 THREATS = "kill murder hurt destroy beat shoot stab burn töten umbringen tuer frapper matar golpear".split()
 
-PATTERNS = ("direct", "bare", "negated", "reported", "threat", "hint")
+#: Arc weights, with the values that hold without labels; then what least and most they may become.
+PRIOR = {"insult": 3.0, "slur": 0.5, "again": 0.5, "bare": 1.5, "direct": 1.0, "threat": 5.0, "negated": -2.0, "reported": -2.0}
+BOUNDS = {"insult": (0, 20), "slur": (-20, 20), "again": (0, 20), "bare": (0, 20), "direct": (0, 20), "threat": (0, 20), "negated": (-20, 0), "reported": (-20, 0)}
+NAMES = tuple(PRIOR)
+BIAS, LENGTH = -3.0, 0.0
+#: No context reaches further than this many plain words; longer runs are shortened to it.
+REACH = 6
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[\"“”«»„]")
 QUOTES = set("\"“”«»„")
 
-Arc = tuple[int, int, str | None, float]  # (from, to, output, weight)
+Arc = tuple[int, str | None, tuple[str, ...]]  # (to, output, names of weights)
 
 
 @dataclass
 class Transducer:
-    """Arcs by input symbol, with a weight for ending in each state; state 0 starts."""
+    """Arcs by (state, input symbol); state 0 starts, ``final`` states end."""
 
-    arcs: dict[str, list[Arc]] = field(default_factory=dict)
-    final: dict[int, float] = field(default_factory=dict)
+    arcs: dict[tuple[int, str], list[Arc]] = field(default_factory=dict)
+    final: set[int] = field(default_factory=set)
 
-    def add(self, source: int, symbol: str, target: int, output: str | None = None, weight: float = 0.0) -> None:
-        self.arcs.setdefault(symbol, []).append((source, target, output, weight))
+    def add(self, source: int, symbol: str, target: int, output: str | None = None, *names: str) -> None:
+        self.arcs.setdefault((source, symbol), []).append((target, output, names))
 
     def compose(self, other: "Transducer") -> "Transducer":
-        """The machine that feeds this one's outputs to ``other``; an arc without output leaves ``other`` where it is."""
-        width = 1 + max((max(a[0], a[1]) for arcs in other.arcs.values() for a in arcs), default=0)
-        made = Transducer()
-        for symbol, arcs in self.arcs.items():
-            for source, target, output, weight in arcs:
-                inner = [(s, s, None, 0.0) for s in range(width)] if output is None else other.arcs.get(output, [])
-                for s, t, out, w in inner:
-                    made.add(source * width + s, symbol, target * width + t, out, weight + w)
-        for a, x in self.final.items():
-            for b, y in other.final.items():
-                made.final[a * width + b] = x + y
+        """The machine that feeds this one's outputs to ``other``, of the states that can be reached; an arc without output leaves ``other`` where it is."""
+        made, number, todo = Transducer(), {(0, 0): 0}, [(0, 0)]
+        by_state: dict[int, list[tuple[str, Arc]]] = {}
+        for (source, symbol), arcs in self.arcs.items():
+            by_state.setdefault(source, []).extend((symbol, arc) for arc in arcs)
+        while todo:
+            a, b = todo.pop()
+            if a in self.final and b in other.final:
+                made.final.add(number[a, b])
+            for symbol, (target, output, names) in by_state.get(a, []):
+                for there, out, more in [(b, None, ())] if output is None else other.arcs.get((b, output), []):
+                    if (target, there) not in number:
+                        number[target, there] = len(number)
+                        todo.append((target, there))
+                    made.add(number[a, b], symbol, number[target, there], out, *names, *more)
         return made
 
-    def best(self, symbols: list[str]) -> tuple[float, tuple[str, ...]] | None:
-        """The heaviest path's weight and outputs (ties: the first found), or None if no path accepts."""
+    def best(self, symbols: list[str] | tuple[str, ...], weights: dict[str, float]) -> tuple[float, tuple[str, ...]] | None:
+        """The heaviest path's weight and the names on its arcs (ties: the first found), or None if no path accepts."""
         here: dict[int, tuple[float, tuple[str, ...]]] = {0: (0.0, ())}
         for symbol in symbols:
             there: dict[int, tuple[float, tuple[str, ...]]] = {}
-            for source, target, output, weight in self.arcs.get(symbol, []):
-                if source in here:
-                    total = here[source][0] + weight
-                    if target not in there or total > there[target][0]:
-                        there[target] = (total, here[source][1] + ((output,) if output else ()))
+            for state, (total, path) in here.items():
+                for target, _, names in self.arcs.get((state, symbol), []):
+                    now = total + sum(weights[x] for x in names)
+                    if target not in there or now > there[target][0]:
+                        there[target] = (now, path + names)
             here = there
-        ends = [(w + self.final[s], out) for s, (w, out) in here.items() if s in self.final]
-        return max(ends, key=lambda x: x[0]) if ends else None
+        return max((x for s, x in here.items() if s in self.final), key=lambda x: x[0], default=None)
 
 
-def clause_machine() -> Transducer:
-    """Contexts of a clause: 0 neutral, 1 target seen, 2-4 negation up to three words back, 5 reported, 6 threat seen."""
-    m = Transducer()
-    for s in range(7):
-        m.add(s, "target", 5 if s == 5 else 1 if s in (0, 1, 2, 3, 4) else 6, "threat" if s == 6 else None, 2.0 if s == 6 else 0.0)
-        m.add(s, "negation", 5 if s == 5 else 2)
-        m.add(s, "report", 5)
-        m.add(s, "hint", s, "hint", 0.25)
-        m.add(s, "other", {2: 3, 3: 4, 4: 0}.get(s, s))
-        m.add(s, "threat", {1: 1, 5: 5}.get(s, 6) if s not in (2, 3, 4) else s, "threat" if s == 1 else None, 2.0 if s == 1 else 0.0)
-        m.final[s] = 0.0
-    for s, pattern, weight in ((0, "bare", 1.0), (1, "direct", 2.0), (2, "negated", 0.5), (3, "negated", 0.5), (4, "negated", 0.5), (5, "reported", 0.5), (6, "direct", 2.0)):
-        m.add(s, "insult", 5 if s == 5 else 1, pattern, weight)
+#: Between the machines: I insult, D direct insult, V threat verb, T threat, Z negated, G target, N negation, R report, Q quotation mark, w any other word.
+SYMBOLS = "IDVTZGNRQw"
+
+
+def lexicon_machine() -> Transducer:
+    m = Transducer(final={0})
+    m.add(0, "insult", 0, "I", "insult")
+    m.add(0, "slur", 0, "w")
+    m.add(0, "slur", 0, "I", "slur")
+    for c, x in (("threat", "V"), ("target", "G"), ("negation", "N"), ("report", "R"), ("quote", "Q"), ("word", "w")):
+        m.add(0, c, 0, x)
     return m
 
 
-def lexicon_machine(classes: tuple[str, ...] = ("insult", "hint", "threat", "target", "negation", "report")) -> Transducer:
-    """One state: rewrites word classes to grammar symbols. A quotation mark toggles a second state, where insults are read as reported."""
-    m = Transducer(final={0: 0.0, 1: 0.0})
+def insult_machine() -> Transducer:
+    """1: right after an insult."""
+    m = Transducer(final={0, 1})
     for s in (0, 1):
-        for c in classes:
-            m.add(s, c, s, c)
-        m.add(s, "word", s, "other")
-        m.add(s, "quote", 1 - s, "report" if s == 0 else "other")
+        for x in SYMBOLS:
+            if s and x == "I":
+                m.add(s, x, 1, "w", "again")
+            else:
+                m.add(s, x, int(x == "I"), x)
+    return m
+
+
+def threat_machine() -> Transducer:
+    """1-3: a verb waits for its target; 4-6: a target was seen."""
+    m = Transducer(final={0, 4, 5, 6})
+    for s in range(7):
+        on = {1: 2, 2: 3, 4: 5, 5: 6}.get(s)
+        for x in SYMBOLS:
+            if x == "V" and s in (0, 4, 5, 6):
+                m.add(s, x, on or 0, "w")
+                m.add(s, x, 1, "w")
+                if s:
+                    m.add(s, x, 0, "T")
+            elif x == "G":
+                m.add(s, x, 4, "T" if s in (1, 2, 3) else "G")
+            elif s != 3:
+                m.add(s, x, on or 0, "w" if x == "V" else x)
+    return m
+
+
+def target_machine() -> Transducer:
+    """1-5: a target was seen; 6-8: an insult waits for its target."""
+    m = Transducer(final=set(range(6)))
+    for s in range(9):
+        on = {1: 2, 2: 3, 3: 4, 4: 5, 6: 7, 7: 8}.get(s)
+        for x in SYMBOLS:
+            if x == "I" and s < 6:
+                m.add(s, x, on or 0, "I")
+                if s:
+                    m.add(s, x, on or 0, "D")
+                else:
+                    m.add(s, x, 6, "w")
+            elif x == "G":
+                m.add(s, x, 1, "D" if s >= 6 else "w")
+            elif s != 8:
+                m.add(s, x, on or 0, x)
+    return m
+
+
+def negation_machine() -> Transducer:
+    """1-3: so many words after a negation."""
+    m = Transducer(final={0, 1, 2, 3})
+    for s in range(4):
+        for x in SYMBOLS:
+            on = {1: 2, 2: 3}.get(s, 0)
+            m.add(s, x, 1 if x == "N" else on, "Z" if s and x in "IDT" else "w" if x == "N" else x)
+    return m
+
+
+def report_machine() -> Transducer:
+    """1: after a verb of report; 2: in quotation marks."""
+    m = Transducer(final={0, 1, 2})
+    for s in range(3):
+        for x in SYMBOLS:
+            to = max(1, s) if x == "R" else {0: 2, 1: 1, 2: 0}[s] if x == "Q" else s
+            names = () if x not in "IDTZ" else ("negated",) if x == "Z" else ("reported",) if s else {"I": ("bare",), "D": ("bare", "direct"), "T": ("threat",)}[x]
+            m.add(s, x, to, None, *names)
     return m
 
 
+CASCADE = (lexicon_machine, insult_machine, threat_machine, target_machine, negation_machine, report_machine)
+
+
+@lru_cache(maxsize=1)
+def grammar() -> Transducer:
+    """The composed cascade."""
+    machine = CASCADE[0]()
+    for part in CASCADE[1:]:
+        machine = machine.compose(part())
+    return machine
+
+
 @dataclass
 class Model:
-    """What training leaves: insult words, insult stems, weights for bias and features, and stems that are hints."""
+    """What training leaves: insult words, insult stems, slurs (stems), arc weights, and the document's bias and length weight."""
 
     words: list[str]
     stems: list[str]
-    weights: list[float]
-    hints: list[str] = field(default_factory=list)
+    slurs: list[str] = field(default_factory=list)
+    weights: dict[str, float] = field(default_factory=lambda: dict(PRIOR))
+    bias: float = BIAS
+    length: float = LENGTH
 
-    def compiled(self) -> Callable[[str], np.ndarray]:
-        return _Matcher(self).counts
 
+class Matcher:
+    """A model at work in a task."""
 
-class _Matcher:
     def __init__(self, model: Model):
-        self.machine = lexicon_machine().compose(clause_machine())
+        self.model = model
         words, stems = set(model.words), sorted(set(model.stems), key=len, reverse=True)
         self.kind = {w: "report" for w in REPORTS} | {w: "negation" for w in NEGATIONS} | {w: "target" for w in TARGETS} | {w: "threat" for w in THREATS} | {w: "insult" for w in words}
         self.stem = re.compile("|".join(map(re.escape, stems))) if stems else None
-        self.hint = re.compile("|".join(map(re.escape, model.hints))) if model.hints else None
-        heads = sorted(words | set(THREATS) | set(stems) | set(model.hints))
-        self.found = _automaton(heads)
-        self.cache: dict[tuple[str, ...], tuple[str, ...]] = {}
+        self.slur = re.compile("|".join(map(re.escape, model.slurs))) if model.slurs else None
+        self.found = _automaton(sorted(words | set(THREATS) | set(stems) | set(model.slurs)))
+        self.cache: dict[tuple[str, ...], tuple[float, np.ndarray]] = {}
 
     def symbol(self, word: str) -> str:
         if word in QUOTES:
             return "quote"
         kind = self.kind.get(word)
         if kind is None:
-            kind = "insult" if self.stem and self.stem.match(word) else "hint" if self.hint and self.hint.match(word) else "word"
+            kind = "insult" if self.stem and self.stem.match(word) else "slur" if self.slur and self.slur.match(word) else "word"
         return kind
 
-    def counts(self, text: str) -> np.ndarray:
-        """How often each of PATTERNS occurs."""
-        found = np.zeros(len(PATTERNS))
+    def clauses(self, text: str) -> list[tuple[str, ...]]:
+        """The word classes of each clause that holds an insult, a slur or a threat."""
+        out = []
         text = text.lower()
         done = -1
         for at in self.found(text):
@@ -153,17 +235,35 @@ class _Matcher:
             low = max((m.end() for m in CLAUSE_END.finditer(text, max(0, done), at)), default=max(0, done))
             stop = CLAUSE_END.search(text, at)
             done = stop.end() if stop else len(text)
-            symbols = tuple(self.symbol(w) for w in WORD.findall(text, low, done))
-            if not {"insult", "hint", "threat"} & set(symbols):
-                continue
-            if symbols not in self.cache:
-                if len(self.cache) > 20_000:
-                    self.cache.clear()
-                path = self.machine.best(list(symbols))
-                self.cache[symbols] = path[1] if path else ()
-            for pattern in self.cache[symbols]:
-                found[PATTERNS.index(pattern)] += 1
-        return found
+            symbols: list[str] = []
+            plain = 0
+            for word in WORD.findall(text, low, done):
+                kind = self.symbol(word)
+                plain = plain + 1 if kind == "word" else 0
+                if plain <= REACH:
+                    symbols.append(kind)
+            if not {"insult", "slur", "threat"}.isdisjoint(symbols):
+                out.append(tuple(symbols))
+        return out
+
+    def path(self, symbols: tuple[str, ...]) -> tuple[float, np.ndarray]:
+        """A clause's weight, and how often each of NAMES is on its best path."""
+        if symbols not in self.cache:
+            if len(self.cache) > 20_000:
+                self.cache.clear()
+            weight, names = grammar().best(symbols, self.model.weights) or (0.0, ())
+            self.cache[symbols] = weight, np.array([names.count(x) for x in NAMES], float)
+        return self.cache[symbols]
+
+    def score(self, text: str | None) -> float:
+        text = text or ""
+        total = self.model.bias + self.model.length * _length(text) + sum(self.path(c)[0] for c in self.clauses(text))
+        return 1 / (1 + math.exp(-min(max(total, -30.0), 30.0)))
+
+
+def _length(text: str) -> float:
+    """Logarithm of a text's length in hundreds of words."""
+    return math.log1p(text.count(" ") / 100)
 
 
 def _automaton(heads: list[str]) -> Callable[[str], Iterator[int]]:
@@ -216,7 +316,7 @@ def choose_entries(documents: dict[str, int], toxic: int, least: int) -> list[st
     return chosen
 
 
-def choose_hints(documents: dict[str, int], toxic: int, least: int) -> list[str]:
+def choose_slurs(documents: dict[str, int], toxic: int, least: int) -> list[str]:
     """Stems of four letters or more that occur in toxic documents at least as often as in others, by greedy cover (half a document's cost for each clean one)."""
     good: dict[str, tuple[int, float]] = {}
     for entry, docs in documents.items():
@@ -236,34 +336,41 @@ def choose_hints(documents: dict[str, int], toxic: int, least: int) -> list[str]
     return sorted(chosen)
 
 
-def features(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Model inputs from pattern counts: their logarithms, and the hints in a hundred words."""
-    return np.hstack([np.log1p(counts), np.log1p(100 * counts[:, -1:] / np.maximum(words, 20)[:, None])])
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 50) -> np.ndarray:
-    """Bias and weights by Newton steps with an L2 penalty on the weights; weights of counts are at least zero."""
-    design = np.hstack([np.ones((len(x), 1)), x])
-    w = np.zeros(design.shape[1])
-    penalty = np.full(len(w), ridge * max(1, len(y)) / 100)
-    penalty[0] = 1e-3
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, low: np.ndarray, high: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
+    """Weights by Newton steps, drawn to ``prior`` and kept within bounds; the design's columns include any bias."""
+    w = prior.copy()
     free = np.ones(len(w), bool)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (p - y) + penalty * w
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (p - y) + ridge * (w - prior)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.zeros(len(w))
         step[free] = np.linalg.solve(hessian[np.ix_(free, free)], gradient[free])
+        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
         w -= step
-        low = np.flatnonzero(w[1:] < 0) + 1
-        w[low], free[low] = 0.0, False
+        out = (w < low) | (w > high)
+        w = np.clip(w, low, high)
+        free &= ~out
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-#: Weights where no labelled rows exist: bias, then PATTERNS, then the density of hints.
-PRIOR = [-2.0, 5.0, 4.0, 0.5, 0.5, 4.0, 0.0, 0.0]
+def learn_weights(model: Model, texts: list[str], y: np.ndarray, turns: int = 5) -> Model:
+    """The model with weights for bias, length and arcs: best paths and a fit on them, in turns."""
+    matcher = Matcher(model)
+    clauses = [matcher.clauses(t) for t in texts]
+    length = np.array([_length(t) for t in texts])
+    prior = np.array([BIAS, LENGTH, *PRIOR.values()])
+    low, high = (np.array([e, f, *(b[k] for b in BOUNDS.values())], float) for k, e, f in ((0, -20, -5), (1, 20, 0)))
+    for _ in range(turns):
+        matcher = Matcher(model)
+        arcs = np.array([sum((matcher.path(c)[1] for c in found), np.zeros(len(NAMES))) for found in clauses]).reshape(-1, len(NAMES))
+        w = fit_logistic(np.column_stack([np.ones(len(y)), length, arcs]), y, prior, low, high)
+        last, model = model, replace(model, bias=float(w[0]), length=float(w[1]), weights=dict(zip(NAMES, w[2:].tolist())))
+        if max(abs(model.weights[x] - last.weights[x]) for x in NAMES) < 1e-4:
+            break
+    return model
 
 
 BUCKETS = 1 << 22
@@ -288,15 +395,18 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = 2000) -> M
     # at most 2 * sample_per_class ids of 12 bytes
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(sample), "doc_id")
     # the bounded sample is one group, fitted by a worker
-    fitted = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "y").groupBy(F.lit(0).alias("g")).applyInPandas(_fit, "words array<string>, stems array<string>, hints array<string>, weights array<double>").first()
-    return Model(list(fitted["words"]), list(fitted["stems"]), list(fitted["weights"]), list(fitted["hints"])) if fitted else Model([], [], PRIOR)
+    fitted = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "y").groupBy(F.lit(0).alias("g")).applyInPandas(_fit, "words array<string>, stems array<string>, slurs array<string>, weights array<double>").first()
+    if not fitted:
+        return Model([], [])
+    bias, length, *arcs = fitted["weights"]
+    return Model(list(fitted["words"]), list(fitted["stems"]), list(fitted["slurs"]), dict(zip(NAMES, arcs)), bias, length)
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    """Entries, hints and weights from the sample's doc_id, text and y, as one row."""
+    """Entries, slurs and weights from the sample's doc_id, text and y, as one row."""
     rows = rows.sort_values(["doc_id", "text"], kind="stable")
     y = rows["y"].to_numpy(float)
-    model = Model([], [], PRIOR)
+    model = Model([], [])
     if y.any() and not y.all():
         first = np.argsort(-y, kind="stable").tolist()  # toxic texts come first
         n_toxic = int(y.sum())
@@ -316,26 +426,20 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
                     documents[f] = bit
         documents = {f: found for f, found in documents.items() if (found & toxic).bit_count() >= least}
         entries = choose_entries(documents, toxic, least)
-        model = Model(sorted(e[1:] for e in entries if e[0] == "="), sorted(e for e in entries if e[0] != "="), PRIOR, choose_hints(documents, toxic, least))
-        model.weights = fit_logistic(_inputs(rows["text"], model.compiled()), y).tolist()
-    return pd.DataFrame({"words": [model.words], "stems": [model.stems], "hints": [model.hints], "weights": [model.weights]})
-
-
-def _inputs(texts: pd.Series, counts: Callable[[str], np.ndarray]) -> np.ndarray:
-    found = np.array([counts(t) if t else np.zeros(len(PATTERNS)) for t in texts]).reshape(-1, len(PATTERNS))
-    return features(found, np.array([t.count(" ") + 1 if t else 0 for t in texts], float))
+        model = Model(sorted(e[1:] for e in entries if e[0] == "="), sorted(e for e in entries if e[0] != "="), choose_slurs(documents, toxic, least))
+        model = learn_weights(model, rows["text"].tolist(), y)
+    return pd.DataFrame({"words": [model.words], "stems": [model.stems], "slurs": [model.slurs], "weights": [[model.bias, model.length, *model.weights.values()]]})
 
 
 def score_column(model: Model, text: str = "text") -> Column:
-    """Toxicity of a text column, 0 to 1; null and empty texts get the score of no pattern."""
-    weights = np.array(model.weights)
-    compiled: list[Callable[[str], np.ndarray]] = []  # once in each task
+    """Toxicity of a text column, 0 to 1; null and empty texts get the score of no clause."""
+    matcher: list[Matcher] = []  # once in each task
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        if not compiled:
-            compiled.append(model.compiled())
-        return pd.Series(1 / (1 + np.exp(-np.clip(weights[0] + _inputs(texts, compiled[0]) @ weights[1:], -30, 30))))
+        if not matcher:
+            matcher.append(Matcher(model))
+        return pd.Series([matcher[0].score(t) for t in texts], dtype="float64")
 
     return score(F.col(text).cast("string"))
 

@@ -1,46 +1,112 @@
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
 
 from pulseloom.llm import toxicity_fst as tf
 
-MODEL = tf.Model(["idiot", "moron"], ["achkeit"], tf.PRIOR)
+MODEL = tf.Model(["idiot", "moron"], ["achkeit"], ["zzl"])
 
 
-@pytest.mark.parametrize("text, pattern", [
-    ("you are an idiot", "direct"),
-    ("what an idiot", "bare"),
-    ("you are not an idiot", "negated"),
-    ("he said what an idiot", "reported"),
-    ('the word "idiot" is old', "reported"),
+def names_of(text, model=MODEL):
+    found = tf.Matcher(model).clauses(text)
+    assert len(found) <= 1
+    return tf.grammar().best(found[0], model.weights)[1] if found else None
+
+
+@pytest.mark.parametrize("text, names", [
+    ("you are an idiot", "insult bare direct"),
+    ("what an idiot", "insult bare"),
+    ("idiot, look at you", "insult bare direct"),
+    ("what an idiot moron", "insult insult again bare"),
+    ("you are not an idiot", "insult negated"),
+    ("he said what an idiot", "insult reported"),
+    ('the word "idiot" is old', "insult reported"),
     ("I will kill you", "threat"),
     ("you I will kill", "threat"),
-    ("achkeitung hier", "bare"),
-    ("not today. idiot", "bare"),
-    ("not a single one of them idiot", "direct"),
+    ("do not kill him", ""),
+    ("kill the old process", ""),
+    ("achkeitung hier", "insult bare"),
+    ("what a zzla", "slur bare"),
+    ("not a zzla", ""),
+    ("not a single old one of them idiot", "insult bare direct"),
+    ("not today. idiot", "insult bare"),
 ])
-def test_clause_patterns(text, pattern):
-    counts = MODEL.compiled()(text)
-    assert {p for p, n in zip(tf.PATTERNS, counts) if n} == {pattern}
+def test_clauses(text, names):
+    assert sorted(names_of(text)) == sorted(names.split())
 
 
-@pytest.mark.parametrize("text", ["", "nothing here", "kill the process", "idiotic", "xidiot", "\n\n...!"])
+@pytest.mark.parametrize("text", ["", "nothing here", "idiotic", "xidiot", "\n\n...!"])
 def test_nothing_found(text):
-    assert not MODEL.compiled()(text).any()
+    assert names_of(text) is None
+
+
+def brute_readings(machine, symbols, state=0):
+    """Every (outputs, names) by which one machine reads the symbols."""
+    if not symbols:
+        return [((), ())] if state in machine.final else []
+    found = []
+    for target, output, names in machine.arcs.get((state, symbols[0]), []):
+        for outs, more in brute_readings(machine, symbols[1:], target):
+            found.append((((output,) if output else ()) + outs, names + more))
+    return found
+
+
+def brute_best(symbols, weights):
+    """The heaviest of all readings by the cascade, machine after machine, without composition."""
+    readings = {(tuple(symbols), ())}
+    for part in tf.CASCADE:
+        machine = part()
+        readings = {(outs, tuple(sorted(names + more))) for inputs, names in readings for outs, more in brute_readings(machine, inputs)}
+    return max(sum(weights[x] for x in names) for _, names in readings)
+
+
+def test_best_paths_against_all_paths():
+    rng = np.random.default_rng(8)
+    kinds = ["insult", "slur", "threat", "target", "negation", "report", "quote", "word", "word"]
+    several = 0
+    for k in range(150):
+        symbols = list(rng.choice(kinds, rng.integers(1, 8)))
+        weights = dict(zip(tf.NAMES, rng.normal(0, 2, len(tf.NAMES)))) if k % 2 else tf.PRIOR
+        assert tf.grammar().best(symbols, weights)[0] == pytest.approx(brute_best(symbols, weights))
+        several += len(brute_readings(tf.grammar(), symbols)) > 1
+    assert several > 100  # most clauses have more than one path
+
+
+def test_weights_of_arcs_decide():
+    text = "she said he is a zzla. you zzla! what a moron idiot."
+    matcher = tf.Matcher(MODEL)
+    before = [matcher.path(c)[1].tolist() for c in matcher.clauses(text)]
+    changed = tf.Matcher(replace(MODEL, weights=tf.PRIOR | {"reported": -0.1, "again": -1.0}))
+    after = [changed.path(c)[1].tolist() for c in changed.clauses(text)]
+    assert [a == b for a, b in zip(before, after)] == [False, True, False]  # other paths are best
+    assert changed.score(text) != matcher.score(text)
+    for name in ("slur", "bare", "direct", "insult"):
+        assert tf.Matcher(replace(MODEL, weights=tf.PRIOR | {name: tf.PRIOR[name] + 1})).score(text) > matcher.score(text)
+
+
+def test_long_plain_runs_change_nothing():
+    machine = tf.grammar()
+    for start in (["target"], ["negation"], ["report"], ["threat"], ["insult"]):
+        short, long = (machine.best(start + ["word"] * n + ["insult"], tf.PRIOR) for n in (tf.REACH, 40))
+        assert short == long
+    text = "you " + "word " * 200_000 + "idiot"
+    assert tf.Matcher(MODEL).clauses(text) == [("target", *["word"] * tf.REACH, "insult")]
 
 
 def test_composition_is_relational_composition():
-    a, b = tf.Transducer(final={0: 0.0}), tf.Transducer(final={1: 0.5})
-    a.add(0, "x", 0, "p", 1.0)
-    a.add(0, "x", 0, "q", 0.0)
+    a, b = tf.Transducer(final={0}), tf.Transducer(final={1})
+    a.add(0, "x", 0, "p", "one")
+    a.add(0, "x", 0, "q")
     a.add(0, "y", 0)
-    b.add(0, "p", 0, "one", 0.0)
-    b.add(0, "q", 1, "two", 3.0)
-    b.add(1, "p", 1, "three", 0.0)
+    b.add(0, "p", 0)
+    b.add(0, "q", 1, None, "three")
+    b.add(1, "p", 1)
     c = a.compose(b)
-    assert c.best(["x", "y", "x"]) == (4.5, ("two", "three"))
-    assert c.best(["y"]) is None
+    weights = {"one": 1.0, "three": 3.0}
+    assert c.best(["x", "y", "x"], weights) == (4.0, ("one", "three")) or c.best(["x", "y", "x"], weights) == (4.0, ("three", "one"))
+    assert c.best(["y"], weights) is None
 
 
 def test_learns_words_and_stems_and_leaves_clean_alone(spark):
