@@ -71,7 +71,7 @@ def test_best_paths_against_all_paths():
         weights = dict(zip(tf.NAMES, rng.normal(0, 2, len(tf.NAMES)))) if k % 2 else tf.PRIOR
         assert tf.grammar().best(symbols, weights)[0] == pytest.approx(brute_best(symbols, weights))
         several += len(brute_readings(tf.grammar(), symbols)) > 1
-    assert several > 100  # most clauses have more than one path
+    assert several > 60  # many clauses have more than one path
 
 
 def test_weights_of_arcs_decide():
