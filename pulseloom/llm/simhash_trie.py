@@ -6,11 +6,14 @@ of depth d is a range of values that share d leading bits. The join walks pairs
 nodes together, adds up the bits in which their prefixes differ, and drops a pair as
 soon as the sum exceeds the error budget.
 
-The driver holds only counts of prefixes: it cuts the trie into nodes of bounded size
-and walks them to the pairs that may still hold links. Each pair of cut nodes is one
-group for the executors, which go on from there over whole fingerprints. Equal
-fingerprints are one class, so copies are never expanded into pairs; inside a group
-links are reduced to a spanning forest and to counts before they leave the task.
+With a budget of e bits the fingerprint is cut into e + 1 blocks, of which any pair within
+the budget shares one. So there are e + 1 tries, one for each rotation that puts a block in
+front; their nodes at the depth of that block are joined by executors, each with itself. A pair
+counts in the first rotation that brings it together. Nothing of the tries reaches
+the driver, and a fingerprint is sent e + 1 times whatever their number. Nodes with more rows
+than a task should hold are cut into tiles, and pairs of tiles are walked instead. Equal
+fingerprints are one class, so copies are never expanded into pairs; inside a node links are
+reduced to a spanning forest and to counts before they leave the task.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseloom.llm.components import connected_components
 from pulseloom.llm.store import stored
@@ -65,46 +68,17 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def cut_nodes(counts: dict[int, int], depth: int, most: int) -> list[tuple[int, int, int]]:
-    """(prefix, depth, rows) of trie nodes with at most ``most`` rows, or at full ``depth``, that cover all rows."""
-    found, level = [], [(0, 0, sum(counts.values()))]
-    tree = {depth: counts}
-    for d in range(depth - 1, -1, -1):
-        up: dict[int, int] = {}
-        for prefix, n in tree[d + 1].items():
-            up[prefix >> 1] = up.get(prefix >> 1, 0) + n
-        tree[d] = up
-    while level:
-        prefix, d, n = level.pop()
-        if n <= most or d == depth:
-            found.append((prefix, d, n))
-            continue
-        for child in (2 * prefix, 2 * prefix + 1):
-            if child in tree[d + 1]:
-                level.append((child, d + 1, tree[d + 1][child]))
-    return sorted(found, key=lambda x: x[0] << (depth - x[1]))
-
-
-def node_pairs(nodes: list[tuple[int, int, int]], errors: int) -> list[tuple[int, int]]:
-    """Index pairs (i <= j) of cut nodes whose common prefix differs in at most ``errors`` bits."""
-    if not nodes:
-        return []
-    size = max(d for _, d, _ in nodes)
-    low = np.array([p << (size - d) for p, d, _ in nodes], np.int64)
-    deep = np.array([d for _, d, _ in nodes], np.int64)
-    found = []
-    for i in range(len(nodes)):
-        common = size - np.minimum(deep[i], deep[i:])
-        far = np.bitwise_count(((low[i] >> common) ^ (low[i:] >> common)).astype(np.uint64))
-        found += [(i, i + int(j)) for j in np.flatnonzero(far <= errors)]
-    return found
-
-
-def trie_join(a: np.ndarray, b: np.ndarray | None, errors: int, chunk: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs with Hamming distance 1 to ``errors`` between sorted, distinct arrays ``a`` and ``b`` (``None``: within ``a``, each pair once)."""
+def blocks(errors: int) -> list[tuple[int, int]]:
+    """(first bit from the top, width) of each block."""
+    edges = [64 * k // (errors + 1) for k in range(errors + 2)]
+    return [(low, high - low) for low, high in zip(edges, edges[1:])]
+
+
+def trie_join(a: np.ndarray, b: np.ndarray | None, errors: int, chunk: int = 1 << 18, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs with Hamming distance 1 to ``errors`` between sorted, distinct arrays ``a`` and ``b`` (``None``: within ``a``, each pair once); all values share their first ``depth`` bits."""
     own = b is None
     b = a if own else b
-    stack = [(0, np.array([[0, len(a), 0, len(b), 0]], np.int64))] if len(a) and len(b) else []
+    stack = [(depth, np.array([[0, len(a), 0, len(b), 0]], np.int64))] if len(a) and len(b) else []
     one = np.uint64(1)
     while stack:
         depth, pairs = stack.pop()
@@ -169,76 +143,96 @@ class Forest:
             i, j = self.root(low), self.root(high)
 
 
-def _join_group(errors: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["side", "fp"], key=lambda c: c.astype("int64").to_numpy().view(np.uint64) if c.name == "fp" else c)
-        fp = rows["fp"].to_numpy(np.int64).view(np.uint64)
-        size = rows["n"].to_numpy(np.int64)
-        first = int((rows["side"].to_numpy() == 0).sum())
-        links, forest = np.zeros(len(fp), np.int64), Forest(len(fp))
-        second = fp[first:] if first < len(fp) else None
-        for i, j in trie_join(fp[:first], second, errors):
-            j = j + (0 if second is None else first)
-            links += np.bincount(i, size[j], len(fp)).astype(np.int64) + np.bincount(j, size[i], len(fp)).astype(np.int64)
-            forest.link(i, j)
-        got = np.flatnonzero(links)
-        return pd.DataFrame({"fp": fp[got].view(np.int64), "root": fp[forest.root(got)].view(np.int64), "links": links[got]})
+def _join_node(fp: np.ndarray, size: np.ndarray, first: int, errors: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows with links, their roots, their links) of one node's rotated fingerprints; of ``first`` with the rest if there is a rest."""
+    cut = blocks(errors)
+    begin, width = cut[turn]
+    links, forest = np.zeros(len(fp), np.int64), Forest(len(fp))
+    second = fp[first:] if first < len(fp) else None
+    for i, j in trie_join(fp[:first], second, errors, depth=width):
+        j = j + (0 if second is None else first)
+        new = np.ones(len(i), bool)
+        differ = fp[i] ^ fp[j]
+        for low, wide in cut[:turn]:  # an earlier rotation that brings them together counts the pair
+            behind = np.uint64(64 - (low - begin) % 64 - wide)
+            new &= (differ >> behind & np.uint64((1 << wide) - 1)) != 0
+        i, j = i[new], j[new]
+        links += np.bincount(i, size[j], len(fp)).astype(np.int64) + np.bincount(j, size[i], len(fp)).astype(np.int64)
+        forest.link(i, j)
+    got = np.flatnonzero(links)
+    return got, forest.root(got), links[got]
+
+
+def _join_nodes(errors: int):
+    """Rows sorted by node to links; a node that continues in the next batch waits for it."""
+    place = ["turn", "node", "low", "high"]
+
+    def joined(rows: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+        fp, size = rows["value"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+        tile, low, turn = (rows[c].to_numpy() for c in ("tile", "low", "turn"))
+        found = []
+        for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if stop - start > 1:
+                first = int((tile[start:stop] == low[start]).sum())
+                at, root, links = _join_node(fp[start:stop], size[start:stop], first, errors, int(turn[start]))
+                if len(at):
+                    found.append((start + at, start + root, links))
+        if not found:
+            return pd.DataFrame({"fp": [], "root": [], "links": []}, dtype="int64")
+        at, root, links = (np.concatenate(x) for x in zip(*found))
+        back = np.array([low for low, _ in blocks(errors)], np.uint64)[turn[at]]  # rotations keep to a node
+        turned = lambda v: (v >> back | v << (np.uint64(64) - back) % np.uint64(64)) if len(v) else v
+        return pd.DataFrame({"fp": turned(fp[at]).view(np.int64), "root": turned(fp[root]).view(np.int64), "links": links})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            rows = pd.concat([*held, batch], ignore_index=True)
+            key = rows[place].to_numpy()
+            edges = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1))
+            yield joined(rows, edges)
+            held = [rows.iloc[edges[-1] :]]
+        if held:
+            yield joined(held[0], np.array([0, len(held[0])]))
 
     return run
 
 
-def near_classes(prints: DataFrame, errors: int = 2, node_rows: int = 50_000, depth: int = 16, least_nodes: int = 12) -> DataFrame:
+def near_classes(prints: DataFrame, errors: int = 2, node_rows: int = 50_000) -> DataFrame:
     """``(doc_id, fp)`` to ``(fp, n, links, least, root, component_id)`` for each distinct fingerprint.
 
     links: documents of other fingerprints within ``errors`` bits. component_id: the
-    smallest doc_id reachable. ``node_rows`` bounds the fingerprints of one trie node
-    (nodes that share all ``depth`` leading bits stay whole).
+    smallest doc_id reachable. A task holds the fingerprints of one node at a time, or two tiles of
+    at most about ``node_rows`` each.
     """
-    spark = prints.sparkSession
     classes = stored(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "fingerprints")
-    prefix = F.shiftrightunsigned("fp", 64 - depth)
-    counts = {r["p"]: r["c"] for r in classes.groupBy(prefix.alias("p")).agg(F.count("*").alias("c")).collect()}  # at most 2**depth rows
-    nodes = cut_nodes(counts, depth, max(256, min(node_rows, sum(counts.values()) // least_nodes)))
-    pairs = node_pairs(nodes, errors)
-    parts: dict[int, list[tuple[int, int]]] = {}
-    for k, (i, j) in enumerate(pairs):
-        parts.setdefault(i, []).append((k, 0))
-        if j != i:
-            parts.setdefault(j, []).append((k, 1))
-    edges = np.array([p << (depth - d) for p, d, _ in nodes], np.int64)
-    keys = np.array(sorted(counts), np.int64)
-    where = list(zip(keys.tolist(), (np.searchsorted(edges, keys, "right") - 1).tolist()))
-    homes = spark.createDataFrame(where, "p long, node int")
-    routes = spark.createDataFrame([(k, [{"pair": a, "side": s} for a, s in v]) for k, v in parts.items()], "node int, routes array<struct<pair:int,side:int>>")
-    # homes has at most 2**depth rows and routes one row for each cut node
-    placed = classes.select("fp", "n", prefix.alias("p")).join(F.broadcast(homes), "p").join(routes, "node").select("fp", "n", F.explode("routes").alias("r"))
-    found = placed.select("fp", "n", "r.pair", "r.side").groupBy("pair").applyInPandas(_join_group(errors), "fp long, root long, links long")
-    found = stored(found, "links")
+    turned = [F.struct(F.lit(k).alias("turn"), F.shiftrightunsigned(v, 64 - wide).alias("node"), v.alias("value")) for k, (low, wide) in enumerate(blocks(errors)) for v in [_rotated(low)]]
+    rows = classes.select("n", F.explode(F.array(*turned)).alias("r")).select("n", "r.*")
+    counts = rows.groupBy("turn", "node").agg(F.count("*").alias("rows")).where("rows > 1")
+    counts = stored(counts.withColumn("tiles", F.when(F.col("rows") > 2 * node_rows, F.ceil(F.col("rows") / node_rows)).otherwise(1).cast("int")), "nodes")
+    rows = rows.join(counts.select("turn", "node", "tiles"), ["turn", "node"])
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("value", F.lit("tile")), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("turn", "node", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "value", "n")
+    dealt = rows.repartition("turn", "node", "low", "high").sortWithinPartitions("turn", "node", "low", "high", "tile", F.expr(_UNSIGNED))
+    found = stored(dealt.mapInPandas(_join_nodes(errors), "fp long, root long, links long"), "links")
     roots = connected_components(found.select(F.col("fp").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("fp").agg(F.sum("links").alias("links"))
     named = stored(classes.join(linked, "fp", "left").join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), "root"), "classes")
-    least = named.where("root is not null").groupBy("root").agg(F.min("least").alias("of_root"))
+    # stored, so that its true size decides how it is joined to a component that holds a large share of the rows
+    least = stored(named.where("root is not null").groupBy("root").agg(F.min("least").alias("of_root")), "components")
     return named.join(least, "root", "left").select("fp", "n", "links", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("of_root", "least").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words: int = 3, errors: int = 2, node_rows: int = 50_000) -> DataFrame:
-    """The rows of ``docs``, with their columns, that stay when one of each near-duplicate group is kept.
+def _rotated(low: int) -> Column:
+    """The fingerprint with its bit ``low`` (from the top) in front."""
+    return F.col("fp") if low == 0 else F.shiftleft("fp", low).bitwiseOR(F.shiftrightunsigned("fp", 64 - low))
 
-    The document with the least id stays; null ids come last, ties fall to either row. Rows
-    of one fingerprint are reduced before the shuffle, so a hot group moves one row a task.
-    """
-    @F.pandas_udf("long")
-    def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([text_fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
 
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    named = docs.select(F.struct(*columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = stored(named.select("doc_id", fingerprint("text").alias("fp")), "prints")
-    classes = near_classes(prints, errors, node_rows)
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
-    first = named.select("doc", "doc_id", fingerprint("text").alias("fp")).groupBy("fp").agg(F.min_by("doc", order).alias("doc"))
-    staying = classes.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp"))["fp"].alias("fp")).select("fp")
-    return first.join(staying, "fp", "left_semi").select("doc.*")
+#: Orders signed longs as the unsigned values that they hold.
+_UNSIGNED = "value ^ shiftleft(1L, 63)"
 
 
 def simhash_components(docs: DataFrame, words: int = 3, errors: int = 2, node_rows: int = 50_000) -> DataFrame:

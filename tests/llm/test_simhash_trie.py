@@ -72,11 +72,22 @@ def test_empty_and_repeated_rows(spark):
     assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in st.simhash_components(docs).collect()) == [(1, 1, 1), (1, 1, 1), (2, 2, 0)]
 
 
-def test_keep_one(spark):
-    rows = [(5, "a b c d", "x"), (3, "a b  C d", "y"), (None, "a b c d", "z"), (9, None, "n"), (8, " ", "m"), (7, "other words stay here", "o"), (7, "other words stay here", "o"), (None, "only null id here", "p"), (None, "only null id here", "q")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
-    kept = st.keep_one(docs)
-    assert kept.columns == docs.columns
-    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["fp"] if r["doc_id"] else "") for r in kept.collect())
-    assert got == [(False, 3, "y"), (False, 7, "o"), (False, 8, "m"), (True, 0, "")]
-    assert st.keep_one(docs.limit(0)).collect() == []
+def test_every_rotation_and_tiles(spark):
+    """Pairs that differ in given bits, whichever blocks these lie in, count once; by all pairs."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    flips = [(0, 1), (0, 30), (0, 63), (20, 21), (21, 42), (41, 42), (43, 62), (62, 63), (5, 5), (25, 25), (60, 60), (7, 33)]
+    values = [int(b) for b in base] + [int(base[k]) ^ (1 << (63 - x)) ^ ((1 << (63 - y)) if x != y else 0) for k, (x, y) in enumerate(flips)]
+    values += [int(base[30]) ^ (1 << k) for k in range(64)]  # a crowd: each pair of it within two bits
+    values += values[-3:]
+    rows = [(k, v - 2**64 if v >= 2**63 else v) for k, v in enumerate(values)]
+    prints = spark.createDataFrame(rows, "doc_id long, fp long")
+    want = {v: sum(bin(v ^ w).count("1") in (1, 2) for w in values) for v in values}
+    for node_rows in (50_000, 5):
+        got = {r["fp"] % 2**64: r["links"] for r in st.near_classes(prints, node_rows=node_rows).collect()}
+        assert got == want
+
+
+def test_long_text():
+    text = " ".join(f"w{k % 70_001}" for k in range(140_000))  # more hashes than one part of the vote
+    assert st.text_fingerprint(text) == brute_print(text)
