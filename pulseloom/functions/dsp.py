@@ -17,7 +17,9 @@ EPS = 1e-8
 # Names of the filters, in their order; each also with _wt, _ht and _hht.
 FILTER_BASES = ("bandstop", "bandpass", "cheby2_bandpass", "cheby2_bandstop", "fft_bandpass", "fft_bandstop")
 FILTERS = tuple(base + end for base in FILTER_BASES for end in ("", "_wt", "_ht", "_hht"))
-WAVELETS = ("haar", *(f"db{n}" for n in range(1, 21)), "bior3.1", "rbio3.1")
+#: Zeros at the highest frequency of the synthesis and analysis low-pass filters of the biorthogonal families.
+SPLINES = ("1.1", "1.3", "1.5", "2.2", "2.4", "2.6", "2.8", "3.1", "3.3", "3.5", "3.7", "3.9", "4.4")
+WAVELETS = ("haar", *(f"db{n}" for n in range(1, 21)), "sym2", "sym3", *(f"bior{n}" for n in SPLINES), *(f"rbio{n}" for n in SPLINES))
 
 
 def zscore(x: np.ndarray) -> np.ndarray:
@@ -178,18 +180,44 @@ def interval_rate(x: np.ndarray, fps: float) -> np.ndarray:
 # --- wavelets ---------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=64)
+def _half_band_roots(n: int) -> np.ndarray:
+    """Roots in y of the polynomial that completes n double zeros to a half-band filter."""
+    return np.roots([comb(n - 1 + k, k) for k in range(n)][::-1]) if n > 1 else np.empty(0)
+
+
+def _biorthogonal(zeros: int, dual_zeros: int) -> tuple[np.ndarray, np.ndarray]:
+    """Analysis and synthesis low-pass filters of equal, even length.
+
+    The half-band polynomial goes to the analysis side, but for 4.4, where its real root goes to the synthesis side.
+    """
+    roots = _half_band_roots((zeros + dual_zeros) // 2)
+    real = roots[np.abs(roots.imag) < 1e-9] if zeros == 4 else roots[:0]
+
+    def built(count: int, ys: np.ndarray) -> np.ndarray:
+        taps = np.poly(-np.ones(count))
+        for y in ys:
+            taps = np.convolve(taps, [1, 4 * y - 2, 1])
+        return np.real(taps) * np.sqrt(2) / np.real(taps).sum()
+
+    low, back = built(dual_zeros, np.array([y for y in roots if y not in real])), built(zeros, real)
+    size = len(low) + len(low) % 2
+    middle = size // 2 - (1 if len(back) % 2 else 0)  # odd filters lie around one tap, which differs by one between the two
+    padded = np.zeros(size)
+    padded[middle - len(back) // 2 : middle - len(back) // 2 + len(back)] = back
+    return np.concatenate([np.zeros(size - len(low)), low]), padded
+
+
+@lru_cache(maxsize=128)
 def wavelet(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Analysis and synthesis filters (low, high, low, high): haar, db1..db20 by spectral factorisation, rbio3.1 and bior3.1 from splines."""
-    if name in ("rbio3.1", "bior3.1"):
-        spline = np.sqrt(2) * np.array([comb(3, k) for k in range(4)]) / 8
-        dual = np.sqrt(2) * np.array([-1.0, 3.0, 3.0, -1.0]) / 4
-        low, back = (spline, dual) if name == "rbio3.1" else (dual, spline)
-    elif name == "haar" or name.startswith("db"):
-        n = 1 if name == "haar" else int(name[2:])
-        roots = np.roots([comb(n - 1 + k, k) for k in range(n)][::-1]) if n > 1 else np.empty(0)
+    """Analysis and synthesis filters (low, high, low, high): haar, db1..db20, sym2 and sym3 by spectral factorisation, bior* and rbio* from splines."""
+    if name[:4] in ("bior", "rbio") and name[4:] in SPLINES:
+        low, back = _biorthogonal(*map(int, name[4:].split(".")))
+        if name[0] == "r":
+            low, back = back[::-1], low[::-1]
+    elif name in ("haar", "sym2", "sym3") or name.startswith("db"):
+        n = 1 if name == "haar" else int(name.lstrip("dbsym"))
         inner = []
-        for y in roots:  # y = (2 - z - 1/z) / 4
+        for y in _half_band_roots(n):  # y = (2 - z - 1/z) / 4
             pair = np.roots([1, 4 * y - 2, 1])
             inner.append(pair[np.argmin(np.abs(pair))])
         back = np.real(np.poly(np.concatenate([-np.ones(n), inner])))

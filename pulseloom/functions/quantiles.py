@@ -1,4 +1,4 @@
-"""Exact grouped quantiles (linear interpolation) without gathering a group."""
+"""Exact order statistics of groups without gathering a group: nested bins and grouped quantiles (linear interpolation)."""
 
 from __future__ import annotations
 
@@ -7,20 +7,40 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 BINS = 4096
+CROWD = 100_000
+LEVELS = 3
+
+
+def nested_bins(rows: DataFrame, keys: Sequence[str], value: str, name: str = "_b", bins: int = BINS, crowd: int = CROWD) -> DataFrame:
+    """``rows`` with a struct of bin numbers that sorts as ``value`` does within its keys.
+
+    The first level cuts a group's span into equal bins. Bins of more than ``crowd`` rows are cut again by their own
+    span, and theirs once more, so outliers that widen the span leave no bin with nearly all values.
+    """
+    path: list[str] = []
+    for level in range(LEVELS):
+        at = [*keys, *path]
+        span = rows.groupBy(*at).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_rows"))
+        if level:
+            span = span.where((F.col("_rows") > crowd) & (F.col("_hi") > F.col("_lo")))  # few: crowded bins alone
+        met = rows.join(span, at, "left") if at else rows.join(F.broadcast(span))  # one row without keys
+        width = (F.col("_hi") - F.col("_lo")) / bins
+        own = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
+        rows = met.withColumn(f"{name}{level}", own.cast("int")).drop("_lo", "_hi", "_rows")
+        path.append(f"{name}{level}")
+    return rows.withColumn(name, F.struct(*path)).drop(*path)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """One row a group: keys and a column for each probability; nulls are passed over.
 
-    Counts of equal bins between a group's extremes tell in which bin a wanted rank
-    lies; only rows of those bins are ranked. Every shuffle is of pre-aggregated counts or of
-    about one bin's rows a group and rank, so a hot group is no worse than many small ones.
+    Counts of nested bins tell in which bin a wanted rank lies; only the distinct values of those bins are
+    ordered, one bin to a task. Every other shuffle is of pre-aggregated counts.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    span = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
-    width = (F.col("_hi") - F.col("_lo")) / BINS
-    located = rows.join(span, keys).select(*keys, "_v", F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(BINS - 1))).otherwise(F.lit(0)).cast("int").alias("_b"))
+    span = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    located = nested_bins(rows, keys, "_v").select(*keys, "_v", "_b")
     counts = located.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
     upto = Window.partitionBy(*keys).orderBy("_b")
     counts = counts.withColumn("_to", F.sum("_c").over(upto)).withColumn("_from", F.col("_to") - F.col("_c"))

@@ -60,7 +60,7 @@ def centre_variance(stats: DataFrame, metrics: Sequence[str]) -> DataFrame:
 def convex_hull(df: DataFrame, cluster: str, x: str, y: str) -> DataFrame:
     """(cluster, i, x, y): each cluster's hull, from its lowest point, counter-clockwise.
 
-    Partial hulls come first: of 1,024 slices by x only the extremes of each direction bucket and slice remain, then one small hull a cluster.
+    Each Arrow batch sends on its own hull of every cluster; a cluster's task makes one hull of these.
     """
     kind = df.schema[cluster].dataType.simpleString()
 
@@ -100,3 +100,37 @@ def regression(df: DataFrame, key: Sequence[str], y: str, x1: str, x2: str) -> D
     det = F.nullif(F.col("v1") * F.col("v2") - F.col("c12") ** 2, F.lit(0.0))
     a, b = (F.col("c1") * F.col("v2") - F.col("c12") * F.col("c2")) / det, (F.col("c2") * F.col("v1") - F.col("c12") * F.col("c1")) / det
     return m.select(*key, a.alias("a"), b.alias("b"), (F.col("my") - a * F.col("m1") - b * F.col("m2")).alias("c"))
+
+
+def voronoi_cells(centres: DataFrame, name: str, x: str, y: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """(name, i, x, y): the part of a box (x low, y low, x high, y high) that is nearest to each centre, as corners counter-clockwise.
+
+    Each cell is the box cut by the half planes towards all other centres, which are few: one row a cluster. Centres at one place share a cell.
+    """
+    kind = centres.schema[name].dataType.simpleString()
+    rows = centres.select(F.col(name).alias("n"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    every = rows.agg(F.collect_set(F.struct("x", "y")).alias("others"))
+
+    def cut(batches):
+        for batch in batches:
+            for n, cx, cy, others in zip(batch["n"], batch["x"], batch["y"], batch["others"]):
+                cell = [(box[0], box[1]), (box[2], box[1]), (box[2], box[3]), (box[0], box[3])]
+                for o in others:
+                    dx, dy = o["x"] - cx, o["y"] - cy
+                    if dx == 0 and dy == 0:
+                        continue
+                    limit = (o["x"] ** 2 + o["y"] ** 2 - cx**2 - cy**2) / 2
+                    side = [dx * px + dy * py - limit for px, py in cell]
+                    kept = []
+                    for k, (p, s) in enumerate(zip(cell, side)):
+                        q, t = cell[k - 1], side[k - 1]
+                        if (s <= 0) != (t <= 0):
+                            u = t / (t - s)
+                            kept.append((q[0] + u * (p[0] - q[0]), q[1] + u * (p[1] - q[1])))
+                        if s <= 0:
+                            kept.append(p)
+                    cell = kept
+                if cell:
+                    yield pd.DataFrame({name: [n] * len(cell), "i": range(len(cell)), "x": [p[0] for p in cell], "y": [p[1] for p in cell]})
+
+    return rows.join(F.broadcast(every)).mapInPandas(cut, f"{name} {kind}, i int, x double, y double")  # one row

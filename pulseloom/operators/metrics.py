@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BINS = 4096
+from pulseloom.functions.quantiles import nested_bins
 
 
 def _or_zero(c: Column) -> Column:
@@ -30,11 +30,9 @@ def confusion(df: DataFrame, y: str = "y", score: str = "score", threshold: floa
 def _score_counts(df: DataFrame, y: str, score: str) -> DataFrame:
     """Distinct scores with counts of both classes and of all larger scores; running sums by blocks of scores."""
     counts = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n"))
-    span = counts.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / BINS
-    rows = counts.join(F.broadcast(span)).select("score", "p", "n", F.when(width > 0, F.least(F.floor((F.col("score") - F.col("lo")) / width), F.lit(BINS - 1))).otherwise(F.lit(0)).alias("b"))
+    rows = nested_bins(counts, [], "score", "b")
     over = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("b").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn")).select("b", F.coalesce(F.sum("bp").over(over), F.lit(0)).alias("p0"), F.coalesce(F.sum("bn").over(over), F.lit(0)).alias("n0"))  # BINS rows at most
+    blocks = rows.groupBy("b").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn")).select("b", F.coalesce(F.sum("bp").over(over), F.lit(0)).alias("p0"), F.coalesce(F.sum("bn").over(over), F.lit(0)).alias("n0"))  # bins, not scores
     inside = Window.partitionBy("b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return rows.join(blocks, "b").select("score", "p", "n", (F.col("p0") + F.sum("p").over(inside)).alias("tp"), (F.col("n0") + F.sum("n").over(inside)).alias("fp"))
 
@@ -65,8 +63,9 @@ def sigmoid(c: str) -> Column:
     return 1 / (1 + F.exp(-F.col(c)))
 
 
-def readout(states: str, kind: str) -> Column:
-    """A sequence of state vectors (array of arrays) to one vector: last, mean, max, min, their pairs, avg_pool, max_pool, adaptive_pool or attention (dot products with the last state)."""
+def readout(states: str, kind: str, attention: Sequence[float] = ()) -> Column:
+    """A sequence of state vectors (array of arrays) to one vector: last, mean, max, min, their pairs, avg_pool, max_pool, adaptive_pool (average and
+    largest) or attention (softmax over the states' products with the given vector)."""
     s = f"cast({states} AS array<array<double>>)"
     width = f"sequence(0, size({states}[0]) - 1)"
     pick = lambda f: f"transform({width}, j -> {f})"
@@ -76,10 +75,12 @@ def readout(states: str, kind: str) -> Column:
         "max": pick(f"array_max(transform({s}, v -> v[j]))"),
         "min": pick(f"array_min(transform({s}, v -> v[j]))"),
     }
-    single |= {"avg_pool": single["mean"], "adaptive_pool": single["mean"], "max_pool": single["max"]}
-    score = f"transform({s}, v -> aggregate(zip_with(v, element_at({s}, -1), (a, b) -> a * b), 0D, (t, u) -> t + u))"
+    single |= {"avg_pool": single["mean"], "max_pool": single["max"], "adaptive_pool": f"concat({single['mean']}, {single['max']})"}
+    score = f"transform({s}, v -> aggregate(zip_with(v, array({', '.join(f'{float(x)!r}D' for x in attention)}), (a, b) -> a * b), 0D, (t, u) -> t + u))"
     weights = f"transform(array({score}), q -> transform(q, u -> exp(u - array_max(q))))[0]"
     single["attention"] = f"transform(array({weights}), w -> {pick(f'aggregate(zip_with({s}, w, (v, p) -> v[j] * p), 0D, (t, u) -> t + u) / aggregate(w, 0D, (t, u) -> t + u)')})[0]"
+    if kind == "attention" and not attention:
+        raise ValueError("attention needs its vector")
     if kind in single:
         return F.expr(single[kind])
     a, _, b = kind.partition("_")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 from pulseloom.functions.quantiles import exact_quantiles
 
@@ -75,14 +75,33 @@ def proportions(df: DataFrame, category: str, low: float = 48, high: float = 150
     return df.groupBy(category).agg(share(rate).alias("hr_in_range_proportion"), share(snr).alias("snr_above_threshold_proportion"), share(rate & snr).alias("combined_in_range_proportion"))
 
 
-def combined_scores(df: DataFrame, category: str, snr_weight: float = 0.33, hr_weight: float = 0.33, frequency_weight: float = 0.33) -> DataFrame:
-    """The three tables joined on category and their weighted sum."""
-    joined = (
-        snr_scores(df, category, with_median=False).select(category, "snr_score", "mean", "std", "mad")
-        .join(hr_scores(df, category).select(category, "hr_score", "combined_mean", "combined_std", "combined_mad"), category)
-        .join(proportions(df, category), category)
+def combined_scores(df: DataFrame, category: str, snr_weight: float = 0.33, hr_weight: float = 0.33, frequency_weight: float = 0.33, low: float = 48, high: float = 150, steepness: float = 0.001, alpha: float = 0.5, beta: float = 0.5, subgroup: str = "subfolder") -> DataFrame:
+    """The scores of ``snr_scores``, ``hr_scores`` and ``proportions`` and their weighted sum, in two passes over the rows.
+
+    One aggregate by category and subgroup gives everything but the mean deviation of SNR, whose pass follows.
+    """
+    rate, above = in_range(low, high), F.col("snr") > 0
+    parts = df.groupBy(category, subgroup).agg(
+        F.count("*").alias("rows"), F.count("heart_rate").alias("n"), F.avg("heart_rate").alias("mean"), F.stddev_samp("heart_rate").alias("std"),
+        F.count("snr").alias("sn"), F.avg("snr").alias("sm"), F.var_pop("snr").alias("sv"),
+        F.count_if(rate).alias("in_rate"), F.count_if(above).alias("in_snr"), F.count_if(rate & above).alias("in_both"),
     )
-    return joined.withColumn("combined_score", F.col("snr_score") * snr_weight + F.col("hr_score") * hr_weight + F.col("combined_in_range_proportion") * frequency_weight)
+    g = parts.groupBy(category).agg(F.collect_list(F.struct("rows", "n", "mean", "std", "sn", "sm", "sv", "in_rate", "in_snr", "in_both")).alias("g"))  # a row for each subgroup
+    total = lambda x: F.expr(f"aggregate(g, 0D, (a, x) -> a + coalesce({x}, 0D))")
+    g = g.withColumns({"_n": total("x.n"), "_sn": total("x.sn"), "_rows": total("x.rows")})
+    g = g.withColumns({"mean": F.try_divide(total("x.sn * x.sm"), F.col("_sn")), "combined_mean": F.try_divide(total("x.n * x.mean"), F.col("_n"))})
+    g = g.withColumns({
+        "std": F.when(F.col("_sn") > 1, F.sqrt(total("x.sn * (x.sv + (x.sm - mean) * (x.sm - mean))") / (F.col("_sn") - 1))),
+        "combined_std": F.when(F.exists("g", lambda x: x["std"].isNotNull()), F.sqrt(total("x.n * (x.std * x.std + (x.mean - combined_mean) * (x.mean - combined_mean))") / F.col("_n"))),
+        "combined_mad": total("x.n * aggregate(g, 0D, (t, y) -> t + coalesce(abs(x.mean - y.mean), 0D))") / F.size(F.filter("g", lambda x: x["mean"].isNotNull())) / F.col("_n"),
+        "hr_in_range_proportion": total("x.in_rate") / F.col("_rows"), "snr_above_threshold_proportion": total("x.in_snr") / F.col("_rows"), "combined_in_range_proportion": total("x.in_both") / F.col("_rows"),
+    }).drop("g", "_n", "_sn", "_rows")
+    mad = df.join(g.select(category, F.col("mean").alias("_mean")), category).groupBy(category).agg(F.avg(F.abs(F.col("snr") - F.col("_mean"))).alias("mad"))
+    pulse = F.col("combined_mean")
+    snr_penalty = F.when(F.col("mean") < 0, _penalty(F.col("mean"), steepness)).otherwise(F.lit(1.0))
+    hr_penalty = F.when(pulse < low, _penalty(low - pulse, steepness)).when(pulse > high, _penalty(pulse - high, steepness)).otherwise(F.lit(1.0))
+    scored = g.join(mad, category).withColumns({"snr_score": snr_penalty / (1 + alpha * F.col("std") + beta * F.col("mad")), "hr_score": hr_penalty / (1 + alpha * F.col("combined_std") + beta * F.col("combined_mad"))})
+    return scored.withColumn("combined_score", F.col("snr_score") * snr_weight + F.col("hr_score") * hr_weight + F.col("combined_in_range_proportion") * frequency_weight)
 
 
 def top_n(df: DataFrame, score: str, n: int, ties: str) -> DataFrame:
@@ -145,6 +164,11 @@ def iqr_outliers(df: DataFrame, category: str, metric: str, reach: float = 1.5)
     return df.join(bounds, category).where((F.col(metric) < F.col("lower")) | (F.col(metric) > F.col("upper"))).drop("lower", "upper")
 
 
+def numeric_columns(df: DataFrame) -> list[str]:
+    """Names of the numeric columns, by the schema."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+
+
 def label_codes(df: DataFrame, category: str, name: str = "code") -> DataFrame:
     """Categories numbered from 0 in alphabetical order."""
     distinct = df.select(category).where(F.col(category).isNotNull()).distinct()

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseloom.functions import special
-from pulseloom.functions.quantiles import exact_quantiles
+from pulseloom.functions.quantiles import exact_quantiles, nested_bins
+
+
+def _tail(of, *columns: Column) -> Column:
+    """A tail probability: one call a test, on the statistics of a whole table. Null where one is null, or degrees of freedom are below one."""
+    safe = lambda x, *d: None if x is None or any(k is None or k < 1 for k in d) else of(x, *d)
+    return F.udf(safe, "double")(*columns)
 
 
 def group_moments(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -15,13 +21,14 @@ def group_moments(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
-    """One row: groups, n, ss_between, ss_within, f, eta_squared. Nulls where a part is undefined."""
+    """One row: groups, n, ss_between, ss_within, f, eta_squared, p_value. Nulls where a part is undefined."""
     m = group_moments(df, group, value)
     total = m.agg(F.count("*").alias("groups"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"), F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0))).alias("ss_within"))
     between = m.join(F.broadcast(total.select("grand"))).agg(F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("ss_between"))  # one row
     both = total.join(F.broadcast(between))
     f = F.try_divide(F.col("ss_between") / F.nullif(F.col("groups") - 1, F.lit(0)), F.col("ss_within") / F.nullif(F.col("n") - F.col("groups"), F.lit(0)))
-    return both.select("groups", "n", "ss_between", "ss_within", f.alias("f"), F.try_divide(F.col("ss_between"), F.col("ss_between") + F.col("ss_within")).alias("eta_squared"))
+    found = both.select("groups", "n", "ss_between", "ss_within", f.alias("f"), F.try_divide(F.col("ss_between"), F.col("ss_between") + F.col("ss_within")).alias("eta_squared"))
+    return found.withColumn("p_value", _tail(special.f_tail, F.col("f"), F.col("groups") - 1, F.col("n") - F.col("groups")))
 
 
 def levene(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -34,29 +41,26 @@ def levene(df: DataFrame, group: str, value: str) -> DataFrame:
 def ranked(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, value, n, rank): average ranks of distinct values.
 
-    Values are counted first; the running count goes by blocks of a range partitioning, whose totals are few.
+    Values are counted first; the running count goes by nested bins, whose totals are few.
     """
     counts = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group, F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    ties = counts.groupBy("value").agg(F.sum("n").alias("t"))
-    span = ties.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / 4096
-    blocked = ties.join(F.broadcast(span)).select("value", "t", F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(4095))).otherwise(F.lit(0)).alias("b"))
+    ties = nested_bins(counts.groupBy("value").agg(F.sum("n").alias("t")), [], "value", "b")
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocked.groupBy("b").agg(F.sum("t").alias("bt")).select("b", F.coalesce(F.sum("bt").over(before), F.lit(0)).alias("before"))  # 4,096 rows at most
+    blocks = ties.groupBy("b").agg(F.sum("t").alias("bt")).select("b", F.coalesce(F.sum("bt").over(before), F.lit(0)).alias("before"))  # bins, not values
     inside = Window.partitionBy("b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = blocked.join(blocks, "b").select("value", "t", (F.col("before") + F.coalesce(F.sum("t").over(inside), F.lit(0)) + (F.col("t") + 1) / 2).alias("rank"))
+    ranks = ties.join(blocks, "b").select("value", "t", (F.col("before") + F.coalesce(F.sum("t").over(inside), F.lit(0)) + (F.col("t") + 1) / 2).alias("rank"))
     return counts.join(ranks, "value")
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """One row: groups, n, h (corrected for ties; null if all values are one)."""
+    """One row: groups, n, h (corrected for ties; null if all values are one), p_value."""
     r = ranked(df, group, value)
     own = r.groupBy(group).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("r"))
     sums = own.agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum(F.col("r") ** 2 / F.col("n")).alias("s"))
     ties = r.select("value", "t").distinct().agg(F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
     n = F.col("n").cast("double")
     h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / F.nullif(1 - F.col("ties") / F.nullif(n**3 - n, F.lit(0.0)), F.lit(0.0))
-    return sums.join(F.broadcast(ties)).select("groups", "n", h.alias("h"))
+    return sums.join(F.broadcast(ties)).select("groups", "n", h.alias("h")).withColumn("p_value", _tail(special.chi2_tail, F.col("h"), F.col("groups") - 1))
 
 
 def dunn(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -91,7 +95,7 @@ def normality(df: DataFrame, group: str, value: str, most: int = 5000) -> DataFr
     wilk = F.udf(lambda v: special.shapiro(list(v)), "struct<statistic:double,p_value:double>")
     shapiro = small.select("g", "n", F.lit("shapiro").alias("test"), wilk("v").alias("x")).select("g", "n", "test", "x.*")
     counted = rows.join(sizes.where(F.col("n") > most), "g").groupBy("g", "n", "v").agg(F.count("*").alias("c"))
-    counted = counted.withColumn("b", F.floor(F.greatest(F.least(F.col("v"), F.lit(40.0)), F.lit(-40.0)) * 64))
+    counted = nested_bins(counted, ["g"], "v", "b")
     blocks = counted.groupBy("g", "b").agg(F.sum("c").alias("t"))
     blocks = blocks.withColumn("before", F.coalesce(F.sum("t").over(Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     upto = F.sum("c").over(Window.partitionBy("g", "b").orderBy("v")) + F.col("before")
@@ -109,24 +113,27 @@ def normality(df: DataFrame, group: str, value: str, most: int = 5000) -> DataFr
 
 
 def compare_groups(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> dict:
-    """Which test applies, its p-value and effect: ANOVA if all groups are normal with equal variances, else Kruskal-Wallis. Less than two groups: no test.
+    """Which test applies, its p-value and effect: ANOVA if all groups are normal with equal variances, else Kruskal-Wallis,
+    then with Dunn's test of all pairs as ``post_hoc`` (a frame, not run here). Less than two groups: no test.
 
     The driver sees one row for each group and one for each test.
     """
     sizes = [r["n"] for r in group_moments(df, group, value).select("n").collect()]
-    result: dict = {"test_used": "Not enough groups", "p_value": None, "normality": None, "homoscedasticity": None, "effect_size": None, "significant": None}
+    result: dict = {"test_used": "Not enough groups", "p_value": None, "normality": None, "homoscedasticity": None, "effect_size": None, "significant": None, "post_hoc": None}
     if len(sizes) < 2:
         return result
     normal = all(r["p_value"] > alpha for r in normality(df, group, value).select("p_value").collect())
     equal = False
     if min(sizes) >= 2:
-        r = levene(df, group, value).first()
-        equal = r["f"] is not None and special.f_tail(r["f"], r["groups"] - 1, r["n"] - r["groups"]) > alpha
+        p = levene(df, group, value).first()["p_value"]
+        equal = p is not None and p > alpha
+    post_hoc = None
     if normal and equal:
         r = anova(df, group, value).first()
-        p, used, effect = special.f_tail(r["f"], r["groups"] - 1, r["n"] - r["groups"]) if r["f"] is not None else math.nan, "ANOVA", r["eta_squared"]
+        p, used, effect = r["p_value"], "ANOVA", r["eta_squared"]
     else:
-        r = kruskal(df, group, value).first()
-        p, used = special.chi2_tail(r["h"], r["groups"] - 1) if r["h"] is not None else math.nan, "Kruskal-Wallis"
+        p, used = kruskal(df, group, value).first()["p_value"], "Kruskal-Wallis"
         effect = cohens_d(df, group, value).first()["d"] if len(sizes) == 2 else None
-    return {"test_used": used, "p_value": p, "normality": normal, "homoscedasticity": equal, "effect_size": effect, "significant": p < alpha}
+        post_hoc = dunn(df, group, value)
+    p = math.nan if p is None else p
+    return {"test_used": used, "p_value": p, "normality": normal, "homoscedasticity": equal, "effect_size": effect, "significant": p < alpha, "post_hoc": post_hoc}

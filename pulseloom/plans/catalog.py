@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from pulseloom.functions import dsp
-from pulseloom.operators import balance, cluster, geometry, metrics, pulse, scoring, segments, significance, spectral, trials
+from pulseloom.operators import balance, cluster, geometry, inference, metrics, pulse, scoring, segments, significance, spectral, trials
 from pulseloom.plans.views import oracle, view
-from pulseloom.session import table
+from pulseloom.session import scratch, table
 from pulseloom.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,11 +138,11 @@ def iqr_outliers(spark, sf_dir):
     return scoring.iqr_outliers(table(spark, sf_dir, "documents"), "lang", "n_chars").select("doc_id", "lang", "n_chars")
 
 
-@query("WITH d AS (SELECT p_type AS t, dense_rank() OVER (ORDER BY p_type) - 1 AS code FROM (SELECT DISTINCT p_type FROM part) x) SELECT p_type, any_value(code)::BIGINT AS code, count(*) AS n, replace(any_value(p_type), '_', ' ') AS title FROM part JOIN d ON t = p_type GROUP BY p_type")
+@query("WITH d AS (SELECT p_type AS t, dense_rank() OVER (ORDER BY p_type) - 1 AS code FROM (SELECT DISTINCT p_type FROM part) x) SELECT p_type, any_value(code)::BIGINT AS code, count(*) AS n, list_aggregate(list_transform(string_split(replace(any_value(p_type), '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') AS title FROM part JOIN d ON t = p_type GROUP BY p_type")
 def label_codes(spark, sf_dir):
     """Alphabetical codes and titles."""
     coded = scoring.label_codes(table(spark, sf_dir, "part"), "p_type")
-    return coded.groupBy("p_type").agg(F.first("code").cast("long").alias("code"), F.count("*").alias("n")).withColumn("title", F.regexp_replace("p_type", "_", " "))
+    return coded.groupBy("p_type").agg(F.first("code").cast("long").alias("code"), F.count("*").alias("n")).withColumn("title", scoring.title_case("p_type"))
 
 
 @query("SELECT l_orderkey, l_linenumber, ~(snr)~ AS snr, ~(heart_rate)~ AS heart_rate FROM v_results WHERE heart_rate BETWEEN 48 AND 150 AND snr <> 1000 ORDER BY v_results.snr DESC, l_orderkey LIMIT 1")
@@ -233,12 +234,19 @@ def colour_regression(spark, sf_dir):
     return cluster.regression(frames.join(many, "video_id", "left_semi"), ["video_id"], "b", "r", "g")
 
 
-@query()
+@query("""WITH c AS (SELECT video_id, frame_idx, 0.5 * r + 0.5 * g - b AS c1, 0.866 * r - 0.866 * g AS c2 FROM v_frames), u AS (SELECT *, CASE WHEN atan2(c2, c1) < pi() / 3 THEN 0.5 * atan2(c2, c1) ELSE pi() / 2 - pi() / 4 - 0.25 * atan2(c2, c1) END AS turn FROM c),
+    x AS (SELECT video_id, frame_idx, sin(turn) * c1 + cos(turn) * c2 AS a, cos(turn) * c1 - sin(turn) * c2 AS b FROM u),
+    m AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS k, avg(a) OVER w AS ma, avg(b) OVER w AS mb, var_pop(a) OVER w AS va, var_pop(b) OVER w AS vb FROM x WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+    d AS (SELECT *, CASE WHEN va > 0 THEN sqrt(va) ELSE 1 END AS da, CASE WHEN vb > 0 THEN sqrt(vb) ELSE 1 END AS db, CASE WHEN va > 0 THEN 1 ELSE 1e-8 END / CASE WHEN vb > 0 THEN 1 ELSE 1e-8 END AS mix, CASE WHEN vb > 0 THEN CASE WHEN va > 0 THEN 1 ELSE 0 END END AS ratio FROM m),
+    z AS (SELECT *, CASE WHEN k >= 10 THEN 1 / da END AS wa, CASE WHEN k >= 10 THEN 1 / db END AS wb, CASE WHEN k >= 10 THEN mix / db END AS wm, CASE WHEN k >= 10 THEN -ratio / db END AS wt, CASE WHEN k >= 10 THEN ma / da END AS la, CASE WHEN k >= 10 THEN mb / db END AS lb FROM d),
+    t AS (SELECT *, coalesce(sum(wa) OVER f, 0) AS sa, coalesce(sum(wb) OVER f, 0) AS sb, coalesce(sum(wm) OVER f, 0) AS sm, coalesce(sum(wt) OVER f, 0) AS st, coalesce(sum(la) OVER f, 0) AS ga, coalesce(sum(lb) OVER f, 0) AS gb, coalesce(sum(la + mix * lb) OVER f, 0) AS gm, coalesce(sum(la - ratio * lb) OVER f, 0) AS gt FROM z WINDOW f AS (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING))
+    SELECT video_id, frame_idx::BIGINT AS frame_idx, ~(sa * a - ga)~ AS sig_org, ~(sb * b - gb)~ AS sig_oyb, ~(sa * a + sm * b - gm)~ AS sig_orgyb, ~(sa * a + st * b - gt)~ AS sig_at FROM t""", digits=4)
 def opponent_pulse(spark, sf_dir):
     """oRG, oYB, their mix and aT over opponent colours."""
     red, yellow = pulse.orgb("r", "g", "b")
     rows = view(spark, sf_dir, "v_frames").select("video_id", "frame_idx", red.alias("org"), yellow.alias("oyb"))
-    return pulse.pulse_signals(rows, ["video_id"], "frame_idx", ["org", "oyb"], 10)
+    rows = pulse.pulse_signals(rows, ["video_id"], "frame_idx", ["org", "oyb"], 10)
+    return rows.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.col("signal_oRG").alias("sig_org"), F.col("signal_oYB").alias("sig_oyb"), F.col("signal_oRGYB").alias("sig_orgyb"), F.col("signal_aT").alias("sig_at"))
 
 
 @query()
@@ -302,7 +310,7 @@ def peak_places(spark, sf_dir):
     return view(spark, sf_dir, "v_signals").select("sample_id", spectral.peaks("signal").alias("peaks"))
 
 
-@query("SELECT f AS filter, count(*) AS n FROM (SELECT unnest([" + ", ".join(f"'{m}'" for m in dsp.FILTERS) + "]) AS f, unnest([" + ", ".join("21" if m.endswith("_wt") else "1" for m in dsp.FILTERS) + "]) AS n) m, (SELECT unnest([2, 3, 4, 5, 6])) o, range(0, m.n) GROUP BY f")
+@query("SELECT f AS filter, (5 * CASE WHEN f LIKE '%\\_wt' ESCAPE '\\' THEN (SELECT sum(floor(log2(128.0 / (taps - 1)))) FROM (VALUES (2), (4), (8), (4)) w(taps)) ELSE 1 END)::BIGINT AS n FROM (SELECT unnest([" + ", ".join(f"'{m}'" for m in dsp.FILTERS) + "]) AS f) m")
 def sweep_size(spark, sf_dir):
     """Tasks of the full grid by filter, for signals of 128 samples."""
     return spectral.sweep_grid(spark, 128, wavelets=("haar", "db2", "db4", "rbio3.1")).groupBy("filter").agg(F.count("*").alias("n"))
@@ -333,11 +341,12 @@ def undersampled(spark, sf_dir):
     return balance.undersample(view(spark, sf_dir, "v_items"), "class", "item_id").select("item_id", "class")
 
 
-@query("WITH c AS (SELECT class, count(*) AS n FROM v_items GROUP BY class) SELECT class, (SELECT max(n) FROM c) AS total, n AS originals FROM c")
+@query(f"""WITH c AS (SELECT class, count(*) AS n FROM v_items GROUP BY class), k AS (SELECT class, n, unnest(range(0, (SELECT max(n) FROM c) - n)) AS k FROM c), p AS (SELECT class, ({_MIX('k')} % n)::BIGINT AS r, count(*) AS times FROM k GROUP BY ALL),
+    o AS (SELECT item_id, class, row_number() OVER (PARTITION BY class ORDER BY {_MIX('item_id')}, item_id) - 1 AS r FROM v_items) SELECT item_id, class, 1 + coalesce(times, 0) AS copies FROM o LEFT JOIN p USING (class, r)""")
 def oversampled(spark, sf_dir):
-    """Classes as large as the largest."""
+    """Classes as large as the largest: how often each row is taken."""
     rows = balance.oversample(view(spark, sf_dir, "v_items"), "class", "item_id")
-    return rows.groupBy("class").agg(F.count("*").alias("total"), F.count_if(F.col("copy") == 0).alias("originals"))
+    return rows.groupBy("item_id", "class").agg(F.count("*").alias("copies"))
 
 
 @query("WITH c AS (SELECT y, count(*) AS n FROM v_predictions GROUP BY y) SELECT y::BIGINT AS y, n AS count, ~((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n::DOUBLE))~ AS balanced, ~(1 / n::DOUBLE / (SELECT sum(1 / n::DOUBLE) FROM c))~ AS weighted FROM c")
@@ -378,18 +387,19 @@ def smote_samples(spark, sf_dir):
     return balance.smote(view(spark, sf_dir, "v_signals"), "label", "sample_id", "signal", k=5)
 
 
-@query("SELECT count(*) AS draws, count(*) AS distinct_draws FROM range(0, 5000)")
+@query(f"""WITH o AS (SELECT item_id, weight, sum(weight) OVER (ORDER BY item_id % 1024, item_id) AS hi FROM v_items WHERE weight > 0), d AS (SELECT id AS draw, ({_MIX('id')} + 0.5) / 4294967296 * (SELECT sum(weight) FROM o) AS at FROM range(0, 5000) t(id))
+    SELECT d.draw, o.item_id FROM d ASOF JOIN o ON d.at < o.hi""")
 def weighted_sampling(spark, sf_dir):
     """Draws in proportion to weight, one row each."""
-    drawn = balance.weighted_draws(view(spark, sf_dir, "v_items"), "item_id", "weight", 5000)
-    return drawn.agg(F.count("*").alias("draws"), F.countDistinct("draw").alias("distinct_draws"))
+    return balance.weighted_draws(view(spark, sf_dir, "v_items"), "item_id", "weight", 5000)
 
 
-@query("WITH n AS (SELECT count(*) AS n FROM v_predictions) SELECT b.range::BIGINT AS batch, y.y::BIGINT AS y, 16::BIGINT AS n FROM n, range(0, ceil((SELECT count(*) FROM v_predictions) / 32.0)::BIGINT) b, (SELECT DISTINCT y FROM v_predictions) y")
+@query(f"""WITH c AS (SELECT y, count(*) AS n FROM v_predictions GROUP BY y), s AS (SELECT 32 // (SELECT count(*) FROM c) AS each, ((SELECT sum(n) FROM c)::BIGINT + 31) // 32 AS batches), k AS (SELECT each, unnest(range(0, each * batches)) AS k FROM s),
+    o AS (SELECT doc_id, y, row_number() OVER (PARTITION BY y ORDER BY {_MIX('doc_id')}, doc_id) - 1 AS r FROM v_predictions) SELECT k // each AS batch, c.y::BIGINT AS y, k % each AS slot, o.doc_id FROM k CROSS JOIN c JOIN o ON o.y = c.y AND o.r = {_MIX('k')} % c.n""")
 def balanced_batches(spark, sf_dir):
     """Batches with as many rows of each class."""
     rows = balance.balanced_batches(view(spark, sf_dir, "v_predictions"), "y", "doc_id", 32)
-    return rows.groupBy("batch", F.col("y").cast("long").alias("y")).agg(F.count("*").alias("n"))
+    return rows.select("batch", F.col("y").cast("long").alias("y"), "slot", "doc_id")
 
 
 @query()
@@ -435,14 +445,34 @@ def cross_entropy(spark, sf_dir):
     return metrics.bce_loss(df, ["stage"], pos_weight=2.0)
 
 
-@query("""WITH p AS (SELECT sample_id, j, list_transform(range(0, 4), lambda i: signal[i * 16 + j + 1]::DOUBLE) AS v FROM v_signals, range(0, 16) t(j))
-    SELECT sample_id, j::INT AS j, ~(v[4])~ AS last, ~(list_avg(v))~ AS mean, ~(list_max(v))~ AS max, ~(list_min(v))~ AS min FROM p""")
+#: Attention vector of the readout query: -0.5, 0 and 0.5 in turn.
+_ATTENTION = [0.5 * (j % 3 - 1) for j in range(16)]
+
+
+@query("""WITH s AS (SELECT sample_id, t, j, signal[t * 16 + j + 1]::DOUBLE AS v FROM v_signals, range(0, 4) a(t), range(0, 16) b(j)),
+    q AS (SELECT sample_id, t, sum(0.5 * (j % 3 - 1) * v) AS q FROM s GROUP BY sample_id, t), w AS (SELECT sample_id, t, exp(q - max(q) OVER (PARTITION BY sample_id)) AS w FROM q),
+    p AS (SELECT sample_id, j, max(CASE WHEN t = 3 THEN v END) AS last, avg(v) AS mean, max(v) AS max, min(v) AS min, sum(w * v) / sum(w) AS attention FROM s JOIN w USING (sample_id, t) GROUP BY sample_id, j),
+    k AS (SELECT sample_id, 'last' AS kind, j, last AS v FROM p UNION ALL SELECT sample_id, unnest(['mean', 'avg_pool', 'mean_max', 'mean_min', 'adaptive_pool']), j, mean FROM p UNION ALL SELECT sample_id, unnest(['max', 'max_pool']), j, max FROM p
+      UNION ALL SELECT sample_id, unnest(['min', 'min_max']), j, min FROM p UNION ALL SELECT sample_id, unnest(['mean_max', 'min_max', 'adaptive_pool']), 16 + j, max FROM p UNION ALL SELECT sample_id, 'mean_min', 16 + j, min FROM p UNION ALL SELECT sample_id, 'attention', j, attention FROM p)
+    SELECT sample_id, kind, j::INT AS j, ~(v)~ AS value FROM k""")
 def state_readouts(spark, sf_dir):
-    """M1: readouts of a sequence of states."""
+    """M1: all readouts of a sequence of states."""
     rows = view(spark, sf_dir, "v_signals").select("sample_id", balance.reshape("signal", 16).alias("states"))
-    kinds = ["last", "mean", "max", "min"]
-    rows = rows.select("sample_id", F.arrays_zip(*[metrics.readout("states", k).alias(k) for k in kinds]).alias("z"))
-    return rows.select("sample_id", F.posexplode("z").alias("j", "z")).select("sample_id", "j", *[f"z.{k}" for k in kinds])
+    each = [F.struct(F.lit(k).alias("kind"), metrics.readout("states", k, _ATTENTION).alias("z")) for k in inference.READOUTS]
+    rows = rows.select("sample_id", F.explode(F.array(*each)).alias("r"))
+    return rows.select("sample_id", "r.kind", F.posexplode("r.z").alias("j", "value"))
+
+
+@query()
+def sequence_classifier(spark, sf_dir):
+    """M1 M5: probabilities by an LSTM of one layer, and over four patches by way of the encoder, with weights drawn from a seed."""
+    rng = np.random.default_rng(7)
+    draw = lambda *shape: rng.standard_normal(shape) * 0.3
+    lstm = [{"w_in": draw(32, 4), "w_state": draw(32, 8), "bias": draw(32)}]
+    layer = {"w_qkv": draw(24, 8), "b_qkv": draw(24), "w_out": draw(8, 8), "b_out": draw(8), "w_up": draw(16, 8), "b_up": draw(16), "w_down": draw(8, 16), "b_down": draw(8), "scale1": np.ones(8), "shift1": np.zeros(8), "scale2": np.ones(8), "shift2": np.zeros(8)}
+    weights = {"lstm": lstm, "encoder": [layer], "heads": 2, "attention": draw(8), "fc": draw(8), "bias": 0.1}
+    rows = view(spark, sf_dir, "v_signals")
+    return rows.select("sample_id", "label", inference.classify("signal", 4, weights, "attention").alias("whole"), inference.classify("signal", 4, weights, "mean", patches=4).alias("patches"))
 
 
 @query("SELECT p.range::BIGINT AS position, j.range::INT AS j, ~(CASE WHEN j.range % 2 = 0 THEN sin(p.range * exp(-ln(10000.0) * (j.range - j.range % 2) / 8)) ELSE cos(p.range * exp(-ln(10000.0) * (j.range - j.range % 2) / 8)) END)~ AS value FROM range(0, 32) p, range(0, 8) j")
@@ -457,32 +487,36 @@ _GROUPS = "x AS (SELECT signal_type AS g, snr AS v FROM v_results)"
 
 
 @query(f"""WITH {_GROUPS}, m AS (SELECT g, count(*) AS n, avg(v) AS m, var_samp(v) AS s FROM x GROUP BY g), t AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m) / sum(n) AS a FROM m), b AS (SELECT sum(n * (m - (SELECT a FROM t)) ** 2) AS b, sum((n - 1) * s) AS w FROM m)
-    SELECT k AS groups, n::BIGINT AS n, ~(b)~ AS ss_between, ~(w)~ AS ss_within, ~(b / (k - 1) / (w / (n - k)))~ AS f, ~(b / (b + w))~ AS eta_squared FROM t, b""", digits=3)
+    SELECT k AS groups, n::BIGINT AS n, ~(b)~ AS ss_between, ~(w)~ AS ss_within, ~(b / (k - 1) / (w / (n - k)))~ AS f, ~(b / (b + w))~ AS eta_squared, ~(pow(1 + (k - 1) * (b / (k - 1) / (w / (n - k))) / (n - k), -(n - k) / 2e0))~ AS p_value FROM t, b WHERE k = 3""", digits=3)
 def anova_table(spark, sf_dir):
     """T5: analysis of variance."""
     return significance.anova(view(spark, sf_dir, "v_results"), "signal_type", "snr")
 
 
 @query(f"""WITH {_GROUPS}, d AS (SELECT x.g, abs(v - md) AS v FROM x JOIN (SELECT g, median(v) AS md FROM x GROUP BY g) q ON q.g = x.g), m AS (SELECT g, count(*) AS n, avg(v) AS m, var_samp(v) AS s FROM d GROUP BY g),
-    t AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m) / sum(n) AS a FROM m), b AS (SELECT sum(n * (m - (SELECT a FROM t)) ** 2) AS b, sum((n - 1) * s) AS w FROM m) SELECT k AS groups, n::BIGINT AS n, ~(b / (k - 1) / (w / (n - k)))~ AS f FROM t, b""", digits=4)
+    t AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m) / sum(n) AS a FROM m), b AS (SELECT sum(n * (m - (SELECT a FROM t)) ** 2) AS b, sum((n - 1) * s) AS w FROM m) SELECT k AS groups, n::BIGINT AS n, ~(b / (k - 1) / (w / (n - k)))~ AS f, ~(pow(1 + (k - 1) * (b / (k - 1) / (w / (n - k))) / (n - k), -(n - k) / 2e0))~ AS p_value FROM t, b WHERE k = 3""", digits=4)
 def levene_test(spark, sf_dir):
     """T4: equality of spreads."""
-    return significance.levene(view(spark, sf_dir, "v_results"), "signal_type", "snr").select("groups", "n", "f")
+    return significance.levene(view(spark, sf_dir, "v_results"), "signal_type", "snr").select("groups", "n", "f", "p_value")
 
 
 _RANKS = "q AS (SELECT l_returnflag AS g, l_quantity AS v FROM lineitem), r AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY v)::DOUBLE AS t FROM q), ti AS (SELECT sum(t * t - 1) AS c, count(*)::DOUBLE AS n FROM r), o AS (SELECT g, count(*)::DOUBLE AS n, sum(r)::DOUBLE AS s FROM r GROUP BY g)"
 
 
-@query(f"WITH {_RANKS} SELECT count(*) AS groups, sum(o.n)::BIGINT AS n, ~((12 / (any_value(ti.n) * (any_value(ti.n) + 1)) * sum(s * s / o.n) - 3 * (any_value(ti.n) + 1)) / (1 - any_value(c) / (any_value(ti.n) ** 3 - any_value(ti.n))))~ AS h FROM o, ti", digits=4)
+@query(f"WITH {_RANKS}, k AS (SELECT count(*) AS groups, sum(o.n)::BIGINT AS n, (12 / (any_value(ti.n) * (any_value(ti.n) + 1)) * sum(s * s / o.n) - 3 * (any_value(ti.n) + 1)) / (1 - any_value(c) / (any_value(ti.n) ** 3 - any_value(ti.n))) AS h FROM o, ti) SELECT groups, n, ~(h)~ AS h, ~(exp(-h / 2))~ AS p_value FROM k WHERE groups = 3", digits=4)
 def kruskal_test(spark, sf_dir):
-    """Ranks of groups, corrected for ties."""
+    """Ranks of groups, corrected for ties, with the chi-squared tail (of three groups: exp(-h / 2))."""
     return significance.kruskal(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
 
 
-@query(f"WITH {_RANKS} SELECT a.g AS group_a, b.g AS group_b, ~((a.s / a.n - b.s / b.n) / sqrt((ti.n * (ti.n + 1) / 12 - c / (12 * (ti.n - 1))) * (1 / a.n + 1 / b.n)))~ AS z FROM o a, o b, ti WHERE a.g < b.g", digits=4)
+#: Two-sided normal tail of a column z by Simpson's rule.
+_TAIL = "2 * greatest(0.5 - least(abs(z), 10) / 2400 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 801), lambda i: (CASE WHEN i IN (0, 800) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * (i * least(abs(z), 10) / 800) ** 2))), 0)"
+
+
+@query(f"WITH {_RANKS}, d AS (SELECT a.g AS group_a, b.g AS group_b, (a.s / a.n - b.s / b.n) / sqrt((ti.n * (ti.n + 1) / 12 - c / (12 * (ti.n - 1))) * (1 / a.n + 1 / b.n)) AS z FROM o a, o b, ti WHERE a.g < b.g) SELECT group_a, group_b, ~(z)~ AS z, ~(least(1, {_TAIL} * (SELECT count(*) FROM d)))~ AS p_adjusted FROM d", digits=4)
 def dunn_test(spark, sf_dir):
-    """Pairs of groups after a rank test."""
-    return significance.dunn(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity").select("group_a", "group_b", "z")
+    """Pairs of groups after a rank test, two-sided, with Bonferroni's adjustment."""
+    return significance.dunn(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
 
 
 @query("WITH m AS (SELECT filter AS g, avg(snr) AS m, var_samp(snr) AS s FROM v_results GROUP BY filter ORDER BY filter) SELECT ~((first(m ORDER BY g) - last(m ORDER BY g)) / sqrt(avg(s)))~ AS d FROM m HAVING count(*) = 2")
@@ -499,10 +533,15 @@ def normality_tests(spark, sf_dir):
 
 @query()
 def group_comparison(spark, sf_dir):
-    """Which test applies, and its outcome, for both metrics."""
-    df = view(spark, sf_dir, "v_results")
-    rows = [(m, *(significance.compare_groups(df, "signal_type", m)[k] for k in ("test_used", "p_value", "significant"))) for m in ("snr", "heart_rate")]
-    return spark.createDataFrame(rows, "metric string, test_used string, p_value double, significant boolean")
+    """Which test applies to both metrics, its outcome, and the pairs of groups that it then compares."""
+    df, out = view(spark, sf_dir, "v_results"), None
+    for metric in ("snr", "heart_rate"):
+        r = significance.compare_groups(df, "signal_type", metric)
+        head = spark.createDataFrame([(metric, r["test_used"], r["p_value"], r["significant"])], "metric string, test_used string, p_value double, significant boolean")
+        pairs = r["post_hoc"] if r["post_hoc"] is not None else spark.createDataFrame([(None,) * 4], "group_a string, group_b string, z double, p_adjusted double")
+        rows = pairs.join(F.broadcast(head))  # one row
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("metric", "test_used", "p_value", "significant", "group_a", "group_b", "z", "p_adjusted")
 
 
 @query("WITH m AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s FROM customer) SELECT c_custkey, ~((c_acctbal - m) / s)~ AS c_acctbal_z FROM customer, m")
@@ -511,6 +550,14 @@ def standardised(spark, sf_dir):
     return cluster.standardise(table(spark, sf_dir, "customer"), ["c_acctbal"]).select("c_custkey", "c_acctbal_z")
 
 
+@query("SELECT 'p_partkey' AS name, ~(avg(p_partkey))~ AS mean FROM part UNION ALL SELECT 'p_size', ~(avg(p_size))~ FROM part UNION ALL SELECT 'p_retailprice', ~(avg(p_retailprice))~ FROM part", digits=4)
+def numeric_means(spark, sf_dir):
+    """means of the numeric columns."""
+    df = table(spark, sf_dir, "part")
+    row = df.agg(*[F.avg(c).alias(c) for c in scoring.numeric_columns(df)])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("mean")) for c in row.columns])).alias("x")).select("x.*")
+
+
 @query()
 def kmeans_clusters(spark, sf_dir):
     """Clusters of standardised metrics with size, centre and variance."""
@@ -537,6 +584,13 @@ def hulls(spark, sf_dir):
     return cluster.convex_hull(table(spark, sf_dir, "part"), "p_brand", "p_size", "p_retailprice")
 
 
+@query()
+def centre_cells(spark, sf_dir):
+    """Voronoi cells of cluster centres."""
+    centres = cluster.cluster_stats(table(spark, sf_dir, "part"), "p_brand", ["p_size", "p_retailprice"])
+    return cluster.voronoi_cells(centres, "p_brand", "centre_p_size", "centre_p_retailprice", (0.0, 0.0, 60.0, 3000.0))
+
+
 # --- geometry, tracking ----------------------------------------------------------------------------
 
 _GRID = "g AS (SELECT (range % 16)::INT AS x, (range // 16)::INT AS y FROM range(0, 256)), t AS (SELECT n_nationkey AS k, n_nationkey % 5 AS x0, n_nationkey % 7 AS y0 FROM nation)"
@@ -648,10 +702,10 @@ def suggested_trials(spark, sf_dir):
     return trials.suggest(spark, space, 100, conditions={"heads": ("cell", "transformer")})
 
 
-@query("SELECT split_part(url, '/', 3) AS subfolder, count(*) AS n FROM pages GROUP BY 1")
+@query("WITH p AS (SELECT string_split(url, '/') AS p FROM pages) SELECT CASE WHEN len(p) > 2 THEN p[-3] END AS subfolder, CASE WHEN len(p) > 1 THEN p[-2] END AS roi_type, regexp_replace(p[-1], '[.][^.]*$', '') AS video_name, count(*) AS n FROM p GROUP BY ALL")
 def path_dimensions(spark, sf_dir):
     """Dimensions from paths."""
-    return table(spark, sf_dir, "pages").select(F.split("url", "/")[2].alias("subfolder")).groupBy("subfolder").agg(F.count("*").alias("n"))
+    return files.path_columns(table(spark, sf_dir, "pages"), ["subfolder", "roi_type"], "url").groupBy("subfolder", "roi_type", "video_name").agg(F.count("*").alias("n"))
 
 
 @query("SELECT regexp_replace(url, '/[^/]*$', '') AS folder, count(*) AS n, min(url) AS first FROM pages GROUP BY 1")
@@ -660,6 +714,25 @@ def files_by_folder(spark, sf_dir):
     return files.by_folder(table(spark, sf_dir, "pages"), "url").select("folder", "n", F.col("files")[0].alias("first"))
 
 
+@query("SELECT sample_id, concat('r', cast(kind % 3 AS VARCHAR)) AS region, label, len(signal) AS n FROM v_signals WHERE label = 1 AND kind % 3 IN (0, 2)")
+def scanned_signals(spark, sf_dir):
+    """Signals written by split and region, and scanned with both pushed down."""
+    rows = view(spark, sf_dir, "v_signals").select("sample_id", F.concat(F.lit("r"), (F.col("kind") % 3).cast("string")).alias("region"), F.when(F.col("label") == 1, "train").otherwise("val").alias("split"), "label", "signal")
+    folder = scratch(spark, "signals")
+    files.save(rows, folder, ["split", "region"])
+    return files.scan_signals(spark, folder, "train", ["r0", "r2"]).select("sample_id", "region", "label", F.size("signal").alias("n"))
+
+
+@query("""SELECT 'results' AS roi_type, concat('region', cast(region_id AS VARCHAR)) AS subfolder, count(*) AS n, ~(max(snr))~ AS best FROM v_results WHERE snr > 20 GROUP BY region_id""", digits=4)
+def scanned_results(spark, sf_dir):
+    """Sorted results written as CSV by folder, and read back with their folders as columns."""
+    rows = view(spark, sf_dir, "v_results").where("snr > 20").select("signal_type", "heart_rate", "snr", "wavelet", F.lit(1).alias("wavelet_level"), "filter", "filter_order", F.concat(F.lit("region"), F.col("region_id").cast("string")).alias("region"), F.lit(-1).alias("patch_idx"))
+    folder = scratch(spark, "results")
+    files.save_results(rows, folder)
+    found = files.path_columns(files.scan_csv(spark, folder, files.RESULT_SCHEMA), ["subfolder", "roi_type"])
+    return found.groupBy("roi_type", "subfolder").agg(F.count("*").alias("n"), F.max("snr").alias("best"))
+
+
 @query("SELECT o_orderkey AS item_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def pending_jobs(spark, sf_dir):
     """K2 K3: jobs that aren't done yet."""

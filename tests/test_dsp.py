@@ -84,7 +84,7 @@ def test_peaks(x, distance, want):
     assert dsp.find_peaks(np.array(x, float), distance).tolist() == want
 
 
-@pytest.mark.parametrize("name", ["haar", "db2", "db3", "db4", "db8", "rbio3.1", "bior3.1"])
+@pytest.mark.parametrize("name", ["haar", "db2", "db3", "db4", "db8", "sym3", *(f"{f}{n}" for f in ("bior", "rbio") for n in dsp.SPLINES)])
 @pytest.mark.parametrize("n", [16, 50, 127, 128])
 def test_wavelets_reconstruct(name, n):
     x = RNG.standard_normal((3, n))
@@ -101,6 +101,14 @@ def test_daubechies_two_taps_and_moments():
         assert low @ low == pytest.approx(1, abs=1e-6) and dsp.wavelet(f"db{n}")[1].sum() == pytest.approx(0, abs=1e-6)
 
 
+def test_biorthogonal_values():
+    half = 1 / (2 * np.sqrt(2))
+    assert dsp.wavelet("bior2.2")[0] == pytest.approx(np.array([0, -0.5, 1, 3, 1, -0.5]) * half)
+    assert dsp.wavelet("bior2.2")[2] == pytest.approx(np.array([0, 1, 2, 1, 0, 0]) * half)
+    assert dsp.wavelet("bior4.4")[0][5] == pytest.approx(0.8526986790088938) and dsp.wavelet("bior4.4")[2][4] == pytest.approx(0.7884856164055829)
+    assert dsp.wavelet("rbio2.2")[0] == pytest.approx(dsp.wavelet("bior2.2")[2][::-1])
+
+
 def test_denoising_helps():
     clean = tone(4)
     noisy = clean + 0.3 * RNG.standard_normal(clean.shape)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseloom.functions import special
-from pulseloom.functions.quantiles import exact_quantiles
+from pulseloom.functions.quantiles import exact_quantiles, nested_bins
 from pulseloom.operators import balance, cluster, geometry, metrics, pulse, scoring, segments, significance, spectral, trials
 from pulseloom.sources import files
 from pulseloom.streaming import segmenter
@@ -186,10 +186,11 @@ def test_comparisons(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"g": np.repeat(["a", "b", "c"], 60), "v": np.concatenate([rng.normal(m, 1, 60) for m in (0, 0, 2)])})
     r = significance.compare_groups(spark.createDataFrame(pdf), "g", "v")
-    assert r["test_used"] == "ANOVA" and r["significant"] and 0.3 < r["effect_size"] < 0.9
+    assert r["test_used"] == "ANOVA" and r["significant"] and 0.3 < r["effect_size"] < 0.9 and r["post_hoc"] is None
     pdf["v"] = np.exp(3 * pdf["v"])
     r = significance.compare_groups(spark.createDataFrame(pdf), "g", "v")
     assert r["test_used"] == "Kruskal-Wallis" and r["significant"]
+    assert {(x["group_a"], x["group_b"]) for x in r["post_hoc"].collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
     pairs = {(x["group_a"], x["group_b"]): x["p_adjusted"] for x in significance.dunn(spark.createDataFrame(pdf), "g", "v").collect()}
     assert pairs["a", "c"] < 0.001 and pairs["b", "c"] < 0.001 and pairs["a", "b"] > 0.05
     assert significance.compare_groups(spark.createDataFrame(pdf[pdf.g == "a"]), "g", "v")["test_used"] == "Not enough groups"
@@ -197,6 +198,81 @@ def test_comparisons(spark):
     assert all(x["test"] == "ks" and 0 <= x["statistic"] <= 1 for x in big.collect())
 
 
+def test_an_outlier_leaves_no_crowded_bin(spark):
+    rng = np.random.default_rng(3)
+    values = [*rng.random(5000).tolist(), 1e12, -1e9]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    got = nested_bins(rows, [], "v", bins=64, crowd=100)
+    sizes = [r["count"] for r in got.groupBy("_b").count().collect()]
+    assert max(sizes) <= 150 and sum(sizes) == len(values)
+    order = [r["v"] for r in got.orderBy("_b", "v").collect()]
+    assert order == sorted(values)
+    keyed = nested_bins(rows.selectExpr("v", "CAST(v > 0.5 AS INT) AS k"), ["k"], "v", bins=64, crowd=100)
+    assert max(r["count"] for r in keyed.groupBy("k", "_b").count().collect()) <= 150
+    assert nested_bins(rows.limit(0), [], "v").collect() == []
+
+
+def test_quantiles_and_ranks_with_an_outlier(spark, monkeypatch):
+    from pulseloom.functions import quantiles
+
+    monkeypatch.setattr(quantiles.nested_bins, "__defaults__", ("_b", 32, 20))
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(0, 1, 900), [1e9, -1e7], np.repeat(0.25, 60)])
+    pdf = pd.DataFrame({"g": np.arange(len(v)) % 3, "v": v})
+    df = spark.createDataFrame(pdf)
+    for r in exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.99], list("abc")).collect():
+        np.testing.assert_allclose([r["a"], r["b"], r["c"]], np.quantile(pdf.v[pdf.g == r["g"]], [0.1, 0.5, 0.99]))
+    want = pdf.v.rank()
+    got = {r["value"]: r["rank"] for r in significance.ranked(df, "g", "v").collect()}
+    assert all(got[x] == k for x, k in zip(pdf.v, want))
+
+
+# --- inference
+
+def test_lstm_step_by_step():
+    from pulseloom.operators import inference
+
+    rng = np.random.default_rng(1)
+    w = {"w_in": rng.standard_normal((12, 2)), "w_state": rng.standard_normal((12, 3)), "bias": rng.standard_normal(12)}
+    x = rng.standard_normal((2, 5, 2))
+    got = inference.lstm_states(x, [w])
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    for row in range(2):
+        h, c = [0.0] * 3, [0.0] * 3
+        for t in range(5):
+            z = [sum(w["w_in"][g, k] * x[row, t, k] for k in range(2)) + sum(w["w_state"][g, k] * h[k] for k in range(3)) + w["bias"][g] for g in range(12)]
+            c = [sig(z[3 + k]) * c[k] + sig(z[k]) * math.tanh(z[6 + k]) for k in range(3)]
+            h = [sig(z[9 + k]) * math.tanh(c[k]) for k in range(3)]
+            np.testing.assert_allclose(got[row, t], h)
+
+
+def test_encoder_and_classifier(spark):
+    from pulseloom.operators import inference
+
+    rng = np.random.default_rng(2)
+    d = lambda *s: rng.standard_normal(s)
+    layer = {"w_qkv": d(12, 4), "b_qkv": d(12), "w_out": d(4, 4), "b_out": d(4), "w_up": d(6, 4), "b_up": d(6), "w_down": d(4, 6), "b_down": d(4), "scale1": d(4), "shift1": d(4), "scale2": d(4), "shift2": d(4)}
+    x = d(1, 3, 4)
+    norm = lambda v, a, b: (v - v.mean()) / math.sqrt(v.var() + 1e-5) * a + b
+    q, k, v = (x[0] @ layer["w_qkv"][4 * i : 4 * i + 4].T + layer["b_qkv"][4 * i : 4 * i + 4] for i in range(3))
+    for p in range(3):
+        mixed = np.zeros(4)
+        for head in (slice(0, 2), slice(2, 4)):
+            e = np.array([math.exp(q[p, head] @ k[o, head] / math.sqrt(2)) for o in range(3)])
+            mixed[head] = sum(e[o] / e.sum() * v[o, head] for o in range(3))
+        y = norm(x[0, p] + layer["w_out"] @ mixed + layer["b_out"], layer["scale1"], layer["shift1"])
+        y = norm(y + layer["w_down"] @ np.maximum(layer["w_up"] @ y + layer["b_up"], 0) + layer["b_down"], layer["scale2"], layer["shift2"])
+        np.testing.assert_allclose(inference.encoder(x, [layer], 2)[0, p], y)
+    weights = {"lstm": [{"w_in": d(16, 2), "w_state": d(16, 4), "bias": d(16)}], "encoder": [layer], "heads": 2, "attention": d(4), "fc": d(4), "bias": 0.5}
+    rows = spark.createDataFrame([(1, [0.1] * 8), (2, [0.2] * 24), (3, None), (4, []), (5, [1.0] * 7), (6, [NAN] * 8)], "id int, x array<double>")
+    got = {r["id"]: (r["a"], r["b"]) for r in rows.select("id", inference.classify("x", 2, weights, "last").alias("a"), inference.classify("x", 2, weights, "max", patches=4).alias("b")).collect()}
+    assert got[1][0] == pytest.approx(1 / (1 + math.exp(-inference.forward(np.full((1, 4, 2), 0.1), weights)[0])))
+    assert got[2][1] == pytest.approx(1 / (1 + math.exp(-inference.forward(np.full((1, 4, 3, 2), 0.2), weights, "max")[0])))
+    assert all(got[k] == (None, None) for k in (3, 4, 5, 6))
+    with pytest.raises(ValueError):
+        inference.classify("x", 2, weights, "median")
+
+
 # --- balancing
 
 @pytest.mark.parametrize("n", [0, 1, 4, 5, 99, 1000])
@@ -245,16 +321,46 @@ def test_metrics_edges(spark):
     assert metrics.bce_loss(big, ["stage"]).first()["loss"] == 0
 
 
-@pytest.mark.parametrize("kind, want", [("last", [3, 0]), ("mean", [2, 1]), ("max", [3, 2]), ("min", [1, 0]), ("mean_max", [2, 1, 3, 2]), ("min_max", [1, 0, 3, 2]), ("avg_pool", [2, 1]), ("max_pool", [3, 2]), ("adaptive_pool", [2, 1])])
+@pytest.mark.parametrize("kind, want", [("last", [3, 0]), ("mean", [2, 1]), ("max", [3, 2]), ("min", [1, 0]), ("mean_max", [2, 1, 3, 2]), ("min_max", [1, 0, 3, 2]), ("avg_pool", [2, 1]), ("max_pool", [3, 2]), ("adaptive_pool", [2, 1, 3, 2])])
 def test_readouts(spark, kind, want):
     df = spark.createDataFrame([([[1.0, 2.0], [2.0, 1.0], [3.0, 0.0]],)], "s array<array<double>>")
     assert df.select(metrics.readout("s", kind)).first()[0] == want
     w = np.exp(np.array([3.0, 6.0, 9.0]) - 9)
-    assert df.select(metrics.readout("s", "attention")).first()[0] == pytest.approx((w / w.sum() @ np.array([[1, 2], [2, 1], [3, 0]])).tolist())
+    assert df.select(metrics.readout("s", "attention", [3.0, 0.0])).first()[0] == pytest.approx((w / w.sum() @ np.array([[1, 2], [2, 1], [3, 0]])).tolist())
 
 
 # --- geometry, clusters, trials, files
 
+def test_voronoi_cells(spark):
+    rng = np.random.default_rng(5)
+    points = rng.random((7, 2)) * 10
+    rows = [(k, float(a), float(b)) for k, (a, b) in enumerate(points)]
+    got = cluster.voronoi_cells(spark.createDataFrame(rows, "c int, x double, y double"), "c", "x", "y", (0.0, 0.0, 10.0, 10.0)).toPandas()
+    area = 0.0
+    for c, cell in got.sort_values("i").groupby("c"):
+        xs, ys = cell.x.to_numpy(), cell.y.to_numpy()
+        area += (xs * np.roll(ys, -1) - ys * np.roll(xs, -1)).sum() / 2
+        inside = np.array([xs.mean(), ys.mean()])  # cells are convex
+        assert np.argmin(((points - inside) ** 2).sum(1)) == c
+        for a, b in zip(xs, ys):  # corners are as near to their own centre as to any other
+            far = np.sqrt(((points - [a, b]) ** 2).sum(1))
+            assert far[c] <= far.min() + 1e-9
+    assert area == pytest.approx(100)
+
+
+def test_result_files(spark, tmp_path):
+    rows = [("POS", 70.0 + k, float(k), "db2", 1, "butter", 2, f"r{k % 2}", -1) for k in range(10)]
+    df = spark.createDataFrame(rows, files.RESULT_SCHEMA)
+    files.save_results(df, f"{tmp_path}/out")
+    back = files.path_columns(files.scan_csv(spark, f"{tmp_path}/out", files.RESULT_SCHEMA), ["subfolder", "roi_type"])
+    assert sorted((r["subfolder"], r["roi_type"], r["snr"]) for r in back.collect()) == sorted((r[7], "results", r[2]) for r in rows)
+    with pytest.raises(TypeError):
+        files.save_results(df.withColumn("snr", F.col("snr").cast("string")), f"{tmp_path}/no")
+    held = spark.createDataFrame([(1, {"a": 0.5}, {"lr": "0.1"})], "trial_id long, metrics map<string,double>, params map<string,string>")
+    files.save_json(held, f"{tmp_path}/json")
+    assert files.load_json(spark, f"{tmp_path}/json", held.schema).collect() == held.collect()
+
+
 def test_polygons_and_hulls(spark):
     points = spark.createDataFrame([(1, float(x), float(y)) for x, y in ((0, 0), (4, 0), (4, 4), (0, 4), (2, 2), (0, 0))], "k int, x double, y double")
     hull = cluster.convex_hull(points, "k", "x", "y").orderBy("i").collect()
