@@ -6,7 +6,12 @@ shards of the context's hash. Blocks hold distinct n-grams, so a hot context wei
 no more than its distinct successors. A shard merges its blocks and writes its
 n-grams as a sorted hash array beside an array of counts, and its contexts likewise;
 it sends on, merged again, each suffix with its number of distinct left extensions,
-which is what the next lower order counts.
+which is what the next lower order counts. What it sends on is stored, and the files of the shuffle
+before are given back, so only one order's n-grams are in flight at a time. There are as many shards as
+the texts' bytes ask for, so a shard stays as small however many texts there are.
+
+An n-gram is known by the 64-bit hash of its words' 64-bit hashes: two of the n different n-grams of a shard
+fall together with a chance of n**2 / 2**65, which is 4e-7 for four million.
 
 Scoring: workers map the shards' arrays into memory, look up the distinct n-grams of a
 block of texts by binary search, and combine the orders:
@@ -33,7 +38,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulseloom.llm.store import fresh_path, local_or_fs
+from pulseloom.llm.store import fresh_path, local_or_fs, stored
 
 BEGIN = np.uint64(xxhash.xxh3_64_intdigest(b" begin"))
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
@@ -96,22 +101,20 @@ def _planes(values: np.ndarray) -> bytes:
 
 
 def pack(columns: list[np.ndarray], values: list[np.ndarray]) -> bytes:
-    """Rows of word hashes and counts as a compressed block: each column as its sorted distinct hashes (differences) and places, by bytes of equal weight."""
+    """Rows of word hashes and counts as a compressed block: the sorted distinct hashes of all columns (differences), each column's places among them, by bytes of equal weight."""
     rows = np.lexsort(columns[::-1])
-    parts, head = [], [len(rows), len(columns), len(values)]
-    for c in columns:
-        every, place = np.unique(c[rows], return_inverse=True)
-        head.append(len(every))
-        parts += [_planes(np.diff(every, prepend=np.uint64(0))), _planes(place.astype("<u4"))]
+    every, place = np.unique(np.concatenate(columns), return_inverse=True)
+    head = [len(rows), len(columns), len(values), len(every)]
+    parts = [_planes(np.diff(every, prepend=np.uint64(0)))]
+    parts += [_planes(p[rows].astype("<u4")) for p in place.reshape(len(columns), -1)]
     parts += [_planes(v[rows].astype("<u8")) for v in values]
     return zstandard.ZstdCompressor(level=1).compress(np.array(head, "<i8").tobytes() + b"".join(parts))
 
 
 def unpack(block: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     raw = zstandard.ZstdDecompressor().decompress(block)
-    rows, n_columns, n_values = np.frombuffer(raw, "<i8", 3).tolist()
-    sizes = np.frombuffer(raw, "<i8", n_columns, 24).tolist()
-    at = 24 + 8 * n_columns
+    rows, n_columns, n_values, distinct = np.frombuffer(raw, "<i8", 4).tolist()
+    at = 32
 
     def take(n: int, width: int) -> np.ndarray:
         nonlocal at
@@ -119,10 +122,8 @@ def unpack(block: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
         at += n * width
         return np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(-1)
 
-    columns = []
-    for n in sizes:
-        every = np.cumsum(take(n, 8), dtype=np.uint64)
-        columns.append(every[take(rows, 4)])
+    every = np.cumsum(take(distinct, 8), dtype=np.uint64)
+    columns = [every[take(rows, 4)] for _ in range(n_columns)]
     return columns, [take(rows, 8).astype(np.int64) for _ in range(n_values)]
 
 
@@ -173,7 +174,8 @@ def count_texts(texts: DataFrame, order: int, bits: int) -> DataFrame:
     return texts.mapInArrow(run, SENT)
 
 
-CONTEXT = np.dtype([("total", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
+#: Of a context: the sum of its n-grams' counts, and how many have the counts 1, 2, and more.
+CONTEXT = 4
 NUMBERS = 7  # of one order and shard: n-grams with counts 1, 2, 3, 4; sum of counts; n-grams; sum of raw counts
 
 
@@ -189,7 +191,8 @@ def _write(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 def _counts_as_files(name: str, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Counts as bytes; those from 255 on by position."""
+    """Counts as bytes; those from 255 on by position. Rows of several counts lie one after the other."""
+    counts = counts.reshape(-1)
     large = np.flatnonzero(counts >= 255)
     return {name: np.minimum(counts, 255).astype(np.uint8), f"{name}at": large.astype("<u8"), f"{name}big": counts[large].astype("<u8")}
 
@@ -222,10 +225,8 @@ def merge_shards(blocks: DataFrame, order: int, folder: str, bits: int) -> DataF
             context = combine(columns[:-1], len(gram))
             at = np.argsort(context, kind="stable")
             first = _starts(context[at])
-            table = np.empty(len(first), CONTEXT)
-            for name, v in zip(CONTEXT.names, (count, seen[0], seen[1], (count > 2).astype(np.int64))):
-                table[name] = np.add.reduceat(v[at], first)
-            _write(folder, f"c{order}-{shard:05d}", {"gram": context[at][first], "table": table})
+            table = np.stack([np.add.reduceat(v[at], first) for v in (count, seen[0], seen[1], (count > 2).astype(np.int64))], 1)
+            _write(folder, f"c{order}-{shard:05d}", {"gram": context[at][first]} | _counts_as_files("table", table))
             del context, at, table
             _, suffix, sums = merge(columns[1:], [np.ones(len(gram), np.int64), raw])
             out.append(_blocks(suffix, sums, bits))
@@ -267,6 +268,11 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([min(max(x, 0.01), k - 0.01) for k, x in enumerate(d, 1)])
 
 
+#: Bytes of text to a shard: some four million tokens.
+SHARD_BYTES = 24_000_000
+GIVE_BACK = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def train(texts: DataFrame, order: int = 2, bits: int | None = None, folder: str | None = None) -> Model:
     """A model from a single text column. Null texts are empty; repeated rows count each; an empty table gives a model without n-grams."""
     if order < 2:
@@ -274,14 +280,25 @@ def train(texts: DataFrame, order: int = 2, bits: int | None = None, folder: str
     spark = texts.sparkSession
     folder = folder or fresh_path(spark, "kneser-ney")
     if bits is None:
-        bits = max(3, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() - 1)
-    blocks = count_texts(texts, order, bits)
-    for k in range(order, 0, -1):
-        blocks = merge_shards(blocks, k, folder, bits)
-    numbers = {k: [0] * NUMBERS for k in range(1, order + 1)}
-    for row in blocks.select("block").collect():  # eight numbers for each order and shard
-        k, *own = np.frombuffer(bytes(row["block"]), "<i8").tolist()
-        numbers[k] = [a + b for a, b in zip(numbers[k], own)]
+        size = texts.agg(F.sum(F.octet_length(F.col(texts.columns[0])))).first()[0] or 0
+        bits = max(3, (size // SHARD_BYTES).bit_length())
+    before = spark.conf.get(GIVE_BACK, "false")
+    spark.conf.set(GIVE_BACK, "true")
+    try:
+        blocks = count_texts(texts, order, bits)
+        for k in range(order, 0, -1):
+            blocks = stored(merge_shards(blocks, k, folder, bits), f"order-{k}")
+    finally:
+        spark.conf.set(GIVE_BACK, before)
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8").reshape(-1, 1 + NUMBERS)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T.copy()], names=names)
+
+    names = ["k", *(f"n{i}" for i in range(NUMBERS))]
+    sums = blocks.select("block").mapInArrow(decoded, ", ".join(f"{x} long" for x in names)).groupBy("k").agg(*[F.sum(x).alias(x) for x in names[1:]])
+    numbers = {k: [0] * NUMBERS for k in range(1, order + 1)} | {r["k"]: list(r)[1:] for r in sums.collect()}  # one row an order
     return Model(folder, order, bits, numbers)
 
 
@@ -324,21 +341,26 @@ class Arrays:
                 hit = held[where] == key[at]
                 yield name, at[hit], where[hit]
 
+    def read(self, name: str, places: np.ndarray) -> np.ndarray:
+        """Counts at the given places of an array that ``_counts_as_files`` made."""
+        got = self.get(name, np.uint8)[places].astype(np.int64)
+        big = np.flatnonzero(got == 255)
+        if len(big):
+            got[big] = self.get(f"{name}big", "<u8")[np.searchsorted(self.get(f"{name}at", "<u8"), places[big])]
+        return got
+
     def counts(self, stem: str, kinds: tuple[str, ...], key: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
         out = [np.zeros(len(key), np.int64) for _ in kinds]
         for name, at, where in self.places(stem, key, shard):
             for kind, to in zip(kinds, out):
-                got = self.get(f"{name}-{kind}", np.uint8)[where].astype(np.int64)
-                big = np.flatnonzero(got == 255)
-                if len(big):
-                    got[big] = self.get(f"{name}-{kind}big", "<u8")[np.searchsorted(self.get(f"{name}-{kind}at", "<u8"), where[big])]
-                to[at] = got
+                to[at] = self.read(f"{name}-{kind}", where)
         return out
 
     def contexts(self, stem: str, key: np.ndarray, shard: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(key), CONTEXT)
+        """Rows of total, n1, n2, n3."""
+        out = np.zeros((len(key), CONTEXT), np.int64)
         for name, at, where in self.places(stem, key, shard):
-            out[at] = self.get(f"{name}-table", CONTEXT)[where]
+            out[at] = self.read(f"{name}-table", (CONTEXT * where[:, None] + np.arange(CONTEXT)).reshape(-1)).reshape(-1, CONTEXT)
         return out
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -366,8 +388,8 @@ class Arrays:
             (count,) = self.counts(f"n{k}", ("count",), key, shard)
             held = self.contexts(f"c{k}", combine(distinct[:-1], len(at)), shard)
             d = model.discounts(k)
-            total = np.maximum(held["total"].astype(float), 1)
-            rest = np.where(held["total"] > 0, (d[1] * held["n1"] + d[2] * held["n2"] + d[3] * held["n3"]) / total, 1.0)
+            total = np.maximum(held[:, 0].astype(float), 1)
+            rest = np.where(held[:, 0] > 0, held[:, 1:] @ d[1:] / total, 1.0)
             p = (np.maximum(count - d[np.minimum(count, 3)], 0) / total)[inverse] + rest[inverse] * p
         first = np.cumsum(sizes) - sizes
         return sizes, np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(np.log10(p), first)
