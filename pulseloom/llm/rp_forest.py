@@ -1,17 +1,22 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
 Every tree sends a vector down by the side of a threshold on which its projection lies.
-A tree's directions are drawn from a seed, one for each level; the thresholds of its
-nodes are medians of a bounded sample of the label. A vector that lies close to a
-threshold spills over: it goes to both sides, so that near pairs seldom part. All rows
-are placed in every tree, and vectors that meet in a leaf are compared in double precision.
+A tree's directions are drawn from a seed, one for each level. Trees grow in rounds of a few
+levels: every node with more rows than a leaf may hold is sampled, a worker fits the
+thresholds (medians) of its next levels, and all its rows go down by them. So leaves stay
+small however many rows there are, the driver holds nothing that grows with the
+table or its labels, and a fit sees a bounded sample of one node. A vector that lies close to a
+threshold spills over: it goes to both sides, so that near pairs seldom part. How close is a
+share of what the projections of a pair at the wanted cosine differ by, which shrinks with the
+dimension as projections do. A node of which more than three tenths would spill is a crowd of
+near vectors and isn't split. Vectors that meet in a leaf are compared in double precision.
 
 A pair that meets in several leaves counts once: each row carries its leaves, and the
-pair belongs to the first tree, and there the smallest leaf, that the two share. A
-leaf's links therefore become counts and a spanning forest before they leave the task.
-Leaves with more rows than ``leaf_rows`` allows are compared tile by tile in several
-tasks, so a crowd of near copies is neither cut nor gathered in one. Equal vectors of a
-label are one class throughout.
+pair belongs to the first one that the two share. A leaf's links therefore become
+counts and a spanning forest before they leave the task. Leaves that can't be split further
+(crowds) are compared tile by tile in several tasks, so a crowd
+of near copies is neither cut nor gathered in one. Equal vectors of a label are one
+class throughout.
 """
 
 from __future__ import annotations
@@ -20,45 +25,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseloom.llm.components import connected_components
 from pulseloom.llm.simhash_trie import Forest
 from pulseloom.llm.store import stored
 
-MAX_DEPTH = 20
+#: Levels that a round adds, and the most rounds: 48 levels.
+LEVELS, ROUNDS = 4, 12
+#: Sampled rows by which a node's next levels are fitted.
+SAMPLE = 1024
 
 
-def directions(seed: int, tree: int, size: int) -> np.ndarray:
-    """Unit directions of a tree's levels."""
-    found = np.random.default_rng([seed, tree]).standard_normal((MAX_DEPTH, size))
+def directions(seed: int, trees: int, first: int, size: int) -> np.ndarray:
+    """Unit directions of a round's levels, tree after tree."""
+    found = np.stack([np.random.default_rng([seed, t, first + d]).standard_normal(size) for t in range(trees) for d in range(LEVELS)])
     return found / np.linalg.norm(found, axis=1, keepdims=True)
 
 
-def fit_tree(sample: np.ndarray, lines: np.ndarray, depth: int) -> list[np.ndarray]:
-    """Thresholds by level: nodes of level d in order; an empty node takes zero."""
-    node = np.zeros(len(sample), np.int64)
-    levels = []
+#: Largest share of a node's rows that may spill.
+MOST_SPILL = 0.3
+
+
+def fit_node(heights: np.ndarray, depth: int, band: float) -> np.ndarray:
+    """Thresholds for ``depth`` levels below a node, in heap order, from rows of projections by level.
+
+    A threshold that too many rows lie close to is minus infinity: all rows go on together. None at all if that holds for the node itself.
+    """
+    cuts = np.full(2**depth - 1, -np.inf)
+    node = np.zeros(len(heights), np.int64)
     for d in range(depth):
-        height = sample @ lines[d]
-        order = np.lexsort((height, node))
-        edges = np.searchsorted(node[order], np.arange(2**d + 1))
-        middle = np.minimum((edges[:-1] + edges[1:]) // 2, max(len(sample) - 1, 0))
-        cut = np.where(edges[1:] > edges[:-1], height[order][middle] if len(sample) else 0.0, 0.0)
-        levels.append(cut)
-        node = 2 * node + (height >= cut[node])
-    return levels
-
-
-def leaves(vectors: np.ndarray, lines: np.ndarray, levels: list[np.ndarray], spill: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) of all vectors, each at least once, in order of rows and leaves."""
-    row, node = np.arange(len(vectors)), np.zeros(len(vectors), np.int64)
-    for d, cut in enumerate(levels):
-        away = (vectors @ lines[d])[row] - cut[node]
-        left, right = away < spill, away >= -spill
-        row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
-    order = np.lexsort((node, row))
-    return row[order], node[order]
+        h = heights[:, d]
+        for k in range(2**d):
+            mine = h[node == k]
+            if len(mine):
+                cut = np.median(mine)
+                if (np.abs(mine - cut) < band).mean() <= MOST_SPILL:
+                    cuts[2**d - 1 + k] = cut
+        node = 2 * node + (h >= cuts[2**d - 1 + node])
+    return cuts if depth and np.isfinite(cuts[0]) else cuts[:0]
+
+
+def _children() -> Column:
+    """Heap numbers (1 is the node itself) of the places that a row with heights ``h`` reaches by ``cuts`` and ``band``."""
+    step = "x * 2 + side"
+    inside = "CASE side WHEN 0 THEN h[{d}] - cuts[x - 1] < band ELSE h[{d}] - cuts[x - 1] >= -band END"
+    places = "array(1L)"
+    for d in range(LEVELS):
+        down = f"flatten(transform({places}, x -> transform(filter(array(0L, 1L), side -> {inside.format(d=d)}), side -> {step})))"
+        places = f"CASE WHEN size(cuts) >= {2 ** (d + 1) - 1} THEN {down} ELSE {places} END"
+    return F.expr(places)
 
 
 def _unit(values: list) -> np.ndarray:
@@ -74,8 +90,8 @@ def _compare(threshold: float):
         rep, copies, tile = rows["rep"].to_numpy(np.int64), rows["copies"].to_numpy(np.int64), rows["tile"].to_numpy()
         raw = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
         norm = np.linalg.norm(raw, axis=1)
-        tree, low, high, leaf = map(int, key[1:])
-        packed = [np.frombuffer(x, np.int32) for x in rows["leaves"]]
+        low, high, leaf = map(int, key[1:])
+        places = rows["leaves"].tolist()
         first = np.flatnonzero(tile == low)
         second = first if low == high else np.flatnonzero(tile == high)
         links, forest = np.zeros(len(rep), np.int64), Forest(len(rep))
@@ -88,7 +104,7 @@ def _compare(threshold: float):
                 keep = a < b
                 a, b = a[keep], b[keep]
             if len(a):
-                mine = _first_meeting(packed, a, b, tree, leaf)
+                mine = _first_meeting(places, a, b, leaf)
                 a, b = a[mine], b[mine]
             links += np.bincount(a, copies[b], len(rep)).astype(np.int64) + np.bincount(b, copies[a], len(rep)).astype(np.int64)
             forest.link(a, b)
@@ -98,12 +114,10 @@ def _compare(threshold: float):
     return run
 
 
-def _first_meeting(packed: list[np.ndarray], a: np.ndarray, b: np.ndarray, tree: int, leaf: int) -> np.ndarray:
-    """Whether (tree, leaf) is the first place where both rows are. packed: tree, leaf, tree, leaf.. in order."""
+def _first_meeting(places: list[np.ndarray], a: np.ndarray, b: np.ndarray, leaf: int) -> np.ndarray:
+    """Whether ``leaf`` is the first of the places where both rows are."""
     used = np.unique(np.concatenate([a, b]))
-    key = [(packed[k][0::2].astype(np.int64) << 32) | packed[k][1::2] for k in used]
-    here = (tree << 32) | leaf
-    before = [k[k < here] for k in key]  # places before this one
+    before = [x[x < leaf] for x in (np.asarray(places[k]) for k in used)]
     every, place = np.unique(np.concatenate(before), return_inverse=True) if before else (np.empty(0), np.empty(0))
     if not len(every):
         return np.ones(len(a), bool)
@@ -118,76 +132,82 @@ def _first_meeting(packed: list[np.ndarray], a: np.ndarray, b: np.ndarray, tree:
     return out
 
 
-def forest_components(vectors: DataFrame, threshold: float = 0.93, trees: int = 6, leaf_rows: int = 256, spill: float = 0.02, sample_rows: int = 20_000, tile_rows: int = 1024, seed: int = 7) -> DataFrame:
+def grow(classes: DataFrame, trees: int, leaf_rows: int, reach: float, seed: int) -> DataFrame:
+    """``(label, rep, leaf)``: the leaves of every row of ``classes(rep, label, embedding)`` in all trees. A leaf's number holds its tree in the top byte and its path below a leading one. ``reach``: half width of the band that spills, times the square root of the dimension."""
+    at = classes.select("label", "rep", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree"), F.lit(1).cast("long").alias("node"), F.lit(None).cast("long").alias("was"))
+    found: DataFrame | None = None
+    for turn in range(ROUNDS):
+        counts = at.groupBy("label", "tree", "node").agg(F.count("*").alias("rows"), F.max("was").alias("was"))
+        # a node that its last round hardly parted stays a leaf
+        counts = stored(counts.where((F.col("rows") > leaf_rows) & (F.col("was").isNull() | (F.col("rows") <= 0.9 * F.col("was")))).drop("was"), "crowded")
+        done = at.join(counts, ["label", "tree", "node"], "left_anti")
+        found = done if found is None else found.unionByName(done)
+        if counts.isEmpty():
+            break
+
+        def project(batches: Iterator[pd.DataFrame], first: int = turn * LEVELS) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for _, part in batch.groupby(batch["embedding"].map(len)):
+                    heights = _unit(part["embedding"].tolist()) @ directions(seed, trees, first, len(part["embedding"].iloc[0])).T
+                    yield pd.DataFrame({"rep": part["rep"].to_numpy(), "band": reach / np.sqrt(len(part["embedding"].iloc[0])), "heights": list(heights)})
+
+        def fit(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("rep")
+            depth = min(LEVELS, int(np.ceil(np.log2(rows["rows"].iloc[0] / leaf_rows))))
+            cuts = fit_node(np.stack(rows["h"].tolist()), depth, rows["band"].iloc[0])
+            return rows.iloc[:1][["label", "tree", "node"]].assign(cuts=[cuts])
+
+        heights = classes.select("rep", "embedding").mapInPandas(project, "rep long, band double, heights array<double>")
+        rows = at.drop("was").join(counts, ["label", "tree", "node"]).join(heights, "rep")
+        rows = stored(rows.select("label", "tree", "node", "rep", "rows", "band", F.slice("heights", F.col("tree") * LEVELS + 1, LEVELS).alias("h")), "heights")
+        drawn = F.pmod(F.xxhash64("rep", F.lit(seed), "tree", F.lit(turn)), F.lit(2**31)) / F.lit(2.0**31) * F.col("rows") < SAMPLE
+        fits = rows.where(drawn).groupBy("label", "tree", "node").applyInPandas(fit, "label string, tree int, node long, cuts array<double>")
+        fits = stored(fits, "thresholds")
+        down = rows.join(fits, ["label", "tree", "node"]).select("label", "rep", "tree", "node", F.col("rows").alias("was"), F.explode(_children()).alias("x"))
+        power = F.expr("shiftleft(1L, length(bin(x)) - 1)")
+        at = stored(down.select("label", "rep", "tree", (F.col("node") * power + F.col("x") - power).alias("node"), "was"), "placed")
+    else:
+        found = found.unionByName(at)
+    return found.select("label", "rep", (F.shiftleft(F.col("tree").cast("long"), 56) + F.col("node")).alias("leaf"))
+
+
+def forest_components(vectors: DataFrame, threshold: float = 0.93, trees: int = 6, leaf_rows: int = 256, spill: float = 0.45, tile_rows: int = 1024, seed: int = 7) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors(vec_id, embedding, label)``.
 
     Pairs of one label with cosine >= ``threshold`` that meet in some leaf are linked. Rows
     with a null label, or a vector that is null, empty, zero or holds null or non-finite
     components, link with nothing. Vectors of one label but of different lengths don't link: each (label, length) has
-    a forest of its own. Repeated
-    rows of one vec_id are vectors of their own. Other columns are ignored. The sample has at most
-    ``sample_rows`` rows a label (least hash); leaves of larger tables grow, and are tiled.
+    a forest of its own. Repeated rows of one vec_id are vectors of their own; a null id names no
+    component, and a component of null ids has none. Other columns are ignored. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    every = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    kind = "array<double>" if dict(vectors.dtypes)["embedding"] == "array<double>" else "array<float>"
+    every = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("embedding"), F.col("label").cast("string").alias("label"))
     finite = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     sized = F.concat_ws(":", F.size("embedding"), "label")  # from here a label means one label and length
     every = stored(every.withColumns({"ok": F.coalesce(usable, F.lit(False)), "label": F.when(usable, sized)}), "vectors")
     good = every.where("ok").select("vec_id", "embedding", "label")  # Spark groups and joins -0 as 0
-    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = stored(classes.withColumn("size", F.size("embedding")), "classes")
-    found = {r["label"]: r for r in classes.groupBy("label").agg(F.count("*").alias("n"), F.mode("size", True).alias("most")).collect()}  # one row a label and length
-    fitted = {}
-    hashed = F.xxhash64("rep", F.lit(seed))
-    rate = {k: min(1.0, 1.2 * sample_rows / max(r["n"], 1)) for k, r in found.items()}
-    limits = spark.createDataFrame([(k, min(int(v * 2**64) - 2**63, 2**63 - 1)) for k, v in rate.items()], "label string, below long")
-    taken = classes.join(limits, "label").where(hashed <= F.col("below")).select("label", "size", "embedding").toPandas()  # at most about 1.2 * sample_rows a label
-    for label, part in taken.groupby("label"):
-        size = int(found[label]["most"])
-        part = part[part["size"] == size]
-        x = _unit(part["embedding"].tolist())[:sample_rows]
-        depth = int(np.clip(np.ceil(np.log2(max(found[label]["n"], 1) / leaf_rows)), 0, min(MAX_DEPTH, np.log2(max(len(x) / 16, 1)))))
-        fitted[label] = (size, [fit_tree(x, directions(seed, t, size), depth) for t in range(trees)])
-    model = spark.sparkContext.broadcast(fitted)  # sample_rows / 16 thresholds a tree and label at most
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for label, part in batch.groupby("label"):
-                size, forest = model.value.get(label, (0, []))
-                part = part[part["size"] == size]
-                if not len(part) or not forest:
-                    continue
-                x = _unit(part["embedding"].tolist())
-                placed = [leaves(x, directions(seed, t, size), levels, spill) for t, levels in enumerate(forest)]
-                row = np.concatenate([r for r, _ in placed])
-                tree = np.repeat(np.arange(len(placed)), [len(r) for r, _ in placed])
-                leaf = np.concatenate([n for _, n in placed])
-                order = np.lexsort((leaf, tree, row))
-                row, pairs = row[order], np.stack([tree[order], leaf[order]], 1).astype(np.int32)
-                edges = np.searchsorted(row, np.arange(len(part) + 1))
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "label": label, "embedding": part["embedding"].to_numpy(), "leaves": [pairs[edges[k] : edges[k + 1]].tobytes() for k in range(len(part))], "trees": [pairs[edges[k] : edges[k + 1], 0] for k in range(len(part))], "nodes": [pairs[edges[k] : edges[k + 1], 1] for k in range(len(part))]})
-
-    placed = classes.mapInPandas(place, "rep long, copies long, label string, embedding array<float>, leaves binary, trees array<int>, nodes array<int>")
-    placed = stored(placed, "placed")
-    spot = F.explode(F.arrays_zip(F.col("trees").alias("tree"), F.col("nodes").alias("leaf"))).alias("p")
-    spots = placed.select("label", spot, "rep", "copies", "embedding", "leaves").select("label", "p.tree", "p.leaf", "rep", "copies", "embedding", "leaves")
-    crowded = placed.select("label", spot).groupBy("label", "p.tree", "p.leaf").count().where(F.col("count") > 2 * tile_rows)
-    tiles = crowded.select("label", "tree", "leaf", F.ceil(F.col("count") / tile_rows).cast("int").alias("tiles"))  # few: the crowded leaves alone
-    spots = spots.join(tiles, ["label", "tree", "leaf"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = stored(classes.withColumn("rep", F.xxhash64("label", "embedding")), "classes")  # 64 bits name a class: ids may be null or repeated
+    reach = spill * float(np.sqrt(2 - 2 * threshold))  # pairs at the threshold lie that square root apart
+    leaves = stored(grow(classes, trees, leaf_rows, reach, seed), "leaves")
+    crowded = leaves.groupBy("label", "leaf").count().where(F.col("count") > 2 * tile_rows)
+    tiles = stored(crowded.select("label", "leaf", F.ceil(F.col("count") / tile_rows).cast("int").alias("tiles")), "tiles")
+    mine = leaves.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))  # as many as trees and spilling make
+    spots = classes.drop("least").join(mine, "rep").select("label", "rep", "copies", "embedding", "leaves", F.explode("leaves").alias("leaf"))
+    spots = spots.join(tiles, ["label", "leaf"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     spots = spots.withColumn("tile", F.pmod(F.xxhash64("rep", F.lit("tile")), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     spots = spots.withColumn("other", other).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
-    met = spots.groupBy("label", "tree", "low", "high", "leaf").applyInPandas(_compare(threshold), "rep long, root long, links long")
+    met = spots.groupBy("label", "low", "high", "leaf").applyInPandas(_compare(threshold), "rep long, root long, links long")
     met = stored(met, "links")
     roots = connected_components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
-    linked = links.join(roots.withColumnRenamed("id", "rep"), "rep")
-    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = classes.select("label", "embedding", "rep", "copies").join(linked.join(least, "root").select("rep", "links", "component_id"), "rep", "left")
-    named = named.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    clean = every.withColumn("key", F.when(F.col("ok"), F.col("embedding")))
-    named = named.withColumnRenamed("embedding", "key")
-    out = clean.join(named, ["label", "key"], "left")
+    linked = stored(classes.select("rep", "least").join(links, "rep").join(roots.withColumnRenamed("id", "rep"), "rep"), "linked")
+    # stored, so that its true size decides how it is joined to a component that holds a large share of the rows
+    components = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    linked = linked.join(components, "root").select("rep", "links", "component_id")
+    named = classes.join(linked, "rep", "left").select("label", F.col("embedding").alias("key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    out = every.withColumn("key", F.when(F.col("ok"), F.col("embedding"))).join(named, ["label", "key"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

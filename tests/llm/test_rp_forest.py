@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pulseloom.llm import rp_forest as rf
 
@@ -59,6 +60,7 @@ def test_links_against_brute_force(spark, leaf_rows, tile_rows):
 
 
 def test_recall_in_deep_trees(spark):
+    """Ten levels and more: leaves of four rows of 3,600."""
     rng = np.random.default_rng(8)
     base = rng.standard_normal((3000, 64))
     mate = base[:600] + rng.standard_normal((600, 64)) * 0.38
@@ -66,8 +68,43 @@ def test_recall_in_deep_trees(spark):
     unit = np.concatenate([base, mate]).astype(np.float32).astype(float)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     near = unit @ unit.T >= 0.93
-    got = rf.forest_components(spark.createDataFrame(rows, SCHEMA), leaf_rows=16).agg({"n_links": "sum"}).first()[0]
-    assert 0.9 * (near.sum() - len(rows)) <= got <= near.sum() - len(rows)
+    classes = spark.createDataFrame([(k, e, "a") for k, e, _, _ in rows], "rep long, embedding array<float>, label string")
+    places = {r["rep"]: set(r["leaves"]) for r in rf.grow(classes, 1, 3, 0.45 * np.sqrt(0.14), 7).groupBy("rep").agg(F.collect_set("leaf").alias("leaves")).collect()}
+    pairs = np.argwhere(np.triu(near, 1))
+    assert len(pairs) > 200
+    met = np.mean([bool(places[a] & places[b]) for a, b in pairs.tolist()])
+    print("of one tree", met, "of six", 1 - (1 - met) ** 6)
+    assert 1 - (1 - met) ** 6 >= 0.9  # trees are drawn independently
+    paths = [f & ((1 << 56) - 1) for p in places.values() for f in p]
+    assert np.median([p.bit_length() - 1 for p in paths]) >= 10
+
+
+def test_leaves_stay_small(spark):
+    """Leaves hold few rows whatever the labels; a label of scaled copies can't be split."""
+    rng = np.random.default_rng(2)
+    rows = [(k, rng.standard_normal(16).tolist(), k % 2) for k in range(2400)]
+    rows += [(10_000 + k, [float(x) * (k + 1) for x in range(1, 17)], 7) for k in range(60)]
+    classes = spark.createDataFrame(rows, "rep long, embedding array<double>, label string")
+    leaves = rf.grow(classes, 2, 32, 0.1, 7)
+    sizes = {(r["label"], r["leaf"]): r["count"] for r in leaves.groupBy("label", "leaf").count().collect()}
+    assert max(n for (label, _), n in sizes.items() if label != "7") <= 32
+    assert [n for (label, _), n in sizes.items() if label == "7"] == [60, 60]
+    placed = leaves.select("rep", F.shiftright("leaf", 56).alias("tree")).distinct().count()
+    assert placed == 2 * len(rows)  # every row is in every tree
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, [1.0, 0.0], 1, "x"), (5, [1.0, 0.1], 1, "x"), (5, [0.0, 1.0], 1, "x"), (None, [-1.0, 0.0], 1, "x"), (None, [-1.0, 0.0], 1, "x")]
+    got = rf.forest_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r["vec_id"] is None, r["n_links"], r["component_id"]) for r in got), key=str) == sorted([(True, 1, 5), (False, 1, 5), (False, 0, 5), (True, 1, None), (True, 1, None)], key=str)
+
+
+def test_double_vectors_stay_double(spark):
+    near = [1.0, float(np.tan(np.arccos(0.93)) * (1 - 1e-12))]
+    far = [1.0, float(np.tan(np.arccos(0.93)) * (1 + 1e-9))]
+    rows = [(1, [1.0, 0.0], 1), (2, near, 1), (3, [2.0, 0.0, 0.0], 2), (4, [*far, 0.0], 2)]
+    got = {r["vec_id"]: r["n_links"] for r in rf.forest_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
 
 
 def test_empty_and_unusable(spark):
