@@ -5,11 +5,12 @@ takes its documents in bounded blocks and packs a block in four steps:
 
 1. Route: a document gives full windows for as long as it fills them; what is left
    (shorter than a window) goes to the smallest tier that holds it.
-2. Pack: every tier, longest first, is packed by best fit into open sequences of its size.
-3. Fill: gaps in sequences, widest window first, take pieces of shorter tiers; the
-   last piece of a gap is cut to the gap's size, so sequences end full.
-4. Balance: sequences of a block are dealt to step groups of equal count so that the sums
-   of attention cost (squared piece lengths) are close.
+2. Pack: every tier, longest first, opens sequences of its size, longest pieces first.
+3. Fill: the gap of a sequence takes whole pieces of shorter tiers, the longest that fit.
+   What then is missing is sliced off one piece, which serves gap after gap until it is
+   used up, so few documents are cut. With no shorter piece left, one of the same tier is sliced.
+4. Balance: sequences of one tier are dealt to step groups whose counts differ by one at most, so that
+   the sums of attention cost (squared piece lengths) are close.
 
 What cannot fill a sequence at the end of a block is split into smaller tiers. Only
 a rest shorter than the smallest tier is ever padded. Packing needs no shuffle:
@@ -18,7 +19,6 @@ memory is bounded by a block and a lost task is packed again in the same way.
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -46,79 +46,87 @@ def pack_block(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple
     window = tiers[-1]
     done: list[tuple[int, list[Piece]]] = []
     waiting: dict[int, list[tuple[int, int, int]]] = {t: [] for t in tiers}  # (length, -doc, start), sorted
+
+    def route(length: int, doc: int, start: int) -> None:
+        insort(waiting[tiers[bisect_left(tiers, length)]], (length, doc, start))
+
     for doc, n in enumerate(lengths):
         full = n // window * window
         done += [(window, [(doc, at, window)]) for at in range(0, full, window)]
         if n > full:
-            waiting[tiers[bisect_left(tiers, n - full)]].append((n - full, -doc, full))
-    for items in waiting.values():
-        items.sort()
-
-    open_: dict[int, list[tuple[int, list[Piece]]]] = {}
-    for tier in tiers:
-        gaps: list[tuple[int, int]] = []  # (gap, index)
-        bins: list[list[Piece]] = []
-        for length, doc, start in reversed(waiting[tier]):
-            at = bisect_left(gaps, (length, -1))
-            if at < len(gaps):
-                gap, k = gaps.pop(at)
-                bins[k].append((-doc, start, length))
+            route(n - full, -doc, full)
+
+    rest: list[Piece] = []
+    for level in reversed(range(len(tiers))):
+        tier, shorter = tiers[level], tiers[level - 1 :: -1] if level else ()
+        own = waiting[tier]
+        loose: tuple[int, int, int] | None = None  # the piece that is being sliced
+        while own:
+            length, doc, start = own.pop()
+            pieces, gap = [(-doc, start, length)], tier - length
+            for source in shorter or (tier,):
+                held = waiting[source]
+                while gap and (at := bisect_left(held, (gap + 1,))):
+                    length, doc, start = held.pop(at - 1)
+                    pieces.append((-doc, start, length))
+                    gap -= length
+            while gap:
+                if loose is None:
+                    source = next((t for t in shorter if waiting[t]), None)
+                    if source is None and not own:
+                        break
+                    loose = waiting[source].pop() if source else own.pop(0)
+                length, doc, start = loose
+                taken = min(gap, length)
+                pieces.append((-doc, start, taken))
+                gap -= taken
+                loose = (length - taken, doc, start + taken) if taken < length else None
+            if gap:
+                rest = pieces  # all that is left of this and the shorter tiers
             else:
-                gap, k = tier, len(bins)
-                bins.append([(-doc, start, length)])
-            if gap > length:
-                insort(gaps, (gap - length, k))
-        missing = dict((k, gap) for gap, k in gaps)
-        open_[tier] = [(missing.get(k, 0), pieces) for k, pieces in enumerate(bins)]
-
-    spare: dict[int, list[list[Piece]]] = {t: [] for t in tiers}
-    for tier in reversed(tiers):
-        for gap, pieces in sorted(open_[tier], key=lambda x: x[0]):
-            if gap == 0:
                 done.append((tier, pieces))
-            else:
-                spare[tier].append(pieces)
-    loose: list[Piece] = []
-    # shorter tiers' open sequences are the filling; the smallest pieces come last, to be cut
-    for tier in tiers:
-        for pieces in spare[tier]:
-            loose += pieces
-    loose.sort(key=lambda p: (p[2], -p[0], -p[1]))
-    sizes = [(p[2], k) for k, p in enumerate(loose)]
-    left = sum(p[2] for p in loose)
-    for tier in reversed(tiers):
-        while left >= tier:
-            pieces, gap = [], tier
-            while gap:
-                at = bisect_left(sizes, (gap + 1, -1)) - 1
-                if at < 0 and not pieces or at < 0:
-                    size, k = sizes.pop(0)
-                    doc, start, length = loose[k]
-                    pieces.append((doc, start, gap))
-                    loose[k] = (doc, start + gap, length - gap)
-                    insort(sizes, (length - gap, k))
-                    gap = 0
-                else:
-                    size, k = sizes.pop(at)
-                    pieces.append(loose[k])
-                    gap -= size
-            left -= tier
-            done.append((tier, pieces))
-    if left:
-        done.append((tiers[-1], [loose[k] for _, k in sorted(sizes, reverse=True)]))
+        if loose:
+            route(*loose)
+            # a slice of this tier may be as long as the tier still
+            if waiting[tier]:
+                length, doc, start = waiting[tier].pop()
+                rest = [(-doc, start, length)]
+        if rest:
+            break
+    if rest:
+        left = sum(p[2] for p in rest) + sum(x[0] for held in waiting.values() for x in held)
+        rest += [(-doc, start, length) for t in reversed(tiers) for length, doc, start in reversed(waiting[t])]
+        for tier in reversed(tiers):
+            while left >= tier:
+                done.append((tier, _take(rest, tier)))
+                left -= tier
+        if left:
+            done.append((window, rest))
     return done
 
 
+def _take(pieces: list[Piece], tokens: int) -> list[Piece]:
+    """That many tokens off the front of a list of pieces."""
+    taken = []
+    while tokens:
+        doc, start, length = pieces.pop(0)
+        taken.append((doc, start, min(length, tokens)))
+        if length > tokens:
+            pieces.insert(0, (doc, start + tokens, length - tokens))
+        tokens -= taken[-1][2]
+    return taken
+
+
 def step_groups(costs: list[int], per_group: int) -> list[int]:
-    """Group of each sequence: groups of at most ``per_group``, dealt largest cost first to the cheapest group with room."""
+    """Group of each sequence: groups of at most ``per_group`` whose counts differ by one at most, dealt largest costs first, a round at a time, to the cheapest groups."""
     count = max(1, -(-len(costs) // per_group))
-    heap = [(0, g, 0) for g in range(count)]
-    group = [0] * len(costs)
-    for k in sorted(range(len(costs)), key=lambda k: (-costs[k], k)):
-        cost, g, n = heapq.heappop(heap)
-        group[k] = g
-        if n + 1 < per_group:
-            heapq.heappush(heap, (cost + costs[k], g, n + 1))
+    total, group = [0] * count, [0] * len(costs)
+    order = sorted(range(len(costs)), key=lambda k: (-costs[k], k))
+    for at in range(0, len(order), count):
+        cheapest = sorted(range(count), key=lambda g: (total[g], g))
+        for k, g in zip(order[at : at + count], cheapest):
+            group[k] = g
+            total[g] += costs[k]
     return group
 
 
@@ -141,17 +149,22 @@ def pack_documents(docs: DataFrame, vocabulary: str = bpe.DEFAULT_VOCABULARY, ti
         def flush() -> pa.RecordBatch:
             nonlocal count, held, groups
             packed = pack_block([len(x) for x in ids], tiers)
+            packed.sort(key=lambda x: x[0])  # by tier, which a step group doesn't mix
             costs = [sum(p[2] ** 2 for p in pieces) for _, pieces in packed]
-            chosen = step_groups(costs, group_sequences)
+            chosen: list[int] = []
+            for tier in tiers:
+                own = [c for (t, _), c in zip(packed, costs) if t == tier]
+                dealt = step_groups(own, group_sequences)
+                chosen += [groups + g for g in dealt]
+                groups += max(dealt, default=-1) + 1
             rows = []
             for (tier, pieces), group in zip(packed, chosen):
                 offset, total = 0, sum(p[2] for p in pieces)
                 for doc, start, length in pieces:
                     part = ids[doc][start : start + length]
-                    rows.append((names[doc], start, length, zlib.crc32(part), len(ids[doc]), base + count, offset, tier, total, base + groups + group, part.tobytes() if with_ids else None))
+                    rows.append((names[doc], start, length, zlib.crc32(part), len(ids[doc]), base + count, offset, tier, total, base + group, part.tobytes() if with_ids else None))
                     offset += length
                 count += 1
-            groups += max(chosen, default=-1) + 1
             names.clear(), ids.clear()
             held = 0
             columns = list(zip(*rows))

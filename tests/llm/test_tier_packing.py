@@ -36,11 +36,28 @@ def test_step_groups_are_even():
     groups = tp.step_groups(costs, 16)
     assert max(np.bincount(groups)) <= 16
     assert max(sum(c for c, g in zip(costs, groups) if g == k) for k in set(groups)) <= 2.1 * 1024**2
+    for n in (1, 63, 64, 65, 611):
+        counts = np.bincount(tp.step_groups(list(range(n)), 64))
+        assert counts.max() <= 64 and counts.max() - counts.min() <= 1
+    assert tp.step_groups([], 64) == []
+
+
+def test_tiers_last_and_few_documents_are_cut():
+    rng = np.random.default_rng(0)
+    lengths = (rng.lognormal(5.5, 1.0, 3000).astype(int) + 1).tolist()
+    packed = tp.pack_block(lengths)
+    tiers = np.array([t for t, _ in packed])
+    assert all((tiers == t).mean() > 0.05 for t in tp.TIERS)
+    pieces = np.bincount([p[0] for _, ps in packed for p in ps], minlength=len(lengths))
+    short = np.array(lengths) < 1024
+    assert (pieces[short] > 1).mean() < 0.03
+    filled = [ps for t, ps in packed if t == 1024 and len(ps) > 1]
+    assert all(ps[0][2] > 512 for ps in filled[:-1])  # a long window's own piece, then shorter ones
 
 
 def test_rows_against_direct_encoding(spark):
     long = "Ünïcode wörds and numbers 12345 don't stop. " * 300
-    texts = [None, "", " ", "a", "Hello world<|endoftext|>again", "日本語 テキスト", "x" * 5000, long, long, "͸\U0001fae8 odd"]
+    texts = [None, "", " ", "a", "Hello world<|endoftext|>again", "日本語 テキスト", "x" * 5000, "very long " * 40_000, long, long, "͸\U0001fae8 odd"]
     docs = spark.createDataFrame([(k, t, "c") for k, t in enumerate(texts)] + [(3, "a", "c")], "doc_id long, text string, offset string").coalesce(1)
     rows = tp.pack_documents(docs, with_ids=True).collect()
     exact = Tokenizer.from_file(bpe.vocabulary_path("byte_bpe_50k.json"))
@@ -57,6 +74,10 @@ def test_rows_against_direct_encoding(spark):
             at += length
         assert at <= 1024
     assert sum(r["length"] for r in rows) == sum(map(len, want.values())) + len(want[3])
+    tiers = {}
+    for r in rows:
+        tiers.setdefault(r["step_group"], set()).add(r["tier"])
+    assert all(len(t) == 1 for t in tiers.values())
 
 
 def test_empty_table(spark):
