@@ -87,7 +87,10 @@ def _sequences(batches: Iterator[pa.RecordBatch], vocabulary: str, tokens: int,
     size = 0
     for batch in batches:
         for text in batch.column(0):
-            ids = np.append(bpe.encode(text.as_py() or "", vocabulary), np.uint32(end_id)).astype("<u2")
+            ids = np.append(bpe.encode(text.as_py() or "", vocabulary), np.uint32(end_id))
+            if ids.max() > 0xFFFF:
+                raise ValueError("an id takes more than the 16 bits of a shard's strides")
+            ids = ids.astype("<u2")
             held.append(ids)
             size += len(ids)
             if size >= 256 * tokens:
@@ -108,8 +111,10 @@ def materialise(docs: DataFrame, out_dir: str | None = None, key: int = 42, toke
     result writes the shards to ``out_dir`` (``shard-<k>.bin`` of 16-bit little-endian
     ids; default: a new folder in the shared one). A null text is an end id alone;
     repeated rows are written as often; other columns are ignored; an empty table gives
-    no rows and no files. A vocabulary of more than 65,536 ids isn't supported.
+    no rows and no files. An id of 65,536 or more raises ValueError.
     """
+    if end_id > 0xFFFF:
+        raise ValueError("an id takes more than the 16 bits of a shard's strides")
     spark = docs.sparkSession
     out_dir = out_dir or fresh_path(spark, "shards")
     # the partition's own number: a task's differs from it below a union

@@ -58,15 +58,15 @@ def suffix_sums(histogram: DataFrame, block: int = 1024) -> DataFrame:
     )
 
 
-def at_limits(histogram: DataFrame, limits: Sequence[int]) -> DataFrame:
-    """For each context limit: documents that exceed it, tokens kept by truncation, tokens lost."""
-    each = histogram.select("length", "n_docs", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits])).alias("context_limit"))
-    over = F.greatest(F.col("length") - F.col("context_limit"), F.lit(0)) * F.col("n_docs")
-    return each.groupBy("context_limit").agg(
-        F.sum(F.when(F.col("length") > F.col("context_limit"), F.col("n_docs")).otherwise(0)).alias("docs_over"),
-        F.sum(F.col("length") * F.col("n_docs") - over).alias("truncated_total"),
-        F.sum(over).alias("tokens_lost"),
-    )
+def at_limits(sums: DataFrame, limits: Sequence[int]) -> DataFrame:
+    """For each context limit: documents that exceed it, tokens kept by truncation, tokens lost; from ``suffix_sums``, whose first
+    length beyond a limit holds the sums over all longer documents. One pass, one row. An empty table gives zeros."""
+    beyond = [F.min(F.when(F.col("length") > int(x), F.struct("length", "docs_ge", "tokens_ge"))).alias(f"_{k}") for k, x in enumerate(limits)]
+    found = sums.agg(F.max("tokens_total").alias("tokens_total"), *beyond)
+    each = F.explode(F.array(*[F.struct(F.lit(int(x)).cast("long").alias("context_limit"), F.col(f"_{k}").alias("at")) for k, x in enumerate(limits)]))
+    rows = found.select(F.coalesce("tokens_total", F.lit(0)).alias("tokens_total"), each.alias("e")).select("tokens_total", "e.context_limit", F.coalesce("e.at.docs_ge", F.lit(0)).alias("docs_over"), F.coalesce("e.at.tokens_ge", F.lit(0)).alias("tokens_over"))
+    lost = F.col("tokens_over") - F.col("context_limit") * F.col("docs_over")
+    return rows.select("context_limit", "docs_over", (F.col("tokens_total") - lost).alias("truncated_total"), lost.alias("tokens_lost"))
 
 
 def quantiles(sums: DataFrame, shares: Sequence[float]) -> DataFrame:

@@ -1,8 +1,8 @@
 """Shared storage for intermediate tables and model files.
 
 Everything is written under the folder named by ``spark.checkpoint.dir``, which
-driver and executors share. Only a session without that setting gets a folder of
-this module's own (tests, local runs).
+driver and executors share. Only a local session without that setting gets a folder of
+this module's own (tests); on a cluster it is an error.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             own = tempfile.mkdtemp(prefix="pulseloom-")

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -47,3 +48,23 @@ def test_empty_and_many_partitions(spark, tmp_path):
         assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
         found.add(tuple(sorted((r["slot"], r["sequence"], r["ids_crc32"]) for r in rows)))
     assert len(found) == 1
+
+
+def test_wide_ids_fail(spark, monkeypatch):
+    with pytest.raises(ValueError):
+        fo.materialise(spark.createDataFrame([(1, "a")], "doc_id long, text string"), end_id=70_000)
+    monkeypatch.setattr(bpe, "encode", lambda text, vocabulary: np.array([70_000], np.uint32))
+    batch = pa.RecordBatch.from_pydict({"text": ["a"]})
+    with pytest.raises(ValueError):
+        list(fo._sequences(iter([batch]), "any", 8, 0))
+
+
+def test_one_very_long_text(spark, tmp_path):
+    text = "word and " * 60_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = fo.materialise(docs, f"{tmp_path}/long", tokens=64, per_shard=100).collect()
+    n = len(bpe.encode(text)) + 1
+    assert len(rows) == -(-n // 64)
+    got = fo.read_slots(f"{tmp_path}/long", 0, len(rows), 100, 64)
+    order = fo.invert(np.arange(len(rows)), len(rows), 42)
+    assert (got.reshape(len(rows), 64)[np.argsort(order)].reshape(-1)[: n - 1] == bpe.encode(text)).all()

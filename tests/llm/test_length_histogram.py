@@ -18,7 +18,7 @@ def test_against_direct_counts(spark):
         assert (r["docs_ge"], r["tokens_ge"]) == ((n >= k).sum(), n[n >= k].sum())
         assert (r["docs_total"], r["tokens_total"], r["truncated_total"]) == (len(n), n.sum(), np.minimum(n, k).sum())
         assert r["share_le"] == (n <= k).mean()
-    for r in lh.at_limits(hist, [1, 7, 100, 10**6]).collect():
+    for r in lh.at_limits(sums, [1, 7, 100, 10**6]).collect():
         k = r["context_limit"]
         assert (r["docs_over"], r["truncated_total"], r["tokens_lost"]) == ((n > k).sum(), np.minimum(n, k).sum(), np.maximum(n - k, 0).sum())
     for r in lh.quantiles(sums, [0.0, 0.5, 1.0]).collect():
@@ -28,3 +28,4 @@ def test_against_direct_counts(spark):
 def test_empty(spark):
     hist = lh.length_counts(spark.createDataFrame([], "text string"))
     assert hist.collect() == [] and lh.suffix_sums(hist).collect() == []
+    assert [tuple(r) for r in lh.at_limits(lh.suffix_sums(hist), [5]).collect()] == [(5, 0, 0, 0)]
