@@ -40,6 +40,12 @@ def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_links.digest(quote_links.reply_order(table(spark, sf_dir, "conversations")))
 
 
+def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all conversations with their turns made to quote earlier ones: the table's own hardly quote."""
+    made = spark.sql(quote_links.quoting("{conversations}"), conversations=table(spark, sf_dir, "conversations"))
+    return quote_links.digest(quote_links.reply_order(made))
+
+
 def op7_feistel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' sequences in a keyed training order, written as fixed-stride shards."""
     return feistel_order.materialise(table(spark, sf_dir, "documents"))
@@ -68,6 +74,7 @@ QUERIES = {
     "op4_kneser_ney": op4_kneser_ney,
     "op5_tier_packing": op5_tier_packing,
     "op6_quote_links": op6_quote_links,
+    "quoted_replies": quoted_replies,
     "op7_feistel_order": op7_feistel_order,
     "op8_rp_forest": op8_rp_forest,
     "op9_simhash_trie": op9_simhash_trie,
@@ -75,5 +82,6 @@ QUERIES = {
 }
 ORACLE: dict[str, str] = {
     "op6_quote_links": quote_links.reference_sql(),
+    "quoted_replies": quote_links.reference_sql(f"({quote_links.quoting()}) q"),
     "op2_robust_quality": f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({robust_quality.reference_sql()}) q",
 }

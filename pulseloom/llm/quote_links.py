@@ -143,20 +143,37 @@ def digest(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", "parent_turn", "depth", "place", F.size("links").alias("n_levels"), "n_passages", "n_linked", F.length("own_text").cast("long").alias("own_chars"), F.md5(F.col("own_text").cast("binary")).alias("own_md5"))
 
 
-def reference_sql(conversations: str = "conversations", least_chars: int = 8) -> str:
-    """DuckDB SQL for the rows of ``reply_order`` as numbers of levels and passages and the own text's length and MD5."""
+def quoting(conversations: str = "conversations") -> str:
+    """SQL, for Spark and DuckDB, of conversations whose turns quote: of three turns one quotes the turn before it, and within it the one before that; one quotes the turn before the last; one is left as it is."""
+    quoted = lambda text, mark: f"concat('{mark} ', replace({text}, chr(10), concat(chr(10), '{mark} ')), chr(10))"
+    return f"""SELECT conv_id, turn, role, CASE WHEN turn % 3 = 1 AND p1 IS NOT NULL THEN concat('On Monday someone wrote:', chr(10), CASE WHEN p2 IS NULL THEN '' ELSE concat('> On Sunday someone wrote:', chr(10), {quoted('p2', '>>')}) END, {quoted('p1', '>')}, text)
+        WHEN turn % 3 = 2 AND p2 IS NOT NULL THEN concat({quoted('p2', '>')}, text) ELSE text END AS text
+        FROM (SELECT conv_id, turn, role, text, lag(text, 1) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p1, lag(text, 2) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS p2 FROM {conversations}) c"""
+
+
+def reference_sql(conversations: str = "conversations", least_chars: int = 1) -> str:
+    """DuckDB SQL for the rows of ``digest``."""
     marks = MARKS.replace("\\t", "\t")
     attribution = "(?i)^\\s*(on|am|le|el)\\b.{0,200}\\b(wrote|schrieb|écrit|escribió)\\b[^\n]{0,60}:\\s*$"
+    normal = lambda x: f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+    def votes(name: str, units: str) -> str:
+        """Relations for the sources of hashed units (conv_id, turn, level, s)."""
+        best = "max(CASE WHEN source IS NOT NULL THEN struct_pack(n := n, source := source) END).source"
+        return f"""k{name} AS (SELECT * FROM {units} WHERE length(s) >= {least_chars} AND level >= 0),
+    q{name} AS (SELECT a.conv_id, a.turn, a.level, a.s, max(b.turn) AS source FROM k{name} a LEFT JOIN k{name} b ON b.conv_id = a.conv_id AND b.s = a.s AND b.level = 0 AND b.turn < a.turn WHERE a.level > 0 GROUP BY a.conv_id, a.turn, a.level, a.s),
+    v{name} AS (SELECT conv_id, turn, level, source, count(*) AS n FROM q{name} GROUP BY conv_id, turn, level, source),
+    b{name} AS (SELECT conv_id, turn, level, sum(n) AS n_passages, sum(CASE WHEN source IS NOT NULL THEN n ELSE 0 END) AS n_linked, {best} AS source FROM v{name} GROUP BY conv_id, turn, level)"""
+
     return f"""WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text FROM {conversations}),
     l0 AS (SELECT rid, unnest(w) AS line, generate_subscripts(w, 1) AS p FROM (SELECT rid, string_split_regex(text, '\r?\n') AS w FROM m) x),
     l1 AS (SELECT rid, p, length(regexp_replace(regexp_extract(line, '{marks}'), '[^>]', '', 'g')) AS level, regexp_replace(line, '{marks}', '') AS body FROM l0),
-    l2 AS (SELECT rid, p, body, CASE WHEN level = 0 AND coalesce(lead(level) OVER (PARTITION BY rid ORDER BY p), 0) > 0 AND regexp_matches(body, '{attribution}') THEN -1 ELSE level END AS level FROM l1),
+    l2 AS (SELECT rid, p, body, CASE WHEN coalesce(lead(level) OVER (PARTITION BY rid ORDER BY p), 0) > level AND regexp_matches(body, '{attribution}') THEN -1 ELSE level END AS level FROM l1),
     t AS (SELECT rid, level, string_agg(body, ' ' ORDER BY p) AS text FROM l2 GROUP BY rid, level),
-    s AS (SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS s FROM (SELECT rid, level, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS x FROM t) u JOIN m USING (rid) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-    k AS (SELECT * FROM s WHERE length(s) >= {least_chars} AND level >= 0),
-    q AS (SELECT a.conv_id, a.turn, a.level, a.s, max(b.turn) AS source FROM k a LEFT JOIN k b ON b.conv_id = a.conv_id AND b.s = a.s AND b.level = 0 AND b.turn < a.turn WHERE a.level > 0 GROUP BY a.conv_id, a.turn, a.level, a.s),
-    v AS (SELECT conv_id, turn, level, source, count(*) AS n FROM q GROUP BY conv_id, turn, level, source),
-    b AS (SELECT conv_id, turn, level, sum(n) AS n_passages, sum(CASE WHEN source IS NOT NULL THEN n ELSE 0 END) AS n_linked, max(CASE WHEN source IS NOT NULL THEN struct_pack(n := n, source := source) END).source AS source FROM v GROUP BY conv_id, turn, level),
+    s AS (SELECT DISTINCT conv_id, turn, level, {normal('x')} AS s FROM (SELECT rid, level, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS x FROM t) u JOIN m USING (rid) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+    w0 AS (SELECT DISTINCT conv_id, turn, level, {normal('body')} AS s FROM l2 JOIN m USING (rid) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+    {votes('s', 's')}, {votes('w', 'w0')},
+    b AS (SELECT a.conv_id, a.turn, a.level, a.n_passages, a.n_linked, coalesce(a.source, l.source) AS source FROM bs a LEFT JOIN bw l ON l.conv_id = a.conv_id AND l.turn = a.turn AND l.level = a.level),
     f AS (SELECT conv_id, turn, count(*) AS n_levels, sum(n_passages) AS n_passages, sum(n_linked) AS n_linked, max(CASE WHEN level = 1 THEN source END) AS quoted FROM b GROUP BY conv_id, turn),
     o AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM (SELECT DISTINCT conv_id, turn FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL) d),
     e AS (SELECT o.conv_id, o.turn, place, coalesce(quoted, previous) AS parent_turn, n_levels, n_passages, n_linked FROM o LEFT JOIN f ON f.conv_id = o.conv_id AND f.turn = o.turn),

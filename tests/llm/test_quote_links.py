@@ -103,14 +103,38 @@ def test_empty(spark):
 
 def test_against_duckdb(spark):
     rows = ROWS + [(8, t, "user", f"Common words for all. Number {t} of many.\n" + (f"> Common words for all.\n>> Number {t - 2} of many.\n" if t % 2 else ""), "x") for t in range(12)]
+    same_as_duckdb(spark, rows, ql.reference_sql(), spark.createDataFrame(rows, SCHEMA))
+
+
+def same_as_duckdb(spark, rows, sql, frame):
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR, depth VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?, ?)", rows)
-    got = ql.digest(ql.reply_order(spark.createDataFrame(rows, SCHEMA)))
-    result = con.execute(ql.reference_sql())
+    result = con.execute(sql)
     names = [c[0] for c in result.description]
     key = lambda r: tuple((x is None, x) for x in r)
-    assert sorted((tuple(r[n] for n in names) for r in got.collect()), key=key) == sorted(result.fetchall(), key=key)
+    got = ql.digest(ql.reply_order(frame)).collect()
+    assert sorted((tuple(r[n] for n in names) for r in got), key=key) == sorted(result.fetchall(), key=key)
+    return got
+
+
+def test_made_quotes_link(spark):
+    rows = [(c, t, "user", f"Talk {c} begins turn {t} here. It has\nsome lines, of {c * t}.\n- item {t}", "x") for c in range(6) for t in range(9)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    frame.createOrReplaceTempView("quoting_test")
+    made = spark.sql(ql.quoting("quoting_test"))
+    got = same_as_duckdb(spark, rows, ql.reference_sql(f"({ql.quoting()}) q"), made)
+    assert sum(r["n_linked"] for r in got) > 100 and max(r["n_levels"] for r in got) == 2
+    parents = {r["turn"]: r["parent_turn"] for r in got if r["conv_id"] == 3}
+    assert parents == {0: None, 1: 0, 2: 0, 3: 2, 4: 3, 5: 3, 6: 5, 7: 6, 8: 6}
+    own = {r["turn"]: r["own_chars"] for r in got if r["conv_id"] == 3}
+    assert own == {t: len(rows[27 + t][3]) for t in range(9)}
+
+
+def test_very_long_message(spark):
+    rows = [(1, 0, "user", " ".join(f"Sentence number {k} of many." for k in range(20_000)), "x"), (1, 1, "user", "Between.", "x"), (1, 2, "user", "> Sentence number 19999 of many.\nFound.", "x")]
+    got = {r["turn"]: r for r in ql.reply_order(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[2]["parent_turn"] == 0 and got[0]["n_passages"] == 0
 
 
 def test_nested_attributions_short_sentences_and_lines_link(spark):
