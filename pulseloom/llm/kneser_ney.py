@@ -10,8 +10,13 @@ which is what the next lower order counts. What it sends on is stored, and the f
 before are given back, so only one order's n-grams are in flight at a time. There are as many shards as
 the texts' bytes ask for, so a shard stays as small however many texts there are.
 
+Trigrams go by their middle word, so that a shard has all left extensions of its bigrams and all
+bigrams of its contexts, and finishes both orders at once. The trigrams of a hot middle word (more than
+an eighth of a shard's share of all words, counted beforehand) go by their whole context, and its bigrams are merged in a step of their own.
+
 An n-gram is known by the 64-bit hash of its words' 64-bit hashes: two of the n different n-grams of a shard
-fall together with a chance of n**2 / 2**65, which is 4e-7 for four million.
+fall together with a chance of n**2 / 2**65, which is 4e-7 for four million. A sorted hash array keeps the next 32 bits
+after those that name a bucket of some 32 entries: an n-gram that isn't there is taken for one that is with a chance of 1e-8.
 
 Scoring: workers map the shards' arrays into memory, look up the distinct n-grams of a
 block of texts by binary search, and combine the orders:
@@ -127,26 +132,57 @@ def unpack(block: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return columns, [take(rows, 8).astype(np.int64) for _ in range(n_values)]
 
 
-def _shards(columns: list[np.ndarray], bits: int) -> np.ndarray:
-    """Shard of each n-gram: by its context's hash, or by its word where there is no context."""
-    key = combine(columns[:-1] or columns, len(columns[0]))
+def is_hot(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which word hashes are among the sorted hot ones."""
+    return hot[np.minimum(np.searchsorted(hot, words), len(hot) - 1)] == words if len(hot) else np.zeros(len(words), bool)
+
+
+def _shards(columns: list[np.ndarray], bits: int, hot: np.ndarray) -> np.ndarray:
+    """Shard of each n-gram: by its context's hash (trigrams by their middle word's, unless it's hot), or by its word where there is no context."""
+    rows = len(columns[0])
+    key = combine(columns[:-1] or columns, rows)
+    if len(columns) == 3:
+        key = np.where(is_hot(columns[1], hot), key, combine([columns[1]], rows))
     return (key >> np.uint64(64 - bits)).astype(np.int64)
 
 
-SENT = "shard int, stats boolean, block binary"
-_SENT = pa.schema([("shard", pa.int32()), ("stats", pa.bool_()), ("block", pa.binary())])
+SENT = "shard int, size int, block binary"
+_SENT = pa.schema([("shard", pa.int32()), ("size", pa.int32()), ("block", pa.binary())])
 
 
-def _blocks(columns: list[np.ndarray], values: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    shard = _shards(columns, bits)
+def _blocks(columns: list[np.ndarray], values: list[np.ndarray], bits: int, hot: np.ndarray) -> pa.RecordBatch:
+    shard = _shards(columns, bits, hot)
     order = np.argsort(shard, kind="stable")
     edges = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
     parts = [(s, order[edges[s] : edges[s + 1]]) for s in range(1 << bits) if edges[s] < edges[s + 1]]
     packed = [pack([c[at] for c in columns], [v[at] for v in values]) for _, at in parts]
-    return pa.RecordBatch.from_pydict({"shard": [s for s, _ in parts], "stats": [False] * len(parts), "block": packed}, _SENT)
+    return pa.RecordBatch.from_pydict({"shard": [s for s, _ in parts], "size": [len(columns)] * len(parts), "block": packed}, _SENT)
+
 
+def hot_words(texts: DataFrame, share: float) -> np.ndarray:
+    """Sorted hashes of the words that make up at least that share of all, counted in the tasks where they reach it: at most 1 / share of them."""
 
-def count_texts(texts: DataFrame, order: int, bits: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, count, total = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+        for batch in batches:
+            tokens, sizes = hashes_of(batch.column(0).to_pylist(), 1)
+            total += len(tokens)
+            own, n = np.unique(tokens, return_counts=True)
+            word, at = np.unique(np.concatenate([word, own]), return_inverse=True)
+            count = np.bincount(at, np.concatenate([count, n]), len(word)).astype(np.int64)
+            if len(word) > BLOCK_TOKENS:  # what is rare so far can't reach the share by what it has
+                keep = count >= share * total / 4
+                word, count = word[keep], count[keep]
+        often = count >= share * total
+        yield pa.RecordBatch.from_pydict({"word": pa.array(np.append(word[often], np.uint64(0)).view(np.int64)), "n": pa.array(np.append(count[often], 0)), "total": pa.array(np.append(np.zeros(int(often.sum()), np.int64), total))})
+
+    found = stored(texts.mapInArrow(run, "word long, n long, total long"), "often")
+    total = found.agg(F.sum("total")).first()[0] or 0
+    rows = found.groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") > 0) & (F.col("n") >= share * total)).select("word").collect()  # 1 / share words at most
+    return np.sort(np.array([r["word"] for r in rows], np.int64).view(np.uint64))
+
+
+def count_texts(texts: DataFrame, order: int, bits: int, hot: np.ndarray) -> DataFrame:
     """Blocks of the highest order's n-grams, with counts, of the only column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +193,7 @@ def count_texts(texts: DataFrame, order: int, bits: int) -> DataFrame:
             columns = [np.concatenate(c) for c in zip(*held)]
             held.clear()
             _, columns, counts = merge(columns, [np.ones(len(columns[0]), np.int64)])
-            return _blocks(columns, counts, bits)
+            return _blocks(columns, counts, bits, hot)
 
         for batch in batches:
             values = batch.column(0)
@@ -197,41 +233,92 @@ def _counts_as_files(name: str, counts: np.ndarray) -> dict[str, np.ndarray]:
     return {name: np.minimum(counts, 255).astype(np.uint8), f"{name}at": large.astype("<u8"), f"{name}big": counts[large].astype("<u8")}
 
 
-def merge_shards(blocks: DataFrame, order: int, folder: str, bits: int) -> DataFrame:
+def _grams_as_files(gram: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted hashes by buckets of their first bits: where each begins, and the next 32 bits of each hash."""
+    bits = np.uint64(bucket_bits(len(gram)))
+    start = np.searchsorted(_bucket(gram, bits), np.arange((1 << int(bits)) + 1))
+    return {"low": _low(gram, bits), "start": start.astype("<u4")}
+
+
+def bucket_bits(n: int) -> int:
+    return max(0, n.bit_length() - 5)
+
+
+def _bucket(gram: np.ndarray, bits: np.uint64) -> np.ndarray:
+    return (gram >> (np.uint64(64) - bits)).astype(np.int64) if bits else np.zeros(len(gram), np.int64)
+
+
+def _low(gram: np.ndarray, bits: np.uint64) -> np.ndarray:
+    return ((gram << bits) >> np.uint64(32)).astype("<u4")
+
+
+def _find(low: np.ndarray, start: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which keys are held, their places), by binary search within each key's bucket."""
+    bits = np.uint64((len(start) - 1).bit_length() - 1)
+    want, bucket = _low(key, bits), _bucket(key, bits)
+    at, end = start[bucket].astype(np.int64), start[bucket + 1].astype(np.int64)
+    stop = end.copy()
+    while (at < stop).any():
+        middle = (at + stop) // 2
+        less = (at < stop) & (low[np.minimum(middle, len(low) - 1)] < want)
+        at, stop = np.where(less, middle + 1, at), np.where(less, stop, np.minimum(middle, stop))
+    held = (at < end) & (low[np.minimum(at, len(low) - 1)] == want)
+    return np.flatnonzero(held), at[held]
+
+
+def merge_shards(blocks: DataFrame, order: int, folder: str, bits: int, hot: np.ndarray) -> DataFrame:
     """Write the n-grams and contexts of one order, shard by shard; send on blocks for the next lower order.
 
     Values of blocks: counts for the highest order; numbers of left extensions and sums of raw
-    counts below. Rows with ``stats`` hold the numbers of the orders done so far and pass through.
+    counts below. Blocks of other sizes (size 0: the numbers of the orders done so far) pass through.
     """
 
-    def run(key: tuple, batch: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        done = batch.filter(batch.column("stats")).select(["shard", "stats", "block"])
-        parts = [unpack(b.as_py()) for b in batch.filter(pa.compute.invert(batch.column("stats"))).column("block")]
-        if not parts:
-            return done.cast(_SENT)
-        columns = [np.concatenate(x) for x in zip(*(p[0] for p in parts))]
-        values = [np.concatenate(x) for x in zip(*(p[1] for p in parts))]
-        del parts
-        gram, columns, values = merge(columns, values)
+    def finish(shard: int, stem: str, size: int, gram: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
+        """Write one shard's n-grams and contexts; their numbers as a block."""
         count, raw = values[0], values[-1]
-        files = {"gram": gram} | _counts_as_files("count", count)
         seen = [(count == k).astype(np.int64) for k in (1, 2, 3, 4)]
-        numbers = [int(s.sum()) for s in seen] + [int(count.sum()), len(count), int(raw.sum())]
-        out = [pa.RecordBatch.from_pydict({"shard": [shard], "stats": [True], "block": [np.array([order, *numbers], "<i8").tobytes()]}, _SENT)]
-        if order == 1:
+        files = _grams_as_files(gram) | _counts_as_files("count", count)
+        if size == 1:
             files |= _counts_as_files("raw", raw)
         else:
             context = combine(columns[:-1], len(gram))
             at = np.argsort(context, kind="stable")
             first = _starts(context[at])
             table = np.stack([np.add.reduceat(v[at], first) for v in (count, seen[0], seen[1], (count > 2).astype(np.int64))], 1)
-            _write(folder, f"c{order}-{shard:05d}", {"gram": context[at][first]} | _counts_as_files("table", table))
-            del context, at, table
-            _, suffix, sums = merge(columns[1:], [np.ones(len(gram), np.int64), raw])
-            out.append(_blocks(suffix, sums, bits))
-        _write(folder, f"n{order}-{shard:05d}", files)
-        return pa.concat_tables([done.cast(_SENT), pa.Table.from_batches(out)])
+            _write(folder, f"{stem}c{size}-{shard:05d}", _grams_as_files(context[at][first]) | _counts_as_files("table", table))
+        _write(folder, f"{stem}n{size}-{shard:05d}", files)
+        numbers = [int(x.sum()) for x in seen] + [int(count.sum()), len(count), int(raw.sum())]
+        return pa.RecordBatch.from_pydict({"shard": [shard], "size": [0], "block": [np.array([size, *numbers], "<i8").tobytes()]}, _SENT)
+
+    def suffixes(columns: list[np.ndarray], raw: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        return merge(columns[1:], [np.ones(len(raw), np.int64), raw])
+
+    def run(key: tuple, batch: pa.Table) -> pa.Table:
+        shard = key[0].as_py()
+        mine = pa.compute.equal(batch.column("size"), order)
+        passed = batch.filter(pa.compute.invert(mine)).select(["shard", "size", "block"]).cast(_SENT)
+        parts = [unpack(b.as_py()) for b in batch.filter(mine).column("block")]
+        if not parts:
+            return passed
+        columns = [np.concatenate(x) for x in zip(*(p[0] for p in parts))]
+        values = [np.concatenate(x) for x in zip(*(p[1] for p in parts))]
+        del parts
+        gram, columns, values = merge(columns, values)
+        # bigrams that come as blocks beside a trigram model are a hot word's
+        out = [finish(shard, "h" if order == 2 and len(hot) else "", order, gram, columns, values)]
+        if order > 1:
+            gram, columns, values = suffixes(columns, values[-1])
+            if order == 3:
+                apart = is_hot(columns[0], hot)
+                if apart.any():
+                    out.append(_blocks([c[apart] for c in columns], [v[apart] for v in values], bits, hot))
+                gram, columns, values = gram[~apart], [c[~apart] for c in columns], [v[~apart] for v in values]
+                if len(gram):
+                    out.append(finish(shard, "", 2, gram, columns, values))
+                    _, columns, values = suffixes(columns, values[-1])
+            if len(columns[0]):
+                out.append(_blocks(columns, values, bits, hot))
+        return pa.concat_tables([passed, pa.Table.from_batches(out)])
 
     return blocks.groupBy("shard").applyInArrow(run, SENT)
 
@@ -244,6 +331,7 @@ class Model:
     order: int
     bits: int
     numbers: dict[int, list[int]]
+    hot: np.ndarray
 
     @property
     def words(self) -> int:
@@ -282,12 +370,13 @@ def train(texts: DataFrame, order: int = 2, bits: int | None = None, folder: str
     if bits is None:
         size = texts.agg(F.sum(F.octet_length(F.col(texts.columns[0])))).first()[0] or 0
         bits = max(3, (size // SHARD_BYTES).bit_length())
+    hot = hot_words(texts, 1 / (8 << bits)) if order > 2 else np.empty(0, np.uint64)
     before = spark.conf.get(GIVE_BACK, "false")
     spark.conf.set(GIVE_BACK, "true")
     try:
-        blocks = count_texts(texts, order, bits)
-        for k in range(order, 0, -1):
-            blocks = stored(merge_shards(blocks, k, folder, bits), f"order-{k}")
+        blocks = count_texts(texts, order, bits, hot)
+        for k in [k for k in range(order, 0, -1) if k != 2 or order == 2 or len(hot)]:  # without hot words bigrams are done with the trigrams
+            blocks = stored(merge_shards(blocks, k, folder, bits, hot), f"order-{k}")
     finally:
         spark.conf.set(GIVE_BACK, before)
 
@@ -299,7 +388,7 @@ def train(texts: DataFrame, order: int = 2, bits: int | None = None, folder: str
     names = ["k", *(f"n{i}" for i in range(NUMBERS))]
     sums = blocks.select("block").mapInArrow(decoded, ", ".join(f"{x} long" for x in names)).groupBy("k").agg(*[F.sum(x).alias(x) for x in names[1:]])
     numbers = {k: [0] * NUMBERS for k in range(1, order + 1)} | {r["k"]: list(r)[1:] for r in sums.collect()}  # one row an order
-    return Model(folder, order, bits, numbers)
+    return Model(folder, order, bits, numbers, hot)
 
 
 class Arrays:
@@ -335,11 +424,10 @@ class Arrays:
         for s in np.flatnonzero(np.diff(edges)):
             at = order[edges[s] : edges[s + 1]]
             name = f"{stem}-{s:05d}"
-            held = self.get(f"{name}-gram", "<u8")
-            if len(held):
-                where = np.minimum(np.searchsorted(held, key[at]), len(held) - 1)
-                hit = held[where] == key[at]
-                yield name, at[hit], where[hit]
+            low = self.get(f"{name}-low", "<u4")
+            if len(low):
+                hit, where = _find(low, self.get(f"{name}-start", "<u4"), key[at])
+                yield name, at[hit], where
 
     def read(self, name: str, places: np.ndarray) -> np.ndarray:
         """Counts at the given places of an array that ``_counts_as_files`` made."""
@@ -370,7 +458,7 @@ class Arrays:
         columns = grams(tokens, sizes, model.order)
         word, inverse = np.unique(columns[-1], return_inverse=True)
         key = combine([word], len(word))
-        count, raw = self.counts("n1", ("count", "raw"), key, _shards([word], model.bits))
+        count, raw = self.counts("n1", ("count", "raw"), key, _shards([word], model.bits, model.hot))
         p = np.full(len(word), 1.0 / (model.words + 1))
         n1, n2, _, _, total, every, _ = model.numbers[1]
         if total:
@@ -384,9 +472,12 @@ class Arrays:
             own = columns[-k:]
             key, at, inverse = np.unique(combine(own, len(p)), return_index=True, return_inverse=True)
             distinct = [c[at] for c in own]
-            shard = _shards(distinct, model.bits)
-            (count,) = self.counts(f"n{k}", ("count",), key, shard)
-            held = self.contexts(f"c{k}", combine(distinct[:-1], len(at)), shard)
+            shard = _shards(distinct, model.bits, model.hot)
+            context = combine(distinct[:-1], len(at))
+            (count,), held = self.counts(f"n{k}", ("count",), key, shard), self.contexts(f"c{k}", context, shard)
+            apart = np.flatnonzero(is_hot(distinct[0], model.hot)) if k == 2 else []
+            if len(apart):
+                (count[apart],), held[apart] = self.counts("hn2", ("count",), key[apart], shard[apart]), self.contexts("hc2", context[apart], shard[apart])
             d = model.discounts(k)
             total = np.maximum(held[:, 0].astype(float), 1)
             rest = np.where(held[:, 0] > 0, held[:, 1:] @ d[1:] / total, 1.0)

@@ -45,7 +45,7 @@ def corpus(n=150, seed=4):
     return [" ".join(rng.choice(vocab, int(rng.integers(0, 40)), p=weights / weights.sum())) for _ in range(n)] + ["the " * 700, None, "", " \n\t\x0b", "x" * 50_000, "The THE the"]
 
 
-@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("order", [2, 3, 4])
 def test_scores_against_brute_force(spark, order):
     texts = corpus()
     docs = spark.createDataFrame([(k, t, 1.0) for k, t in enumerate(texts)] + [(3, texts[3], 1.0)], "doc_id long, text string, score double")
@@ -67,6 +67,39 @@ def test_scores_against_brute_force(spark, order):
         assert total == pytest.approx(1)
 
 
+def test_hot_words(spark):
+    texts = corpus()
+    words = [w for t in texts for w in [*(t or "").encode().lower().split(), None]]
+    counts = Counter(words)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    want = sorted(int(kn.END) if w is None else int(kn.hashes_of([w.decode()], 1)[0][0]) for w, n in counts.items() if n >= len(words) / 64)
+    assert [int(x) for x in kn.hot_words(frame, 1 / 64)] == want and len(want) > 5
+    assert len(kn.hot_words(frame.limit(0), 1 / 64)) == 0
+
+
+def test_common_words_are_split_alike(spark, monkeypatch):
+    """The same scores whether hot words are set apart or not."""
+    docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
+    found = []
+    for share in (1 / 64, 2.0):
+        monkeypatch.setattr(kn, "hot_words", lambda texts, _, share=share, real=kn.hot_words: real(texts, share) if share < 1 else np.empty(0, np.uint64))
+        found.append({r["doc_id"]: r["score"] for r in kn.score_documents(docs, 3).collect()})
+        monkeypatch.undo()
+    assert found[0] == pytest.approx(found[1], rel=1e-12)
+
+
+def test_sorted_arrays():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 31, 32, 5000):
+        gram = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        files = kn._grams_as_files(gram)
+        asked = np.concatenate([gram, rng.integers(0, 2**64, 500, dtype=np.uint64)])
+        if len(gram):
+            rows, places = kn._find(files["low"], files["start"], asked)
+            assert rows.tolist() == list(range(len(gram))) and places.tolist() == list(range(len(gram)))
+        assert files["start"][-1] == len(gram)
+
+
 def test_pack_and_unpack():
     rng = np.random.default_rng(1)
     columns = [rng.integers(0, 2**64, 50, dtype=np.uint64)[rng.integers(0, 50, 999)] for _ in range(3)]
