@@ -8,27 +8,27 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 BINS = 4096
 CROWD = 100_000
-LEVELS = 3
+#: Bins to a doubling, and what keeps bins of positive and negative numbers apart.
+OCTAVE, FAR = 256, 300_000
 
 
 def nested_bins(rows: DataFrame, keys: Sequence[str], value: str, name: str = "_b", bins: int = BINS, crowd: int = CROWD) -> DataFrame:
     """``rows`` with a struct of bin numbers that sorts as ``value`` does within its keys.
 
-    The first level cuts a group's span into equal bins. Bins of more than ``crowd`` rows are cut again by their own
-    span, and theirs once more, so outliers that widen the span leave no bin with nearly all values.
+    The first number is by the value's logarithm, so outliers of any size leave the other bins as they are. Bins of
+    more than ``crowd`` rows, such as those of values that lie close together far from zero, are cut again into
+    equal parts of their own span. NaN comes last.
     """
-    path: list[str] = []
-    for level in range(LEVELS):
-        at = [*keys, *path]
-        span = rows.groupBy(*at).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_rows"))
-        if level:
-            span = span.where((F.col("_rows") > crowd) & (F.col("_hi") > F.col("_lo")))  # few: crowded bins alone
-        met = rows.join(span, at, "left") if at else rows.join(F.broadcast(span))  # one row without keys
-        width = (F.col("_hi") - F.col("_lo")) / bins
-        own = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
-        rows = met.withColumn(f"{name}{level}", own.cast("int")).drop("_lo", "_hi", "_rows")
-        path.append(f"{name}{level}")
-    return rows.withColumn(name, F.struct(*path)).drop(*path)
+    v = F.col(value).cast("double")
+    octave = lambda x: F.floor(OCTAVE * F.least(F.log2(x), F.lit(1024.0))).cast("int")
+    first = F.when(F.isnan(v), 2 * FAR).when(v > 0, FAR + octave(v)).when(v < 0, -FAR - octave(-v)).when(v == 0, 0)
+    rows = rows.withColumn(f"{name}0", first)
+    at = [*keys, f"{name}0"]
+    span = rows.groupBy(*at).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_rows"))
+    span = span.where((F.col("_rows") > crowd) & (F.col("_hi") > F.col("_lo"))).drop("_rows")  # few: crowded bins alone
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    own = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+    return rows.join(span, at, "left").withColumn(name, F.struct(F.col(f"{name}0").alias("first"), own.alias("second"))).drop("_lo", "_hi", f"{name}0")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:

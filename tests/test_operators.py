@@ -200,13 +200,14 @@ def test_comparisons(spark):
 
 def test_an_outlier_leaves_no_crowded_bin(spark):
     rng = np.random.default_rng(3)
-    values = [*rng.random(5000).tolist(), 1e12, -1e9]
+    values = [*rng.random(5000).tolist(), *(1.7e9 + 100 * rng.random(3000)).tolist(), *(-rng.random(500)).tolist(), 0.0, -0.0, 1e300, -1e9, 5e-324, INF, -INF]
     rows = spark.createDataFrame([(v,) for v in values], "v double")
     got = nested_bins(rows, [], "v", bins=64, crowd=100)
     sizes = [r["count"] for r in got.groupBy("_b").count().collect()]
     assert max(sizes) <= 150 and sum(sizes) == len(values)
     order = [r["v"] for r in got.orderBy("_b", "v").collect()]
     assert order == sorted(values)
+    assert nested_bins(spark.createDataFrame([(NAN,), (INF,)], "v double"), [], "v").orderBy("_b").first()["v"] == INF
     keyed = nested_bins(rows.selectExpr("v", "CAST(v > 0.5 AS INT) AS k"), ["k"], "v", bins=64, crowd=100)
     assert max(r["count"] for r in keyed.groupBy("k", "_b").count().collect()) <= 150
     assert nested_bins(rows.limit(0), [], "v").collect() == []
