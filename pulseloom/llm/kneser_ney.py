@@ -113,7 +113,7 @@ def pack(columns: list[np.ndarray], values: list[np.ndarray]) -> bytes:
     parts = [_planes(np.diff(every, prepend=np.uint64(0)))]
     parts += [_planes(p[rows].astype("<u4")) for p in place.reshape(len(columns), -1)]
     parts += [_planes(v[rows].astype("<u8")) for v in values]
-    return zstandard.ZstdCompressor(level=1).compress(np.array(head, "<i8").tobytes() + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(np.array(head, "<i8").tobytes() + b"".join(parts))
 
 
 def unpack(block: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -210,8 +210,8 @@ def count_texts(texts: DataFrame, order: int, bits: int, hot: np.ndarray) -> Dat
     return texts.mapInArrow(run, SENT)
 
 
-#: Of a context: the sum of its n-grams' counts, and how many have the counts 1, 2, and more.
-CONTEXT = 4
+#: Of a context: how many of its n-grams have the counts 1, 2, and more. The sum of counts follows where none has more; else it's kept apart.
+CONTEXT = 3
 NUMBERS = 7  # of one order and shard: n-grams with counts 1, 2, 3, 4; sum of counts; n-grams; sum of raw counts
 
 
@@ -257,12 +257,15 @@ def _find(low: np.ndarray, start: np.ndarray, key: np.ndarray) -> tuple[np.ndarr
     bits = np.uint64((len(start) - 1).bit_length() - 1)
     want, bucket = _low(key, bits), _bucket(key, bits)
     at, end = start[bucket].astype(np.int64), start[bucket + 1].astype(np.int64)
-    stop = end.copy()
-    while (at < stop).any():
-        middle = (at + stop) // 2
-        less = (at < stop) & (low[np.minimum(middle, len(low) - 1)] < want)
-        at, stop = np.where(less, middle + 1, at), np.where(less, stop, np.minimum(middle, stop))
-    held = (at < end) & (low[np.minimum(at, len(low) - 1)] == want)
+    left, last = end - at, len(low) - 1
+    while left.any():
+        half = left >> 1
+        less = low[np.minimum(at + half, last)] < want
+        less &= left > 0
+        half += less
+        at += np.where(less, half, 0)
+        left = np.where(less, left - half, half)
+    held = (at < end) & (low[np.minimum(at, last)] == want)
     return np.flatnonzero(held), at[held]
 
 
@@ -284,8 +287,10 @@ def merge_shards(blocks: DataFrame, order: int, folder: str, bits: int, hot: np.
             context = combine(columns[:-1], len(gram))
             at = np.argsort(context, kind="stable")
             first = _starts(context[at])
-            table = np.stack([np.add.reduceat(v[at], first) for v in (count, seen[0], seen[1], (count > 2).astype(np.int64))], 1)
-            _write(folder, f"{stem}c{size}-{shard:05d}", _grams_as_files(context[at][first]) | _counts_as_files("table", table))
+            table = np.stack([np.add.reduceat(v[at], first) for v in (seen[0], seen[1], (count > 2).astype(np.int64))], 1)
+            rich = np.flatnonzero(table[:, 2])
+            sums = {"richat": rich.astype("<u4"), "rich": np.add.reduceat(count[at], first)[rich].astype("<u8")}
+            _write(folder, f"{stem}c{size}-{shard:05d}", _grams_as_files(context[at][first]) | _counts_as_files("table", table) | sums)
         _write(folder, f"{stem}n{size}-{shard:05d}", files)
         numbers = [int(x.sum()) for x in seen] + [int(count.sum()), len(count), int(raw.sum())]
         return pa.RecordBatch.from_pydict({"shard": [shard], "size": [0], "block": [np.array([size, *numbers], "<i8").tobytes()]}, _SENT)
@@ -446,9 +451,14 @@ class Arrays:
 
     def contexts(self, stem: str, key: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """Rows of total, n1, n2, n3."""
-        out = np.zeros((len(key), CONTEXT), np.int64)
+        out = np.zeros((len(key), 1 + CONTEXT), np.int64)
         for name, at, where in self.places(stem, key, shard):
-            out[at] = self.read(f"{name}-table", (CONTEXT * where[:, None] + np.arange(CONTEXT)).reshape(-1)).reshape(-1, CONTEXT)
+            found = self.read(f"{name}-table", (CONTEXT * where[:, None] + np.arange(CONTEXT)).reshape(-1)).reshape(-1, CONTEXT)
+            total = found[:, 0] + 2 * found[:, 1]
+            rich = np.flatnonzero(found[:, 2])
+            if len(rich):
+                total[rich] = self.get(f"{name}-rich", "<u8")[np.searchsorted(self.get(f"{name}-richat", "<u4"), where[rich])]
+            out[at] = np.column_stack([total, found])
         return out
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
