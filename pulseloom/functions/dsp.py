@@ -6,7 +6,7 @@ vectorised over the batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import comb
 
@@ -167,14 +167,41 @@ def find_peaks(x: np.ndarray, distance: float) -> np.ndarray:
     return peaks[keep]
 
 
+def peak_mask(x: np.ndarray) -> np.ndarray:
+    """Where the signals have strict local maxima (middle of a plateau)."""
+    inner = np.zeros(x.shape, bool)
+    inner[..., 1:] = x[..., 1:] != x[..., :-1]
+    start = np.maximum.accumulate(np.where(inner, np.arange(x.shape[-1]), 0), -1)  # of each sample's plateau
+    rises = np.zeros(x.shape, bool)
+    rises[..., 1:] = x[..., 1:] > x[..., :-1]
+    ends = np.zeros(x.shape, bool)
+    ends[..., :-1] = (x[..., :-1] > x[..., 1:]) & np.take_along_axis(rises, start, -1)[..., :-1]
+    out = np.zeros(x.shape, bool)
+    row, end = np.nonzero(ends)
+    out[row, (start[row, end] + end) // 2] = True
+    return out
+
+
 def interval_rate(x: np.ndarray, fps: float) -> np.ndarray:
-    """Beats a minute from the mean interval of peaks at least half a second apart; 0 with fewer than two."""
-    rates = np.zeros(len(x))
-    for k, own in enumerate(x):
-        peaks = find_peaks(own, fps / 2)
-        if len(peaks) > 1:
-            rates[k] = 60 * fps / np.diff(peaks).mean()
-    return rates
+    """Beats a minute from the mean interval of peaks at least half a second apart; 0 with fewer than two.
+
+    As ``find_peaks`` does for one signal, the highest peak left (of equal ones the last) stays and those near it go, in all signals at once.
+    """
+    n, least = x.shape[-1], int(np.ceil(fps / 2))
+    height = np.where(peak_mask(x), x, -np.inf)[..., ::-1]
+    first, last, count = np.full(len(x), n), np.full(len(x), -1), np.zeros(len(x), int)
+    left = np.flatnonzero(np.isfinite(height).any(-1))
+    height = height[left]
+    while len(left):
+        at = height.argmax(-1)
+        place = n - 1 - at
+        first[left], last[left] = np.minimum(first[left], place), np.maximum(last[left], place)
+        count[left] += 1
+        height[np.abs(np.arange(n) - at[:, None]) < least] = -np.inf
+        more = np.isfinite(height).any(-1)
+        left, height = left[more], height[more]
+    many = count > 1
+    return np.where(many, 60 * fps * (count - 1) / np.where(many, last - first, 1), 0.0)
 
 
 # --- wavelets ---------------------------------------------------------------------------
@@ -245,10 +272,14 @@ def decompose(x: np.ndarray, name: str) -> tuple[list[np.ndarray], list[int]]:
         if x.shape[-1] % 2:
             x = np.concatenate([x, x[..., -1:]], -1)
         n = x.shape[-1]
-        at = (2 * np.arange(n // 2)[:, None] + taps // 2 - np.arange(taps)[None]) % n
-        part = x[..., at]
-        details.append(part @ high)
-        x = part @ low
+        at = 2 * np.arange(n // 2) + taps // 2
+        detail, level = np.zeros((*x.shape[:-1], n // 2)), np.zeros((*x.shape[:-1], n // 2))
+        for j in range(taps):  # tap by tap: a signal's sums don't depend on which others are in the batch
+            part = x[..., (at - j) % n]
+            detail += high[j] * part
+            level += low[j] * part
+        details.append(detail)
+        x = level
     return [x, *details[::-1]], sizes
 
 
@@ -267,90 +298,129 @@ def recompose(coefficients: list[np.ndarray], sizes: list[int], name: str) -> np
     return x
 
 
-def wavelet_denoise(x: np.ndarray, name: str = "rbio3.1", level: int = 5) -> np.ndarray:
-    """Soft threshold at the universal level, with noise from the median of the detail band ``level`` from the end."""
-    coefficients, sizes = decompose(x, name)
-    if len(coefficients) == 1:
-        return x
+def soft_threshold(coefficients: list[np.ndarray], sizes: list[int], name: str, level: int, samples: int) -> np.ndarray:
+    """Signals from coefficients whose details are shrunk by the universal level, with noise from the median of the detail band ``level`` from the end."""
     band = coefficients[-min(level, len(coefficients))]
-    limit = np.median(np.abs(band), -1, keepdims=True) / 0.6745 * np.sqrt(2 * np.log(x.shape[-1]))
+    limit = np.median(np.abs(band), -1, keepdims=True) / 0.6745 * np.sqrt(2 * np.log(samples))
     soft = [np.sign(c) * np.maximum(np.abs(c) - limit, 0) for c in coefficients[1:]]
     return recompose([coefficients[0], *soft], sizes, name)
 
 
-# --- empirical mode decomposition -------------------------------------------------------
-
+def wavelet_denoise(x: np.ndarray, name: str = "rbio3.1", level: int = 5) -> np.ndarray:
+    """Soft threshold at the universal level; signals too short for the wavelet stay as they are."""
+    coefficients, sizes = decompose(x, name)
+    return soft_threshold(coefficients, sizes, name, level, x.shape[-1]) if len(coefficients) > 1 else x
 
-def _spline(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Natural cubic spline through points, at 0..n-1."""
-    h = np.diff(at).astype(float)
-    m = len(at)
-    system, right = np.eye(m), np.zeros(m)
-    for i in range(1, m - 1):
-        system[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        right[i] = 6 * ((values[i + 1] - values[i]) / h[i] - (values[i] - values[i - 1]) / h[i - 1])
-    bend = np.linalg.solve(system, right)
-    t = np.arange(n)
-    k = np.clip(np.searchsorted(at, t, "right") - 1, 0, m - 2)
-    u, w = t - at[k], at[k + 1] - t
-    return (bend[k] * w**3 + bend[k + 1] * u**3) / (6 * h[k]) + (values[k] / h[k] - bend[k] * h[k] / 6) * w + (values[k + 1] / h[k] - bend[k + 1] * h[k] / 6) * u
 
+# --- empirical mode decomposition -------------------------------------------------------
 
-def _extrema(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return find_peaks(x, 1), find_peaks(-x, 1)
 
+def _cover(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
+    """Natural cubic splines of all signals through their peaks and the outer ones mirrored at the ends, at every sample.
 
-def empirical_modes(x: np.ndarray, most: int = 8, sift: int = 10) -> list[np.ndarray]:
-    """Intrinsic modes of one signal by a fixed number of sifting steps; extrema are mirrored at the ends."""
-    rest, modes = x.astype(float), []
-    n = len(x)
+    The tridiagonal systems are padded to the longest and solved together, column by column.
+    """
+    rows, n = x.shape
+    upto = np.cumsum(peaks, -1)
+    inner = upto[:, -1]
+    width = int(inner.max()) + 2
+    at = np.zeros((rows, width))
+    values = np.zeros((rows, width))
+    row, place = np.nonzero(peaks)
+    slot = upto[row, place]
+    at[row, slot], values[row, slot] = place, x[row, place]
+    each = np.arange(rows)
+    at[:, 0], values[:, 0] = -at[:, 1] - 1, values[:, 1]
+    at[each, inner + 1], values[each, inner + 1] = 2 * (n - 1) - at[each, inner] + 1, values[each, inner]
+    used = np.arange(width - 1) <= inner[:, None]  # the intervals that a signal has
+    h = np.where(used, np.diff(at), 1.0)
+    slope = np.where(used, np.diff(values), 0.0) / h
+    bend = np.zeros((rows, width))
+    over = np.zeros((rows, width))
+    for i in range(1, width - 1):
+        own = i <= inner
+        scale = 2 * (h[:, i - 1] + h[:, i]) - h[:, i - 1] * over[:, i - 1]
+        over[:, i] = np.where(own, h[:, i] / scale, 0.0)
+        bend[:, i] = np.where(own, (6 * (slope[:, i] - slope[:, i - 1]) - h[:, i - 1] * bend[:, i - 1]) / scale, 0.0)
+    for i in range(width - 2, 0, -1):
+        bend[:, i] -= over[:, i] * bend[:, i + 1]
+    take = lambda a, k: np.take_along_axis(a, k, 1)
+    t, k = np.arange(n), upto
+    u, w, hk = t - take(at, k), take(at, k + 1) - t, take(h, k)
+    low, top = take(bend, k), take(bend, k + 1)
+    return (low * w**3 + top * u**3) / (6 * hk) + (take(values, k) / hk - low * hk / 6) * w + (take(values, k + 1) / hk - top * hk / 6) * u
+
+
+def modes_of(x: np.ndarray, most: int = 8, sift: int = 10) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Intrinsic modes of all signals, one after the other: (the signals that have one more, their modes), by a fixed number of sifting steps."""
+    rest = x.astype(float)
+    at = np.arange(len(x))
     for _ in range(most):
-        mode = rest.copy()
-        if sum(map(len, _extrema(mode))) < 4:
-            break
+        mode = rest[at]
+        more = peak_mask(mode).sum(-1) + peak_mask(-mode).sum(-1) >= 4
+        at, mode = at[more], mode[more]
+        if not len(at):
+            return
+        moving = np.arange(len(at))
         for _ in range(sift):
-            top, low = _extrema(mode)
-            if len(top) < 2 or len(low) < 2:
+            own = mode[moving]
+            top, low = peak_mask(own), peak_mask(-own)
+            enough = (top.sum(-1) > 1) & (low.sum(-1) > 1)
+            moving, own, top, low = moving[enough], own[enough], top[enough], low[enough]
+            if not len(moving):
                 break
-            covers = []
-            for own in (top, low):
-                ends = np.concatenate([[-own[0] - 1 if own[0] else -1], own, [2 * (n - 1) - own[-1] + 1]])
-                levels = np.concatenate([[mode[own[0]]], mode[own], [mode[own[-1]]]])
-                covers.append(_spline(ends, levels, n))
-            mode = mode - (covers[0] + covers[1]) / 2
-        modes.append(mode)
-        rest = rest - mode
-    return modes
+            mode[moving] = own - (_cover(own, top) + _cover(own, low)) / 2
+        yield at, mode
+        rest[at] -= mode
+
+
+def empirical_modes(x: np.ndarray, most: int = 8, sift: int = 10) -> list[np.ndarray]:
+    """Intrinsic modes of one signal."""
+    return [mode[0] for _, mode in modes_of(x[None], most, sift)]
 
 
 def hilbert_huang(x: np.ndarray, fps: float, expected: float = 80.0) -> tuple[np.ndarray, np.ndarray]:
-    """For each signal the envelope-normalised mode whose rate is nearest the expected one (first wins), and that rate."""
-    out, rates = x.copy(), np.zeros(len(x))
-    for k, own in enumerate(x):
-        modes = empirical_modes(own) or [own]
-        found = instantaneous_rate(analytic(np.array(modes)), fps)
-        best = int(np.argmin(np.abs(found - expected)))
-        out[k], rates[k] = envelope_normal(modes[best]), found[best]
-    return out, rates
+    """For each signal the envelope-normalised mode whose rate is nearest the expected one (first wins), and that rate. A signal without modes stands for its own."""
+    chosen, rates, gap = x.astype(float), np.zeros(len(x)), np.full(len(x), np.inf)
+    for at, mode in modes_of(x):
+        found = instantaneous_rate(analytic(mode), fps)
+        away = np.abs(found - expected)
+        nearer = away < gap[at]
+        k = at[nearer]
+        chosen[k], rates[k], gap[k] = mode[nearer], found[nearer], away[nearer]
+    none = np.isinf(gap)
+    if none.any():
+        rates[none] = instantaneous_rate(analytic(chosen[none]), fps)
+    return envelope_normal(chosen), rates
 
 
 # --- dispatch ---------------------------------------------------------------------------
 
 
+def split_name(method: str) -> tuple[str, str]:
+    """The base filter of one of FILTERS and its ending without the line; ValueError for another name."""
+    if method not in FILTERS:
+        raise ValueError(f"unknown filter {method}")
+    base, _, end = method.rpartition("_") if method.endswith(("_wt", "_ht", "_hht")) else (method, "", "")
+    return base, end
+
+
+def base_filter(x: np.ndarray, base: str, fps: float, order: int, low: float = 0.8, high: float = 2.5, attenuation: float = 50.0) -> np.ndarray:
+    """Signals filtered by one of FILTER_BASES; ValueError for those too short."""
+    stop = base.endswith("bandstop")
+    if base.startswith("fft"):
+        return band_filter(x, low, high, fps, stop)
+    return filtfilt(*design("cheby2" if base.startswith("cheby2") else "butter", order, low, high, fps, stop, attenuation), x)
+
+
 def apply_filter(x: np.ndarray, method: str, fps: float = 30.0, order: int = 2, low: float = 0.8, high: float = 2.5, name: str = "rbio3.1", level: int = 5, attenuation: float = 50.0, compat: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Filtered signals and their rates by one of FILTERS; ValueError for another name.
 
     Without an ending the rate comes from peaks (recursive filters) or the largest bin
     (Fourier); _wt denoises and takes peaks, _ht and _hht take the instantaneous frequency.
     """
-    if method not in FILTERS:
-        raise ValueError(f"unknown filter {method}")
-    base, _, end = method.rpartition("_") if method.endswith(("_wt", "_ht", "_hht")) else (method, "", "")
-    stop = base.endswith("bandstop")
-    if base.startswith("fft"):
-        y = band_filter(x, low, high, fps, stop)
-    else:
-        y = filtfilt(*design("cheby2" if base.startswith("cheby2") else "butter", order, low, high, fps, stop, attenuation), x)
+    base, end = split_name(method)
+    y = base_filter(x, base, fps, order, low, high, attenuation)
     if end == "wt":
         y = wavelet_denoise(y, name, level)
         return y, interval_rate(y, fps)

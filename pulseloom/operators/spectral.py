@@ -131,35 +131,117 @@ def sweep_grid(spark: SparkSession, samples: int, wavelets: Sequence[str] = dsp.
     return spark.createDataFrame(rows, "filter string, filter_order int, wavelet string, wavelet_level int")
 
 
+def _swept(x: np.ndarray, tasks: Sequence[tuple], fps: float, snr_method: str) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
+    """(tasks with one outcome, SNR, rate) over signals of one length; a base filter that they are too short for gives none.
+
+    The z-score and each base filter (with its order, where it has one) are made once. All of them together go through each
+    wavelet's decomposition, which serves every level, and through the mode decomposition.
+    """
+    z = dsp.zscore(x)
+    wanted: dict[tuple[str, str, int], dict[tuple[str, int], list[tuple]]] = {}
+    for task in tasks:
+        method, order, name, level = task
+        base, end = dsp.split_name(method)
+        wanted.setdefault((end, base, 0 if base.startswith("fft") else order), {}).setdefault((name, level), []).append(task)
+    made: dict[tuple[str, int], np.ndarray] = {}
+    for _, base, order in wanted:
+        if (base, order) not in made:
+            try:
+                made[base, order] = dsp.base_filter(z, base, fps, order or 2)
+            except ValueError:
+                made[base, order] = np.empty((0, x.shape[-1]))
+    for end in ("", "ht", "hht", "wt"):
+        bases = [(base, order) for e, base, order in wanted if e == end and len(made[base, order])]
+        if not bases:
+            continue
+        y, original = np.concatenate([made[b] for b in bases]), np.tile(z, (len(bases), 1))
+
+        def given(filtered: np.ndarray, rate: np.ndarray, variant: tuple[str, int] | None = None) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
+            values = dsp.snr(filtered, original, snr_method)
+            for k, (base, order) in enumerate(bases):
+                at = slice(k * len(z), (k + 1) * len(z))
+                own = wanted[end, base, order]
+                for found in [own[variant]] if variant in own else own.values() if variant is None else []:
+                    yield found, values[at], rate[at]
+
+        if end == "":
+            fourier = np.repeat([base.startswith("fft") for base, _ in bases], len(z))
+            yield from given(y, np.where(fourier, dsp.peak_rate(y, fps), dsp.interval_rate(y, fps)))
+        elif end == "ht":
+            yield from given(dsp.envelope_normal(y), dsp.instantaneous_rate(dsp.analytic(y), fps))
+        elif end == "hht":
+            yield from given(*dsp.hilbert_huang(y, fps))
+        else:
+            variants = dict.fromkeys(v for base, order in bases for v in wanted[end, base, order])
+            for name in dict.fromkeys(n for n, _ in variants):
+                coefficients, sizes = dsp.decompose(y, name)
+                for level in [k for n, k in variants if n == name]:
+                    clean = dsp.soft_threshold(coefficients, sizes, name, level, y.shape[-1]) if len(coefficients) > 1 else y
+                    yield from given(clean, dsp.interval_rate(clean, fps), (name, level))
+
+
+def _by_length(signals: Sequence) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Places and values of the complete signals of each length."""
+    groups: dict[int, list[int]] = {}
+    for k, s in enumerate(signals):
+        if s is not None and len(s) and np.isfinite(np.asarray(s, np.float64)).all():
+            groups.setdefault(len(s), []).append(k)
+    for at in groups.values():
+        yield at, np.stack([np.asarray(signals[k], np.float64) for k in at])
+
+
+def _dealt(df: DataFrame, key: Sequence[str], signal: str) -> DataFrame:
+    """Keys and signals in at least as many partitions as there are cores: a sweep's work is per signal, a few files of signals would be a few tasks."""
+    rows = df.select(*key, _doubles(signal).alias("signal"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def sweep(df: DataFrame, grid: DataFrame, key: Sequence[str], signal: str = "signal", fps: float = 30.0, snr_method: str = "decibels") -> DataFrame:
     """SNR and rate of every signal under every task of the grid.
 
-    Fourier filters don't depend on the order: they run once and their results are given
-    to every order. Signals meet the grid's distinct tasks one batch at a time; the grid
+    Fourier filters don't depend on the order: their results are given to every order. The grid
     is small and travels with the function.
     """
     tasks = [tuple(r) for r in grid.collect()]  # as many as there are parameter sets
-    runs: dict[tuple, list[int]] = {}
-    for m, o, w, level in tasks:
-        runs.setdefault((m, 2 if m.startswith("fft") else o, w, level), []).append(o)
     fields = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join(f"{k} {fields[k]}" for k in key) + ", filter string, filter_order int, wavelet string, wavelet_level int, snr double, heart_rate double"
+    schema = ", ".join(f"`{k}` {fields[k]}" for k in key) + ", filter string, filter_order int, wavelet string, wavelet_level int, snr double, heart_rate double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at, x in _by_length(batch["signal"].tolist()):
+                keys = batch.iloc[at][list(key)]
+                for found, values, rate in _swept(x, tasks, fps, snr_method):
+                    for m, o, w, level in found:
+                        yield keys.assign(filter=m, filter_order=o, wavelet=w, wavelet_level=level, snr=values, heart_rate=rate)
+
+    return _dealt(df, key, signal).mapInPandas(run, schema)
+
+
+def best_of_sweep(df: DataFrame, grid: DataFrame, key: Sequence[str], signal: str = "signal", fps: float = 30.0, low: float = 48, high: float = 150, snr_method: str = "decibels") -> DataFrame:
+    """For every signal the grid's task of highest SNR among those with a rate in range and some noise left; of equal ones the first by name, order, wavelet and level.
+
+    The best is kept while a task's signals are filtered: one row a signal leaves it. Signals without such a task give no row.
+    """
+    tasks = sorted(tuple(r) for r in grid.collect())
+    fields = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join(f"`{k}` {fields[k]}" for k in key) + ", filter string, filter_order int, wavelet string, wavelet_level int, snr double, heart_rate double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rank = {task: k for k, task in enumerate(tasks)}
         for batch in batches:
-            signals = batch["signal"].tolist()
-            for (m, o, w, level), orders in runs.items():
-                def kernel(x: np.ndarray) -> tuple[np.ndarray, ...]:
-                    z = dsp.zscore(x)
-                    y, rate = dsp.apply_filter(z, m, fps, o, **({} if w == "None" else {"name": w, "level": level}))
-                    return dsp.snr(y, z, snr_method), rate
-
-                found = by_length(signals, kernel)
-                ok = [k for k, f in enumerate(found) if f is not None]
-                for order in orders:
-                    part = batch.iloc[ok][list(key)].copy()
-                    part["filter"], part["filter_order"], part["wavelet"], part["wavelet_level"] = m, order, w, level
-                    part["snr"], part["heart_rate"] = [float(found[k][0]) for k in ok], [float(found[k][1]) for k in ok]
-                    yield part
-
-    return df.select(*key, _doubles(signal).alias("signal")).mapInPandas(run, schema)
+            for at, x in _by_length(batch["signal"].tolist()):
+                best, value, rates = np.full(len(at), len(tasks)), np.full(len(at), -np.inf), np.zeros(len(at))
+                for found, values, rate in _swept(x, tasks, fps, snr_method):
+                    first = min(rank[t] for t in found)
+                    fits = (rate >= low) & (rate <= high) & (values != 1000)
+                    level = np.where(np.isnan(values), -np.inf, values)
+                    better = fits & ((level > value) | (level == value) & (first < best))
+                    best[better], value[better], rates[better] = first, level[better], rate[better]
+                has = np.flatnonzero(best < len(tasks))
+                chosen = [tasks[k] for k in best[has]]
+                own = batch.iloc[[at[k] for k in has]][list(key)]
+                names = ("filter", "filter_order", "wavelet", "wavelet_level")
+                yield own.assign(**{n: [t[i] for t in chosen] for i, n in enumerate(names)}, snr=np.where(np.isinf(value[has]), np.nan, value[has]), heart_rate=rates[has])
+
+    return _dealt(df, key, signal).mapInPandas(run, schema)

@@ -298,10 +298,7 @@ def filter_bank(spark, sf_dir):
 @query()
 def parameter_sweep(spark, sf_dir):
     """All filters by order, wavelet and level, and the best for each signal."""
-    rows = spectral.sweep(view(spark, sf_dir, "v_signals"), spectral.sweep_grid(spark, 64), ["sample_id"])
-    fitting = rows.where(scoring.in_range() & (F.col("snr") != 1000))
-    rest = F.struct("filter", "filter_order", "wavelet", "wavelet_level", "snr", "heart_rate")
-    return fitting.groupBy("sample_id").agg(F.min_by(rest, F.struct(-F.col("snr"), "filter", "filter_order", "wavelet", "wavelet_level")).alias("b")).select("sample_id", "b.*")
+    return spectral.best_of_sweep(view(spark, sf_dir, "v_signals"), spectral.sweep_grid(spark, 64), ["sample_id"])
 
 
 @query()

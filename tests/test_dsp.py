@@ -149,3 +149,46 @@ def test_snr_is_monotone(share):
     x = SIGNALS
     noise = RNG.standard_normal(x.shape) * 0.01
     assert (dsp.snr(x - share * noise, x, "ratio") > dsp.snr(x - noise, x, "ratio")).all()
+
+
+def test_batched_peaks_and_rates_as_one_by_one():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((200, 64)), rng.integers(0, 3, (200, 64)).astype(float), np.zeros((1, 64)), np.ones((1, 64)).cumsum(-1)])
+    mask = dsp.peak_mask(x)
+    for k, own in enumerate(x):
+        assert np.flatnonzero(mask[k]).tolist() == dsp.find_peaks(own, 1).tolist()
+    want = []
+    for own in x:
+        peaks = dsp.find_peaks(own, 15)
+        want.append(60 * 30 / np.diff(peaks).mean() if len(peaks) > 1 else 0)
+    assert dsp.interval_rate(x, 30) == pytest.approx(want)
+
+
+def test_covers_pass_through_their_peaks_and_solve_the_spline_system():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((20, 64))
+    mask = dsp.peak_mask(x)
+    cover = dsp._cover(x, mask)
+    assert cover[mask] == pytest.approx(x[mask])
+    for own, peaks, got in zip(x, mask, cover):
+        at = np.flatnonzero(peaks)
+        at, values = np.array([-at[0] - 1, *at, 2 * 63 - at[-1] + 1], float), np.array([own[at[0]], *own[at], own[at[-1]]])
+        h, m = np.diff(at), len(at)
+        system, right = np.eye(m), np.zeros(m)
+        for i in range(1, m - 1):
+            system[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+            right[i] = 6 * ((values[i + 1] - values[i]) / h[i] - (values[i] - values[i - 1]) / h[i - 1])
+        bend = np.linalg.solve(system, right)
+        for t in range(64):
+            k = np.searchsorted(at, t, "right") - 1
+            u, w = t - at[k], at[k + 1] - t
+            want = (bend[k] * w**3 + bend[k + 1] * u**3) / (6 * h[k]) + (values[k] / h[k] - bend[k] * h[k] / 6) * w + (values[k + 1] / h[k] - bend[k + 1] * h[k] / 6) * u
+            assert got[t] == pytest.approx(want, abs=1e-9)
+
+
+def test_modes_of_many_signals_are_those_of_each():
+    x = np.concatenate([SIGNALS, np.zeros((1, 128)), tone(3)])
+    together, rates = dsp.hilbert_huang(x, 30)
+    for k, own in enumerate(x):
+        alone, rate = dsp.hilbert_huang(own[None], 30)
+        assert together[k] == pytest.approx(alone[0], abs=1e-8) and rates[k] == pytest.approx(rate[0], abs=1e-6)

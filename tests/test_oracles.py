@@ -11,12 +11,13 @@ SF = "/root/testdata/sf0.001"
 SLOW = {"group_comparison", "filter_bank", "cluster_elbow"}
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def duck():
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    return con
+    """A connection for each case, so that a fatal error of one isn't reported by all that follow; two threads, since Spark has the others."""
+    with duckdb.connect(config={"threads": 2, "memory_limit": "4GB"}) as con:
+        for t in TABLES:
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        yield con
 
 
 def tidy(df):
