@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import bpe, feistel_order, kneser_ney, length_histogram, quote_links, robust_quality, rp_forest, sentencepiece_unigram, simhash_trie, tier_packing, toxicity_fst
+from pulseloom.llm import bpe, centroid_clusters, feistel_order, kneser_ney, length_histogram, quote_links, robust_quality, rp_forest, sentencepiece_unigram, simhash_trie, tier_packing, toxicity_fst, whitening
 from pulseloom.llm.store import stored
 from pulseloom.session import table
 
@@ -67,6 +67,16 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram.suffix_sums(histogram)
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All complete embeddings in sixteen clusters."""
+    return centroid_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their first eight principal components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_sentencepiece_unigram": op1_sentencepiece_unigram,
     "op2_robust_quality": op2_robust_quality,
@@ -79,8 +89,11 @@ QUERIES = {
     "op8_rp_forest": op8_rp_forest,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_length_histogram": op10_length_histogram,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_whitening": op13_whitening,
 }
 ORACLE: dict[str, str] = {
+    "op12_centroid_clusters": centroid_clusters.reference_sql(),
     "op6_quote_links": quote_links.reference_sql(),
     "quoted_replies": quote_links.reference_sql(f"({quote_links.quoting()}) q"),
     "op2_robust_quality": f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({robust_quality.reference_sql()}) q",
