@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulseloom.llm import bpe, centroid_clusters, feistel_order, kneser_ney, length_histogram, quote_links, robust_quality, rp_forest, sentencepiece_unigram, simhash_trie, tier_packing, toxicity_fst, whitening
+from pulseloom.llm import bpe, centroid_clusters, feistel_order, kneser_ney, length_histogram, quote_links, robust_quality, rp_forest, sentencepiece_unigram, simhash_trie, suffix_groups, tier_packing, toxicity_fst, whitening
 from pulseloom.llm.store import stored
 from pulseloom.session import table
 
@@ -67,6 +67,12 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram.suffix_sums(histogram)
 
 
+def op11_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 50 words or more that a smaller id has; kept texts as checksums."""
+    found = suffix_groups.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All complete embeddings in sixteen clusters."""
     return centroid_clusters.cluster(table(spark, sf_dir, "embeddings"))
@@ -89,6 +95,7 @@ QUERIES = {
     "op8_rp_forest": op8_rp_forest,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_length_histogram": op10_length_histogram,
+    "op11_suffix_groups": op11_suffix_groups,
     "op12_centroid_clusters": op12_centroid_clusters,
     "op13_whitening": op13_whitening,
 }
