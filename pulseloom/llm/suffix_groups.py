@@ -36,7 +36,7 @@ from pulseloom.llm.store import stored
 
 WINDOW, GRAM = 50, 16
 #: Different pieces of one run of words that a bin takes, words in a bin, suffixes in a piece.
-MOST, BIN_WORDS, LONGEST = 4096, 2_000_000, 1024
+MOST, BIN_WORDS, LONGEST = 4096, 400_000, 1024
 LAST = 2**63 - 1
 #: An odd multiplier, so that it has an inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -89,12 +89,12 @@ def pieces_of(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tup
 def sorted_suffixes(codes: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(order, common): the suffixes at ``starts`` in the order of their first ``window`` codes, and of how many
     codes each shares with the one before it (0 for the first). Every suffix must have a window of codes."""
-    ranks = [np.unique(codes, return_inverse=True)[1].astype(np.int64)]
+    ranks = [np.unique(codes, return_inverse=True)[1].astype(np.int32)]
     wide = 1
     while 2 * wide <= window:  # ranks by 1, 2, 4 ... codes; places too near the end have no rank and aren't used
         rank = ranks[-1]
-        pair = rank[:-wide] * (int(rank.max(initial=0)) + 1) + rank[wide:]
-        ranks.append(np.unique(pair, return_inverse=True)[1].astype(np.int64))
+        pair = rank[:-wide] * np.int64(int(rank.max(initial=0)) + 1) + rank[wide:]
+        ranks.append(np.unique(pair, return_inverse=True)[1].astype(np.int32))
         wide *= 2
     top = ranks[-1]
     order = np.lexsort((top[starts + window - wide], top[starts]))
@@ -183,9 +183,10 @@ def _bin_nodes(window: int):
     def run(bin_: pa.Table) -> pa.Table:
         codes: dict[bytes, int] = {}
         number = lambda w: codes.setdefault(w, len(codes))
-        texts = [list(map(number, words)) for words in _words(bin_.column("words").combine_chunks())]
+        texts = [np.fromiter(map(number, words), np.int32, len(words)) for chunk in bin_.column("words").chunks for words in _words(chunk)]
         lengths = np.array([len(t) for t in texts], np.int64)
-        flat = np.fromiter((c for t in texts for c in t), np.int64, lengths.sum())
+        flat = np.concatenate(texts)
+        del texts, codes
         counts = lengths - window + 1
         # no window crosses the end of its piece, so pieces need no marks between them
         first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
