@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -69,29 +71,38 @@ def nearest_face(faces: DataFrame, key: Sequence[str], x: str, y: str, last_x: s
     return faces.groupBy(*key).agg(F.min_by(rest, F.struct(far, F.col(order))).alias("_r")).select(*key, "_r.*")
 
 
+def fold_tracks(batches: Iterator[pa.RecordBatch], key: Sequence[str], x: str, y: str, limit: float) -> Iterator[pa.RecordBatch]:
+    """Batches in order of key and time with track_id: only the present key's last places are kept from one batch to the next."""
+    present: tuple | None = None
+    known, count = np.empty((16, 2)), 0
+    for batch in batches:
+        keys = list(zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in key]))
+        places = np.stack([batch.column(batch.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (x, y)], 1)
+        ids: list[int | None] = []
+        for own, p in zip(keys, places):
+            if own != present:
+                present, count = own, 0
+            if np.isnan(p).any():
+                ids.append(None)
+                continue
+            far = ((known[:count] - p) ** 2).sum(1)
+            best = int(far.argmin()) if count else -1
+            if best < 0 or not far[best] < limit:
+                if count == len(known):
+                    known = np.concatenate([known, np.empty_like(known)])
+                best, count = count, count + 1
+            known[best] = p
+            ids.append(best)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int32())], names=[*batch.schema.names, "track_id"])
+
+
 def track_faces(faces: DataFrame, key: Sequence[str], frame: str, order: str, x: str, y: str, limit: float = 20000.0) -> DataFrame:
     """Faces with track_id: the nearest known track within a squared distance (first wins), else a new one.
 
-    Tracks depend on all earlier frames, so one video is folded in order by one task, in a stream of its rows.
+    Tracks depend on all earlier frames, so a key's faces are folded in order by one task. They come sorted (the sort may spill) and
+    go through batch by batch: a long video takes the memory of one batch and of its tracks. A face without a place has no track
+    and leaves the others alone.
     """
-    import numpy as np
-    import pandas as pd
-
-    schema = faces.schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", track_id int"
-
-    def fold(_, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([frame, order], kind="stable")
-        known = np.empty((0, 2))
-        ids = []
-        for p in rows[[x, y]].to_numpy(float):
-            far = ((known - p) ** 2).sum(1)
-            best = int(far.argmin()) if len(far) else -1
-            if best < 0 or not far[best] < limit:
-                best, known = len(known), np.vstack([known, p])
-            else:
-                known[best] = p
-            ids.append(best)
-        return rows.assign(track_id=ids)
-
-    return faces.groupBy(*key).applyInPandas(fold, fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in faces.schema) + ", track_id int"
+    ordered = faces.repartition(*key).sortWithinPartitions(*key, frame, order)
+    return ordered.mapInArrow(lambda batches: fold_tracks(batches, key, x, y, limit), fields)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -16,7 +17,8 @@ from pulseloom.functions import dsp
 from pulseloom.operators import balance, cluster, geometry, inference, metrics, pulse, scoring, segments, significance, spectral, trials
 from pulseloom.plans.views import oracle, view
 from pulseloom.session import scratch, table
-from pulseloom.sources import files
+from pulseloom.sources import features, files
+from pulseloom.streaming import ingest, running
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -742,3 +744,52 @@ def pending_jobs(spark, sf_dir):
 def job_grid(spark, sf_dir):
     """Files by method and region kind."""
     return files.job_grid(table(spark, sf_dir, "pages").select("page_id"), ["rgb", "orgb"], ["mask", "patch", "background"])
+
+
+@query("""WITH s AS (SELECT sample_id, concat('r', cast(kind % 3 AS VARCHAR)) AS region, label, CASE WHEN sample_id % 2 = 0 THEN 'POS' ELSE 'R' END AS signal_type, signal FROM v_signals)
+    SELECT sample_id, region, signal_type, len(signal) AS n, ~(list_sum(signal)::DOUBLE)~ AS total FROM s WHERE label = 0 AND sample_id % 128 < 64 AND region IN ('r0', 'r2')""", digits=4)
+def feature_files(spark, sf_dir):
+    """All signals written as nested feature files in one job, and scanned with class, split and region left to the source."""
+    k = F.col("sample_id")
+    folder = F.concat(F.when(F.col("label") == 1, "deepfake").otherwise("real"), F.when(k % 128 < 64, "/train").otherwise("/test"), F.lit("/rgb/mask/f"), F.floor(k / 64).cast("string"), F.lit(".npy"))
+    rows = view(spark, sf_dir, "v_signals").select(folder.alias("file"), F.concat(F.lit("r"), (F.col("kind") % 3).cast("string")).alias("region"), (k % 64).cast("int").alias("entry"), F.when(k % 2 == 0, "POS").otherwise("R").alias("signal_type"), F.col("signal").cast("array<double>").alias("values"))
+    at = scratch(spark, "features")
+    features.save_features(rows, at)
+    found = features.scan_features(spark, at, ["file", "class", "split", "region", "entry", "signal_type", "values"])
+    found = found.where((F.col("class") == "real") & (F.col("split") == "train") & F.col("region").isin("r0", "r2"))
+    number = F.regexp_extract("file", "f([0-9]+)[.]npy$", 1).cast("long") * 64 + F.col("entry")
+    return found.select(number.alias("sample_id"), "region", "signal_type", F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT concat('region', cast(region_id AS VARCHAR)) AS subfolder, 'results' AS roi_type, count(*) AS n, ~(sum(snr))~ AS total FROM v_results WHERE snr > 20 GROUP BY region_id", digits=4)
+def ingested_results(spark, sf_dir):
+    """Result files taken in two at a time by a stream with a manifest, stopped after its first batch and started again."""
+    rows = view(spark, sf_dir, "v_results").where("snr > 20").select("signal_type", "heart_rate", "snr", "wavelet", F.lit(1).alias("wavelet_level"), "filter", "filter_order", F.concat(F.lit("region"), F.col("region_id").cast("string")).alias("region"), F.lit(-1).alias("patch_idx"))
+    folder, target, checkpoint = (scratch(spark, n) for n in ("results", "ingested", "stream"))
+    files.save_results(rows.coalesce(2), folder)
+    stops = [RuntimeError("stopped")]
+
+    def stop(_: int) -> None:
+        if stops:
+            raise stops.pop()
+
+    for _ in range(2):
+        try:
+            ingest.ingest(spark, folder, files.RESULT_SCHEMA, target, checkpoint, files_per_batch=2, after_write=stop)
+        except StreamingQueryException:  # the stop above
+            continue
+    return ingest.ingested(spark, target).groupBy("subfolder", "roi_type").agg(F.count("*").alias("n"), F.sum("snr").alias("total"))
+
+
+@query("SELECT video_id, region, segment_id, so_far, ~(mean_snr)~ AS mean_snr FROM (SELECT video_id, CASE WHEN frame_idx % 3 = 0 THEN 'nose' ELSE 'face' END AS region, frame_idx::INT AS segment_id, row_number() OVER w - 1 AS so_far, avg(r) OVER w AS mean_snr FROM v_frames WHERE valid WINDOW w AS (PARTITION BY video_id, CASE WHEN frame_idx % 3 = 0 THEN 'nose' ELSE 'face' END ORDER BY frame_idx)) q")
+def running_lists(spark, sf_dir):
+    """Outputs of every video's regions through a stream with list state, each with its place and the mean so far."""
+    region = F.when(F.col("frame_idx") % 3 == 0, "nose").otherwise("face")
+    rows = view(spark, sf_dir, "v_frames").where("valid").select("video_id", region.alias("region"), F.lit(0).cast("long").alias("run_id"), F.col("frame_idx").cast("int").alias("segment_id"), F.col("r").alias("snr"), F.col("ts").cast("timestamp").alias("ts"))
+    after = rows.groupBy().agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("video_id"), F.lit("end").alias("region"), F.lit(0).cast("long").alias("run_id"), F.lit(0).alias("segment_id"), F.lit(0.0).alias("snr"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    folder, out, checkpoint = (scratch(spark, n) for n in ("outputs", "running", "stream"))
+    rows.unionByName(after).write.parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    with running.rocksdb(spark):
+        running.stream_running(stream, "1 hour").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    return spark.read.parquet(out).where("region <> 'end'").select("video_id", "region", "segment_id", "so_far", "mean_snr")
