@@ -6,22 +6,31 @@ fingerprints linked within two bits is one of candidates. Sets of similarity 0.8
 in more bits than a trie can be walked for (ten of 64 are to be expected), so the second search
 finds the rest: a class has a signature of least hashes, one for each bin of the hashes
 (one-permutation hashing; an empty bin takes the value of another by a fixed draw), cut into bands,
-and classes that share a band are candidates. Every candidate is verified by the exact sets.
+and classes that share a band are candidates. Every link is verified by the exact sets.
 
-In a group all members are compared with a leader, which is all that a crowd of near copies needs; those that
-aren't similar to it go on among themselves. Members that are left after a few rounds, such as texts that share
-a passage but not four fifths, are dealt anew by a second and a third band that they share: of pairs at the threshold
-one in 250 shares fewer than three. Leaders differ from group to group.
+A group is done with when all its members are connected, whatever connects them:
+
+1. Groups with the same members are one. Each member is compared with the group's leader, the member of least hash, which is mostly the
+   same one in all groups of near copies, so few pairs are compared. Large groups have a leader for each few thousand members, all led by one.
+2. Groups whose members are still in several components go to tasks with their sets, where a prefix filter (sets of similarity s share
+   one of their rarest 1 - s) finds the pairs that are left to compare. That is exact, and needs no further round.
+3. Groups too large for that are first dealt anew by those rarest shingles, counted within the group, which loses no similar pair: texts that share
+   a frequent passage part. What is still too large then is compared tile by tile, and only what lies outside the group's largest
+   component with everything else.
+
+The number of steps doesn't depend on any group's size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseloom.llm import simhash_trie
 from pulseloom.llm.components import connected_components
@@ -29,8 +38,8 @@ from pulseloom.llm.store import stored
 
 SEED = 42
 BANDS, ROWS = 25, 5
-#: Bands by which a group is dealt, rounds before the next, and leaders a round at the last.
-LEVELS, ROUNDS, LEADERS = 3, 3, 6
+#: Members of a group that one task compares, and members that share a leader.
+SMALL, SEAT = 256, 4096
 
 
 def all_hashes(text: str | None, words: int = 5) -> np.ndarray:
@@ -92,7 +101,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def similar_pairs(classes: DataFrame, words: int, least: float) -> DataFrame:
-    """Links ``(a, b)`` between keys of ``classes(key, text, fp, bands)`` whose sets have at least that similarity."""
+    """Links ``(a, b)`` between keys of ``classes(key, text, fp, bands)`` whose sets have at least that similarity: those that connect all
+    candidates that such links connect, not every one."""
 
     @F.pandas_udf("array<long>")
     def hashes(texts: pd.Series) -> pd.Series:
@@ -100,41 +110,108 @@ def similar_pairs(classes: DataFrame, words: int, least: float) -> DataFrame:
 
     prints = classes.select(F.col("key").alias("doc_id"), "fp")
     linked = simhash_trie.near_classes(prints).select("fp", "root")
-    walked = prints.join(linked, "fp").select(F.col("doc_id").alias("key"), F.lit(-1).alias("band"), F.col("root").alias("value"))
-    banded = classes.select("key", F.posexplode("bands").alias("band", "value"))
-    spots = stored(walked.unionByName(banded), "bands")
-    shared = spots.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
-    members = stored(spots.join(shared, ["band", "value"]), "members")
+    walked = prints.join(linked, "fp").select(F.col("doc_id").alias("key"), F.xxhash64(F.lit(-1), "root").alias("g"))
+    banded = classes.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("g"))
+    spots = stored(walked.unionByName(banded), "spots")
+    shared = spots.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    members = stored(spots.join(shared, "g"), "members")
     sets = stored(classes.join(members.select("key").distinct(), "key", "left_semi").select("key", hashes("text").alias("hashes")), "sets")
-    found = []
-    for level in range(LEVELS):
-        rounds = 0
-        while not members.isEmpty() and (rounds < ROUNDS or level == LEVELS - 1):
-            # at the last level, where groups are small, several leaders a round
-            seat = F.pmod(F.xxhash64("key", "value"), F.lit(LEADERS if level == LEVELS - 1 else 1))
-            leaders = members.groupBy("band", "value", seat).agg(F.min_by("key", F.struct(F.xxhash64("key", "band", "value"), "key")).alias("leader")).select("band", "value", "leader")
-            pairs = members.join(leaders, ["band", "value"]).where("key <> leader").withColumns({"a": F.least("key", "leader"), "b": F.greatest("key", "leader")})
-            pairs = stored(pairs.select("band", "value", "key", "leader", "a", "b"), "pairs")
-            verified = stored(_verify(pairs.select("a", "b").distinct(), sets, least), "verified")
-            found.append(verified.where("ok").select("a", "b"))
-            rest = pairs.join(verified, ["a", "b"]).groupBy("key", "band", "value").agg(F.bool_or("ok").alias("met"))
-            led = pairs.select("band", "value", F.col("leader").alias("key")).distinct()
-            members = stored(rest.where("NOT met").drop("met").join(led, ["band", "value", "key"], "left_anti"), "members")
-            rounds += 1
-        if members.isEmpty() or level == LEVELS - 1:
-            break
-        # groups of the trie join aren't dealt anew: their similar members share bands
-        second = spots.where("band >= 0").select("key", F.col("band").alias("next"), F.col("value").alias("of_next"))
-        finer = members.where("band >= 0").join(second, "key").where("next > band").select("key", F.col("next").alias("band"), F.xxhash64("band", "value", "next", "of_next").alias("value"))
-        finer = stored(finer, "finer")
-        shared = finer.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
-        members = stored(finer.join(shared, ["band", "value"]), "members")
-    links = classes.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    for part in found:
-        links = links.unionByName(part)
+    links, open_ = _connected(members, sets, None, least)
+    small, large = open_.where(F.col("n") <= SMALL), open_.where(F.col("n") > SMALL)
+    links = stored(links.unionByName(_in_tasks(small, sets, least)), "links")
+    if not large.isEmpty():
+        links, open_ = _connected(_dealt_by_prefix(large, sets, least), sets, links, least)
+        links = stored(links.unionByName(_in_tasks(open_, sets, least)), "links")
     return links
 
 
+def _connected(members: DataFrame, sets: DataFrame, links: DataFrame | None, least: float) -> tuple[DataFrame, DataFrame]:
+    """(links, members (g, key, root, n) of the groups that they don't connect) after every member of ``members(g, key)`` was compared with its group's leader."""
+    own = members.groupBy("g").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(2**31))).alias("s")).where("n > 1")
+    one = own.groupBy("n", "x", "s").agg(F.min("g").alias("g")).select("g", "n")
+    members = stored(members.join(one, "g"), "groups")
+    first = lambda: F.min_by("key", F.struct(F.xxhash64("key"), "key"))
+    seat = F.pmod(F.xxhash64(F.lit(9), "key"), F.ceil(F.col("n") / SEAT)).alias("seat")
+    seated = members.select("g", "key", seat)
+    leaders = stored(seated.groupBy("g", "seat").agg(first().alias("leader")), "leaders")
+    heads = leaders.select("g", F.col("leader").alias("key")).groupBy("g").agg(first().alias("leader"))
+    pairs = seated.join(leaders, ["g", "seat"]).select("key", "leader").unionByName(leaders.select("g", F.col("leader").alias("key")).join(heads, "g").select("key", "leader"))
+    pairs = pairs.where("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
+    met = _verify(pairs, sets, least).where("ok").select("a", "b")
+    links = stored(met if links is None else links.unionByName(met), "links")
+    roots = connected_components(links).withColumnRenamed("id", "key")
+    named = members.join(roots, "key", "left").select("g", "key", F.coalesce("root", "key").alias("root"), "n")
+    several = named.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
+    return links, stored(named.join(several, "g"), "open")
+
+
+def prefix_length(n: Column, least: float) -> Column:
+    """How many of a set's n rarest items hold one in common with any set of that similarity."""
+    return n - F.ceil(n * least - 1e-9) + 1
+
+
+def _dealt_by_prefix(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``members(g, key)`` of large groups as groups of those that share one of their rarest shingles, rare by the counts within the group."""
+    rows = members.select("g", "key").join(sets, "key").select("g", "key", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
+    counts = rows.groupBy("g", "h").agg(F.count("*").alias("c"))
+    ranked = rows.join(counts, ["g", "h"]).groupBy("g", "key", "size").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("s"))  # a text's shingles
+    rarest = ranked.select("g", "key", F.explode(F.slice("s", F.lit(1), prefix_length(F.col("size"), least).cast("int"))).alias("p"))
+    return stored(rarest.where("p.c > 1").select(F.xxhash64("g", "p.h").alias("g"), "key").distinct(), "dealt")
+
+
+def links_among(keys: Sequence[int], roots: Sequence[int], sets: Sequence[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Similar pairs that connect what the roots don't connect yet: a forest over the given sets. Every set is compared with all smaller ones that share a rare shingle with it."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    sizes = np.array([len(x) for x in sets])
+    _, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    each = np.split(codes, np.cumsum(sizes)[:-1])
+    holders: dict[int, list[int]] = {}
+    found = []
+    for k in np.argsort(sizes, kind="stable").tolist():
+        own = each[k]
+        rare = own[np.lexsort((own, counts[own]))][: len(own) - int(np.ceil(len(own) * least - 1e-9)) + 1]
+        near: dict[int, None] = {}
+        for code in rare[counts[rare] > 1].tolist():
+            near.update(dict.fromkeys(holders.get(code, ())))
+            holders.setdefault(code, []).append(k)
+        for other in near:
+            if sizes[other] >= least * sizes[k] - 1e-9 and top(roots[other]) != top(roots[k]):
+                both = len(np.intersect1d(each[other], own, assume_unique=True))
+                if both >= least * (sizes[other] + sizes[k] - both) - 1e-9:
+                    parent[top(roots[other])] = top(roots[k])
+                    found.append((min(keys[k], keys[other]), max(keys[k], keys[other])))
+    return found
+
+
+def _in_tasks(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links among ``open_(g, key, root, n)``. Members outside their group's largest component meet all others, in tiles of ``SMALL`` where there are more."""
+    sized = open_.groupBy("g", "root").agg(F.count("*").alias("m"))
+    main = sized.groupBy("g").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("inside"))
+    rows = open_.join(main, "g")
+    small, tile = F.col("n") <= SMALL, lambda total: F.greatest(F.ceil(total / (SMALL / 2)), F.lit(1)).cast("int")
+    outer = tile(F.col("n") - F.col("inside"))
+    inner, mine = tile(F.col("inside")), lambda count: F.pmod(F.xxhash64(F.lit(3), "key"), count).cast("int")
+    upto = lambda count: F.sequence(F.lit(0), count - 1)
+    unit = lambda i, kind, j: F.struct(i.cast("int").alias("i"), F.lit(kind).alias("kind"), j.cast("int").alias("j"))
+    strays = F.concat(F.transform(upto(outer), lambda j: unit(F.least(mine(outer), j), 0, F.greatest(mine(outer), j))), F.transform(upto(inner), lambda j: unit(mine(outer), 1, j)))
+    held = F.transform(upto(outer), lambda i: unit(i, 1, mine(inner)))
+    where = F.when(small, F.array(unit(F.lit(0), 0, F.lit(0)))).when(F.col("root") == F.col("main"), held).otherwise(strays)
+    placed = rows.select("key", "root", "g", F.explode(where).alias("unit")).join(sets, "key")
+
+    def run(unit: pa.Table) -> pa.Table:
+        hashes = [x.values.to_numpy() for x in unit.column("hashes")]
+        found = links_among(unit.column("key").to_pylist(), unit.column("root").to_pylist(), hashes, least)
+        return pa.table({c: pa.array([p[k] for p in found], pa.int64()) for k, c in enumerate("ab")})
+
+    return placed.groupBy("g", "unit").applyInArrow(lambda t: run(t), "a long, b long")
+
+
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs``, with their columns, that stay when one of each group of similar documents is kept.
 

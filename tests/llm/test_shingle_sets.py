@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from pulseloom.llm import shingle_sets
@@ -51,7 +52,11 @@ def corpus(seed=5):
     return [(int(i), t, "x") for i, t in zip(rng.permutation(len(texts)), texts)] + [(None, texts[3], "x"), (None, "nothing like it", "x")]
 
 
-def test_stage_against_all_pairs(spark):
+@pytest.mark.parametrize("small, seat", [(256, 4096), (6, 10), (1, 3)])
+def test_stage_against_all_pairs(spark, monkeypatch, small, seat):
+    """With limits so low that groups are dealt by prefixes and compared in tiles, too."""
+    monkeypatch.setattr(shingle_sets, "SMALL", small)
+    monkeypatch.setattr(shingle_sets, "SEAT", seat)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = corpus_pipeline.near_dedup(spark, docs, "")
@@ -71,7 +76,53 @@ def test_a_shared_passage_takes_few_rounds(spark, monkeypatch):
     calls = []
     monkeypatch.setattr(shingle_sets, "_verify", lambda *args, real=shingle_sets._verify: calls.append(1) or real(*args))
     assert sorted(r["doc_id"] for r in shingle_sets.keep_one(docs).collect()) == list(range(150))
-    assert len(calls) < 25
+    assert len(calls) <= 2
+
+
+def chain(rng, length, words=100, step=4):
+    """Texts that each differ from the one before in so many words: neighbours are similar, others after a few steps aren't."""
+    text, out = [f"c{v}" for v in rng.integers(0, 10**9, words)], []
+    for _ in range(length):
+        out.append(" ".join(text))
+        text = [*text[step:], *(f"c{v}" for v in rng.integers(0, 10**9, step))]
+    return out
+
+
+@pytest.mark.parametrize("small", [256, 4])
+def test_chains_stay_whole(spark, monkeypatch, small):
+    monkeypatch.setattr(shingle_sets, "SMALL", small)
+    rng = np.random.default_rng(12)
+    texts = [t for _ in range(8) for t in chain(rng, 30)]
+    rows = [(int(k), t, "x") for k, t in zip(rng.permutation(len(texts)), texts)]
+    got = shingle_sets.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted((False, r["doc_id"]) for r in got.collect()) == brute_kept(rows) and got.count() == 8
+
+
+def test_forests_among_sets_connect_what_all_pairs_do():
+    rng = np.random.default_rng(13)
+    for _ in range(20):
+        base = [np.unique(rng.integers(0, 400, 40)) for _ in range(6)]
+        sets = [np.setdiff1d(b, rng.choice(b, int(rng.integers(0, 8)), replace=False)) for b in base for _ in range(6)]
+        roots = list(range(len(sets)))
+        roots[3], roots[20] = 0, 1
+
+        def classes(pairs):
+            up = list(range(len(sets)))
+
+            def top(x):
+                while up[x] != x:
+                    x = up[x]
+                return x
+
+            for a, b in [*pairs, (3, 0), (20, 1)]:
+                up[top(a)] = top(b)
+            return [top(k) for k in range(len(sets))]
+
+        every = [(a, b) for a in range(len(sets)) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9]
+        found = shingle_sets.links_among(list(range(len(sets))), roots, sets, 0.8)
+        assert {(a, b) for a, b in found} <= {(b, a) for a, b in every}
+        want, got = classes(every), classes(found)
+        assert all((want[a] == want[b]) == (got[a] == got[b]) for a in roots for b in roots)
 
 
 def test_bands_recall_at_the_threshold():
