@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pulseloom.operators.neighbours import nearest_neighbours
+
 MODULUS = 4294967296
 BLOCKS = 1024
 
@@ -129,35 +131,17 @@ def oversample(df: DataFrame, label: str, id_: str, seed: int = 42) -> DataFrame
     return repeated.drop("_n", "_times")
 
 
-def smote(df: DataFrame, label: str, id_: str, features: str, k: int = 5, seed: int = 42, tile: int = 2048) -> DataFrame:
-    """New rows of the smaller classes until all are equal: x + u * (neighbour - x), the neighbour one of the k nearest of the class.
+def smote(df: DataFrame, label: str, id_: str, features: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """New rows of the smaller classes until all are equal: x + u * (neighbour - x), the neighbour one of the k nearest of the class (``nearest_neighbours``).
 
-    Neighbours are searched tile against tile inside numpy; only each row's k nearest of a tile leave a task. Classes with one row repeat it.
+    Classes with one row repeat it.
     """
-    import numpy as np
-    import pandas as pd
-
     counts = df.groupBy(label).agg(F.count("*").alias("_c"))
     most = counts.agg(F.max("_c").alias("_most"))
     need = counts.join(F.broadcast(most)).where("_most > _c").withColumn("_need", F.col("_most") - F.col("_c"))
     rows = shuffled(df.join(need.select(label), label, "left_semi"), [label], id_, seed, "_n").select(label, id_, F.col(features).cast("array<double>").alias("x"), "_n").join(need, label)
-    own = rows.withColumn("_tile", F.floor(F.col("_n") / tile)).withColumn("_tiles", F.ceil(F.col("_c") / tile))
-    met = own.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)))
-    left = met.select(label, F.col("_tile").alias("a"), F.col("_other").alias("b"), F.lit(0).alias("side"), "_n", "x")
-    right = met.select(label, F.col("_other").alias("a"), F.col("_tile").alias("b"), F.lit(1).alias("side"), "_n", "x")
-
-    def nearest(key, part: pd.DataFrame) -> pd.DataFrame:
-        a, b = part[part["side"] == 0], part[part["side"] == 1]
-        x, y = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
-        far = (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T
-        far[a["_n"].to_numpy()[:, None] == b["_n"].to_numpy()[None]] = np.inf
-        take = np.argsort(far, 1, kind="stable")[:, :k]
-        out = pd.DataFrame({label: key[0], "_n": np.repeat(a["_n"].to_numpy(), take.shape[1]), "m": b["_n"].to_numpy()[take].ravel(), "far": np.take_along_axis(far, take, 1).ravel()})
-        return out[np.isfinite(out["far"])]
-
-    kind = df.schema[label].dataType.simpleString()
-    close = left.unionByName(right).groupBy(label, "a", "b").applyInPandas(nearest, f"{label} {kind}, _n long, m long, far double")
-    best = close.groupBy(label, "_n").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "m"))), 1, k).alias("near"))  # k a tile
+    near = nearest_neighbours(rows.select(label, "_n", "x"), "_n", "x", k, group=label)
+    best = near.groupBy(F.col("g").alias(label), F.col("id").alias("_n")).agg(F.array_sort(F.collect_list(F.struct("place", F.col("neighbour").alias("m")))).alias("near"))  # k
     draws = need.select(label, "_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_need") - 1)).alias("_k"))
     draws = draws.withColumns({"_n": F.col("_k") % F.col("_c"), "_h": mixed("_k", seed)})
     start = rows.select(label, "_n", "x")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def standardise(df: DataFrame, metrics: Sequence[str], suffix: str = "_z") -> DataFrame:
@@ -34,6 +34,50 @@ def kmeans(df: DataFrame, metrics: Sequence[str], clusters: int, seed: int = 42,
     return found, own, float(model.summary.trainingCost)
 
 
+def _nearest_centre(metrics: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
+    """(number, squared distance) of the nearest of a few centres; ties go to the lowest number."""
+    far = [sum(((F.col(m) - F.lit(float(v))) ** 2 for m, v in zip(metrics, c)), F.lit(0.0)) for c in centres]
+    return F.array_min(F.array(*[F.struct(d.alias("far"), F.lit(i).alias("cluster")) for i, d in enumerate(far)]))
+
+
+def minibatch_step(batch: DataFrame, metrics: Sequence[str], centres: Sequence[Sequence[float]], weights: Sequence[float]) -> tuple[list[list[float]], list[float]]:
+    """Centres and weights after one batch: each centre moves to the mean of all rows it was ever given, those before by their number."""
+    own = batch.select(_nearest_centre(metrics, centres)["cluster"].alias("cluster"), *metrics).groupBy("cluster").agg(F.count("*").alias("n"), *[F.sum(m).alias(m) for m in metrics])
+    moved, heavier = [list(c) for c in centres], list(weights)
+    for r in own.collect():  # one row a centre
+        c, before = r["cluster"], weights[r["cluster"]]
+        heavier[c] = before + r["n"]
+        moved[c] = [(v * before + r[m]) / heavier[c] for v, m in zip(centres[c], metrics)]
+    return moved, heavier
+
+
+def minibatch_kmeans(df: DataFrame, metrics: Sequence[str], clusters: int, id_: str, seed: int = 42, batch: int = 1024, steps: int = 30) -> tuple[DataFrame, list[list[float]], float]:
+    """``df`` with cluster and distance (in standard units), the centroids in the metrics' own units, and the inertia in standard units.
+
+    Each step takes the rows whose id's hash with the step's number is small: about ``batch`` of them, by one scan with the condition pushed into it. First centres are
+    those of k-means|| over such a sample. Only centres reach the driver. Every row is assigned at the end. Fewer rows than clusters give as many centres as there are.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    clean = df.dropna(subset=list(metrics))
+    z = standardise(clean, metrics)
+    names = [m + "_z" for m in metrics]
+    scale = clean.agg(F.count("*").alias("n"), *[f(m) for m in metrics for f in (F.avg, F.stddev_pop)]).first()
+    share = min(1.0, batch / max(scale["n"], 1))
+    drawn = lambda step: z.where(F.pmod(F.xxhash64(F.col(id_), F.lit(seed), F.lit(step)), F.lit(2**30)) < F.lit(int(share * 2**30) + 1))
+    first = VectorAssembler(inputCols=names, outputCol="_p").transform(drawn(-1))
+    centres = [[float(v) for v in c] for c in KMeans(featuresCol="_p", k=clusters, seed=seed, initMode="k-means||", maxIter=1).fit(first).clusterCenters()]
+    weights = [0.0] * len(centres)
+    for step in range(steps):
+        centres, weights = minibatch_step(drawn(step), names, centres, weights)
+    best = _nearest_centre(names, centres)
+    found = z.withColumn("_b", best).withColumns({"cluster": F.col("_b.cluster"), "distance": F.sqrt("_b.far")}).drop("_b", *names)
+    inertia = found.agg(F.sum(F.col("distance") ** 2)).first()[0] or 0.0
+    own = [[c[i] * (scale[2 * i + 2] or 1.0) + scale[2 * i + 1] for i in range(len(metrics))] for c in centres]
+    return found, own, float(inertia)
+
+
 def kneedle(values: Sequence[float]) -> int:
     """Index of the knee of a convex, falling curve: the largest drop below its chord (first wins)."""
     y = np.asarray(values, float)

@@ -137,6 +137,12 @@ def best_combinations(df: DataFrame, groupings: Sequence[Sequence[str]], n: int
     return found
 
 
+def by_groupings(df: DataFrame, groupings: Sequence[Sequence[str]]) -> DataFrame:
+    """Every row once for each list of columns: grouping (the columns' names) and category (their values), both joined by underscores."""
+    each = [F.struct(F.lit("_".join(g)).alias("grouping"), F.concat_ws("_", *[F.col(c).cast("string") for c in g]).alias("category")) for g in groupings]
+    return df.select("*", F.explode(F.array(*each)).alias("_k")).select("*", "_k.*").drop("_k")
+
+
 def correlations(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Pairwise Pearson correlations as (metric_a, metric_b, correlation)."""
     pairs = [(a, b) for a in metrics for b in metrics]

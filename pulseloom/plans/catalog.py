@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from pulseloom.functions import dsp
-from pulseloom.operators import balance, cluster, geometry, inference, metrics, pulse, scoring, segments, significance, spectral, trials
+from pulseloom.operators import balance, cluster, geometry, inference, metrics, neighbours, pulse, scoring, segments, significance, spectral, trials
 from pulseloom.plans.views import oracle, view
 from pulseloom.session import scratch, table
 from pulseloom.sources import features, files
@@ -115,8 +115,7 @@ def scores_joined_back(spark, sf_dir):
 def grouping_lists(spark, sf_dir):
     """Several lists of grouping columns in one frame."""
     df = scoring.clean_results(view(spark, sf_dir, "v_results"))
-    keys = F.explode(F.array(*[F.struct(F.lit("_".join(g)).alias("grouping"), F.concat_ws("_", *[F.col(c).cast("string") for c in g]).alias("category")) for g in (["signal_type", "filter"], ["filter_order", "wavelet"])]))
-    return df.select(keys.alias("k"), "snr").groupBy("k.grouping", "k.category").agg(F.count("*").alias("n"), F.avg("snr").alias("mean"))
+    return scoring.by_groupings(df, [["signal_type", "filter"], ["filter_order", "wavelet"]]).groupBy("grouping", "category").agg(F.count("*").alias("n"), F.avg("snr").alias("mean"))
 
 
 @query("""WITH r AS (SELECT * FROM v_results WHERE isfinite(snr)), m AS (SELECT unnest(['snr', 'heart_rate', 'filter_order']) AS a), c AS (SELECT corr(snr, heart_rate) AS sh, corr(snr, filter_order) AS so, corr(heart_rate, filter_order) AS ho FROM r)
@@ -367,10 +366,12 @@ def split_overlap(spark, sf_dir):
     return balance.overlapping(view(spark, sf_dir, "v_items"), "parent", "class")
 
 
-@query("SELECT label, count(*) AS n FROM v_signals WHERE len(signal) > 0 AND len(list_filter(signal, lambda x: NOT isfinite(x))) = 0 GROUP BY label")
+@query("SELECT label::BIGINT AS label, count(*) AS n FROM v_signals WHERE len(signal) > 0 AND len(list_filter(signal, lambda x: NOT isfinite(x))) = 0 GROUP BY label")
 def clean_samples(spark, sf_dir):
-    """Complete samples by label."""
-    return balance.drop_invalid(view(spark, sf_dir, "v_signals"), "signal").groupBy("label").agg(F.count("*").alias("n"))
+    """Complete samples of both classes, labelled in order of the classes."""
+    rows = view(spark, sf_dir, "v_signals").withColumnRenamed("label", "_class")
+    classes = {name: balance.drop_invalid(rows.where(F.col("_class") == k), "signal").drop("_class") for k, name in enumerate(("real", "fake"))}
+    return balance.labelled(classes).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("SELECT sample_id, (p.i)::INT AS patch_idx, ~(list_sum(signal[p.i * 16 + 1 : p.i * 16 + 16])::DOUBLE)~ AS total FROM v_signals, range(0, 4) p(i)", digits=4)
@@ -380,6 +381,13 @@ def flat_patches(spark, sf_dir):
     return balance.flatten_patches(rows, "patches").select("sample_id", "patch_idx", F.aggregate("patch", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
+@query("""WITH d AS (SELECT a.label AS g, a.sample_id AS id, b.sample_id AS neighbour, list_distance(a.signal::DOUBLE[], b.signal::DOUBLE[]) AS distance FROM v_signals a JOIN v_signals b ON a.label = b.label AND a.sample_id <> b.sample_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY distance, neighbour) AS place FROM d) SELECT g, id, place::INT AS place, neighbour, ~(distance)~ AS distance FROM r WHERE place <= 5""")
+def exact_neighbours(spark, sf_dir):
+    """The five nearest signals of each signal's class."""
+    return neighbours.nearest_neighbours(view(spark, sf_dir, "v_signals"), "sample_id", "signal", 5, group="label")
+
+
 @query()
 def smote_samples(spark, sf_dir):
     """Synthetic samples of the smaller class."""
@@ -564,6 +572,24 @@ def kmeans_clusters(spark, sf_dir):
     return cluster.cluster_stats(found, "cluster", ["p_size", "p_retailprice"])
 
 
+@query("""WITH p AS (SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice / 50 AS b FROM part), c AS (SELECT row_number() OVER (ORDER BY p_partkey) AS k, a, b FROM p QUALIFY k <= 5),
+    n AS (SELECT p.a, p.b, (min(struct_pack(d := (p.a - c.a) ** 2 + (p.b - c.b) ** 2, k := c.k))).k AS k FROM p, c GROUP BY p.p_partkey, p.a, p.b), m AS (SELECT k, count(*) AS n, sum(a) AS a, sum(b) AS b FROM n GROUP BY k)
+    SELECT (c.k - 1)::INT AS cluster, ~((c.a * 10 + coalesce(m.a, 0)) / (10 + coalesce(m.n, 0)))~ AS a, ~((c.b * 10 + coalesce(m.b, 0)) / (10 + coalesce(m.n, 0)))~ AS b, ~(10e0 + coalesce(m.n, 0))~ AS weight FROM c LEFT JOIN m USING (k)""", digits=4)
+def minibatch_step(spark, sf_dir):
+    """One step of mini-batch k-means from the first five parts as centres of weight ten, the whole table being the batch."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 50).alias("b"))
+    first = [[r["a"], r["b"]] for r in rows.orderBy("p_partkey").limit(5).collect()]
+    centres, weights = cluster.minibatch_step(rows, ["a", "b"], first, [10.0] * len(first))
+    return spark.createDataFrame([(k, *c, w) for k, (c, w) in enumerate(zip(centres, weights))], "cluster int, a double, b double, weight double")
+
+
+@query()
+def minibatch_clusters(spark, sf_dir):
+    """Clusters of all parts by mini-batches, with size, centre and variance."""
+    found, _, _ = cluster.minibatch_kmeans(table(spark, sf_dir, "part"), ["p_size", "p_retailprice"], 4, "p_partkey")
+    return cluster.cluster_stats(found, "cluster", ["p_size", "p_retailprice"])
+
+
 @query()
 def cluster_elbow(spark, sf_dir):
     """Inertias and the number of clusters at their knee."""

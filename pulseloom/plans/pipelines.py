@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pulseloom.operators import balance, metrics, pulse, scoring, segments, significance, spectral, trials
@@ -55,7 +56,11 @@ def quantile_points(df: DataFrame, value: str) -> DataFrame:
 
     ranks = significance.ranked(df.withColumn("_g", F.lit(0)), "_g", value)
     total = F.lit(df.where(F.col(value).isNotNull()).count())
-    quantile = F.udf(lambda p: special.normal_quantile(p), "double")
+
+    @F.pandas_udf("double")
+    def quantile(shares: pd.Series) -> pd.Series:
+        return shares.map(special.normal_quantile)
+
     return ranks.select("value", quantile((F.col("rank") - 0.5) / total).alias("expected"))
 
 

@@ -20,9 +20,11 @@ from fnmatch import fnmatch
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 from pyspark.sql.types import StructType
 
+from pulseloom.sources.staged import StagedWriter, filesystem
+
 #: Folders above a file, from the outermost.
 FOLDERS = ("class", "split", "method", "roi_type")
 SCHEMA = "file string, class string, split string, method string, roi_type string, region string, entry int, signal_type string, values array<double>, error string"
@@ -74,13 +76,6 @@ def signals_of(found: object, regions: set[str] | None = None, kinds: set[str] |
                             yield region, entry, kind, np.asarray(signal, np.float64).ravel()
 
 
-def filesystem(path: str):
-    """(pyarrow's file system, path in it) of any URI that it knows."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def _folders(path: str) -> dict[str, str | None]:
     parts = path.split("/")[:-1]
     return {name: parts[k - len(FOLDERS)] if len(parts) >= len(FOLDERS) - k else None for k, name in enumerate(FOLDERS)}
@@ -155,77 +150,19 @@ class FeatureReader(DataSourceReader):
                     yield shaped(error=f"{type(failure).__name__}: {failure}")
 
 
-class Written(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]):
-        self.files = files  # (staged, final)
-
-
-class FeatureWriter(DataSourceWriter):
-    """One file for each run of rows with the same ``file`` (a path below the root). Tasks stage their files beside the root; the commit moves them, so
-    that readers see all of a job's files or, after an abort, none."""
-
-    def __init__(self, options: dict[str, str], overwrite: bool):
-        import uuid
+class FeatureWriter(StagedWriter):
+    """Nested feature files."""
 
-        self.root, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
-        self.stage = f".staged-{self.job}"
+    def add(self, held: dict, row) -> None:
+        if row["entry"] is None or row["entry"] < 0:
+            raise ValueError("an entry must be numbered from 0")
+        items = held.setdefault(row["region"], [])
+        while len(items) <= row["entry"]:
+            items.append({})
+        items[row["entry"]][row["signal_type"]] = None if row["values"] is None else np.array(row["values"], np.float64)
 
-    def write(self, iterator: Iterator) -> Written:
-        from pyspark import TaskContext
-
-        system, root = filesystem(self.root)
-        task = TaskContext.get().taskAttemptId()
-        base, files, name, held = root.rstrip("/"), [], None, {}
-
-        def close() -> None:
-            staged = f"{base}-staged/{self.stage}/{task}/{len(files)}.npy"
-            system.create_dir(staged.rsplit("/", 1)[0], recursive=True)
-            with system.open_output_stream(staged) as out:
-                out.write(encode(held))
-            files.append((staged, f"{base}/{name}"))
-
-        for row in iterator:
-            if name is not None and row["file"] != name:
-                close()
-                held = {}
-            name = row["file"]
-            items = held.setdefault(row["region"], [])
-            if row["entry"] is None or row["entry"] < 0:
-                raise ValueError("an entry must be numbered from 0")
-            while len(items) <= row["entry"]:
-                items.append({})
-            items[row["entry"]][row["signal_type"]] = None if row["values"] is None else np.array(row["values"], np.float64)
-        if name is not None:
-            close()
-        return Written(files)
-
-    def _drop(self) -> None:
-        system, root = filesystem(self.root)
-        from pyarrow.fs import FileType
-
-        stage = f"{root.rstrip('/')}-staged/{self.stage}"
-        if system.get_file_info(stage).type == FileType.Directory:
-            system.delete_dir(stage)
-
-    def commit(self, messages: list) -> None:
-        from pyarrow.fs import FileType
-
-        system, root = filesystem(self.root)
-        files = [pair for m in messages if m is not None for pair in m.files]
-        ends = [end for _, end in files]
-        if len(set(ends)) < len(ends):
-            self._drop()
-            raise ValueError("rows of one file must come together: repartition by file and sort within partitions")
-        if self.overwrite and system.get_file_info(root).type == FileType.Directory:
-            system.delete_dir_contents(root)
-        for folder in {end.rsplit("/", 1)[0] for end in ends}:
-            system.create_dir(folder, recursive=True)
-        for staged, end in files:
-            system.move(staged, end)
-        self._drop()
-
-    def abort(self, messages: list) -> None:
-        self._drop()
+    def render(self, held: dict) -> bytes:
+        return encode(held)
 
 
 class FeatureSource(DataSource):

@@ -290,7 +290,7 @@ def test_balancing(spark):
     over = balance.oversample(df, "label", "id")
     assert dict(over.groupBy("label").count().collect()) == {0: 90, 1: 90}
     assert over.where("copy = 0").count() == 100
-    made = balance.smote(df, "label", "id", "x", k=3, tile=4).collect()
+    made = balance.smote(df, "label", "id", "x", k=3).collect()
     assert len(made) == 80 and all(0 <= r["x"][0] <= 90 and r["x"][1] == 1 for r in made)
     drawn = balance.weighted_draws(df.withColumn("w", F.when(F.col("label") == 1, 9.0).otherwise(1.0)), "id", "w", 4000).join(df, "id")
     assert drawn.count() == 4000 and 0.45 < drawn.where("label = 1").count() / 4000 < 0.55
