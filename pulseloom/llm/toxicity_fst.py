@@ -383,10 +383,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = 2000) -> Model:
     """Lexicon and weights from labelled rows that aren't held out.
 
-    Null labels, texts and ids are passed over. At most ``sample_per_class`` rows of each label
-    are used, by the least hash of doc_id; one worker fits them, and the driver gets the model.
+    Null labels, texts and ids are passed over; an id with several labels has the largest (toxic), and of several texts the one of least hash. At most
+    ``sample_per_class`` ids of each label are used, by their least hash, each with one text; one worker fits them, and the driver gets the model.
     """
-    named = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("y")).dropDuplicates(["doc_id"]).where(~held_out())
+    labelled = labels.where("toxic is not null and doc_id is not null").where(~held_out())
+    named = labelled.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     order = F.xxhash64("doc_id")
     sample = None
     for y in (1, 0):
@@ -394,6 +395,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = 2000) -> M
         sample = part if sample is None else sample.unionByName(part)
     # at most 2 * sample_per_class ids of 12 bytes
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("y").alias("y"))
     # the bounded sample is one group, fitted by a worker
     fitted = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "y").groupBy(F.lit(0).alias("g")).applyInPandas(_fit, "words array<string>, stems array<string>, slurs array<string>, weights array<double>").first()
     if not fitted:

@@ -140,3 +140,15 @@ def test_no_labels_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["doc_id"]: r["predicted"] for r in tf.score_documents(docs, none).collect()} == {1: 1, 2: 0}
     assert tf.score_documents(spark.createDataFrame([], "doc_id long, text string"), none).collect() == []
+
+
+def test_conflicting_labels_and_repeated_documents(spark):
+    """An id with both labels counts as toxic, whatever order the rows come in; repeated ids give the fit one text each."""
+    rng = np.random.default_rng(31)
+    words = [f"plain{k}" for k in range(60)]
+    text = lambda k: " ".join(rng.choice(words, 12)) + (" grunk zlobber." if k % 2 else ".")
+    rows = [(k, text(k)) for k in range(120)]
+    docs = spark.createDataFrame(rows + [rows[1]] * 50 + [(3, "another text")], "doc_id long, text string")
+    both = [(k, k % 2) for k in range(120)] + [(k, 0) for k in range(1, 120, 4)]
+    models = [tf.train(docs.repartition(n), spark.createDataFrame(order, "doc_id long, toxic int")) for n, order in ((1, both), (3, both[::-1]))]
+    assert models[0] == models[1] and {"grunk", "zlobber"} <= set(models[0].words)
