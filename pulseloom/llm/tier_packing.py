@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +55,9 @@ def pack_block(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple
         full = n // window * window
         done += [(window, [(doc, at, window)]) for at in range(0, full, window)]
         if n > full:
-            route(n - full, -doc, full)
+            waiting[tiers[bisect_left(tiers, n - full)]].append((n - full, -doc, full))
+    for held in waiting.values():  # sorted once: a block may hold a million short texts
+        held.sort()
 
     rest: list[Piece] = []
     for level in reversed(range(len(tiers))):
@@ -95,24 +98,24 @@ def pack_block(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple
             break
     if rest:
         left = sum(p[2] for p in rest) + sum(x[0] for held in waiting.values() for x in held)
-        rest += [(-doc, start, length) for t in reversed(tiers) for length, doc, start in reversed(waiting[t])]
+        queue = deque([*rest, *((-doc, start, length) for t in reversed(tiers) for length, doc, start in reversed(waiting[t]))])
         for tier in reversed(tiers):
             while left >= tier:
-                done.append((tier, _take(rest, tier)))
+                done.append((tier, _take(queue, tier)))
                 left -= tier
         if left:
-            done.append((window, rest))
+            done.append((window, list(queue)))
     return done
 
 
-def _take(pieces: list[Piece], tokens: int) -> list[Piece]:
-    """That many tokens off the front of a list of pieces."""
+def _take(pieces: deque[Piece], tokens: int) -> list[Piece]:
+    """That many tokens off the front of the pieces."""
     taken = []
     while tokens:
-        doc, start, length = pieces.pop(0)
+        doc, start, length = pieces.popleft()
         taken.append((doc, start, min(length, tokens)))
         if length > tokens:
-            pieces.insert(0, (doc, start + tokens, length - tokens))
+            pieces.appendleft((doc, start + tokens, length - tokens))
         tokens -= taken[-1][2]
     return taken
 

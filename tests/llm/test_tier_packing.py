@@ -97,3 +97,12 @@ def test_settled_characters(low, high):
     for c in range(low, high):
         text = f"a{chr(c)} {chr(c)}1 \n{chr(c)}b"
         assert bpe.encode(text).tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
+def test_a_block_of_very_many_short_texts():
+    import time
+
+    began = time.perf_counter()
+    done = tp.pack_block([1] * 1_000_000)
+    assert time.perf_counter() - began < 20
+    assert sum(p[2] for _, pieces in done for p in pieces) == 1_000_000 and sum(sum(p[2] for p in pieces) != tier for tier, pieces in done) <= 1
