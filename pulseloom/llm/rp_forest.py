@@ -77,8 +77,13 @@ def _children() -> Column:
     return F.expr(places)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near one: no digit changes, and squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(values: list) -> np.ndarray:
-    x = np.array(values, np.float64)
+    x = scaled(np.array(values, np.float64))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -88,7 +93,7 @@ def _compare(threshold: float):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["tile", "rep"], kind="stable")
         rep, copies, tile = rows["rep"].to_numpy(np.int64), rows["copies"].to_numpy(np.int64), rows["tile"].to_numpy()
-        raw = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+        raw = scaled(np.stack(rows["embedding"].to_numpy()).astype(np.float64))
         norm = np.linalg.norm(raw, axis=1)
         low, high, leaf = map(int, key[1:])
         places = rows["leaves"].tolist()

@@ -123,3 +123,15 @@ def test_every_length_of_a_label_links(spark):
     got = {r["vec_id"]: r for r in rf.forest_components(spark.createDataFrame(rows, SCHEMA), leaf_rows=1000).collect()}
     for k in range(12):
         assert got[101 + 2 * k]["n_links"] >= 1 and got[100 + 2 * k]["component_id"] == got[101 + 2 * k]["component_id"]
+
+
+def test_huge_and_tiny_components(spark):
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(6, 8))
+    rows = [(10 * k + j, (base[k] * s * (1 + 1e-3 * rng.normal(size=8))).tolist(), 1) for k in range(6) for j, s in enumerate((1e300, 1.0, 1e-300))]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rf.forest_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    unit = {i: np.array(v) / np.abs(v).max() for i, v, _ in rows}
+    cosine = lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b))
+    for i, v in unit.items():
+        assert got[i][0] == sum(cosine(v, w) >= 0.93 for j, w in unit.items() if j != i) >= 2
+        assert got[i][1] <= i // 10 * 10
