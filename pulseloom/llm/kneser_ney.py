@@ -16,7 +16,7 @@ an eighth of a shard's share of all words, counted beforehand) go by their whole
 
 An n-gram is known by the 64-bit hash of its words' 64-bit hashes: two of the n different n-grams of a shard
 fall together with a chance of n**2 / 2**65, which is 4e-7 for four million. A sorted hash array keeps the next 32 bits
-after those that name a bucket of some 32 entries: an n-gram that isn't there is taken for one that is with a chance of 1e-8.
+after those that name a bucket of some 32 entries: words keep all 64. A longer n-gram that isn't there is taken for one that is with a chance of 1e-8.
 
 Scoring: workers map the shards' arrays into memory, look up the distinct n-grams of a
 block of texts by binary search, and combine the orders:
@@ -280,7 +280,8 @@ def merge_shards(blocks: DataFrame, order: int, folder: str, bits: int, hot: np.
         """Write one shard's n-grams and contexts; their numbers as a block."""
         count, raw = values[0], values[-1]
         seen = [(count == k).astype(np.int64) for k in (1, 2, 3, 4)]
-        files = _grams_as_files(gram) | _counts_as_files("count", count)
+        # words are few: their hashes are kept whole, so that known words and base scores don't rest on 32 bits
+        files = ({"whole": gram.astype("<u8")} if size == 1 else _grams_as_files(gram)) | _counts_as_files("count", count)
         if size == 1:
             files |= _counts_as_files("raw", raw)
         else:
@@ -429,6 +430,14 @@ class Arrays:
         for s in np.flatnonzero(np.diff(edges)):
             at = order[edges[s] : edges[s + 1]]
             name = f"{stem}-{s:05d}"
+            if stem == "n1":
+                whole = self.get(f"{name}-whole", "<u8")
+                where = np.searchsorted(whole, key[at])
+                hit = np.flatnonzero(where < len(whole))
+                hit = hit[whole[where[hit]] == key[at][hit]]
+                if len(hit):
+                    yield name, at[hit], where[hit]
+                continue
             low = self.get(f"{name}-low", "<u4")
             if len(low):
                 hit, where = _find(low, self.get(f"{name}-start", "<u4"), key[at])
