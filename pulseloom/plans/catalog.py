@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from pulseloom.functions import dsp
 from pulseloom.operators import balance, cluster, geometry, inference, metrics, neighbours, pulse, scoring, segments, significance, spectral, trials
+from pulseloom.plans import pipelines
 from pulseloom.plans.views import oracle, view
 from pulseloom.session import scratch, table
 from pulseloom.sources import features, files
@@ -819,3 +820,11 @@ def running_lists(spark, sf_dir):
     with running.rocksdb(spark):
         running.stream_running(stream, "1 hour").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start().awaitTermination()
     return spark.read.parquet(out).where("region <> 'end'").select("video_id", "region", "segment_id", "so_far", "mean_snr")
+
+
+@query()
+def pruned_study(spark, sf_dir):
+    """M8 M9: nine trials of a classifier of all signals, of which a third goes on from each rung to the next."""
+    rows = view(spark, sf_dir, "v_signals").select("sample_id", "label", F.col("signal").cast("array<double>").alias("x"))
+    split = balance.split(rows, ["label"], "sample_id")
+    return pipelines.halving(spark, split, "x", {"regParam": (1e-4, 1.0, "log"), "elasticNetParam": [0.0, 0.5, 1.0]}).drop("params")

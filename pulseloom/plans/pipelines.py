@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pulseloom.operators import balance, metrics, pulse, scoring, segments, significance, spectral, trials
+from pulseloom.session import scratch
 from pulseloom.sources import files
 
 
@@ -106,6 +108,47 @@ def study(spark: SparkSession, rows: DataFrame, features: str, space: Mapping, n
     return trials.rank_trials(spark.createDataFrame(found, "trial_id long, params map<string,string>, value double"), "value", ascending=False)
 
 
+def halving(spark: SparkSession, rows: DataFrame, features: str, space: Mapping, n: int = 9, metric: str = "f1", least: int = 5, eta: int = 3, most: int = 45, together: int = 4, seed: int = 42) -> DataFrame:
+    """Trials that end early when they aren't among the best: trial_id, rung, epochs, params, value, place, pruned.
+
+    All trials run for ``least`` epochs, the best 1 / ``eta`` of them for ``eta`` times as many, and so on to ``most``. A rung's trials are
+    jobs that run ``together`` at a time over one stored copy of the rows. A row tells where a trial ended: its last rung, the epochs spent on it over all rungs and its
+    metric there. Places go by rung, then by metric; a trial that fails has no metric and ends at its first rung. The driver holds a row a trial.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = scratch(spark, "study")
+    rows.write.parquet(path)
+    kept = spark.read.parquet(path)
+    alive = {t["trial_id"]: {k: t[k] for k in space} for t in trials.suggest(spark, space, n, seed).collect()}
+    ended: dict[int, tuple[int, int, dict, float | None]] = {}
+    spent, epochs, rung = dict.fromkeys(alive, 0), least, 0
+
+    def run(params: dict) -> float | None:
+        try:
+            return fit_trial(kept, features, params | {"maxIter": epochs})[1].where("split = 'val'").first()[metric]
+        except Exception as failure:  # a trial may ask for what the model can't do
+            print(f"trial with {params} failed: {failure}")
+            return None
+
+    while alive:
+        with ThreadPoolExecutor(together) as pool:
+            found = dict(zip(alive, pool.map(inheritable_thread_target(spark)(run), alive.values())))
+        for k in alive:
+            spent[k] += epochs
+            ended[k] = (rung, spent[k], alive[k], found[k])
+        good = sorted((k for k in alive if found[k] is not None), key=lambda k: (-found[k], k))
+        if epochs >= most:
+            break
+        alive = {k: alive[k] for k in good[: max(1, len(good) // eta)]}
+        epochs, rung = min(most, epochs * eta), rung + 1
+    last = max((e[0] for e in ended.values()), default=0)
+    table = [(k, r, e, {x: str(v) for x, v in p.items()}, None if m is None else float(m), r < last) for k, (r, e, p, m) in ended.items()]
+    frame = spark.createDataFrame(table, "trial_id long, rung int, epochs int, params map<string,string>, value double, pruned boolean")
+    order = Window.orderBy(F.desc("rung"), F.desc_nulls_last("value"), "trial_id")  # as many rows as trials
+    return frame.withColumn("place", F.row_number().over(order))
+
+
 def running_results(outputs: DataFrame, key: Sequence[str]) -> DataFrame:
     """Outputs of segments with how many of their key came before, in order of segment: what a growing list would hold."""
     return outputs.withColumn("so_far", F.row_number().over(Window.partitionBy(*key).orderBy("run_id", "segment_id")) - 1)

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from pulseloom.operators import balance, trials
 from pulseloom.plans import pipelines
 from pulseloom.sources import files
 
@@ -52,3 +53,21 @@ def test_signals_to_classifier(spark):
     assert [r["place"] for r in ranked] == [1, 2, 3] and ranked[0]["value"] >= ranked[2]["value"]
     over = pipelines.training_data(make(0.0, 50, 0), make(1.0, 20, 1000), "features", "sample_id", "oversample")
     assert over.where("split = 'train'").groupBy("label").count().select(F.countDistinct("count")).first()[0] == 1
+
+
+def test_pruned_study_finds_the_full_runs_winner(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, k % 2, (rng.normal(size=6) + (k % 2) * np.array([1.2, 0, 0, 0.8, 0, 0])).tolist()) for k in range(300)]
+    data = balance.split(spark.createDataFrame(rows, "id long, label int, x array<double>"), ["label"], "id")
+    space = {"regParam": (1e-3, 30.0, "log"), "elasticNetParam": [0.0, 1.0]}
+    full = {}
+    for t in trials.suggest(spark, space, 9, 42).collect():
+        full[t["trial_id"]] = pipelines.fit_trial(data, "x", {k: t[k] for k in space} | {"maxIter": 45})[1].where("split = 'val'").first()["accuracy"]
+    got = {r["trial_id"]: r for r in pipelines.halving(spark, data, "x", space, metric="accuracy").collect()}
+    assert len(got) == 9 and sorted(r["place"] for r in got.values()) == list(range(1, 10))
+    best = next(k for k, r in got.items() if r["place"] == 1)
+    assert full[best] == max(full.values())
+    assert sum(r["epochs"] for r in got.values()) < 0.5 * 9 * 45 and sum(r["pruned"] for r in got.values()) == 8
+    assert got[best]["rung"] == 2 and got[best]["epochs"] == 5 + 15 + 45
+    broken = pipelines.halving(spark, data, "x", {"regParam": [-1.0]}, n=2).collect()
+    assert [r["value"] for r in broken] == [None, None]
