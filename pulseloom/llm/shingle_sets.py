@@ -12,11 +12,12 @@ A group is done with when all its members are connected, whatever connects them:
 
 1. Groups with the same members are one. Each member is compared with the group's leader, the member of least hash, which is mostly the
    same one in all groups of near copies, so few pairs are compared. Large groups have a leader for each few thousand members, all led by one.
-2. Groups whose members are still in several components go to tasks with their sets, where a prefix filter (sets of similarity s share
-   one of their rarest 1 - s) finds the pairs that are left to compare. That is exact, and needs no further round.
-3. Groups too large for that are first dealt anew by those rarest shingles, counted within the group, which loses no similar pair: texts that share
-   a frequent passage part. What is still too large then is compared tile by tile, and only what lies outside the group's largest
+2. Groups whose members are still in several components go to tasks with the members' signatures, a byte for each bin. Members whose signature agrees with that of
+   no member of another component in about as many bins as similar sets would (less five standard deviations) leave the group: texts that share
+   a frequent passage part here. Groups too large for one task are met tile by tile, and only what lies outside the group's largest
    component with everything else.
+3. Members that are left go to tasks with their sets, where a prefix filter (sets of similarity s share one of their rarest 1 - s) finds the pairs
+   to compare, and what is connected isn't compared again.
 
 The number of steps doesn't depend on any group's size.
 """
@@ -30,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pulseloom.llm import simhash_trie
 from pulseloom.llm.components import connected_components
@@ -39,7 +40,7 @@ from pulseloom.llm.store import stored
 SEED = 42
 BANDS, ROWS = 25, 5
 #: Members of a group that one task compares, and members that share a leader.
-SMALL, SEAT = 256, 4096
+SMALL, SEAT = 512, 4096
 
 
 def all_hashes(text: str | None, words: int = 5) -> np.ndarray:
@@ -69,10 +70,10 @@ def _draws() -> np.ndarray:
     return np.stack([rng.permutation(BANDS * ROWS) for _ in range(BANDS * ROWS)])
 
 
-def band_values(hashes: np.ndarray) -> list[int]:
-    """The bands of a set's signature; none for an empty set."""
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """A set's signature: the least mixed hash of each bin; none for an empty set."""
     if not len(hashes):
-        return []
+        return np.empty(0, np.uint64)
     bins = ((hashes >> np.uint64(32)) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) * np.uint64(BANDS * ROWS) >> np.uint64(32)
     mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -82,7 +83,41 @@ def band_values(hashes: np.ndarray) -> list[int]:
     if not held.all():
         draws = _draws()
         least = least[np.take_along_axis(draws, held[draws].argmax(1)[:, None], 1)[:, 0]] * ~held + least * held
-    return [xxhash.xxh64_intdigest(band.tobytes(), k) - 2**63 for k, band in enumerate(least.reshape(BANDS, ROWS))]
+    return least
+
+
+def band_values(hashes: np.ndarray) -> list[int]:
+    """The bands of a set's signature; none for an empty set."""
+    least = least_hashes(hashes)
+    return [xxhash.xxh64_intdigest(band.tobytes(), k) - 2**63 for k, band in enumerate(least.reshape(-1, ROWS))]
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """A byte for each bin: the low bits of its least hash, mixed."""
+    least = least_hashes(hashes)
+    return ((least ^ (least >> np.uint64(23))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def agreement(size: np.ndarray, least: float) -> np.ndarray:
+    """The share of bins in which signatures of similar sets agree, less five standard deviations, by the size of the smaller set. Small sets fill few bins."""
+    bins = BANDS * ROWS
+    filled = np.maximum(bins * -np.expm1(-size / bins), 1)
+    return least - 5 * np.sqrt(least * (1 - least) / filled)
+
+
+def may_link(signatures: np.ndarray, sizes: np.ndarray, roots: np.ndarray, least: float) -> np.ndarray:
+    """Which members may be similar to a member of another component."""
+    found = np.zeros(len(roots), bool)
+    if not signatures.size:
+        return found
+    for k in range(len(roots)):
+        other = np.flatnonzero((roots[k + 1 :] != roots[k]) & (np.minimum(sizes[k + 1 :], sizes[k]) >= least * np.maximum(sizes[k + 1 :], sizes[k]) - 1e-9)) + k + 1
+        if len(other):
+            near = other[(signatures[other] == signatures[k]).mean(1) >= agreement(np.minimum(sizes[other], sizes[k]), least)]
+            if len(near):
+                found[k] = True
+                found[near] = True
+    return found
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -101,7 +136,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def similar_pairs(classes: DataFrame, words: int, least: float) -> DataFrame:
-    """Links ``(a, b)`` between keys of ``classes(key, text, fp, bands)`` whose sets have at least that similarity: those that connect all
+    """Links ``(a, b)`` between keys of ``classes(key, text, fp, bands, sig, n)`` whose sets have at least that similarity: those that connect all
     candidates that such links connect, not every one."""
 
     @F.pandas_udf("array<long>")
@@ -116,20 +151,20 @@ def similar_pairs(classes: DataFrame, words: int, least: float) -> DataFrame:
     shared = spots.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     members = stored(spots.join(shared, "g"), "members")
     sets = stored(classes.join(members.select("key").distinct(), "key", "left_semi").select("key", hashes("text").alias("hashes")), "sets")
-    links, open_ = _connected(members, sets, None, least)
-    small, large = open_.where(F.col("n") <= SMALL), open_.where(F.col("n") > SMALL)
-    links = stored(links.unionByName(_in_tasks(small, sets, least)), "links")
-    if not large.isEmpty():
-        links, open_ = _connected(_dealt_by_prefix(large, sets, least), sets, links, least)
-        links = stored(links.unionByName(_in_tasks(open_, sets, least)), "links")
-    return links
+    links, open_ = _connected(members, sets, least)
+    return stored(links.unionByName(_in_tasks(open_, classes.select("key", "n", "sig"), sets, least)), "links")
 
 
-def _connected(members: DataFrame, sets: DataFrame, links: DataFrame | None, least: float) -> tuple[DataFrame, DataFrame]:
-    """(links, members (g, key, root, n) of the groups that they don't connect) after every member of ``members(g, key)`` was compared with its group's leader."""
-    own = members.groupBy("g").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(2**31))).alias("s")).where("n > 1")
+def _once(groups: DataFrame) -> DataFrame:
+    """``groups(g, key, ...)`` without those that have one member or the same members as another."""
+    own = groups.groupBy("g").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(2**31))).alias("s")).where("n > 1")
     one = own.groupBy("n", "x", "s").agg(F.min("g").alias("g")).select("g", "n")
-    members = stored(members.join(one, "g"), "groups")
+    return groups.join(one, "g")
+
+
+def _connected(members: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(links, members (g, key, root, n) of the groups that they don't connect) after every member of ``members(g, key)`` was compared with its group's leader."""
+    members = stored(_once(members), "groups")
     first = lambda: F.min_by("key", F.struct(F.xxhash64("key"), "key"))
     seat = F.pmod(F.xxhash64(F.lit(9), "key"), F.ceil(F.col("n") / SEAT)).alias("seat")
     seated = members.select("g", "key", seat)
@@ -137,28 +172,13 @@ def _connected(members: DataFrame, sets: DataFrame, links: DataFrame | None, lea
     heads = leaders.select("g", F.col("leader").alias("key")).groupBy("g").agg(first().alias("leader"))
     pairs = seated.join(leaders, ["g", "seat"]).select("key", "leader").unionByName(leaders.select("g", F.col("leader").alias("key")).join(heads, "g").select("key", "leader"))
     pairs = pairs.where("key <> leader").select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
-    met = _verify(pairs, sets, least).where("ok").select("a", "b")
-    links = stored(met if links is None else links.unionByName(met), "links")
+    links = stored(_verify(pairs, sets, least).where("ok").select("a", "b"), "links")
     roots = connected_components(links).withColumnRenamed("id", "key")
     named = members.join(roots, "key", "left").select("g", "key", F.coalesce("root", "key").alias("root"), "n")
     several = named.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
     return links, stored(named.join(several, "g"), "open")
 
 
-def prefix_length(n: Column, least: float) -> Column:
-    """How many of a set's n rarest items hold one in common with any set of that similarity."""
-    return n - F.ceil(n * least - 1e-9) + 1
-
-
-def _dealt_by_prefix(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """``members(g, key)`` of large groups as groups of those that share one of their rarest shingles, rare by the counts within the group."""
-    rows = members.select("g", "key").join(sets, "key").select("g", "key", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
-    counts = rows.groupBy("g", "h").agg(F.count("*").alias("c"))
-    ranked = rows.join(counts, ["g", "h"]).groupBy("g", "key", "size").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("s"))  # a text's shingles
-    rarest = ranked.select("g", "key", F.explode(F.slice("s", F.lit(1), prefix_length(F.col("size"), least).cast("int"))).alias("p"))
-    return stored(rarest.where("p.c > 1").select(F.xxhash64("g", "p.h").alias("g"), "key").distinct(), "dealt")
-
-
 def links_among(keys: Sequence[int], roots: Sequence[int], sets: Sequence[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Similar pairs that connect what the roots don't connect yet: a forest over the given sets. Every set is compared with all smaller ones that share a rare shingle with it."""
     parent: dict[int, int] = {}
@@ -189,27 +209,35 @@ def links_among(keys: Sequence[int], roots: Sequence[int], sets: Sequence[np.nda
     return found
 
 
-def _in_tasks(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links among ``open_(g, key, root, n)``. Members outside their group's largest component meet all others, in tiles of ``SMALL`` where there are more."""
+def _in_tasks(open_: DataFrame, signed: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links among ``open_(g, key, root, n)``. Members outside their group's largest component meet all others, in tiles where there are more than ``SMALL``."""
     sized = open_.groupBy("g", "root").agg(F.count("*").alias("m"))
     main = sized.groupBy("g").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("inside"))
-    rows = open_.join(main, "g")
-    small, tile = F.col("n") <= SMALL, lambda total: F.greatest(F.ceil(total / (SMALL / 2)), F.lit(1)).cast("int")
-    outer = tile(F.col("n") - F.col("inside"))
+    rows = open_.join(main, "g").withColumnRenamed("n", "total")
+    tile = lambda total: F.greatest(F.ceil(total / (SMALL / 2)), F.lit(1)).cast("int")
+    outer = tile(F.col("total") - F.col("inside"))
     inner, mine = tile(F.col("inside")), lambda count: F.pmod(F.xxhash64(F.lit(3), "key"), count).cast("int")
     upto = lambda count: F.sequence(F.lit(0), count - 1)
     unit = lambda i, kind, j: F.struct(i.cast("int").alias("i"), F.lit(kind).alias("kind"), j.cast("int").alias("j"))
     strays = F.concat(F.transform(upto(outer), lambda j: unit(F.least(mine(outer), j), 0, F.greatest(mine(outer), j))), F.transform(upto(inner), lambda j: unit(mine(outer), 1, j)))
     held = F.transform(upto(outer), lambda i: unit(i, 1, mine(inner)))
-    where = F.when(small, F.array(unit(F.lit(0), 0, F.lit(0)))).when(F.col("root") == F.col("main"), held).otherwise(strays)
-    placed = rows.select("key", "root", "g", F.explode(where).alias("unit")).join(sets, "key")
+    where = F.when(F.col("total") <= SMALL, F.array(unit(F.lit(0), 0, F.lit(0)))).when(F.col("root") == F.col("main"), held).otherwise(strays)
+    placed = rows.select("key", "root", "g", F.explode(where).alias("unit")).withColumn("g", F.xxhash64("g", "unit")).drop("unit").join(signed, "key")
+
+    def sift(unit: pa.Table) -> pa.Table:
+        roots = unit.column("root").to_numpy()
+        joined = b"".join(unit.column("sig").to_pylist())
+        signatures = np.frombuffer(joined, np.uint8).reshape(len(roots), -1) if len(joined) == len(roots) * BANDS * ROWS else np.empty((len(roots), 0), np.uint8)
+        return unit.select(["g", "key", "root"]).filter(pa.array(may_link(signatures, unit.column("n").to_numpy(), roots, least)))
+
+    left = stored(placed.groupBy("g").applyInArrow(lambda t: sift(t), "g long, key long, root long"), "sifted")
 
     def run(unit: pa.Table) -> pa.Table:
         hashes = [x.values.to_numpy() for x in unit.column("hashes")]
         found = links_among(unit.column("key").to_pylist(), unit.column("root").to_pylist(), hashes, least)
         return pa.table({c: pa.array([p[k] for p in found], pa.int64()) for k, c in enumerate("ab")})
 
-    return placed.groupBy("g", "unit").applyInArrow(lambda t: run(t), "a long, b long")
+    return _once(left).select("g", "key", "root").join(sets, "key").groupBy("g").applyInArrow(lambda t: run(t), "a long, b long")
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -219,24 +247,24 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     alike for this. Null and wordless texts are one class. Copies are reduced before the shuffle, so a hot group moves one row a task.
     """
 
-    @F.pandas_udf("key long, fp long, bands array<long>")
+    @F.pandas_udf("key long, fp long, bands array<long>, sig binary, n int")
     def signed(texts: pd.Series) -> pd.DataFrame:
-        """The set's hash, the fingerprint and the bands, from one pass over a text's shingles."""
+        """The set's hash, fingerprint, bands, signature and size, from one pass over a text's shingles."""
         rows = []
         for text in texts:
             every = all_hashes(text, words)
             own = np.unique(every)
             fp = np.array([simhash_trie.majority(every)], np.uint64).view(np.int64)[0]
-            rows.append((xxhash.xxh64_intdigest(own.tobytes(), SEED) - 2**63, fp, band_values(own)))
-        return pd.DataFrame(rows, columns=["key", "fp", "bands"])
+            rows.append((xxhash.xxh64_intdigest(own.tobytes(), SEED) - 2**63, fp, band_values(own), signature(own), len(own)))
+        return pd.DataFrame(rows, columns=["key", "fp", "bands", "sig", "n"])
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
     named = docs.select(F.struct(*columns).alias("doc"), signed(F.col("text").cast("string")).alias("s"))
     number = F.col("doc.doc_id").cast("long")
     order = F.struct(number.isNull(), number, F.col("doc.text").cast("string"))
-    first = named.groupBy("s.key").agg(F.min_by(F.struct("doc", "s.fp", "s.bands"), order).alias("k"))
+    first = named.groupBy("s.key").agg(F.min_by(F.struct("doc", "s.fp", "s.bands", "s.sig", "s.n"), order).alias("k"))
     first = stored(first.select("key", "k.*"), "classes")
-    links = stored(similar_pairs(first.select("key", F.col("doc.text").cast("string").alias("text"), "fp", "bands"), words, least), "similar")
+    links = stored(similar_pairs(first.select("key", F.col("doc.text").cast("string").alias("text"), "fp", "bands", "sig", "n"), words, least), "similar")
     roots = connected_components(links).withColumnRenamed("id", "key")
     ranked = first.select("key", F.struct(number.isNull(), number, F.col("doc.text").cast("string"), "key").alias("rank")).join(roots, "key", "left")
     staying = ranked.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min_by("key", "rank").alias("key")).select("key")

@@ -54,7 +54,7 @@ def corpus(seed=5):
 
 @pytest.mark.parametrize("small, seat", [(256, 4096), (6, 10), (1, 3)])
 def test_stage_against_all_pairs(spark, monkeypatch, small, seat):
-    """With limits so low that groups are dealt by prefixes and compared in tiles, too."""
+    """With limits so low that groups are compared in tiles, too."""
     monkeypatch.setattr(shingle_sets, "SMALL", small)
     monkeypatch.setattr(shingle_sets, "SEAT", seat)
     rows = corpus()
@@ -98,6 +98,21 @@ def test_chains_stay_whole(spark, monkeypatch, small):
     assert sorted((False, r["doc_id"]) for r in got.collect()) == brute_kept(rows) and got.count() == 8
 
 
+@pytest.mark.parametrize("size", [5, 12, 40, 150, 600])
+def test_signatures_lose_no_similar_pair(size):
+    rng = np.random.default_rng(size)
+    for _ in range(300):
+        away = size // 10
+        one = rng.integers(0, 2**63, size + away, dtype=np.int64).astype(np.uint64)
+        sets = [np.sort(one[: size]), np.sort(one[away:])]
+        if size - away >= 0.8 * (size + away):
+            signs = np.stack([np.frombuffer(shingle_sets.signature(x), np.uint8) for x in sets])
+            assert shingle_sets.may_link(signs, np.array([size, size]), np.array([1, 2]), 0.8).all()
+    far = [np.sort(np.concatenate([one[: size // 2], rng.integers(0, 2**63, size - size // 2, dtype=np.int64).astype(np.uint64)])) for _ in range(20)]
+    signs = np.stack([np.frombuffer(shingle_sets.signature(x), np.uint8) for x in far])
+    assert size < 150 or not shingle_sets.may_link(signs, np.full(20, size), np.arange(20), 0.8).any()
+
+
 def test_forests_among_sets_connect_what_all_pairs_do():
     rng = np.random.default_rng(13)
     for _ in range(20):
