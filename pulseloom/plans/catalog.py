@@ -18,7 +18,7 @@ from pulseloom.operators import balance, cluster, geometry, inference, metrics,
 from pulseloom.plans import pipelines
 from pulseloom.plans.views import oracle, view
 from pulseloom.session import scratch, table
-from pulseloom.sources import features, files
+from pulseloom.sources import features, files, items
 from pulseloom.streaming import ingest, running
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -828,3 +828,26 @@ def pruned_study(spark, sf_dir):
     rows = view(spark, sf_dir, "v_signals").select("sample_id", "label", F.col("signal").cast("array<double>").alias("x"))
     split = balance.split(rows, ["label"], "sample_id")
     return pipelines.halving(spark, split, "x", {"regParam": (1e-4, 1.0, "log"), "elasticNetParam": [0.0, 0.5, 1.0]}).drop("params")
+
+
+@query("SELECT item, o_orderkey, ~(o_totalprice)~ AS o_totalprice FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS item, o_orderkey, o_totalprice FROM orders) q WHERE item BETWEEN 700 AND 899 OR item % 101 = 0")
+def numbered_items(spark, sf_dir):
+    """Orders by their number in a folder of files: a slice, and every hundred-and-first."""
+    folder = scratch(spark, "items")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    rows.repartitionByRange(6, "o_orderkey").sortWithinPartitions("o_orderkey").write.option("parquet.block.size", 1 << 16).parquet(folder)
+    index = items.item_index(spark, folder)
+    last = index.agg(F.max(F.col("first") + F.col("rows"))).first()[0] or 0
+    numbers = spark.range(700, 900).union(spark.range(0, last, 101)).withColumnRenamed("id", "item")
+    return items.items(spark, folder, index, numbers, ["o_orderkey", "o_totalprice"])
+
+
+@query(f"""WITH s AS (SELECT sample_id, label::BIGINT AS label, row_number() OVER (PARTITION BY label ORDER BY {_MIX('sample_id')}, sample_id) - 1 AS n, count(*) OVER (PARTITION BY label) AS t FROM v_signals),
+    p AS (SELECT sample_id, label, CASE WHEN n < t - 2 * floor(0.2 * t) THEN 'train' WHEN n < t - floor(0.2 * t) THEN 'val' ELSE 'test' END AS split FROM s),
+    k AS (SELECT *, row_number() OVER (PARTITION BY label, split ORDER BY sample_id) AS k FROM p), c AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM p WHERE split = 'train' GROUP BY label) q)
+    SELECT sample_id, label, split FROM k, c WHERE split <> 'train' OR k <= least""")
+def training_samples(spark, sf_dir):
+    """Both classes cleaned, labelled, split, and the training part balanced."""
+    rows = view(spark, sf_dir, "v_signals").select("sample_id", "signal", F.col("label").alias("_class"))
+    real, fake = (rows.where(F.col("_class") == k).drop("_class") for k in (0, 1))
+    return pipelines.training_data(real, fake, "signal", "sample_id").select("sample_id", "label", "split")
