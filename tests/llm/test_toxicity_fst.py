@@ -152,3 +152,39 @@ def test_conflicting_labels_and_repeated_documents(spark):
     both = [(k, k % 2) for k in range(120)] + [(k, 0) for k in range(1, 120, 4)]
     models = [tf.train(docs.repartition(n), spark.createDataFrame(order, "doc_id long, toxic int")) for n, order in ((1, both), (3, both[::-1]))]
     assert models[0] == models[1] and {"grunk", "zlobber"} <= set(models[0].words)
+
+
+def clauses_that_decide(rng, n):
+    """Texts whose slurs and threat verbs occur in toxic and clean ones alike: only how a clause is built tells them apart."""
+    slurs, plain = ["zlobber", "grunkel", "frobnik"], [f"{a}{b}o" for a in "bdfgklmnprst" for b in ("an", "el", "ir", "um")]
+    say = lambda k: " ".join(rng.choice(plain, k))
+    kinds = [
+        (0.30, 1, lambda s: f"you are a {s} {say(1)}"), (0.20, 1, lambda s: f"{say(1)} a {s} {rng.choice(slurs)} {s}"), (0.10, 1, lambda s: f"{say(1)} kill you"),
+        (0.05, 0, lambda s: f"the {s} {say(3)}"), (0.15, 0, lambda s: f"the {s} {say(1)} the {rng.choice(slurs)} {say(1)} the {s}"), (0.10, 0, lambda s: f"you are not a {s}"), (0.10, 0, lambda s: f"{say(1)} said you are a {s}"),
+        (0.10, 0, lambda s: f"{say(1)} kill the {say(4)}"), (0.10, 0, lambda s: say(6)),
+    ]
+    share = np.array([k[0] for k in kinds])
+    out = []
+    for k in rng.choice(len(kinds), n, p=share / share.sum()):
+        _, y, make = kinds[k]
+        out.append((f"{say(12)}. {make(str(rng.choice(slurs)))}. {say(9)}.", y))
+    return out
+
+
+def test_every_machine_changes_verdicts(spark, monkeypatch):
+    rng = np.random.default_rng(41)
+    rows = [(k, t, y) for k, (t, y) in enumerate(clauses_that_decide(rng, 3000))]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = tf.train(docs, spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int"))
+    assert {"zlob", "grun", "frob"} <= {s[:4] for s in model.slurs} and not {"zlobber", "grunkel", "frobnik"} & set(model.words)
+    held = [(t, y) for k, t, y in rows if zlib.crc32(str(k).encode()) % 5 == 0]
+    verdicts = lambda: [int(tf.Matcher(model).score(t) >= 0.5) for t, _ in held]
+    whole = verdicts()
+    assert np.mean([v == y for v, (_, y) in zip(whole, held)]) > 0.97
+    for machine in tf.CASCADE[1:]:
+        monkeypatch.setattr(tf, "CASCADE", tuple(m for m in tf.CASCADE if m is not machine))
+        tf.grammar.cache_clear()
+        changed = np.mean([a != b for a, b in zip(whole, verdicts())])
+        monkeypatch.undo()
+        tf.grammar.cache_clear()
+        assert changed > 0.05, machine.__name__
