@@ -737,7 +737,7 @@ def path_dimensions(spark, sf_dir):
 @query("SELECT regexp_replace(url, '/[^/]*$', '') AS folder, count(*) AS n, min(url) AS first FROM pages GROUP BY 1")
 def files_by_folder(spark, sf_dir):
     """Files of each folder."""
-    return files.by_folder(table(spark, sf_dir, "pages"), "url").select("folder", "n", F.col("files")[0].alias("first"))
+    return files.by_folder(table(spark, sf_dir, "pages"), "url")
 
 
 @query("SELECT sample_id, concat('r', cast(kind % 3 AS VARCHAR)) AS region, label, len(signal) AS n FROM v_signals WHERE label = 1 AND kind % 3 IN (0, 2)")
@@ -851,3 +851,21 @@ def training_samples(spark, sf_dir):
     rows = view(spark, sf_dir, "v_signals").select("sample_id", "signal", F.col("label").alias("_class"))
     real, fake = (rows.where(F.col("_class") == k).drop("_class") for k in (0, 1))
     return pipelines.training_data(real, fake, "signal", "sample_id").select("sample_id", "label", "split")
+
+
+@query("""WITH b AS (SELECT region_id, max(struct_pack(snr := snr, k := -l_orderkey, l := -l_linenumber, s := signal_type, f := filter, o := filter_order, w := wavelet, h := l_orderkey)) AS b FROM v_results GROUP BY region_id)
+    SELECT region_id, concat('region', region_id, '_', b.s, '_', b.f, '_o', b.o, '_', b.w, '_l1_snr', printf('%.2f', b.snr), '_', strftime(TIMESTAMP '2024-01-01' + to_seconds(b.h % 86400), '%Y%m%d_%H%M%S')) AS name FROM b""")
+def result_names(spark, sf_dir):
+    """K5 O1: the name of each region's result file, from its best row, with a time."""
+    best = F.max(F.struct("snr", (-F.col("l_orderkey")).alias("k"), (-F.col("l_linenumber")).alias("l"), "signal_type", "filter", "filter_order", "wavelet", "l_orderkey"))
+    rows = view(spark, sf_dir, "v_results").groupBy("region_id").agg(best.alias("b")).select("region_id", "b.*")
+    rows = rows.withColumns({"region": F.concat(F.lit("region"), F.col("region_id").cast("string")), "patch_idx": F.lit(-1), "wavelet_level": F.lit(1)})
+    return rows.select("region_id", files.result_name(F.timestamp_seconds(F.lit(1704067200) + F.col("l_orderkey") % 86400)).alias("name"))
+
+
+@query("SELECT p_brand AS folder FROM part GROUP BY p_brand HAVING count_if(p_size > 49) > 0")
+def finished_folders(spark, sf_dir):
+    """K3: folders that hold a file, of all that were begun."""
+    parts = table(spark, sf_dir, "part")
+    made = parts.where("p_size > 49").select(F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("path"))
+    return files.finished(parts.select(F.col("p_brand").alias("folder")).distinct(), made)
