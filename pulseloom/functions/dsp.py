@@ -272,10 +272,11 @@ def decompose(x: np.ndarray, name: str) -> tuple[list[np.ndarray], list[int]]:
         if x.shape[-1] % 2:
             x = np.concatenate([x, x[..., -1:]], -1)
         n = x.shape[-1]
-        at = 2 * np.arange(n // 2) + taps // 2
+        around = x[..., np.arange(-taps, n + taps) % n]
         detail, level = np.zeros((*x.shape[:-1], n // 2)), np.zeros((*x.shape[:-1], n // 2))
         for j in range(taps):  # tap by tap: a signal's sums don't depend on which others are in the batch
-            part = x[..., (at - j) % n]
+            at = taps + taps // 2 - j
+            part = around[..., at : at + n : 2]
             detail += high[j] * part
             level += low[j] * part
         details.append(detail)
@@ -289,11 +290,14 @@ def recompose(coefficients: list[np.ndarray], sizes: list[int], name: str) -> np
     taps = len(low)
     x = coefficients[0]
     for detail, size in zip(coefficients[1:], reversed(sizes)):
-        n = 2 * detail.shape[-1]
-        out = np.zeros((*detail.shape[:-1], n))
-        at = 2 * np.arange(n // 2) - taps // 2 + 1
+        half = detail.shape[-1]
+        wrapped = np.arange(-taps, half + taps) % half
+        rough, fine = x[..., wrapped], detail[..., wrapped]
+        out = np.zeros((*detail.shape[:-1], 2 * half))
         for j in range(taps):
-            out[..., (at + j) % n] += low[j] * x + high[j] * detail
+            shift = j + 1 - taps // 2
+            at = taps + (shift % 2 - shift) // 2
+            out[..., shift % 2 :: 2] += low[j] * rough[..., at : at + half] + high[j] * fine[..., at : at + half]
         x = out[..., :size]
     return x
 
