@@ -86,15 +86,13 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def band_values(hashes: np.ndarray) -> list[int]:
-    """The bands of a set's signature; none for an empty set."""
-    least = least_hashes(hashes)
+def bands_of(least: np.ndarray) -> list[int]:
+    """The bands of least hashes."""
     return [xxhash.xxh64_intdigest(band.tobytes(), k) - 2**63 for k, band in enumerate(least.reshape(-1, ROWS))]
 
 
-def signature(hashes: np.ndarray) -> bytes:
-    """A byte for each bin: the low bits of its least hash, mixed."""
-    least = least_hashes(hashes)
+def signature(least: np.ndarray) -> bytes:
+    """A byte for each of the least hashes, mixed."""
     return ((least ^ (least >> np.uint64(23))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
@@ -243,7 +241,7 @@ def _in_tasks(open_: DataFrame, signed: DataFrame, sets: DataFrame, least: float
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs``, with their columns, that stay when one of each group of similar documents is kept.
 
-    The document with the least id stays; null ids come last, and of equal ids the least text; rows alike in both are
+    The document with the least id stays; null ids come last, and of equal ids the text of least hash; rows alike in both are
     alike for this. Null and wordless texts are one class. Copies are reduced before the shuffle, so a hot group moves one row a task.
     """
 
@@ -255,17 +253,20 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
             every = all_hashes(text, words)
             own = np.unique(every)
             fp = np.array([simhash_trie.majority(every)], np.uint64).view(np.int64)[0]
-            rows.append((xxhash.xxh64_intdigest(own.tobytes(), SEED) - 2**63, fp, band_values(own), signature(own), len(own)))
+            low = least_hashes(own)
+            rows.append((xxhash.xxh64_intdigest(own.tobytes(), SEED) - 2**63, fp, bands_of(low), signature(low), len(own)))
         return pd.DataFrame(rows, columns=["key", "fp", "bands", "sig", "n"])
 
     columns = [F.col(f"`{c}`") for c in docs.columns]
     named = docs.select(F.struct(*columns).alias("doc"), signed(F.col("text").cast("string")).alias("s"))
     number = F.col("doc.doc_id").cast("long")
-    order = F.struct(number.isNull(), number, F.col("doc.text").cast("string"))
-    first = named.groupBy("s.key").agg(F.min_by(F.struct("doc", "s.fp", "s.bands", "s.sig", "s.n"), order).alias("k"))
+    order = F.struct(number.isNull().alias("none"), number.alias("id"), F.xxhash64(F.col("doc.text").cast("string")).alias("tie"))
+    first = named.groupBy("s.key").agg(F.min_by(F.struct("doc", order.alias("rank"), "s.fp", "s.bands", "s.sig", "s.n"), order).alias("k"))
     first = stored(first.select("key", "k.*"), "classes")
-    links = stored(similar_pairs(first.select("key", F.col("doc.text").cast("string").alias("text"), "fp", "bands", "sig", "n"), words, least), "similar")
-    roots = connected_components(links).withColumnRenamed("id", "key")
-    ranked = first.select("key", F.struct(number.isNull(), number, F.col("doc.text").cast("string"), "key").alias("rank")).join(roots, "key", "left")
-    staying = ranked.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min_by("key", "rank").alias("key")).select("key")
-    return first.join(staying, "key", "left_semi").select("doc.*")
+    links = similar_pairs(first.select("key", F.col("doc.text").cast("string").alias("text"), "fp", "bands", "sig", "n"), words, least)
+    roots = stored(connected_components(links).withColumnRenamed("id", "key"), "roots")
+    # only ids and hashes of linked classes meet here; documents are met by the classes that go, which are few
+    linked = first.select("key", F.struct("rank", "key").alias("rank")).join(roots, "key")
+    staying = linked.groupBy("root").agg(F.min_by("key", "rank").alias("key")).select("key")
+    going = stored(linked.select("key").join(staying, "key", "left_anti"), "going")
+    return first.join(going, "key", "left_anti").select("doc.*")

@@ -106,10 +106,10 @@ def test_signatures_lose_no_similar_pair(size):
         one = rng.integers(0, 2**63, size + away, dtype=np.int64).astype(np.uint64)
         sets = [np.sort(one[: size]), np.sort(one[away:])]
         if size - away >= 0.8 * (size + away):
-            signs = np.stack([np.frombuffer(shingle_sets.signature(x), np.uint8) for x in sets])
+            signs = np.stack([np.frombuffer(shingle_sets.signature(shingle_sets.least_hashes(x)), np.uint8) for x in sets])
             assert shingle_sets.may_link(signs, np.array([size, size]), np.array([1, 2]), 0.8).all()
     far = [np.sort(np.concatenate([one[: size // 2], rng.integers(0, 2**63, size - size // 2, dtype=np.int64).astype(np.uint64)])) for _ in range(20)]
-    signs = np.stack([np.frombuffer(shingle_sets.signature(x), np.uint8) for x in far])
+    signs = np.stack([np.frombuffer(shingle_sets.signature(shingle_sets.least_hashes(x)), np.uint8) for x in far])
     assert size < 150 or not shingle_sets.may_link(signs, np.full(20, size), np.arange(20), 0.8).any()
 
 
@@ -149,7 +149,7 @@ def test_bands_recall_at_the_threshold():
         one = rng.integers(0, 2**64, n + changed, dtype=np.uint64)
         a, b = np.sort(one[:n]), np.sort(one[changed:])
         assert n - changed >= 0.8 * (n + changed) - 1e-9
-        met += bool(set(zip(range(25), shingle_sets.band_values(a))) & set(zip(range(25), shingle_sets.band_values(b))))
+        met += bool(set(zip(range(25), shingle_sets.bands_of(shingle_sets.least_hashes(a)))) & set(zip(range(25), shingle_sets.bands_of(shingle_sets.least_hashes(b)))))
     assert met >= 597
 
 
