@@ -291,6 +291,15 @@ def detrended(spark, sf_dir):
     return view(spark, sf_dir, "v_signals").select("sample_id", F.posexplode(spectral.detrend("signal")).alias("n", "value"))
 
 
+@query(f"""WITH {_DFT}, s AS (SELECT sample_id, avg(v) AS m, stddev_pop(v) + 1e-8 AS s FROM x GROUP BY sample_id), f AS (SELECT * FROM d WHERE least(k, 64 - k) * 30e0 / 64 BETWEEN 0.8 AND 2.5),
+    y AS (SELECT x.sample_id, x.n, any_value(x.v) AS v, sum(f.re * cos(2 * pi() * f.k * x.n / 64) - f.im * sin(2 * pi() * f.k * x.n / 64)) / 64 AS y FROM x JOIN f USING (sample_id) GROUP BY x.sample_id, x.n),
+    z AS (SELECT y.sample_id, (v - m) / s AS z, y / s AS y FROM y JOIN s USING (sample_id)), q AS (SELECT sample_id, 10 * log10(avg(y * y) / avg((z - y) * (z - y))) AS snr FROM z GROUP BY sample_id),
+    r AS (SELECT sample_id, k, row_number() OVER (PARTITION BY sample_id ORDER BY round(sqrt(re * re + im * im), 9) DESC, k) AS o FROM f WHERE k < 32) SELECT sample_id, ~(snr)~ AS snr, ~(k * 30e0 / 64 * 60)~ AS heart_rate FROM q JOIN r USING (sample_id) WHERE o = 1""", digits=5)
+def post_processed(spark, sf_dir):
+    """Signals detrended and band-passed, with SNR and rate."""
+    return spectral.post_process(view(spark, sf_dir, "v_signals"), "signal", "fft_bandpass").select("sample_id", "snr", "heart_rate")
+
+
 @query()
 def filter_bank(spark, sf_dir):
     """SNR and rate under every task of the full grid."""
@@ -869,3 +878,18 @@ def finished_folders(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
     made = parts.where("p_size > 49").select(F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("path"))
     return files.finished(parts.select(F.col("p_brand").alias("folder")).distinct(), made)
+
+
+@query("SELECT item_id FROM v_items WHERE item_id % 4 > 0 AND item_id % 5 <> 0 AND item_id % 7 <> 0")
+def valid_items(spark, sf_dir):
+    """rows with a positive rate and results without empty keys or values."""
+    k = F.col("item_id")
+    results = F.create_map(F.when(k % 5 == 0, "").otherwise(F.col("class")), F.when(k % 7 == 0, F.array().cast("array<double>")).otherwise(F.array("weight")))
+    return files.valid_results(view(spark, sf_dir, "v_items").select("item_id", (k % 4).alias("fps"), results.alias("results"))).select("item_id")
+
+
+@query("SELECT item_id, item_id % 6 >= 4 AS complete FROM v_items")
+def landmark_sets(spark, sf_dir):
+    """F8: whether all of the required landmarks are among those found."""
+    found = F.sequence(F.lit(0), (F.col("item_id") % 6).cast("int"))
+    return view(spark, sf_dir, "v_items").select("item_id", found.alias("found")).select("item_id", geometry.complete_landmarks("found", [0, 2, 4]).alias("complete"))

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from pulseloom.functions.quantiles import exact_quantiles
+from pulseloom.session import clear_scratch, scratch
 
 SCHEMA = "g string, h int, v double"
 
@@ -26,3 +27,11 @@ def test_readings_of_the_source(spark, tmp_path):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("v#") and sum("_v#" not in line and "v#" in line and "Relation" in line for line in plan.splitlines()) == 1
     assert found.collect()[0]["m"] == 249.5
+
+
+def test_scratch_folders_can_be_cleared(spark):
+    path = scratch(spark, "x")
+    spark.range(3).write.parquet(path)
+    clear_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
