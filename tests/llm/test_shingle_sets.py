@@ -52,7 +52,7 @@ def corpus(seed=5):
     return [(int(i), t, "x") for i, t in zip(rng.permutation(len(texts)), texts)] + [(None, texts[3], "x"), (None, "nothing like it", "x")]
 
 
-@pytest.mark.parametrize("small, seat", [(256, 4096), (6, 10), (1, 3)])
+@pytest.mark.parametrize("small, seat", [(512, 4096), (2, 3)])
 def test_stage_against_all_pairs(spark, monkeypatch, small, seat):
     """With limits so low that groups are compared in tiles, too."""
     monkeypatch.setattr(shingle_sets, "SMALL", small)
