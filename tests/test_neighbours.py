@@ -64,3 +64,30 @@ def compared(n, per_cell=16, k=10):
 def test_comparisons_grow_below_quadratically():
     small, large = compared(2000), compared(8000)
     assert small < 0.1 * 2000**2 and np.log(large / small) / np.log(4) < 1.5
+
+
+def test_rows_without_structure_are_sent_a_bounded_number_of_times(spark):
+    """Where no cell rules another out, a row goes to blocks, not to every cell (which took an executor's memory)."""
+    rng = np.random.default_rng(3)
+    n, pivots = 6000, 375
+    x = rng.normal(size=(n, 64))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    cell = nb.squared(x, x[:pivots]).argmin(1)
+    far = np.sqrt(((x - x[:pivots][cell]) ** 2).sum(1))
+    each = [far[cell == c] for c in range(pivots)]
+    cells = nb.Cells(x[:pivots], np.array([len(e) for e in each]), np.array([e.max(initial=0) for e in each]), [np.sort(e)[:6] for e in each], 5)
+    cells.pack(128)
+    sent = (cells.need[:, cell].T <= far[:, None]).sum(1) + cells.tiles[cells.first[cell]]
+    assert sent.max() <= 4 * nb.BLOCKS < (cells.floor[:, cell].T <= far[:, None]).sum(1).mean()
+
+
+def test_nearest_of_equal_distances(monkeypatch):
+    """Rows all equally far apart, and copies, a few at a time."""
+    for name, value in (("ROWS", 7), ("OTHERS", 11), ("PAIRS", 13)):
+        monkeypatch.setattr(nb, name, value)
+    x = np.concatenate([np.eye(40), np.eye(40)[:3]])
+    names = np.arange(43)[::-1].copy()
+    row, col, distance = nb.nearest_of(x, names, x, names, 4)
+    want = brute([("a", int(m), v.tolist()) for m, v in zip(names, x)], 4)
+    for r in range(43):
+        assert [(d, m) for d, m in zip(distance[row == r].tolist(), names[col[row == r]].tolist())] == want["a", int(names[r])]
