@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseloom.operators.neighbours import nearest_neighbours
+from pulseloom.session import scratch
 
 MODULUS = 4294967296
 BLOCKS = 1024
@@ -139,7 +140,10 @@ def smote(df: DataFrame, label: str, id_: str, features: str, k: int = 5, seed:
     counts = df.groupBy(label).agg(F.count("*").alias("_c"))
     most = counts.agg(F.max("_c").alias("_most"))
     need = counts.join(F.broadcast(most)).where("_most > _c").withColumn("_need", F.col("_most") - F.col("_c"))
-    rows = shuffled(df.join(need.select(label), label, "left_semi"), [label], id_, seed, "_n").select(label, id_, F.col(features).cast("array<double>").alias("x"), "_n").join(need, label)
+    rows = shuffled(df.join(need.select(label), label, "left_semi"), [label], id_, seed, "_n").select(label, id_, F.col(features).cast("array<double>").alias("x"), "_n")
+    path = scratch(df.sparkSession, "smote")
+    rows.write.parquet(path)  # numbered once, read by each step of the search
+    rows = df.sparkSession.read.parquet(path)
     near = nearest_neighbours(rows.select(label, "_n", "x"), "_n", "x", k, group=label)
     best = near.groupBy(F.col("g").alias(label), F.col("id").alias("_n")).agg(F.array_sort(F.collect_list(F.struct("place", F.col("neighbour").alias("m")))).alias("near"))  # k
     draws = need.select(label, "_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_need") - 1)).alias("_k"))

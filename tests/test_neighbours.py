@@ -91,3 +91,14 @@ def test_nearest_of_equal_distances(monkeypatch):
     want = brute([("a", int(m), v.tolist()) for m, v in zip(names, x)], 4)
     for r in range(43):
         assert [(d, m) for d, m in zip(distance[row == r].tolist(), names[col[row == r]].tolist())] == want["a", int(names[r])]
+
+
+def test_smote_numbers_its_rows_once(spark):
+    """The search and the draws read the numbered rows from storage: no window is left to be sorted again in each step."""
+    from pulseloom.operators import balance
+
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(int(k % 4 == 0), k, rng.normal(size=64).tolist()) for k in range(400)], "kind int, n long, x array<double>")
+    made = balance.smote(df, "kind", "n", "x", k=3)
+    assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.count() == 200
