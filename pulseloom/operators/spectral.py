@@ -10,10 +10,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulseloom.functions import dsp
 
+#: Signals of a sweep that are read at a time, samples that are swept at a time, and tasks whose outcomes are one batch.
+READ, SAMPLES, OUTCOMES = 1024, 4096, 1000
+
 
 def _doubles(c: str) -> Column:
     return F.col(c).cast("array<double>")
@@ -131,8 +135,8 @@ def sweep_grid(spark: SparkSession, samples: int, wavelets: Sequence[str] = dsp.
     return spark.createDataFrame(rows, "filter string, filter_order int, wavelet string, wavelet_level int")
 
 
-def _swept(x: np.ndarray, tasks: Sequence[tuple], fps: float, snr_method: str) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
-    """(tasks with one outcome, SNR, rate) over signals of one length; a base filter that they are too short for gives none.
+def _swept(x: np.ndarray, tasks: Sequence[tuple], fps: float, snr_method: str) -> Iterator[tuple[list[tuple[list[tuple], slice]], np.ndarray, Callable[[np.ndarray | slice], np.ndarray]]]:
+    """([tasks with one outcome, where its signals are], SNR, rates of the rows asked for) over signals of one length; a base filter that they are too short for gives none.
 
     The z-score and each base filter (with its order, where it has one) are made once. All of them together go through each
     wavelet's decomposition, which serves every level, and through the mode decomposition.
@@ -156,28 +160,29 @@ def _swept(x: np.ndarray, tasks: Sequence[tuple], fps: float, snr_method: str) -
             continue
         y, original = np.concatenate([made[b] for b in bases]), np.tile(z, (len(bases), 1))
 
-        def given(filtered: np.ndarray, rate: np.ndarray, variant: tuple[str, int] | None = None) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
-            values = dsp.snr(filtered, original, snr_method)
+        def given(filtered: np.ndarray, rates: Callable[[np.ndarray | slice], np.ndarray], variant: tuple[str, int] | None = None) -> tuple:
+            found = []
             for k, (base, order) in enumerate(bases):
-                at = slice(k * len(z), (k + 1) * len(z))
                 own = wanted[end, base, order]
-                for found in [own[variant]] if variant in own else own.values() if variant is None else []:
-                    yield found, values[at], rate[at]
+                for own_tasks in [own[variant]] if variant in own else own.values() if variant is None else []:
+                    found.append((own_tasks, slice(k * len(z), (k + 1) * len(z))))
+            return found, dsp.snr(filtered, original, snr_method), rates
 
         if end == "":
             fourier = np.repeat([base.startswith("fft") for base, _ in bases], len(z))
-            yield from given(y, np.where(fourier, dsp.peak_rate(y, fps), dsp.interval_rate(y, fps)))
+            yield given(y, lambda r, y=y, fourier=fourier: np.where(fourier[r], dsp.peak_rate(y[r], fps), dsp.interval_rate(y[r], fps)))
         elif end == "ht":
-            yield from given(dsp.envelope_normal(y), dsp.instantaneous_rate(dsp.analytic(y), fps))
+            yield given(dsp.envelope_normal(y), lambda r, y=y: dsp.instantaneous_rate(dsp.analytic(y[r]), fps))
         elif end == "hht":
-            yield from given(*dsp.hilbert_huang(y, fps))
+            filtered, rate = dsp.hilbert_huang(y, fps)
+            yield given(filtered, lambda r, rate=rate: rate[r])
         else:
             variants = dict.fromkeys(v for base, order in bases for v in wanted[end, base, order])
             for name in dict.fromkeys(n for n, _ in variants):
                 coefficients, sizes = dsp.decompose(y, name)
                 for level in [k for n, k in variants if n == name]:
                     clean = dsp.soft_threshold(coefficients, sizes, name, level, y.shape[-1]) if len(coefficients) > 1 else y
-                    yield from given(clean, dsp.interval_rate(clean, fps), (name, level))
+                    yield given(clean, lambda r, clean=clean: dsp.interval_rate(clean[r], fps), (name, level))
 
 
 def _by_length(signals: Sequence) -> Iterator[tuple[list[int], np.ndarray]]:
@@ -190,6 +195,25 @@ def _by_length(signals: Sequence) -> Iterator[tuple[list[int], np.ndarray]]:
         yield at, np.stack([np.asarray(signals[k], np.float64) for k in at])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Keys and values of signals of one length, SAMPLES samples at a time: what a sweep holds doesn't grow with Arrow's batches."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, READ):
+            part = batch.slice(first, READ)
+            keys = part.select(part.schema.names[:-1])
+            for at, x in _by_length(part.column(part.num_columns - 1).to_pylist()):
+                step = max(1, SAMPLES // x.shape[-1])
+                for k in range(0, len(at), step):
+                    yield keys.take(pa.array(at[k : k + step])), x[k : k + step]
+
+
+def _outcomes(keys: pa.RecordBatch, tasks: Sequence[tuple], which: np.ndarray, snr: np.ndarray, rate: np.ndarray) -> pa.RecordBatch:
+    """Rows of keys, the task of each, and what it gave."""
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int32())
+    columns = [pa.array([t[i] for t in tasks], kind).take(pa.array(which)) for i, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([*keys.columns, *columns, pa.array(snr, pa.float64()), pa.array(rate, pa.float64())], names=[*keys.schema.names, "filter", "filter_order", "wavelet", "wavelet_level", "snr", "heart_rate"])
+
+
 def _dealt(df: DataFrame, key: Sequence[str], signal: str) -> DataFrame:
     """Keys and signals in at least as many partitions as there are cores: a sweep's work is per signal, a few files of signals would be a few tasks."""
     rows = df.select(*key, _doubles(signal).alias("signal"))
@@ -207,15 +231,24 @@ def sweep(df: DataFrame, grid: DataFrame, key: Sequence[str], signal: str = "sig
     fields = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join(f"`{k}` {fields[k]}" for k in key) + ", filter string, filter_order int, wavelet string, wavelet_level int, snr double, heart_rate double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at, x in _by_length(batch["signal"].tolist()):
-                keys = batch.iloc[at][list(key)]
-                for found, values, rate in _swept(x, tasks, fps, snr_method):
-                    for m, o, w, level in found:
-                        yield keys.assign(filter=m, filter_order=o, wavelet=w, wavelet_level=level, snr=values, heart_rate=rate)
+    number = {task: k for k, task in enumerate(tasks)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, x in _slices(batches):
+            which, snr, rate = [], [], []
+            for found, values, rates in _swept(x, tasks, fps, snr_method):
+                all_rates = rates(slice(None))
+                for own, at in found:
+                    for task in own:
+                        which.append(number[task])
+                        snr.append(values[at])
+                        rate.append(all_rates[at])
+            for k in range(0, len(which), OUTCOMES):
+                some = which[k : k + OUTCOMES]
+                rows = keys.take(pa.array(np.tile(np.arange(len(x)), len(some))))
+                yield _outcomes(rows, tasks, np.repeat(some, len(x)), np.concatenate(snr[k : k + OUTCOMES]), np.concatenate(rate[k : k + OUTCOMES]))
 
-    return _dealt(df, key, signal).mapInPandas(run, schema)
+    return _dealt(df, key, signal).mapInArrow(run, schema)
 
 
 def best_of_sweep(df: DataFrame, grid: DataFrame, key: Sequence[str], signal: str = "signal", fps: float = 30.0, low: float = 48, high: float = 150, snr_method: str = "decibels") -> DataFrame:
@@ -227,21 +260,28 @@ def best_of_sweep(df: DataFrame, grid: DataFrame, key: Sequence[str], signal: st
     fields = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join(f"`{k}` {fields[k]}" for k in key) + ", filter string, filter_order int, wavelet string, wavelet_level int, snr double, heart_rate double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rank = {task: k for k, task in enumerate(tasks)}
-        for batch in batches:
-            for at, x in _by_length(batch["signal"].tolist()):
-                best, value, rates = np.full(len(at), len(tasks)), np.full(len(at), -np.inf), np.zeros(len(at))
-                for found, values, rate in _swept(x, tasks, fps, snr_method):
-                    first = min(rank[t] for t in found)
-                    fits = (rate >= low) & (rate <= high) & (values != 1000)
-                    level = np.where(np.isnan(values), -np.inf, values)
-                    better = fits & ((level > value) | (level == value) & (first < best))
-                    best[better], value[better], rates[better] = first, level[better], rate[better]
-                has = np.flatnonzero(best < len(tasks))
-                chosen = [tasks[k] for k in best[has]]
-                own = batch.iloc[[at[k] for k in has]][list(key)]
-                names = ("filter", "filter_order", "wavelet", "wavelet_level")
-                yield own.assign(**{n: [t[i] for t in chosen] for i, n in enumerate(names)}, snr=np.where(np.isinf(value[has]), np.nan, value[has]), heart_rate=rates[has])
-
-    return _dealt(df, key, signal).mapInPandas(run, schema)
+    rank = {task: k for k, task in enumerate(tasks)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, x in _slices(batches):
+            n = len(x)
+            best, value, rate = np.full(n, len(tasks)), np.full(n, -np.inf), np.zeros(n)
+            for found, values, rates in _swept(x, tasks, fps, snr_method):
+                level = np.where(np.isnan(values), -np.inf, values)
+                # rates only where the SNR would do
+                open_ = (values != 1000) & (level >= np.tile(value, len(values) // n))
+                rows = np.flatnonzero(open_)
+                fits = np.zeros(len(values), bool)
+                own_rate = np.zeros(len(values))
+                if len(rows):
+                    own_rate[rows] = rates(rows)
+                    fits[rows] = (own_rate[rows] >= low) & (own_rate[rows] <= high)
+                for own, at in found:
+                    first = min(rank[t] for t in own)
+                    better = fits[at] & ((level[at] > value) | (level[at] == value) & (first < best))
+                    best[better], value[better], rate[better] = first, level[at][better], own_rate[at][better]
+            has = np.flatnonzero(best < len(tasks))
+            if len(has):
+                yield _outcomes(keys.take(pa.array(has)), tasks, best[has], np.where(np.isinf(value[has]), np.nan, value[has]), rate[has])
+
+    return _dealt(df, key, signal).mapInArrow(run, schema)

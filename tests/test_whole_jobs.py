@@ -51,3 +51,26 @@ def test_sweep_of_the_full_grid(spark, tmp_path):
     assert {r["sample_id"] for r in chosen} == set(best)
     for r in chosen:
         assert r["snr"] == pytest.approx(best[r["sample_id"]]) == fitting[tuple(r[n] for n in names)]
+
+
+def test_a_sweep_holds_a_few_signals_at_a_time(spark, monkeypatch):
+    """However many signals an Arrow batch has: kernels get at most SAMPLES samples, batches OUTCOMES tasks; slices don't change the outcome."""
+    import numpy as np
+    import pyarrow as pa
+    from pulseloom.functions import dsp
+    from pulseloom.operators import spectral
+
+    x = np.random.default_rng(8).normal(size=(600, 32))
+    tasks = [(m, 2, "haar" if m.endswith("_wt") else "None", int(m.endswith("_wt"))) for m in dsp.FILTERS[:4]]
+    whole = [(values, rates(slice(None))) for _, values, rates in spectral._swept(x, tasks, 30.0, "decibels")]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(len(x))), "signal": x.tolist()})
+    parts = list(spectral._slices(iter([batch])))
+    assert max(v.size for _, v in parts) <= spectral.SAMPLES and np.array_equal(np.concatenate([v for _, v in parts]), x)
+    assert [k for keys, _ in parts for k in keys.column(0).to_pylist()] == list(range(len(x)))
+    grid = spark.createDataFrame(tasks, "filter string, filter_order int, wavelet string, wavelet_level int")
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, signal array<double>")
+    got = {(r["k"], r["filter"]): (r["snr"], r["heart_rate"]) for r in spectral.sweep(df, grid, ["k"]).collect()}
+    assert len(got) == len(x) * len(tasks)
+    assert sorted(np.concatenate([v for v, _ in whole]).tolist()) == sorted(s for s, _ in got.values())
+    best = {r["k"]: r["snr"] for r in spectral.best_of_sweep(df, grid, ["k"], low=0, high=1e9).collect()}
+    assert best == {k: max(s for (j, _), (s, _) in got.items() if j == k) for k in range(len(x))}
