@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseloom.functions import special
 from pulseloom.functions.quantiles import exact_quantiles, nested_bins
+from pulseloom.session import scratch
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read back: made once, and joins know its true size, so that a table of groups doesn't send all rows to a task a group."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _tail(of, *columns: Column) -> Column:
@@ -22,7 +30,7 @@ def group_moments(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row: groups, n, ss_between, ss_within, f, eta_squared, p_value. Nulls where a part is undefined."""
-    m = group_moments(df, group, value)
+    m = _stored(group_moments(df, group, value), "moments")
     total = m.agg(F.count("*").alias("groups"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"), F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0))).alias("ss_within"))
     between = m.join(F.broadcast(total.select("grand"))).agg(F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("ss_between"))  # one row
     both = total.join(F.broadcast(between))
@@ -33,7 +41,7 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def levene(df: DataFrame, group: str, value: str) -> DataFrame:
     """ANOVA of absolute deviations from each group's median."""
-    medians = exact_quantiles(df, [group], value, [0.5], ["_median"])
+    medians = _stored(exact_quantiles(df, [group], value, [0.5], ["_median"]), "medians")
     away = df.join(medians, group).select(group, F.abs(F.col(value) - F.col("_median")).alias("_away"))
     return anova(away, group, "_away")
 
@@ -52,9 +60,9 @@ def ranked(df: DataFrame, group: str, value: str) -> DataFrame:
     return counts.join(ranks, "value")
 
 
-def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """One row: groups, n, h (corrected for ties; null if all values are one), p_value."""
-    r = ranked(df, group, value)
+def kruskal(df: DataFrame, group: str, value: str, ranks: DataFrame | None = None) -> DataFrame:
+    """One row: groups, n, h (corrected for ties; null if all values are one), p_value. ``ranks`` are those of ``ranked`` if they are at hand."""
+    r = _stored(ranked(df, group, value), "ranks") if ranks is None else ranks
     own = r.groupBy(group).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("r"))
     sums = own.agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum(F.col("r") ** 2 / F.col("n")).alias("s"))
     ties = r.select("value", "t").distinct().agg(F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
@@ -63,9 +71,9 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     return sums.join(F.broadcast(ties)).select("groups", "n", h.alias("h")).withColumn("p_value", _tail(special.chi2_tail, F.col("h"), F.col("groups") - 1))
 
 
-def dunn(df: DataFrame, group: str, value: str) -> DataFrame:
-    """group_a < group_b, z and p_adjusted (two-sided, Bonferroni) from mean ranks of all groups."""
-    r = ranked(df, group, value)
+def dunn(df: DataFrame, group: str, value: str, ranks: DataFrame | None = None) -> DataFrame:
+    """group_a < group_b, z and p_adjusted (two-sided, Bonferroni) from mean ranks of all groups. ``ranks`` as for ``kruskal``."""
+    r = _stored(ranked(df, group, value), "ranks") if ranks is None else ranks
     own = r.groupBy(group).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("rank")) / F.sum("n")).alias("m"))
     total = own.agg(F.sum("n").alias("all_n"), (F.count("*") * (F.count("*") - 1) / 2).alias("pairs"))
     ties = r.select("value", "t").distinct().agg(F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
@@ -90,12 +98,12 @@ def normality(df: DataFrame, group: str, value: str, most: int = 5000) -> DataFr
     Large groups are never gathered: their statistic is a maximum over ranked values.
     """
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
-    sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
+    sizes = _stored(rows.groupBy("g").agg(F.count("*").alias("n")), "sizes")
     small = rows.join(sizes.where(F.col("n") <= most), "g").groupBy("g").agg(F.collect_list("v").alias("v"), F.first("n").alias("n"))  # bounded by ``most``
     wilk = F.udf(lambda v: special.shapiro(list(v)), "struct<statistic:double,p_value:double>")
     shapiro = small.select("g", "n", F.lit("shapiro").alias("test"), wilk("v").alias("x")).select("g", "n", "test", "x.*")
     counted = rows.join(sizes.where(F.col("n") > most), "g").groupBy("g", "n", "v").agg(F.count("*").alias("c"))
-    counted = nested_bins(counted, ["g"], "v", "b")
+    counted = nested_bins(_stored(counted, "counted"), ["g"], "v", "b")
     blocks = counted.groupBy("g", "b").agg(F.sum("c").alias("t"))
     blocks = blocks.withColumn("before", F.coalesce(F.sum("t").over(Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     upto = F.sum("c").over(Window.partitionBy("g", "b").orderBy("v")) + F.col("before")
@@ -132,8 +140,9 @@ def compare_groups(df: DataFrame, group: str, value: str, alpha: float = 0.05) -
         r = anova(df, group, value).first()
         p, used, effect = r["p_value"], "ANOVA", r["eta_squared"]
     else:
-        p, used = kruskal(df, group, value).first()["p_value"], "Kruskal-Wallis"
+        ranks = _stored(ranked(df, group, value), "ranks")
+        p, used = kruskal(df, group, value, ranks).first()["p_value"], "Kruskal-Wallis"
         effect = cohens_d(df, group, value).first()["d"] if len(sizes) == 2 else None
-        post_hoc = dunn(df, group, value)
+        post_hoc = dunn(df, group, value, ranks)
     p = math.nan if p is None else p
     return {"test_used": used, "p_value": p, "normality": normal, "homoscedasticity": equal, "effect_size": effect, "significant": p < alpha, "post_hoc": post_hoc}

@@ -441,3 +441,15 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = segments.segments(spark.createDataFrame(rows, schema), ["video_id"], ["frame_idx"], size=8, overlap=2)
     want = sorted((r["video_id"], r["run_id"], r["segment_id"], r["t"], r["frame_idx"]) for r in batch.collect())
     assert got == want and want
+
+
+def test_groups_of_a_test_dont_gather_their_rows(spark):
+    """Few groups of many rows: the rows meet a table of groups without a shuffle by group alone (which made a task a group)."""
+    import re
+
+    from pulseloom.operators import significance
+
+    df = spark.range(60_000).selectExpr("cast(id % 3 AS string) AS g", "double((id * 7919) % 10007) AS v")
+    for made in (significance.normality(df, "g", "v"), significance.levene(df, "g", "v")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"SortMergeJoin \[g#\d+\]", plan)
