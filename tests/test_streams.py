@@ -115,3 +115,40 @@ def test_a_long_video_takes_the_memory_of_a_batch():
 
     peak(8)
     assert peak(40) < 1.3 * peak(8)
+
+
+def test_keys_share_state(spark, tmp_path):
+    """900 keys of which few rows wait: state holds buckets, not keys, and the result is the batch's."""
+    schema = "video_id long, region string, run_id long, segment_id int, snr double, second int"
+    rows = [(v, g, 0, k, float(v % 7 + k), 100 + 3 * k) for v in range(300) for g in ("a", "b", "c") for k in range(4)]
+    timed = lambda df: df.select("*", F.timestamp_seconds("second").alias("ts")).drop("second")
+    for n, part in enumerate((rows[::2], rows[1::2], [(-1, "end", 0, 0, 0.0, 9_000)])):
+        timed(spark.createDataFrame(part, schema)).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(timed(spark.createDataFrame(rows[:1], schema)).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    with running.rocksdb(spark):
+        query = running.stream_running(stream, "1 minute").writeStream.format("memory").queryName("shared_state").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").start()
+        query.processAllAvailable()
+    # the most state rows that a batch left: lists, sums and timers of a bucket
+    kept = max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"])
+    query.stop()
+    assert 0 < kept <= 2 * 256
+    got = spark.table("shared_state").where("region <> 'end'").collect()
+    own = {(r["video_id"], r["region"], r["segment_id"]): (r["so_far"], r["mean_snr"]) for r in got}
+    assert len(got) == len(own) == len(rows)
+    assert own == {(v, g, k): (k, v % 7 + k / 2) for v, g, _, k, *_ in rows}
+
+
+def test_taken_keeps_and_drops_totals():
+    held = running._unpacked([], running.WAITING)
+    frame = lambda rows: held.__class__(rows, columns=held.columns).astype({"video_id": int, "run_id": int, "segment_id": int, "stamp": int, "snr": float})
+    none = running._unpacked([], running.TOTALS)
+    made, rest, totals = running.taken(frame([(1, "a", 0, 1, 20, 3.0), (1, "a", 0, 0, 10, 1.0), (2, "a", 0, 0, 10, 5.0), (1, "a", 0, 2, 99, 8.0)]), none, 50, 1000)
+    assert made[["video_id", "segment_id", "so_far", "mean_snr"]].values.tolist() == [[1, 0, 0, 1], [1, 1, 1, 2], [2, 0, 0, 5]]
+    assert rest["stamp"].tolist() == [99] and sorted(totals["taken"]) == [1, 2]
+    totals = running._unpacked([running._packed(totals, running.TOTALS)], running.TOTALS)
+    made, rest, totals = running.taken(rest, totals, 98, 60)  # 2 is idle, 1 has an output that waits
+    assert len(made) == 0 and totals["video_id"].tolist() == [1]
+    made, rest, totals = running.taken(rest, totals, 500, 60)
+    assert made[["so_far", "mean_snr"]].values.tolist() == [[2, 4]] and len(rest) == 0 and totals["taken"].tolist() == [3]
+    made, rest, totals = running.taken(rest, totals, 501, 60)
+    assert len(made) == len(totals) == 0
