@@ -86,17 +86,17 @@ def _sequences(batches: Iterator[pa.RecordBatch], vocabulary: str, tokens: int,
     held: list[np.ndarray] = []
     size = 0
     for batch in batches:
-        for text in batch.column(0):
-            ids = np.append(bpe.encode(text.as_py() or "", vocabulary), np.uint32(end_id))
-            if ids.max() > 0xFFFF:
+        for ids, sizes in bpe.encode_all(batch.column(0), vocabulary):
+            if len(ids) and ids.max() > 0xFFFF:
                 raise ValueError("an id takes more than the 16 bits of a shard's strides")
-            ids = ids.astype("<u2")
+            ids = np.insert(ids.astype("<u2"), np.cumsum(sizes), end_id)
             held.append(ids)
             size += len(ids)
             if size >= 256 * tokens:
                 stream = np.concatenate(held)
                 full = size // tokens * tokens
-                yield stream[:full].reshape(-1, tokens)
+                for at in range(0, full, 256 * tokens):
+                    yield stream[at : min(at + 256 * tokens, full)].reshape(-1, tokens)
                 held, size = [stream[full:]], size - full
     if size:
         stream = np.concatenate(held)
@@ -149,7 +149,7 @@ def materialise(docs: DataFrame, out_dir: str | None = None, key: int = 42, toke
                 yield row(at, len(block), 0, zstandard.ZstdCompressor(level=3).compress(block))
                 at += len(block)
         else:
-            n = sum(bpe.count(text.as_py() or "", vocabulary) + 1 for batch in texts for text in batch.column(0))
+            n = sum(int(sizes.sum()) + len(sizes) for batch in texts for sizes in bpe.count_all(batch.column(0), vocabulary))
             if n:
                 yield row(0, -(-n // tokens), seen[0], None)
 
