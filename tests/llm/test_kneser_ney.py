@@ -128,3 +128,70 @@ def test_query_scores_by_longer_contexts(spark, tmp_path):
     for r in queries.op4_kneser_ney(spark, str(tmp_path)).collect():
         seq = ["<", "<", *texts[r["doc_id"]].encode().split(), ">"]
         assert r["score"] == pytest.approx(sum(math.log10(prob(seq[:i], seq[i])) for i in range(2, len(seq))), rel=1e-9)
+
+
+def test_disk_of_shuffle_and_model(spark, tmp_path, monkeypatch):
+    """Trigrams are sent as numbers, without hashes in every block; a context with one n-gram seen once takes no room."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{i}" for i in np.minimum(rng.zipf(1.3, 400), 9_000)) for _ in range(150)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    sent = []
+
+    def measured(blocks, order, *rest, real=kn.merge_shards):
+        if order == 3:
+            sent.append(sum(len(r["block"]) for r in blocks.collect()))
+        return real(blocks, order, *rest)
+
+    monkeypatch.setattr(kn, "merge_shards", measured)
+    model = kn.train(frame, 3, 6, str(tmp_path))
+    size = lambda stem: sum(f.stat().st_size for f in tmp_path.glob(f"{stem}-*"))
+    assert model.numbers[3][5] > 20_000 and sent[0] < 7 * model.numbers[3][5]
+    assert 0 < size("c3") < size("n2") + size("hn2")
+
+
+def test_contexts_seen_once_and_never(spark):
+    """Contexts with one n-gram seen once aren't listed; they, start marks and unknown contexts give the probabilities of dictionaries."""
+    train = ["a b c d", "e f g", "a b d", "", "e f g h i"]
+    asked = [*train, "a b", "b c d", "f g", "zz a b c", "a zz b c d", "g", "h i e f", None]
+    for texts in (train, train[:1]):
+        model = kn.train(spark.createDataFrame([(t,) for t in texts], "text string"), 3)
+        _, prob = brute_model(texts, 3)
+        got = kn.score_texts(spark.createDataFrame(list(enumerate(asked)), "k long, text string").select("text", "k"), model, "k").collect()
+        assert len(got) == len(asked)
+        for r in got:
+            seq = ["<", "<", *(asked[r["k"]] or "").encode().split(), ">"]
+            assert r["score"] == pytest.approx(sum(math.log10(prob(seq[:i], seq[i])) for i in range(2, len(seq))), rel=1e-9)
+
+
+def test_sorting_and_ranking():
+    rng = np.random.default_rng(5)
+    close = np.uint64(2**63) + rng.integers(0, 50, 999, dtype=np.uint64)  # decided by the bits that hold places
+    for key in (rng.integers(0, 2**64, 5000, dtype=np.uint64), close, np.empty(0, np.uint64), np.full(7, 2**64 - 1, np.uint64)):
+        assert (key[kn.ascending(key)] == np.sort(key)).all()
+        every, place = kn.ranked(key)
+        assert (every == np.unique(key)).all() and (every[place] == key).all()
+    for values, width in ((40, 3), (2**30, 3), (40, 1)):
+        columns = [rng.integers(0, 40, 3000) * (values // 40) for _ in range(width)]
+        rows, counts = kn.distinct_rows(columns, values)
+        want, n = np.unique(np.stack(columns, 1), axis=0, return_counts=True)
+        assert (np.stack(rows, 1) == want).all() and (counts == n).all()
+
+
+def test_cuts():
+    assert kn.cuts(np.array([3, 3, 3, 50, 1, 0, 9, 2]), 10) == [(0, 3), (3, 4), (4, 7), (7, 8)]
+    assert kn.cuts(np.array([], np.int32), 10) == [] and kn.cuts(np.array([99]), 10) == [(0, 1)]
+
+
+def test_hashes_with_the_same_32_bits():
+    """Neighbours that differ only in later bits are told apart, and from hashes that aren't there."""
+    rng = np.random.default_rng(2)
+    for n in (20, 5000):
+        gram = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        bits = kn.bucket_bits(len(gram))
+        step = np.uint64(1 << (16 - min(bits, 15)))
+        gram = np.unique(np.concatenate([gram, gram[::3] ^ step, gram[::3] ^ (step << np.uint64(1))]))
+        files = kn._grams_as_files(gram)
+        assert len(files["start"]) - 1 == 1 << kn.bucket_bits(len(gram))
+        absent = np.setdiff1d(gram[::2] ^ (step << np.uint64(2)), gram)
+        rows, places = kn._find(files["low"], files["start"], np.concatenate([gram, absent]), files["more"])
+        assert rows.tolist() == list(range(len(gram))) and places.tolist() == list(range(len(gram)))
