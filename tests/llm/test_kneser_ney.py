@@ -195,3 +195,33 @@ def test_hashes_with_the_same_32_bits():
         absent = np.setdiff1d(gram[::2] ^ (step << np.uint64(2)), gram)
         rows, places = kn._find(files["low"], files["start"], np.concatenate([gram, absent]), files["more"])
         assert rows.tolist() == list(range(len(gram))) and places.tolist() == list(range(len(gram)))
+
+
+def test_more_shards_than_open_files(spark, tmp_path, monkeypatch):
+    """A worker may open fewer files than the model has; the scores are those of a few shards, also where the files are too many to stay mapped, and from a store that can't be mapped."""
+    import os
+    import resource
+
+    from pyarrow import fs
+
+    texts = corpus()
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    few = kn.Arrays(kn.train(frame, 3, 3, f"{tmp_path}/few")).score(texts)
+    model = kn.train(frame, 3, 7, f"{tmp_path}/many")
+    assert len(model.hot) and len(list((tmp_path / "many").iterdir())) > 300
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (max(map(int, os.listdir("/proc/self/fd"))) + 30, hard))
+    try:
+        found = [kn.Arrays(model).score(texts)]
+        monkeypatch.setattr(kn, "MOST_MAPS", 150)
+        found.append(kn.Arrays(model).score(texts))
+        monkeypatch.setattr(kn, "MOST_MAPS", 1)
+        found.append(kn.Arrays(model).score(texts))
+        monkeypatch.undo()
+        monkeypatch.setattr(kn, "local_or_fs", lambda path: (fs.SubTreeFileSystem(path, fs.LocalFileSystem()), ""))
+        found.append(kn.Arrays(model).score(texts))
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    for got in found:
+        assert all((a == b).all() for a, b in zip(got[:2], few[:2]))
+        assert got[2] == pytest.approx(few[2], rel=1e-12) and got[3] == pytest.approx(few[3], rel=1e-12)
